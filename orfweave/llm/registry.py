@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, secret_scan, sharding, token_counts
+from . import exact_dedup, mixing, packing, secret_scan, sharding, token_counts
 
 _QUERIES = {
     "op1_token_counts": token_counts,
     "op3_secret_scan": secret_scan,
+    "op4_mixing": mixing,
     "op5_sharding": sharding,
     "op6_exact_dedup": exact_dedup,
     "op9_packing": packing,

@@ -128,9 +128,9 @@ def _oracle_kind(number: int, rule: Rule) -> str:
     quote = rule.pattern.replace("'", "''")
     return f"""
   SELECT doc_id, {number} AS rule, '{rule.kind}' AS kind, unnest(range(len(w))) AS i, w, v, g FROM (
-    SELECT doc_id, list_transform(regexp_extract_all(text, '{quote}', 0), x -> length(x)) AS w,
-           list_transform(regexp_extract_all(text, '{quote}', {rule.group}), x -> length(x)) AS v,
-           list_transform(string_split_regex(text, '{quote}'), x -> length(x)) AS g FROM t)"""
+    SELECT doc_id, list_transform(regexp_extract_all(text, '{quote}', 0), lambda x: length(x)) AS w,
+           list_transform(regexp_extract_all(text, '{quote}', {rule.group}), lambda x: length(x)) AS v,
+           list_transform(string_split_regex(text, '{quote}'), lambda x: length(x)) AS g FROM t)"""
 
 
 ORACLE_SQL = f"""
