@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, secret_scan, sharding, token_counts
+from . import exact_dedup, mixing, packing, secret_scan, sharding, simhash, token_counts, toxicity
 
 _QUERIES = {
     "op1_token_counts": token_counts,
@@ -10,7 +10,9 @@ _QUERIES = {
     "op4_mixing": mixing,
     "op5_sharding": sharding,
     "op6_exact_dedup": exact_dedup,
+    "op8_simhash": simhash,
     "op9_packing": packing,
+    "op10_toxicity": toxicity,
 }
 
 
