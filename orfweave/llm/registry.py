@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, secret_scan, sharding, simhash, token_counts, toxicity
+from . import exact_dedup, mixing, packing, secret_scan, sharding, simhash, token_counts, topk, toxicity
 
 _QUERIES = {
     "op1_token_counts": token_counts,
@@ -10,6 +10,7 @@ _QUERIES = {
     "op4_mixing": mixing,
     "op5_sharding": sharding,
     "op6_exact_dedup": exact_dedup,
+    "op7_topk": topk,
     "op8_simhash": simhash,
     "op9_packing": packing,
     "op10_toxicity": toxicity,
@@ -17,7 +18,10 @@ _QUERIES = {
 
 
 def queries() -> dict:
-    return {name: module.query for name, module in _QUERIES.items()}
+    # the pipeline stands at the top of the repository
+    import corpus_pipeline
+
+    return {name: module.query for name, module in _QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

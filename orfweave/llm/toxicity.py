@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -161,38 +162,50 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     return [(r["coordinate"], r["weight"]) for r in model.collect()]
 
 
-def score(docs: DataFrame, model: list[tuple[int, float]], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The id column and a score from 0 to 1 for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+#: The column that score_column() adds.
+SCORE = "orfweave_toxicity"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = None
-        for batch in batches:
-            if find is None:
-                find, weights, bias = Features(), np.zeros(1 << BITS, np.float32), None
-                for k, w in shared.value:
-                    if k < 0:
-                        bias = w
-                    else:
-                        weights[k] = w
-                some = weights != 0
-            texts = batch.column(1).to_pylist()
-            out = [np.zeros(0)]
-            for part in chunks(texts):
-                n = part.stop - part.start
-                # of the features only those with a weight count, once a text
-                keys = [t[k].astype(np.uint64) << np.uint64(BITS) | c[k] for t, c in find(texts[part]) for k in [np.flatnonzero(some[c])]]
-                keys = np.unique(np.concatenate(keys))
-                sums = np.bincount((keys >> np.uint64(BITS)).astype(np.int64), weights[keys & np.uint64((1 << BITS) - 1)], n)
-                out.append(np.zeros(n) if bias is None else _sigmoid(sums + bias))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out))], ["id", "score"])
 
-    rows = docs.select(F.col(id_column).alias("id"), whole_text(text_column).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_column)
+def score_column(docs: DataFrame, model: list[tuple[int, float]], text_column: str = "text") -> DataFrame:
+    """The documents with all their columns and a score from 0 to 1."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(shared.value)
+        for batch in texts:
+            found = [np.zeros(0)]
+            values = batch.tolist()
+            for part in chunks(values):
+                found.append(scorer(values[part]))
+            yield pd.Series(np.concatenate(found))
+
+    return docs.withColumn(SCORE, score(whole_text(text_column)))
+
+
+class Scorer:
+    def __init__(self, model: list[tuple[int, float]]):
+        self.find = Features()
+        self.weights, self.bias = np.zeros(1 << BITS, np.float32), None
+        for k, w in model:
+            if k < 0:
+                self.bias = w
+            else:
+                self.weights[k] = w
+        self.some = self.weights != 0
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        if self.bias is None:
+            return np.zeros(len(texts))
+        # of the features only those with a weight count, once a text
+        keys = [t[k].astype(np.uint64) << np.uint64(BITS) | c[k] for t, c in self.find(texts) for k in [np.flatnonzero(self.some[c])]]
+        keys = np.unique(np.concatenate(keys))
+        sums = np.bincount((keys >> np.uint64(BITS)).astype(np.int64), self.weights[keys & np.uint64((1 << BITS) - 1)], len(texts))
+        return _sigmoid(sums + self.bias)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: a model learnt from labels, and its score of all documents."""
     docs = table(spark, sf_dir, "documents")
-    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored = score_column(docs.select("doc_id", "text"), train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= THRESHOLD).cast("int").alias("predicted"))
