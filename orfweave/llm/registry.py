@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, secret_scan, sharding, simhash, token_counts, topk, toxicity
+from . import exact_dedup, license_scan, mixing, packing, secret_scan, sharding, simhash, token_counts, topk, toxicity
 
 _QUERIES = {
     "op1_token_counts": token_counts,
+    "op2_license_scan": license_scan,
     "op3_secret_scan": secret_scan,
     "op4_mixing": mixing,
     "op5_sharding": sharding,
