@@ -88,6 +88,27 @@ def rbs_score(window: Column) -> Column:
     return case.otherwise(0)
 
 
+MOTIF = 6
+
+
+def motif_scores() -> list[tuple]:
+    """(six letters, best score in each group of offsets) for all that begin a motif; n is any letter but a, c, g, t.
+
+    The ladder falls, so a window's score is the best over its offsets of what begins there: a table of words and a
+    few sliding maxima stand for the ladder."""
+    from itertools import product
+
+    out = []
+    for word in map("".join, product("acgtn", repeat=MOTIF)):
+        best = dict.fromkeys(OFFSETS, 0)
+        for score, group, motifs in RBS_LADDER:
+            if word.startswith(motifs):
+                best[group] = max(best[group], score)
+        if any(best.values()):
+            out.append((word, *best.values()))
+    return out
+
+
 def rbs_score_sql(window: str) -> str:
     """The same in SQL."""
     branches = (f"WHEN {' OR '.join(f"contains(substring(s, {a}, {n}), '{m}')" for a, n, m in places)} THEN {score}" for score, places in rbs_branches())

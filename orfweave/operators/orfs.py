@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orfweave.functions.sequence import RBS_WINDOW, rbs_score, revcomp, stop_chance
+from orfweave.functions.sequence import RBS_WINDOW, revcomp, stop_chance
 from orfweave.operators import profile
 from orfweave.params import DEFAULT, Params
 
@@ -32,25 +32,23 @@ def codons(contigs: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 
 def _sites(contigs: DataFrame, params: Params) -> DataFrame:
-    """Codon positions that begin or end an ORF, the last of each frame, and fragments' starts; with running counts:
-    a, t, g, c before the codon (b_) and up to its end (u_), and of (richest, poorest) window pairs in the frame as
-    the forward strand reads them, before this codon (f_), and as the backward one does, with it (r_)."""
-    codon = profile.window(0, 3)
-    base = profile.window(0, 1)
-    ahead = F.when(F.col("pos") >= RBS_WINDOW, profile.window(-(RBS_WINDOW - 1), RBS_WINDOW)).otherwise("")
-    behind = revcomp(profile.window(3, RBS_WINDOW))
-    rows = profile.positions(contigs.where(F.col("length") >= profile.SHORTEST))
-    # motifs only matter at starts: the windows of other positions aren't scored
-    kind = codon_class(codon, params)
-    first, last = F.col("pos") <= 3, F.col("pos") >= F.col("length") - 4
-    rows = rows.select("contig_id", "length", "pos", "frame", base.alias("base"), codon.alias("codon"), kind.alias("class"), F.when((kind == "fs") | first, rbs_score(ahead)).alias("rbs_f"), F.when((kind == "rs") | last, rbs_score(behind)).alias("rbs_r"), F.when(profile.normalise(base).isin("g", "c"), 1).otherwise(0).alias("gc")).repartition("contig_id")
+    """All positions with their motif scores and running counts: a, t, g, c before the codon (b_) and up to its end
+    (u_), and of (richest, poorest) window pairs in the frame as the forward strand reads them, before this codon
+    (f_), and as the backward one does, with it (r_)."""
+    rows = profile.scan(contigs.where(F.col("length") >= profile.SHORTEST))
+    along = Window.partitionBy("contig_id").orderBy("pos")
+    base, codon = F.col("base"), F.col("codon")
+    ahead = F.when(F.col("pos") >= RBS_WINDOW, F.col("score_f")).otherwise(0)
+    # the window behind a start on the other strand begins after its codon
+    behind = F.coalesce(F.lead("score_r", 3).over(along), F.lit(0))
+    kind = F.when(F.col("pos") <= F.col("length") - 2, codon_class(codon, params))
+    rows = rows.withColumns({"class": kind, "rbs_f": ahead, "rbs_r": behind, "gc": F.when(profile.normalise(base).isin("g", "c"), 1).otherwise(0)})
     half = params.gc_window // 3 // 2
     phase = Window.partitionBy("contig_id", "frame").orderBy("pos")
-    along = Window.partitionBy("contig_id").orderBy("pos")
     rows = rows.withColumn("g1", F.sum("gc").over(phase.rowsBetween(-(half - 1), half)))
     counted = {f"u_{b}": F.sum((F.col("base") == b).cast("long")).over(along.rowsBetween(Window.unboundedPreceding, 2)) for b in BASES}
     before = {f"b_{b}": F.coalesce(F.sum((F.col("base") == b).cast("long")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for b in BASES}
-    rows = rows.withColumns({"g2": F.lead("g1", 1).over(along), "g3": F.lead("g1", 2).over(along), **counted, **before}).where("pos <= length - 2")
+    rows = rows.withColumns({"g2": F.lead("g1", 1).over(along), "g3": F.lead("g1", 2).over(along), **counted, **before})
     g = [F.col(f"g{k}") for k in (1, 2, 3)]
     kinds = {}
     for strand, values in (("f", g), ("r", g[::-1])):
@@ -64,7 +62,7 @@ def _sites(contigs: DataFrame, params: Params) -> DataFrame:
 
 
 def site_counts(contigs: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """All codon positions with their running counts; keep it (cache or table) where it is used more than once."""
+    """All positions with their running counts (those of windows mean something where a whole codon begins); keep it (cache or table) where it is used more than once."""
     return _sites(contigs, params)
 
 
@@ -79,7 +77,7 @@ def _minus(a: Column, b: Column) -> Column:
 def enumerate_orfs(sites: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """contig_id, strand, frame (negative backward), start, stop (leftmost base of either codon), length with the stop
     codon, start_codon, rbs_score, pstop and n (how many codons have each pair of windows, the stop codon's excluded)."""
-    events = sites.where("class IS NOT NULL OR pos <= 3 OR pos >= length - 4")
+    events = sites.where("pos <= length - 2 AND (class IS NOT NULL OR pos <= 3 OR pos >= length - 4)")
     frame = Window.partitionBy("contig_id", "frame").orderBy("pos")
     forward = F.struct(F.col("pos").alias("pos"), *(F.col(f"u_{b}") for b in BASES), _counts("f").alias("n"))
     backward = F.struct(F.col("pos").alias("pos"), *(F.col(f"b_{b}") for b in BASES), _counts("r").alias("n"))

@@ -123,7 +123,7 @@ class Annotation:
 
     @property
     def weights(self) -> DataFrame:
-        return self._once("weights", lambda: orfs.rbs_weights(self.orfs, profile.rbs_background(self.contigs), self.contigs))
+        return self._once("weights", lambda: orfs.rbs_weights(self.orfs, profile.rbs_background(self.contigs, self.sites), self.contigs))
 
     @property
     def training(self) -> DataFrame:
