@@ -170,7 +170,7 @@ def coverage_gaps(spark, sf_dir):
 
 def _flat(edges: DataFrame) -> DataFrame:
     fields = [F.col(f"{s}.{f}").alias(f"{s}_{f}") for s in ("source", "target") for f in ("position", "frame")]
-    return edges.select("contig_id", "kind", *fields, "length", F.round("cost", 6).alias("cost"))
+    return edges.select("contig_id", "kind", *fields, "length", F.round(F.log("cost"), 6).alias("ln_cost"))
 
 
 def _connections(kind: str):
@@ -178,7 +178,7 @@ def _connections(kind: str):
         return _flat(graph.connections(annotation(spark, sf_dir).nodes).where(F.col("kind") == kind))
 
     run.__name__ = f"edges_{kind}"
-    return _query(f"SELECT contig_id, kind, source_position, source_frame, target_position, target_frame, length, round(cost, 6) AS cost FROM connections WHERE kind = '{kind}'")(run)
+    return _query(f"SELECT contig_id, kind, source_position, source_frame, target_position, target_frame, length, round(ln(cost), 6) AS ln_cost FROM connections WHERE kind = '{kind}'")(run)
 
 
 for _kind in ("gap_same", "gap_diff", "overlap_same", "overlap_diff"):
@@ -189,17 +189,17 @@ def _end_edges(kind: str):
     def run(spark, sf_dir):
         own = "target" if kind == "source" else "source"
         rows = graph.end_edges(annotation(spark, sf_dir).nodes).where(F.col("kind") == kind)
-        return rows.select("contig_id", "kind", *(F.col(f"{own}.{f}").alias(f) for f in ("position", "frame", "type")), "length", F.round("cost", 6).alias("cost"))
+        return rows.select("contig_id", "kind", *(F.col(f"{own}.{f}").alias(f) for f in ("position", "frame", "type")), "length", F.round(F.log("cost"), 6).alias("ln_cost"))
 
     run.__name__ = f"edges_{kind}"
-    return _query(f"SELECT contig_id, kind, position, frame, type, length, round(cost, 6) AS cost FROM ends WHERE kind = '{kind}'")(run)
+    return _query(f"SELECT contig_id, kind, position, frame, type, length, round(ln(cost), 6) AS ln_cost FROM ends WHERE kind = '{kind}'")(run)
 
 
 for _kind in ("source", "target"):
     _end_edges(_kind)
 
 
-@_query("SELECT contig_id, kind, l AS source_position, l_frame AS source_frame, r AS target_position, r_frame AS target_frame, length, round(cost, 6) AS cost FROM long")
+@_query("SELECT contig_id, kind, l AS source_position, l_frame AS source_frame, r AS target_position, r_frame AS target_frame, length, round(ln(cost), 6) AS ln_cost FROM long")
 def edges_longgap(spark, sf_dir):
     a = annotation(spark, sf_dir)
     return _flat(graph.long_gaps(a.nodes, graph.coverage_gaps(orfs.longest(a.orfs), a.profile)))
@@ -393,7 +393,7 @@ def log1p_lengths(spark, sf_dir):
     return annotation(spark, sf_dir).orfs.groupBy("contig_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.mean(F.log1p("length")), 6).alias("mean_log"))
 
 
-@_query("SELECT event_type, k AS repeat, 200 AS n FROM (SELECT DISTINCT event_type FROM events), range(1, 21) t(k)")
+@_query("SELECT event_type, k AS repeat, CAST(least(200, m) AS INTEGER) AS n FROM (SELECT event_type, count(*) AS m FROM events GROUP BY event_type), range(1, 21) t(k)")
 def resample_groups(spark, sf_dir):
     """How many rows each draw has; their means differ from seed to seed."""
     return stats.resample(table(spark, sf_dir, "events"), "event_type", "value", 20, 200).select("event_type", F.col("repeat").cast("long").alias("repeat"), F.col("n").cast("int").alias("n"))
