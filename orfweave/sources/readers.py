@@ -17,11 +17,16 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     value = F.when(F.startswith("value", F.lit(">")), F.substr("value", F.lit(2))).otherwise(F.col("value"))
     headless = F.input_file_block_start() == 0
     records = records.select(value.alias("value"), "place", (headless & ~F.startswith("value", F.lit(">")) & (F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) == 0)).alias("headless")).where("NOT headless")
+    return records_to_contigs(records.select("value", "place"))
+
+
+def records_to_contigs(records: DataFrame, *keys: str) -> DataFrame:
+    """Records (value, without its >; place, which orders them) to contigs, apart for each of the keys."""
     header, body = F.split_part("value", F.lit("\n"), F.lit(1)), F.regexp_replace("value", "^[^\n]*\n?", "")
-    rows = records.select(F.split(F.trim(F.regexp_replace(header, "\r", "")), r"\s+", 2).alias("head"), F.lower(F.regexp_replace(body, r"\s", "")).alias("seq"), "place")
+    rows = records.select(*keys, F.split(F.trim(F.regexp_replace(header, "\r", "")), r"\s+", 2).alias("head"), F.lower(F.regexp_replace(body, r"\s", "")).alias("seq"), "place")
     rows = rows.where(F.col("head")[0] != "")
-    last = Window.partitionBy("contig_id").orderBy(F.col("place").desc())
-    rows = rows.select(F.col("head")[0].alias("contig_id"), F.coalesce(F.get("head", F.lit(1)), F.lit("")).alias("description"), "seq", F.length("seq").alias("length"), "place")
+    last = Window.partitionBy(*keys, "contig_id").orderBy(F.col("place").desc())
+    rows = rows.select(*keys, F.col("head")[0].alias("contig_id"), F.coalesce(F.get("head", F.lit(1)), F.lit("")).alias("description"), "seq", F.length("seq").alias("length"), "place")
     return rows.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n", "place")
 
 
@@ -68,7 +73,7 @@ def explode_callers(rows: DataFrame) -> DataFrame:
 
 def length_map(spark: SparkSession, path: str) -> DataFrame:
     """name, value of a JSON object of number lists."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     entries = whole.select(F.explode(F.from_json("value", "map<string,array<bigint>>")).alias("name", "values"))
     return entries.select("name", F.explode("values").alias("value"))
 
