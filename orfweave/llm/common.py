@@ -1,64 +1,17 @@
-"""Shared plumbing of the text operators: scratch tables in the shared folder, and small helpers."""
+"""Shared plumbing of the text operators: reading tables, and small helpers."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orfweave.plans.scratch import Scratch, shared_folder  # noqa: F401
+
 #: ASCII white space as the contracts define it, for Java and RE2 alike.
 WHITESPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (local
-    runs and tests), a temporary folder that is then kept in the session's settings."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("orfweave.shared.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="orfweave-")
-        spark.conf.set("orfweave.shared.dir", folder)
-    return folder.rstrip("/")
-
-
-class Scratch:
-    """Tables of one operator call, below the shared folder. A written table cuts the lineage: a lost
-    executor costs only the tasks that had not been written."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/orfweave-{label}-{uuid.uuid4().hex}"
-        self._count = 0
-        atexit.register(self.drop, self.root)
-
-    def path(self, name: str) -> str:
-        self._count += 1
-        return f"{self.root}/{self._count:04d}-{name}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes a table and returns a frame that reads it back."""
-        path = self.path(name)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._orfweave_path = path
-        return out
-
-    def drop(self, what: DataFrame | str | None) -> None:
-        """Deletes a table that write() returned, or a path. A folder that can't be deleted is left."""
-        path = what if isinstance(what, str) else getattr(what, "_orfweave_path", None)
-        if path is None:
-            return
-        context = self.spark.sparkContext
-        if context._jsc is None:
-            return
-        jvm = context._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

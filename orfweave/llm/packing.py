@@ -100,9 +100,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_c
         encoder = kind = None
         for batch in batches:
             encoder, kind = encoder or Encoder(shared.value), batch.schema.field(0).type
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for part in chunks(texts):
-                counts, _, ids = encoder.encode(texts[part])
+            keys = batch.column(0)
+            for part, texts in chunks(batch.column(1)):
+                counts, _, ids = encoder.encode(texts)
                 edges = np.cumsum(counts)
                 # the end id after each document's tokens
                 ids = np.insert(ids.astype("<u4"), edges, end_id)

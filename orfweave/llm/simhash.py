@@ -35,6 +35,7 @@ SHINGLE = 5
 SEED = 42
 SLICE = 1 << 16
 LARGE = 4096
+BLOCK_PAIRS = 1 << 20
 
 
 def fingerprint(text: str, width: int = SHINGLE) -> int:
@@ -99,31 +100,29 @@ def masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
     return out
 
 
-def _linked(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs within the radius, one of each side, found row by row in blocks."""
-    out_l, out_r = [], []
-    step = max(1, (1 << 22) // max(1, len(right)))
+def _distances(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Differing bits of all pairs, some rows of left at a time: about BLOCK_PAIRS pairs are in memory, however many there
+    are."""
+    step = max(1, BLOCK_PAIRS // max(1, len(right)))
     for k in range(0, len(left), step):
-        near = np.bitwise_count(left[k : k + step, None] ^ right[None, :]) <= radius
-        i, j = np.nonzero(near)
-        out_l.append(i + k)
-        out_r.append(j)
-    return np.concatenate(out_l), np.concatenate(out_r)
+        yield slice(k, k + step), np.bitwise_count(left[k : k + step, None] ^ right[None, :])
 
 
-def forest(members: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each member with the smallest place of its component, where that is another one; links i, j of places."""
-    label = np.arange(len(members))
+def forest(values: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values with the first one of their component, where that is another one; links go from places left to places right."""
+    label, none = np.arange(len(values)), len(values)
     while True:
         new = label.copy()
-        np.minimum.at(new, i, label[j])
-        np.minimum.at(new, j, label[i])
+        for rows, far in _distances(values[left], values[right]):
+            near, own = far <= radius, left[rows]
+            new[own] = np.minimum(new[own], np.where(near, label[right][None, :], none).min(axis=1, initial=none))
+            new[right] = np.minimum(new[right], np.where(near, label[own][:, None], none).min(axis=0, initial=none))
         new = np.minimum(new, new[new])
         if (new == label).all():
             break
         label = new
-    moved = np.flatnonzero(label != np.arange(len(members)))
-    return members[moved], members[label[moved]]
+    moved = np.flatnonzero(label != np.arange(len(values)))
+    return values[moved], values[label[moved]]
 
 
 def _pairs(runs: list[np.ndarray], radius: int, choose) -> tuple[np.ndarray, np.ndarray]:
@@ -136,10 +135,8 @@ def _pairs(runs: list[np.ndarray], radius: int, choose) -> tuple[np.ndarray, np.
         found.append((both[near, 1], both[near, 0]))
     for run in runs:
         if len(run) > 2:
-            i, j = _linked(run, run, radius)
-            keep = i < j
-            if keep.any():
-                found.append(choose(run, i[keep], j[keep]))
+            places = np.arange(len(run))
+            found.append(choose(run, places, places, radius))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -202,9 +199,7 @@ def _between_blocks(waiting: DataFrame, radius: int, choose=forest) -> DataFrame
 
         values = pdf["a"].to_numpy().view(np.uint64)
         left, right = np.flatnonzero(pdf["block"] == pdf["i"]), np.flatnonzero(pdf["block"] == pdf["j"])
-        i, j = _linked(values[left], values[right], radius)
-        apart = left[i] != right[j]
-        a, b = choose(values, left[i][apart], right[j][apart])
+        a, b = choose(values, left, right, radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return rows.groupBy("b", "i", "j").applyInPandas(compare, "a bigint, b bigint")
@@ -273,9 +268,11 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = SH
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(1)]
-            found = [_word_prints(_words(t), WORD_PRINTS) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t, width) for t in texts], pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["id", "fp", "words"])
+            own, found = [], []
+            for text in batch.column(1):
+                own.append(fingerprint(text.as_py(), width))
+                found.append(_word_prints(_words(text.as_py()), WORD_PRINTS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["id", "fp", "words"])
 
     rows = docs.select(F.col(id_column).alias("id"), whole_text(text_column).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -303,25 +300,24 @@ def _similar(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, scratch: Scrat
     needed = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
     ids = scratch.write(nodes.join(needed, "fp").select("id", "fp"), "needed")
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for text in batch.column(1):
-                least = np.zeros(0, np.uint64)
-                for hashes in _shingle_hashes(_words(text.as_py()), width):
-                    least = np.unique(np.concatenate((least, hashes)))[:SKETCH]
-                found.append(least.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["fp", "sketch"])
-
     # where rows share an id, any of their texts may have given the fingerprint: the right one is found again
     texts = rows.join(ids.withColumnRenamed("id", "own"), F.col("id").eqNullSafe(F.col("own"))).select("fp", "text")
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [fingerprint(t.as_py(), width) == f.as_py() for f, t in zip(batch.column(0), batch.column(1))]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            fps, found = [], []
+            for fp, text in zip(*batch.columns):
+                counts, n, least = np.zeros(BITS, np.int64), 0, np.zeros(0, np.uint64)
+                for hashes in _shingle_hashes(_words(text.as_py()), width):
+                    counts += _set_bits(hashes)
+                    n += len(hashes)
+                    least = np.unique(np.concatenate((least, hashes)))[:SKETCH]
+                if _majority(counts, n) == fp.as_py():
+                    fps.append(fp)
+                    found.append(least.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([f.as_py() for f in fps], pa.int64()), pa.array(found, pa.binary())], ["fp", "sketch"])
 
-    sketches = scratch.write(texts.mapInArrow(own, "fp bigint, text string").mapInArrow(sketch, "fp bigint, sketch binary").dropDuplicates(["fp"]), "sketches")
+    sketches = scratch.write(texts.mapInArrow(sketch, "fp bigint, sketch binary").dropDuplicates(["fp"]), "sketches")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,14 +342,20 @@ def _overlap(x: bytes, y: bytes) -> float:
     return np.isin(least, a, assume_unique=True).dot(np.isin(least, b, assume_unique=True).astype(np.int64)) / len(least)
 
 
-def _neighbours(members: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of links i, j of places those to each member's nearest and to its first neighbour."""
-    i, j = np.concatenate((i, j)), np.concatenate((j, i))
-    far = np.bitwise_count(members[i] ^ members[j])
-    first, nearest = np.lexsort((j, i)), np.lexsort((j, far, i))
-    chosen = [order[np.unique(i[order], return_index=True)[1]] for order in (first, nearest)]
-    k = np.unique(np.concatenate(chosen))
-    return members[i[k]], members[j[k]]
+def _neighbours(values: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each value with its nearest and with its first neighbour within the radius on the other side."""
+    out_a, out_b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    sides = [(left, right)] if left is right else [(left, right), (right, left)]
+    for one, other in sides:
+        for rows, far in _distances(values[one], values[other]):
+            own = one[rows]
+            far[own[:, None] == other[None, :]] = BITS + 1
+            near = far <= radius
+            some = np.flatnonzero(near.any(axis=1))
+            for found in (near.argmax(axis=1), far.argmin(axis=1)):
+                out_a.append(values[own[some]])
+                out_b.append(values[other[found[some]]])
+    return np.concatenate(out_a), np.concatenate(out_b)
 
 
 def kept_documents(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

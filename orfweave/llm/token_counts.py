@@ -6,7 +6,7 @@ the other pieces are merged, and a table of fixed size keeps recent ones.
 
 Null texts count as empty (0 tokens), every input row gives one row, repeated rows give repeated rows, and
 only the id and text columns are read, so further columns may have any name. Memory: a chunk of texts
-(CHUNK_CHARS characters, or one longer text) and the table. There is no shuffle; a lost executor repeats its
+(CHUNK_BYTES, or one longer text) and the table. There is no shuffle; a lost executor repeats its
 tasks.
 """
 
@@ -34,10 +34,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id"
         encoder = None
         for batch in batches:
             encoder = encoder or Encoder(shared.value)
-            texts = batch.column(1).to_pylist()
             found_tokens, found_whole = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for part in chunks(texts):
-                tokens, whole, _ = encoder.encode(texts[part], want_ids=False)
+            for _, texts in chunks(batch.column(1)):
+                tokens, whole, _ = encoder.encode(texts, want_ids=False)
                 found_tokens.append(tokens)
                 found_whole.append(whole)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found_tokens)), pa.array(np.concatenate(found_whole))], ["id", "n_tokens", "n_whole"])

@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,7 +94,7 @@ class Features:
 
 def fit(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """FTRL-proximal over rows of (coordinates, label): the weights and the intercept. The intercept has no penalty."""
-    z, squares = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    z, squares = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
     bias_z = bias_squares = bias = 0.0
     for _ in range(epochs):
         for coordinates, label in rows:
@@ -140,9 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         find = None
         for batch in batches:
             find = find or Features()
-            texts = batch.column(1).to_pylist()
-            for part in chunks(texts):
-                pairs = [np.concatenate(x) for x in zip(*find(texts[part]))]
+            for part, texts in chunks(batch.column(1)):
+                pairs = [np.concatenate(x) for x in zip(*find(texts))]
                 keys = np.unique(pairs[0].astype(np.uint64) << np.uint64(BITS) | pairs[1])
                 cuts = np.searchsorted(keys >> np.uint64(BITS), np.arange(part.stop - part.start))
                 coordinates = (keys & np.uint64((1 << BITS) - 1)).astype("<u4")
@@ -150,9 +148,10 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(found, pa.binary()), batch.column(2)[part]], ["place", "found", "label"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r["place"], r["found"], r["label"]) for b in batches for r in b.to_pylist())
+        rows = [(p.as_py(), f.as_py(), y.as_py()) for b in batches for p, f, y in zip(*b.columns)]
         if not rows:
             return
+        rows.sort()
         weights, bias = fit([(np.frombuffer(f, "<u4"), y) for _, f, y in rows])
         kept = np.flatnonzero(weights)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(kept, -1)), pa.array(np.append(weights[kept], bias))], ["coordinate", "weight"])
@@ -170,15 +169,11 @@ def score_column(docs: DataFrame, model: list[tuple[int, float]], text_column: s
     """The documents with all their columns and a score from 0 to 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
-        for batch in texts:
-            found = [np.zeros(0)]
-            values = batch.tolist()
-            for part in chunks(values):
-                found.append(scorer(values[part]))
-            yield pd.Series(np.concatenate(found))
+        for batch in batches:
+            yield pa.array(np.concatenate([np.zeros(0), *(scorer(texts) for _, texts in chunks(batch))]))
 
     return docs.withColumn(SCORE, score(whole_text(text_column)))
 

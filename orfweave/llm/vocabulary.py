@@ -6,10 +6,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .pretokenize import Pieces, character_classes
 
-CHUNK_CHARS = 2_000_000
+#: Bytes of texts that are dealt with at once; several arrays of eight bytes for each of them are alive then.
+CHUNK_BYTES = 400_000
 #: Slots of a worker's table of pieces, and the most tokens of a piece that it keeps.
 SLOTS, KEPT = 1 << 21, 8
 _SEPARATOR = "\0"
@@ -86,7 +89,7 @@ class Encoder:
         self._values = random.integers(0, 1 << 64, 0x110000, np.uint64)
         base = 0x9E3779B97F4A7C15
         self._base, self._inverse = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
-        self._powers(CHUNK_CHARS + 1)
+        self._powers(CHUNK_BYTES + 1)
         self.keys = np.zeros(SLOTS, np.uint64)
         self.lengths = np.zeros(SLOTS, np.int16)
         self.ids = np.zeros((SLOTS, KEPT), np.uint16 if max(vocabulary.ranks.values()) < 1 << 16 else np.uint32)
@@ -214,13 +217,12 @@ class Encoder:
         return lengths, ids
 
 
-def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[slice]:
-    """Consecutive texts of at most limit characters together, a longer text alone."""
-    start, size = 0, 0
-    for k, text in enumerate(texts):
-        if size and size + len(text) > limit:
-            yield slice(start, k)
-            start, size = k, 0
-        size += len(text)
-    if start < len(texts):
-        yield slice(start, len(texts))
+def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[slice, list[str]]]:
+    """Consecutive texts of at most limit bytes together, a longer text alone; only these are made Python strings."""
+    sizes = pc.binary_length(texts).to_pylist()
+    start, total = 0, 0
+    for k, size in enumerate([*sizes, limit + 1]):
+        if k > start and (total + size > limit):
+            yield slice(start, k), texts[start:k].to_pylist()
+            start, total = k, 0
+        total += size
