@@ -18,6 +18,7 @@ texts, hashes of SLICE shingles at a time, and a bucket or two blocks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import chain
 
@@ -230,139 +231,196 @@ def link_documents(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
     return prints.join(groups, "fp").select(F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near copies: how many words make a shingle, the Jaccard similarity from which texts are copies, how many word
-#: fingerprints find candidates, the distance of shingle fingerprints at which a candidate is worth an exact look (texts at
-#: the threshold differ in 10 of 64 bits, with a deviation of 3), and how many of a text's smallest shingle hashes are compared.
+#: Near copies: from which Jaccard similarity of the sets of shingles texts are copies; how many texts are looked at for
+#: common shingles and how many of those are put last (both change how much is compared, never the result).
 SIMILARITY = 0.8
-WORD_PRINTS = 5
-WORTH = 18
-SKETCH = 512
-_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x2545F4914F6CDD1D)
+SAMPLE = 16_384
+COMMON = 50_000
+#: Rows of a batch that Python hands back; a row may hold all shingles of a text.
+ROWS = 256
+_SLACK = 1e-9
 
 
-def _word_prints(words: list[bytes], number: int) -> list[int]:
-    """Fingerprints of the set of words, from unlike hashes. Few edits change few of them, where each spoils a whole row
-    of shingles."""
+def _set_of(text: str, width: int) -> np.ndarray:
+    """Hashes of a text's distinct shingles, sorted."""
+    found = np.zeros(0, np.uint64)
+    for hashes in _shingle_hashes(_words(text), width):
+        found = np.union1d(found, hashes)
+    return found
+
+
+def _node(hashes: np.ndarray) -> int:
     from xxhash import xxh64_intdigest
 
-    own = np.array([xxh64_intdigest(w, SEED) for w in set(words)], np.uint64)
-    out = []
-    for factor in _MIX[:number]:
-        hashes = own * np.uint64(factor)
-        out.append(_majority(_set_bits(hashes ^ (hashes >> np.uint64(32))), len(own)))
-    return out
+    return int(np.array([xxh64_intdigest(hashes.tobytes(), SEED)], np.uint64).view(np.int64)[0])
+
+
+def _prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set in the order that all texts share: those that aren't common by hash, then the common
+    ones, the most frequent last. Two sets of the similarity or more have one of their prefixes' shingles in common."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    known = np.isin(hashes, common, assume_unique=True)
+    last = common[np.isin(common, hashes, assume_unique=True)]
+    return np.concatenate((hashes[~known], last))[: n - math.ceil(similarity * n - _SLACK) + 1]
+
+
+def _common_shingles(rows: DataFrame, width: int) -> np.ndarray:
+    """Shingles of several texts of a sample of bounded size, the most frequent last."""
+    total = max(1, rows.count())
+    share = F.lit(min(1 << 20, math.ceil((1 << 20) * SAMPLE / total)))
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(_set_of(text.as_py(), width).view(np.int64))], ["shingle"])
+
+    sample = rows.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 20)) < share).select("text")
+    often = sample.mapInArrow(shingles, "shingle bigint").groupBy("shingle").count().where("count > 2")
+    top = often.orderBy(F.desc("count"), "shingle").limit(COMMON).select("shingle").toPandas()["shingle"]
+    return top.to_numpy(np.int64)[::-1].copy().view(np.uint64)
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Groups of near copies: id, fp (of the shingles) and group_id, group_fp of the row that stands for the group, the one
-    with the smallest id.
-
-    Fingerprints of shingles differ too much at a similarity of 0.8 for any radius that covering can afford, so
-    the covering tables hold fingerprints of the texts' sets of words, several of them: at that similarity each has
-    some 4 differing bits. Of those that meet in a table and whose shingle fingerprints are near too, each goes on with
-    its nearest and with its first neighbour, and only pairs whose shingles overlap enough are linked. The overlap
-    is exact for texts of up to SKETCH distinct shingles and estimated from the SKETCH smallest hashes beyond.
+    """Groups of near copies, per row: id, key (of the text), node (of its set of shingles) and group_id, group_key of the row
+    that stands for the group, the one with the smallest id.
+
+    Texts are linked if the Jaccard similarity of their sets of distinct shingles (as hashes of 64 bits) is high
+    enough, worked out from the whole sets; equal sets are one node. What is compared comes in three rounds, each over
+    pairs that the rounds before haven't brought together: pairs of the covering tables over the sets'
+    fingerprints, which link the bulk of a large group by a spanning forest; each node with the one whose prefix
+    meets its own most often; and last every pair that shares a shingle of both prefixes (see _prefix) and whose
+    sizes and places of that shingle allow the similarity. Any two similar sets share such a shingle, so after
+    the last round no link between groups is missing, however large a bucket is.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
+    rows = docs.select(F.col(id_column).alias("id"), whole_text(text_column).alias("text"))
+    common = _common_shingles(rows, width)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, found = [], []
-            for text in batch.column(1):
-                own.append(fingerprint(text.as_py(), width))
-                found.append(_word_prints(_words(text.as_py()), WORD_PRINTS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["id", "fp", "words"])
+            nodes, fps, sizes, prefixes = [], [], [], []
+            for text in batch.column(2):
+                own = _set_of(text.as_py(), width)
+                nodes.append(_node(own))
+                fps.append(_majority(_set_bits(own), len(own)) if len(own) else 0)
+                sizes.append(len(own))
+                prefixes.append(_prefix(own, common, similarity).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "key", "node", "fp", "n", "prefix"])
 
-    rows = docs.select(F.col(id_column).alias("id"), whole_text(text_column).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    own = scratch.write(rows.mapInArrow(prints, f"id {kind}, fp bigint, words array<bigint>"), "prints")
-    # texts with one shingle fingerprint are one node, its tables those of its first row's words
-    nodes = scratch.write(own.groupBy("fp").agg(F.min(F.struct("id", "words")).alias("first")).select("fp", "first.id", "first.words"), "nodes")
-    tables = F.array(*(F.xxhash64(F.lit(64 * n + k), F.element_at("words", n + 1).bitwiseAND(F.lit(m))) for n in range(WORD_PRINTS) for k, m in enumerate(masks())))
-    buckets = nodes.select(F.explode(tables).alias("bucket"), "fp").repartition(4 * partitions(spark), "bucket").sortWithinPartitions("bucket")
-    found = scratch.write(buckets.mapInArrow(_bucket_links(WORTH, LARGE, _neighbours), "a bigint, b bigint, block int"), "candidates")
-    pairs, waiting = found.where("block IS NULL").select("a", "b"), found.where("block IS NOT NULL")
-    if waiting.limit(1).count():
-        pairs = pairs.union(_between_blocks(waiting, WORTH, _neighbours))
-    pairs = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    scratch.drop(found)
-    links = _similar(rows, nodes, pairs, scratch, similarity, width)
+    rows = rows.select("id", F.xxhash64("text").alias("key"), "text")
+    own = scratch.write(rows.mapInArrow(prints, f"id {kind}, key bigint, node bigint, fp bigint, n bigint, prefix array<bigint>"), "prints")
+    # any row of a node has its set
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "fp", "n")).alias("first")
+    nodes = scratch.write(own.groupBy("node").agg(first).select("node", "first.none", "first.id", "first.key", "first.fp", "first.n"), "nodes")
+    prefixes = scratch.write(own.groupBy("node").agg(F.min("n").alias("n"), F.min("prefix").alias("prefix")).select("node", "n", F.posexplode("prefix").alias("place", "shingle")), "prefixes")
+    shared = prefixes.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("shingle")
+    met = scratch.write(prefixes.join(shared, "shingle", "left_semi"), "met")
+    scratch.drop(prefixes)
+
+    links = _similar(rows, nodes, _covering_pairs(nodes, scratch), scratch, similarity, width)
+    labels = components(links, scratch)
+    found = _similar(rows, nodes, _leading_pairs(met, labels, scratch, similarity), scratch, similarity, width)
+    links = links.union(found)
     labels = components(links, scratch)
-    named = scratch.write(nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "id", F.coalesce("label", "fp").alias("label")), "named")
-    first = named.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("first"))
-    groups = scratch.write(named.join(first, "label").select("fp", F.col("first.id").alias("group_id"), F.col("first.fp").alias("group_fp")), "groups")
-    return own.select("id", "fp").join(groups, "fp")
+    found = _similar(rows, nodes, _other_pairs(met, labels, scratch, similarity), scratch, similarity, width)
+    labels = components(links.union(found), scratch)
+
+    named = scratch.write(nodes.join(labels.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select("node", "none", "id", "key", F.coalesce("label", "node").alias("label")), "named")
+    least = named.groupBy("label").agg(F.min(F.struct("none", "id", "key")).alias("first"))
+    groups = scratch.write(named.join(least, "label").select("node", F.col("first.id").alias("group_id"), F.col("first.key").alias("group_key")), "groups")
+    return own.select("id", "key", "node").join(groups, "node")
+
+
+def _covering_pairs(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Spanning forests of the sets' fingerprints at RADIUS, and nodes of one fingerprint with the first of them."""
+    prints = nodes.where("n > 0").groupBy("fp").agg(F.min("node").alias("first"))
+    prints = scratch.write(prints, "fingerprints")
+    tables = F.explode(F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks()))))
+    buckets = prints.select(tables.alias("bucket"), "fp").repartition(4 * partitions(nodes.sparkSession), "bucket").sortWithinPartitions("bucket")
+    found = scratch.write(buckets.mapInArrow(_bucket_links(RADIUS, LARGE), "a bigint, b bigint, block int"), "covering")
+    pairs, waiting = found.where("block IS NULL").select("a", "b").distinct(), found.where("block IS NOT NULL")
+    if waiting.limit(1).count():
+        pairs = pairs.union(_between_blocks(waiting, RADIUS)).distinct()
+    left, right = (prints.select(F.col("fp").alias(k), F.col("first").alias(f"first_{k}")) for k in "ab")
+    between = pairs.join(left, "a").join(right, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    within = nodes.where("n > 0").join(prints, "fp").select(F.col("node").alias("a"), F.col("first").alias("b")).where("a <> b")
+    return scratch.write(between.union(within), "pairs")
+
+
+def _able(similarity: float):
+    """Whether the sizes n, m of two sets and the places of a shingle allow the similarity, if it is the first that they share."""
+    n, m = F.col("n"), F.col("m")
+    most = F.lit(1) + F.least(n - F.col("place") - 1, m - F.col("spot") - 1)
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - _SLACK) & (most >= similarity / (1 + similarity) * (n + m) - _SLACK)
+
+
+def _labelled(met: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows of shingles whose nodes aren't all in one component, with label."""
+    own = met.join(labels.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select("shingle", "node", "n", "place", F.coalesce("label", "node").alias("label"))
+    own = scratch.write(own, "labelled")
+    mixed = own.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return scratch.write(own.join(mixed, "shingle"), "mixed")
+
+
+def _leading_pairs(met: DataFrame, labels: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
+    """Each node with one of another component: the one that is the first of most of its shingles."""
+    mixed = _labelled(met, labels, scratch)
+    lead = mixed.groupBy("shingle").agg(F.min(F.struct("label", "node", "n", "place")).alias("first"))
+    lead = lead.select("shingle", F.col("first.label").alias("label_b"), F.col("first.node").alias("b"), F.col("first.n").alias("m"), F.col("first.place").alias("spot"))
+    both = mixed.join(lead, "shingle").where((F.col("label") != F.col("label_b")) & _able(similarity))
+    often = both.groupBy("node", "b").count().groupBy("node").agg(F.max(F.struct("count", "b")).alias("most"))
+    return scratch.write(often.select(F.col("node").alias("a"), F.col("most.b").alias("b")), "pairs")
+
+
+def _other_pairs(met: DataFrame, labels: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
+    """All pairs of different components that share a shingle and may be similar. Of a shingle, rows outside its first
+    component meet all others, so its own rows, which may be many, aren't compared with each other."""
+    mixed = _labelled(met, labels, scratch)
+    sizes = mixed.groupBy("shingle", "label").count().groupBy("shingle").agg(F.max(F.struct("count", "label")).alias("most"))
+    mixed = scratch.write(mixed.join(sizes.select("shingle", F.col("most.label").alias("main")), "shingle"), "sides")
+    outside = mixed.where("label <> main").select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("label").alias("label_b"))
+    apart = (F.col("label") != F.col("label_b")) & ((F.col("label") == F.col("main")) | (F.col("node") < F.col("b")))
+    both = mixed.join(outside, "shingle").where(apart & _able(similarity))
+    return scratch.write(both.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "pairs")
 
 
 def _similar(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, scratch: Scratch, similarity: float, width: int) -> DataFrame:
-    """The pairs of nodes whose first rows' texts are similar enough."""
-    needed = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    ids = scratch.write(nodes.join(needed, "fp").select("id", "fp"), "needed")
-
-    # where rows share an id, any of their texts may have given the fingerprint: the right one is found again
-    texts = rows.join(ids.withColumnRenamed("id", "own"), F.col("id").eqNullSafe(F.col("own"))).select("fp", "text")
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of nodes whose sets are similar enough, from the whole sets."""
+    sizes = nodes.select("node", "n")
+    pairs = pairs.join(sizes.withColumnsRenamed({"node": "a", "n": "n_a"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "n_b"}), "b")
+    pairs = scratch.write(pairs.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - _SLACK), "sized")
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    needed = scratch.write(nodes.join(needed, "node", "left_semi").select("node", F.col("id").alias("own"), F.col("key").alias("own_key")), "needed")
+    # rows that repeat both give the same text
+    texts = rows.join(needed, F.col("id").eqNullSafe(F.col("own")) & (F.col("key") == F.col("own_key"))).select("node", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, found = [], []
-            for fp, text in zip(*batch.columns):
-                counts, n, least = np.zeros(BITS, np.int64), 0, np.zeros(0, np.uint64)
-                for hashes in _shingle_hashes(_words(text.as_py()), width):
-                    counts += _set_bits(hashes)
-                    n += len(hashes)
-                    least = np.unique(np.concatenate((least, hashes)))[:SKETCH]
-                if _majority(counts, n) == fp.as_py():
-                    fps.append(fp)
-                    found.append(least.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([f.as_py() for f in fps], pa.int64()), pa.array(found, pa.binary())], ["fp", "sketch"])
-
-    sketches = scratch.write(texts.mapInArrow(sketch, "fp bigint, sketch binary").dropDuplicates(["fp"]), "sketches")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [_overlap(x.as_py(), y.as_py()) >= similarity for x, y in zip(batch.column(2), batch.column(3))]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left, right = (sketches.select(F.col("fp").alias(k), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sketch_a", "sketch_b")
-    return scratch.write(both.mapInArrow(judge, "a bigint, b bigint"), "similar")
-
-
-def _overlap(x: bytes, y: bytes) -> float:
-    """Jaccard similarity from the smallest hashes of both."""
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    whole = len(a) < SKETCH and len(b) < SKETCH
-    union = np.union1d(a, b)
-    if not len(union):
-        return 1.0
-    if whole:
-        return len(np.intersect1d(a, b, assume_unique=True)) / len(union)
-    least = union[:SKETCH]
-    return np.isin(least, a, assume_unique=True).dot(np.isin(least, b, assume_unique=True).astype(np.int64)) / len(least)
-
-
-def _neighbours(values: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each value with its nearest and with its first neighbour within the radius on the other side."""
-    out_a, out_b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    sides = [(left, right)] if left is right else [(left, right), (right, left)]
-    for one, other in sides:
-        for rows, far in _distances(values[one], values[other]):
-            own = one[rows]
-            far[own[:, None] == other[None, :]] = BITS + 1
-            near = far <= radius
-            some = np.flatnonzero(near.any(axis=1))
-            for found in (near.argmax(axis=1), far.argmin(axis=1)):
-                out_a.append(values[own[some]])
-                out_b.append(values[other[found[some]]])
-    return np.concatenate(out_a), np.concatenate(out_b)
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                found = [_set_of(t.as_py(), width).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "hashes"])
+
+    whole = scratch.write(texts.mapInArrow(sets, "node bigint, hashes array<bigint>").dropDuplicates(["node"]), "sets")
+    left, right = (whole.select(F.col("node").alias(k), F.col("hashes").alias(f"set_{k}")) for k in "ab")
+    both = pairs.join(left, "a").join(right, "b")
+    both = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).alias("shared"))
+    links = scratch.write(both.where(F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")) >= similarity).select("a", "b"), "similar")
+    scratch.drop(whole)
+    return links
 
 
 def kept_documents(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One document of each group of near copies, with all columns: the one with the smallest id."""
+    """One document of each group of near copies, with all columns: the one with the smallest id (null ids last). Rows that
+    repeat both the id and the text are one document, and stay or go together."""
     groups = near_copies(docs, similarity, width, id_column, text_column)
-    gone = groups.where(~(F.col("id").eqNullSafe(F.col("group_id")) & (F.col("fp") == F.col("group_fp")))).select(F.col("id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col(id_column).eqNullSafe(F.col("gone_id")), "left_anti")
+    stands = F.col("id").eqNullSafe(F.col("group_id")) & (F.col("key") == F.col("group_key"))
+    gone = groups.where(~stands).select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
+    return docs.join(gone, F.col(id_column).eqNullSafe(F.col("gone_id")) & (F.xxhash64(whole_text(text_column)) == F.col("gone_key")), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
