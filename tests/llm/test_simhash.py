@@ -130,3 +130,11 @@ def test_added_and_cut_passages(spark):
         base = words(rng, size + more)
         texts += [" ".join(base), " ".join(base[:size])]
     assert kept(spark, texts) == brute_kept(texts)
+
+
+def test_repeated_lines(spark):
+    """Similarity is over distinct shingles: a line's repeats don't part copies."""
+    rng = random.Random(2)
+    base, line = words(rng, 120), words(rng, 11)
+    texts = [" ".join(base + line * n) for n in (1, 10, 30, 100)]
+    assert kept(spark, texts) == brute_kept(texts) == [0]
