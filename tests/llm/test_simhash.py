@@ -138,3 +138,21 @@ def test_repeated_lines(spark):
     base, line = words(rng, 120), words(rng, 11)
     texts = [" ".join(base + line * n) for n in (1, 10, 30, 100)]
     assert kept(spark, texts) == brute_kept(texts) == [0]
+
+
+def test_clusters_joined_by_few_pairs(spark):
+    """Two tight clusters that only a few cross pairs connect are one group."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        one = words(rng, 400)
+        two = one[:346] + words(rng, 54)
+        texts = []
+        for base in (one, two):
+            for k in range(40):
+                own = list(base)
+                for _ in range(k % 4 + 1):
+                    own[rng.randrange(346)] = f"edit{rng.random()}"
+                texts.append(" ".join(own))
+        texts.append(" ".join(one[:346] + one[346:373] + two[373:]))
+        rng.shuffle(texts)
+        assert kept(spark, texts) == brute_kept(texts)
