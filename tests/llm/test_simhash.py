@@ -156,3 +156,11 @@ def test_clusters_joined_by_few_pairs(spark):
         texts.append(" ".join(one[:346] + one[346:373] + two[373:]))
         rng.shuffle(texts)
         assert kept(spark, texts) == brute_kept(texts)
+
+
+def test_one_line_dominates(spark):
+    """Different texts with the same line many times have one fingerprint over repeats, and both stay."""
+    rng = random.Random(4)
+    line = words(rng, 11)
+    texts = [" ".join(words(rng, 200) + line * 100) for _ in range(4)]
+    assert kept(spark, texts) == brute_kept(texts) == [0, 1, 2, 3]
