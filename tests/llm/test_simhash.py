@@ -164,3 +164,13 @@ def test_one_line_dominates(spark):
     line = words(rng, 11)
     texts = [" ".join(words(rng, 200) + line * 100) for _ in range(4)]
     assert kept(spark, texts) == brute_kept(texts) == [0, 1, 2, 3]
+
+
+def test_long_texts_at_the_threshold(spark):
+    """Texts of thousands of shingles at 0.79 and 0.81 are judged from all of them."""
+    rng, texts = random.Random(6), []
+    for _ in range(12):
+        for share in (0.79, 0.81):
+            base = words(rng, 3000, 10**6)
+            texts += [" ".join(base), " ".join(base + words(rng, int(2996 / share) - 2996, 10**6))]
+    assert kept(spark, texts) == brute_kept(texts)
