@@ -174,3 +174,14 @@ def test_long_texts_at_the_threshold(spark):
             base = words(rng, 3000, 10**6)
             texts += [" ".join(base), " ".join(base + words(rng, int(2996 / share) - 2996, 10**6))]
     assert kept(spark, texts) == brute_kept(texts)
+
+
+def test_null_and_repeated_ids(spark):
+    rng = random.Random(7)
+    a, b, c, d = (words(rng, 100) for _ in range(4))
+    near = [" ".join(a + [f"x{k}"]) for k in range(4)]
+    rows = [(1, near[0]), (5, near[1]), (5, " ".join(b)), (None, near[2]), (None, " ".join(c)), (None, " ".join(d)), (None, " ".join(d + ["y"]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.text) for r in simhash.kept_documents(docs).collect()}
+    assert rows[0] in got and rows[2] in got and rows[4] in got
+    assert len(got) == 4 and len(got & set(rows[5:])) == 1
