@@ -68,10 +68,11 @@ def deduplicate(docs: DataFrame, index: DigestIndex, batch: str = "0", id_column
 def _classes(keyed: DataFrame, index: DigestIndex, scratch: Scratch, batch: str) -> DataFrame:
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row")))
     groups = scratch.write(keyed.groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size")), "groups")
+    # the hint holds where Spark would broadcast a small index
     known = index.read()
-    new = groups.join(known.select("digest"), "digest", "left_anti")
+    new = groups.join(known.select("digest").hint("merge"), "digest", "left_anti")
     fresh = scratch.write(new.select("digest", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row"), "group_size"), "new")
-    old = groups.join(known.select("digest", "keep_id"), "digest").select("digest", "keep_id", F.lit(-1).cast("long").alias("keep_row"), "group_size")
+    old = groups.join(known.select("digest", "keep_id").hint("merge"), "digest").select("digest", "keep_id", F.lit(-1).cast("long").alias("keep_row"), "group_size")
     old = scratch.write(old, "old")
     index.append(fresh.withColumn("batch", F.lit(batch)))
     return fresh.unionByName(old)

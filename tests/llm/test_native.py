@@ -126,3 +126,22 @@ def test_license(spark):
     got = Counter((r.path, r.license, r.from_dir) for r in license_scan.scan(spark.createDataFrame(files, "path string, text string")).collect())
     assert got == Counter([("a/LICENSE", "MIT", None), ("a/b/c/x.py", "Apache-2.0", None), ("a/b/y.py", "MIT", "a"), ("a/b/y.py", "MIT", "a"), ("ab/z.py", None, None), ("top.py", None, None), (None, "CC-BY-NC-4.0", None), (None, None, None)])
     assert license_scan.scan(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def test_exact_dedup_merges(spark, monkeypatch):
+    """The index is joined by sort-merge, however small, and isn't shuffled."""
+    plans, write = [], exact_dedup.Scratch.write
+
+    def spy(self, df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(self, df, name)
+
+    monkeypatch.setattr(exact_dedup.Scratch, "write", spy)
+    index = exact_dedup.new_index(spark)
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id bigint, text string")
+    exact_dedup.deduplicate(docs, index, "0").count()
+    again = exact_dedup.deduplicate(docs.union(spark.createDataFrame([(4, "c")], docs.schema)), index, "1").collect()
+    assert sorted((r.doc_id, r.keep_id, r.kept) for r in again) == [(1, 1, False), (2, 1, False), (3, 3, False), (4, 4, True)]
+    found = [plan for name, plan in plans if name in ("new", "old")]
+    assert len(found) == 4 and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in found)
+    assert all(p.count("Exchange hashpartitioning") <= 1 for p in found)
