@@ -23,3 +23,15 @@ def partitions(spark: SparkSession) -> int:
 def whole_text(column: str | Column = "text") -> Column:
     """The text, null as the empty string."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each made unlike all columns of df, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

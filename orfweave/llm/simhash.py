@@ -24,11 +24,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, table, whole_text
+from .common import Scratch, fresh, partitions, table, whole_text
 from .components import components
+from .shingles import sets as shingle_sets
+from .vocabulary import chunks
 
 BITS = 64
 RADIUS = 4
@@ -236,34 +238,57 @@ def link_documents(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
 SIMILARITY = 0.8
 SAMPLE = 16_384
 COMMON = 50_000
-#: Rows of a batch that Python hands back; a row may hold all shingles of a text.
-ROWS = 256
+#: Rounds in which each node is compared with some leaders, before all pairs that are left are; leaders of a shingle;
+#: how many of them a node is compared with.
+LEADING = 2
+LEADERS = 8
+NEAREST = 4
+PARITY_WORDS = 8
 _SLACK = 1e-9
 
 
-def _set_of(text: str, width: int) -> np.ndarray:
-    """Hashes of a text's distinct shingles, sorted."""
-    found = np.zeros(0, np.uint64)
-    for hashes in _shingle_hashes(_words(text), width):
-        found = np.union1d(found, hashes)
-    return found
-
-
 def _node(hashes: np.ndarray) -> int:
     from xxhash import xxh64_intdigest
 
     return int(np.array([xxh64_intdigest(hashes.tobytes(), SEED)], np.uint64).view(np.int64)[0])
 
 
-def _prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles of a set in the order that all texts share: those that aren't common by hash, then the common
-    ones, the most frequent last. Two sets of the similarity or more have one of their prefixes' shingles in common."""
-    n = len(hashes)
-    if not n:
-        return hashes
-    known = np.isin(hashes, common, assume_unique=True)
-    last = common[np.isin(common, hashes, assume_unique=True)]
-    return np.concatenate((hashes[~known], last))[: n - math.ceil(similarity * n - _SLACK) + 1]
+def _parities(hashes: np.ndarray) -> np.ndarray:
+    """A set's parities: bit h mod 64w is set if an odd number of shingles h fall on it, w words being a power of two that
+    gives two bits a shingle, PARITY_WORDS at most. The parities of two sets differ in no more bits than the sets in
+    shingles, and those of w words folded in the middle by exclusive or are those of w / 2."""
+    words = min(PARITY_WORDS, 1 << max(0, (len(hashes) - 1) // 32).bit_length())
+    odd = np.bincount((hashes & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """Differing bits of two sets' parities, the longer one folded; sizes further apart than twice count as 0."""
+    fold = lambda v: F.zip_with(F.slice(v, F.lit(1), (F.size(v) / 2).cast("int")), F.slice(v, (F.size(v) / 2).cast("int") + 1, (F.size(v) / 2).cast("int")), lambda a, b: a.bitwiseXOR(b))
+    differ = lambda v, w: F.aggregate(F.zip_with(v, w, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, b: t + b)
+    same, longer = F.size(x) == F.size(y), F.size(x) == 2 * F.size(y)
+    return F.when(same, differ(x, y)).when(longer, differ(fold(x), y)).when(F.size(y) == 2 * F.size(x), differ(x, fold(y))).otherwise(0)
+
+
+class _Order:
+    """The order of shingles that all texts share: those that aren't common by hash, then the common ones, the most frequent
+    last. common: shingles, the most frequent last."""
+
+    def __init__(self, common: np.ndarray):
+        by_hash = np.argsort(common)
+        self.hashes, self.ranks = common[by_hash], by_hash
+
+    def prefix(self, hashes: np.ndarray, similarity: float) -> np.ndarray:
+        """The first shingles of a sorted set. Two sets of the similarity or more have one of their prefixes' shingles in
+        common."""
+        n = len(hashes)
+        if not n:
+            return hashes
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            known = self.hashes[at] == hashes
+            hashes = np.concatenate((hashes[~known], hashes[known][np.argsort(self.ranks[at[known]])]))
+        return hashes[: n - math.ceil(similarity * n - _SLACK) + 1]
 
 
 def _common_shingles(rows: DataFrame, width: int) -> np.ndarray:
@@ -273,8 +298,9 @@ def _common_shingles(rows: DataFrame, width: int) -> np.ndarray:
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(_set_of(text.as_py(), width).view(np.int64))], ["shingle"])
+            for _, texts in chunks(batch.column(0)):
+                found = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(texts, width)])
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["shingle"])
 
     sample = rows.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 20)) < share).select("text")
     often = sample.mapInArrow(shingles, "shingle bigint").groupBy("shingle").count().where("count > 2")
@@ -287,45 +313,60 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = SH
     that stands for the group, the one with the smallest id.
 
     Texts are linked if the Jaccard similarity of their sets of distinct shingles (as hashes of 64 bits) is high
-    enough, worked out from the whole sets; equal sets are one node. What is compared comes in three rounds, each over
+    enough, worked out from the whole sets; equal sets are one node. What is compared comes in rounds, each over
     pairs that the rounds before haven't brought together: pairs of the covering tables over the sets'
-    fingerprints, which link the bulk of a large group by a spanning forest; each node with the one whose prefix
-    meets its own most often; and last every pair that shares a shingle of both prefixes (see _prefix) and whose
-    sizes and places of that shingle allow the similarity. Any two similar sets share such a shingle, so after
-    the last round no link between groups is missing, however large a bucket is.
+    fingerprints; LEADING rounds of each node with the nearest ones among the leaders of its prefix's
+    shingles, first the most central nodes and then some by hash, so that a large group hangs together after a few
+    comparisons a node; and last
+    every pair that shares a shingle of both prefixes (see _Order.prefix) and whose sizes, places of that
+    shingle and parities (see _parities) allow the similarity. Any two similar sets share such a shingle, so after the last round no link
+    between groups is missing, however large a bucket is.
+
+    Null texts are empty; texts without words are one node. Null ids come last. An empty table gives no rows. A very
+    long text is one array of its shingles, 8 bytes a word.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     rows = docs.select(F.col(id_column).alias("id"), whole_text(text_column).alias("text"))
     common = _common_shingles(rows, width)
 
+    shared_order = spark.sparkContext.broadcast(_Order(common))
+
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = shared_order.value
         for batch in batches:
-            nodes, fps, sizes, prefixes = [], [], [], []
-            for text in batch.column(2):
-                own = _set_of(text.as_py(), width)
-                nodes.append(_node(own))
-                fps.append(_majority(_set_bits(own), len(own)) if len(own) else 0)
-                sizes.append(len(own))
-                prefixes.append(_prefix(own, common, similarity).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "key", "node", "fp", "n", "prefix"])
+            for part, texts in chunks(batch.column(2)):
+                sets = shingle_sets(texts, width)
+                found = {
+                    "id": batch.column(0)[part],
+                    "key": batch.column(1)[part],
+                    "node": pa.array([_node(s) for s in sets], pa.int64()),
+                    "fp": pa.array([_majority(_set_bits(s), len(s)) if len(s) else 0 for s in sets], pa.int64()),
+                    "n": pa.array([len(s) for s in sets], pa.int64()),
+                    "parities": pa.array([_parities(s) for s in sets], pa.list_(pa.int64())),
+                    "prefix": pa.array([order.prefix(s, similarity).view(np.int64) for s in sets], pa.list_(pa.int64())),
+                }
+                yield pa.RecordBatch.from_arrays(list(found.values()), list(found))
 
     kind = rows.schema["id"].dataType.simpleString()
     rows = rows.select("id", F.xxhash64("text").alias("key"), "text")
-    own = scratch.write(rows.mapInArrow(prints, f"id {kind}, key bigint, node bigint, fp bigint, n bigint, prefix array<bigint>"), "prints")
+    own = scratch.write(rows.mapInArrow(prints, f"id {kind}, key bigint, node bigint, fp bigint, n bigint, parities array<bigint>, prefix array<bigint>"), "prints")
     # any row of a node has its set
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "fp", "n")).alias("first")
     nodes = scratch.write(own.groupBy("node").agg(first).select("node", "first.none", "first.id", "first.key", "first.fp", "first.n"), "nodes")
-    prefixes = scratch.write(own.groupBy("node").agg(F.min("n").alias("n"), F.min("prefix").alias("prefix")).select("node", "n", F.posexplode("prefix").alias("place", "shingle")), "prefixes")
+    prefixes = scratch.write(own.groupBy("node").agg(F.min("n").alias("n"), F.min("parities").alias("parities"), F.min("prefix").alias("prefix")).select("node", "n", "parities", F.posexplode("prefix").alias("place", "shingle")), "prefixes")
     shared = prefixes.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("shingle")
     met = scratch.write(prefixes.join(shared, "shingle", "left_semi"), "met")
     scratch.drop(prefixes)
 
     links = _similar(rows, nodes, _covering_pairs(nodes, scratch), scratch, similarity, width)
     labels = components(links, scratch)
-    found = _similar(rows, nodes, _leading_pairs(met, labels, scratch, similarity), scratch, similarity, width)
-    links = links.union(found)
-    labels = components(links, scratch)
+    met = _ranked(met, scratch)
+    for turn in range(LEADING):
+        rank = F.xxhash64("node", "shingle", F.lit(turn)).cast("double") if turn else F.col("central")
+        found = _similar(rows, nodes, _leading_pairs(met, labels, rank, scratch, similarity), scratch, similarity, width)
+        links = links.union(found)
+        labels = components(links, scratch)
     found = _similar(rows, nodes, _other_pairs(met, labels, scratch, similarity), scratch, similarity, width)
     labels = components(links.union(found), scratch)
 
@@ -336,56 +377,85 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = SH
 
 
 def _covering_pairs(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Spanning forests of the sets' fingerprints at RADIUS, and nodes of one fingerprint with the first of them."""
+    """A forest over the sets' fingerprints, each with the smallest one that a covering table links it to at RADIUS, and nodes
+    of one fingerprint with the first of them. A link that fails is made good by the rounds that follow."""
     prints = nodes.where("n > 0").groupBy("fp").agg(F.min("node").alias("first"))
     prints = scratch.write(prints, "fingerprints")
     tables = F.explode(F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks()))))
     buckets = prints.select(tables.alias("bucket"), "fp").repartition(4 * partitions(nodes.sparkSession), "bucket").sortWithinPartitions("bucket")
     found = scratch.write(buckets.mapInArrow(_bucket_links(RADIUS, LARGE), "a bigint, b bigint, block int"), "covering")
-    pairs, waiting = found.where("block IS NULL").select("a", "b").distinct(), found.where("block IS NOT NULL")
+    pairs, waiting = found.where("block IS NULL").select("a", "b"), found.where("block IS NOT NULL")
     if waiting.limit(1).count():
-        pairs = pairs.union(_between_blocks(waiting, RADIUS)).distinct()
+        pairs = pairs.union(_between_blocks(waiting, RADIUS))
+    # the forest within a bucket leads to its first member; over the tables the smallest of those is taken
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).groupBy("a").agg(F.min("b").alias("b"))
     left, right = (prints.select(F.col("fp").alias(k), F.col("first").alias(f"first_{k}")) for k in "ab")
     between = pairs.join(left, "a").join(right, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
     within = nodes.where("n > 0").join(prints, "fp").select(F.col("node").alias("a"), F.col("first").alias("b")).where("a <> b")
     return scratch.write(between.union(within), "pairs")
 
 
-def _able(similarity: float):
-    """Whether the sizes n, m of two sets and the places of a shingle allow the similarity, if it is the first that they share."""
+def _able(similarity: float) -> Column:
+    """Whether the sizes n, m of two sets, the places of a shingle, if it is the first that they share, and their parities
+    allow the similarity."""
     n, m = F.col("n"), F.col("m")
     most = F.lit(1) + F.least(n - F.col("place") - 1, m - F.col("spot") - 1)
-    return (F.least(n, m) >= similarity * F.greatest(n, m) - _SLACK) & (most >= similarity / (1 + similarity) * (n + m) - _SLACK)
+    sized = F.least(n, m) >= similarity * F.greatest(n, m) - _SLACK
+    placed = most >= similarity / (1 + similarity) * (n + m) - _SLACK
+    return sized & placed & (_apart(F.col("parities"), F.col("other")) <= (1 - similarity) / (1 + similarity) * (n + m) + _SLACK)
 
 
-def _labelled(met: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows of shingles whose nodes aren't all in one component, with label."""
-    own = met.join(labels.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select("shingle", "node", "n", "place", F.coalesce("label", "node").alias("label"))
-    own = scratch.write(own, "labelled")
-    mixed = own.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    return scratch.write(own.join(mixed, "shingle"), "mixed")
+def _ranked(met: DataFrame, scratch: Scratch) -> DataFrame:
+    """With central: how many nodes have a node's shingles, on average. In a group of near copies that is highest for what
+    was copied, which is nearer to the copies than they are to one another."""
+    spread = met.groupBy("shingle").agg(F.count(F.lit(1)).alias("spread"))
+    central = met.select("shingle", "node").join(spread, "shingle").groupBy("node").agg(F.avg("spread").alias("central"))
+    ranked = scratch.write(met.join(central, "node"), "ranked")
+    scratch.drop(met)
+    return ranked
 
 
-def _leading_pairs(met: DataFrame, labels: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
-    """Each node with one of another component: the one that is the first of most of its shingles."""
-    mixed = _labelled(met, labels, scratch)
-    lead = mixed.groupBy("shingle").agg(F.min(F.struct("label", "node", "n", "place")).alias("first"))
-    lead = lead.select("shingle", F.col("first.label").alias("label_b"), F.col("first.node").alias("b"), F.col("first.n").alias("m"), F.col("first.place").alias("spot"))
+_SIDE = ("label", "node", "n", "place", "parities")
+_OTHER = ("label_b", "b", "m", "spot", "other")
+
+
+def _mixed(met: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows of shingles whose nodes aren't all in one component, with label."""
+    own = met.join(labels.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").withColumn("label", F.coalesce("label", "node")).drop("own")
+    mixed = own.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle")
+    return scratch.write(own.join(mixed, "shingle", "left_semi"), "mixed")
+
+
+def _leading_pairs(met: DataFrame, labels: DataFrame, rank: Column, scratch: Scratch, similarity: float) -> DataFrame:
+    """Each node with some of other components: of the leaders of its shingles the NEAREST ones by their parities. A
+    shingle's nodes are dealt into LEADERS by hash, and the one of the highest rank leads each."""
+    mixed = _mixed(met, labels, scratch)
+    dealt = F.pmod(F.xxhash64("shingle", "node", F.lit(SEED)), F.lit(LEADERS))
+    lead = mixed.groupBy("shingle", dealt.alias("dealt")).agg(F.max(F.struct(rank.alias("rank"), *_SIDE)).alias("first"))
+    lead = lead.select("shingle", *(F.col(f"first.{c}").alias(name) for c, name in zip(_SIDE, _OTHER)))
     both = mixed.join(lead, "shingle").where((F.col("label") != F.col("label_b")) & _able(similarity))
-    often = both.groupBy("node", "b").count().groupBy("node").agg(F.max(F.struct("count", "b")).alias("most"))
-    return scratch.write(often.select(F.col("node").alias("a"), F.col("most.b").alias("b")), "pairs")
+    # a node has at most LEADERS times its prefix's length of them
+    one = F.struct(_apart(F.col("parities"), F.col("other")).alias("apart"), "b")
+    nearest = both.groupBy("node").agg(F.slice(F.array_sort(F.collect_set(one)), 1, NEAREST).alias("nearest"))
+    pairs = nearest.select(F.col("node").alias("a"), F.explode("nearest.b").alias("b"))
+    pairs = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    scratch.drop(mixed)
+    return pairs
 
 
 def _other_pairs(met: DataFrame, labels: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
     """All pairs of different components that share a shingle and may be similar. Of a shingle, rows outside its first
     component meet all others, so its own rows, which may be many, aren't compared with each other."""
-    mixed = _labelled(met, labels, scratch)
+    mixed = _mixed(met, labels, scratch)
     sizes = mixed.groupBy("shingle", "label").count().groupBy("shingle").agg(F.max(F.struct("count", "label")).alias("most"))
-    mixed = scratch.write(mixed.join(sizes.select("shingle", F.col("most.label").alias("main")), "shingle"), "sides")
-    outside = mixed.where("label <> main").select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("label").alias("label_b"))
+    sides = scratch.write(mixed.join(sizes.select("shingle", F.col("most.label").alias("main")), "shingle"), "sides")
+    scratch.drop(mixed)
+    outside = sides.where("label <> main").select("shingle", *(F.col(c).alias(name) for c, name in zip(_SIDE, _OTHER)))
     apart = (F.col("label") != F.col("label_b")) & ((F.col("label") == F.col("main")) | (F.col("node") < F.col("b")))
-    both = mixed.join(outside, "shingle").where(apart & _able(similarity))
-    return scratch.write(both.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "pairs")
+    both = sides.join(outside, "shingle").where(apart & _able(similarity))
+    pairs = scratch.write(both.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "pairs")
+    scratch.drop(sides)
+    return pairs
 
 
 def _similar(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, scratch: Scratch, similarity: float, width: int) -> DataFrame:
@@ -400,10 +470,9 @@ def _similar(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, scratch: Scrat
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, ROWS):
-                part = batch.slice(k, ROWS)
-                found = [_set_of(t.as_py(), width).view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "hashes"])
+            for part, own in chunks(batch.column(1)):
+                found = [s.view(np.int64) for s in shingle_sets(own, width)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(found, pa.list_(pa.int64()))], ["node", "hashes"])
 
     whole = scratch.write(texts.mapInArrow(sets, "node bigint, hashes array<bigint>").dropDuplicates(["node"]), "sets")
     left, right = (whole.select(F.col("node").alias(k), F.col("hashes").alias(f"set_{k}")) for k in "ab")
@@ -419,8 +488,10 @@ def kept_documents(docs: DataFrame, similarity: float = SIMILARITY, width: int =
     repeat both the id and the text are one document, and stay or go together."""
     groups = near_copies(docs, similarity, width, id_column, text_column)
     stands = F.col("id").eqNullSafe(F.col("group_id")) & (F.col("key") == F.col("group_key"))
-    gone = groups.where(~stands).select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
-    return docs.join(gone, F.col(id_column).eqNullSafe(F.col("gone_id")) & (F.xxhash64(whole_text(text_column)) == F.col("gone_key")), "left_anti")
+    own, gone_id, gone_key = fresh(docs, "key", "gone_id", "gone_key")
+    gone = groups.where(~stands).select(F.col("id").alias(gone_id), F.col("key").alias(gone_key)).distinct()
+    marked = docs.withColumn(own, F.xxhash64(whole_text(text_column)))
+    return marked.join(gone, F.col(id_column).eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_key)), "left_anti").drop(own)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
