@@ -6,19 +6,41 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of operator calls, each with the settings that find it again; they go when the program ends.
+_FOLDERS: dict[str, object] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (local
-    runs and tests), a temporary folder that is then kept in the session's settings."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local master (tests) gets
+    a temporary folder, which is then kept in the session's settings; a cluster is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("orfweave.shared.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="orfweave-")
         spark.conf.set("orfweave.shared.dir", folder)
+        _FOLDERS[folder] = spark.sparkContext._jsc.hadoopConfiguration()
     return folder.rstrip("/")
 
 
+def delete(path: str, configuration) -> None:
+    """Deletes a folder, also after the session was stopped; what is gone already is no error."""
+    if SparkContext._gateway is None:
+        return
+    target = SparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(configuration).delete(target, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    while _FOLDERS:
+        delete(*_FOLDERS.popitem())
+
+
 class Scratch:
     """Tables of one operator call, below the shared folder. A written table cuts the lineage: a lost
     executor costs only the tasks that had not been written."""
@@ -27,7 +49,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/orfweave-{label}-{uuid.uuid4().hex}"
         self._count = 0
-        atexit.register(self.drop, self.root)
+        _FOLDERS[self.root] = spark.sparkContext._jsc.hadoopConfiguration()
 
     def path(self, name: str) -> str:
         self._count += 1
@@ -41,14 +63,7 @@ class Scratch:
         out._orfweave_path = path
         return out
 
-    def drop(self, what: DataFrame | str | None) -> None:
-        """Deletes a table that write() returned, or a path. A folder that can't be deleted is left."""
-        path = what if isinstance(what, str) else getattr(what, "_orfweave_path", None)
-        if path is None:
-            return
-        context = self.spark.sparkContext
-        if context._jsc is None:
-            return
-        jvm = context._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    def drop(self, what: DataFrame) -> None:
+        """Deletes a table that write() returned."""
+        if path := getattr(what, "_orfweave_path", None):
+            delete(path, _FOLDERS[self.root])
