@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orfweave.plans.scratch import Scratch, shared_folder  # noqa: F401
+from orfweave.plans.scratch import Scratch  # noqa: F401
 
 #: ASCII white space as the contracts define it, for Java and RE2 alike.
 WHITESPACE = r"[\x20\x09-\x0D]+"

@@ -6,6 +6,10 @@ large group of copies costs one row a task), the digests that the index lacks ar
 anti-join that reads the index without shuffling it, and those are appended. Then every document looks up
 who stands for its digest.
 
+A batch may be run again, after a lost job for example: index rows of the same batch count as its own, so the answer is the
+same and nothing is appended twice. Of batches that brought in one text at the same time the one with the smallest name
+has it for all who read later.
+
 Text is normalised by replacing each run of white space by one space; nulls count as empty. Among equal
 texts of a batch the smallest id stays (null ids last; among rows that repeat an id, the first by position
 in the input); a text that an earlier batch brought in is not kept again. Each row gives one row; an empty
@@ -20,7 +24,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, Scratch, partitions, shared_folder, table, whole_text
+from orfweave.plans.scratch import delete, shared_folder
+
+from .common import WHITESPACE, Scratch, fresh, partitions, table, whole_text
 
 
 def digest(text_column: str = "text") -> Column:
@@ -49,7 +55,9 @@ class DigestIndex:
         rows.select("digest", "keep_id", "batch").repartition(self.buckets, "digest").write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.name)
 
     def drop(self) -> None:
+        """Forgets the table and deletes its files."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete(self.path, self.spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex, batch: str = "0", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -68,27 +76,31 @@ def deduplicate(docs: DataFrame, index: DigestIndex, batch: str = "0", id_column
 def _classes(keyed: DataFrame, index: DigestIndex, scratch: Scratch, batch: str) -> DataFrame:
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row")))
     groups = scratch.write(keyed.groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size")), "groups")
+    # the table's buckets make this a sum without a shuffle
+    known = index.read().groupBy("digest").agg(F.min(F.struct("batch", "keep_id")).alias("owner"))
+    others = known.where(F.col("owner.batch") != batch)
     # the hint holds where Spark would broadcast a small index
-    known = index.read()
-    new = groups.join(known.select("digest").hint("merge"), "digest", "left_anti")
-    fresh = scratch.write(new.select("digest", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row"), "group_size"), "new")
-    old = groups.join(known.select("digest", "keep_id").hint("merge"), "digest").select("digest", "keep_id", F.lit(-1).cast("long").alias("keep_row"), "group_size")
-    old = scratch.write(old, "old")
-    index.append(fresh.withColumn("batch", F.lit(batch)))
-    return fresh.unionByName(old)
+    new = groups.join(others.select("digest").hint("merge"), "digest", "left_anti")
+    added = scratch.write(new.select("digest", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row"), "group_size"), "new")
+    old = groups.join(others.select("digest", F.col("owner.keep_id").alias("keep_id")).hint("merge"), "digest")
+    old = scratch.write(old.select("digest", "keep_id", F.lit(-1).cast("long").alias("keep_row"), "group_size"), "old")
+    # written before the append, which changes what the index says
+    missing = scratch.write(added.join(index.read().select("digest").hint("merge"), "digest", "left_anti"), "missing")
+    index.append(missing.withColumn("batch", F.lit(batch)))
+    return added.unionByName(old)
 
 
 def kept_documents(docs: DataFrame, index: DigestIndex, batch: str = "0", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns. A document is found again by digest and id, which no large
-    group shares; what repeats both is one row here."""
+    """The documents that stay, with all their columns. A document is found again by digest and id, which few rows share;
+    of rows that repeat both one stays."""
     scratch = Scratch(docs.sparkSession, "dedup")
-    keys = ["orfweave_digest", "orfweave_id"]
-    marked = docs.withColumns({"orfweave_digest": digest(text_column), "orfweave_id": F.col(id_column)})
-    keyed = marked.select(F.col("orfweave_id").alias("id"), F.col("orfweave_digest").alias("digest"), F.monotonically_increasing_id().alias("row"))
+    own, stay_digest, stay_id = fresh(docs, "own_digest", "stay_digest", "stay_id")
+    marked = docs.withColumn(own, digest(text_column))
+    keyed = marked.select(F.col(id_column).alias("id"), F.col(own).alias("digest"), F.monotonically_increasing_id().alias("row"))
     stay = _classes(scratch.write(keyed, "digests"), index, scratch, batch).where("keep_row >= 0")
-    stay = stay.select(F.col("digest").alias("stay_digest"), F.col("keep_id").alias("stay_id"))
-    found = marked.join(stay, (F.col("orfweave_digest") == F.col("stay_digest")) & F.col("orfweave_id").eqNullSafe(F.col("stay_id")), "left_semi")
-    return found.dropDuplicates(keys).drop(*keys)
+    stay = stay.select(F.col("digest").alias(stay_digest), F.col("keep_id").alias(stay_id))
+    found = marked.join(stay, (F.col(own) == F.col(stay_digest)) & F.col(id_column).eqNullSafe(F.col(stay_id)), "left_semi")
+    return found.dropDuplicates([own]).drop(own)
 
 
 def new_index(spark: SparkSession, id_type: str = "bigint") -> DigestIndex:
@@ -99,7 +111,10 @@ def new_index(spark: SparkSession, id_type: str = "bigint") -> DigestIndex:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: exact duplicates among documents, against an index that is empty at first."""
-    rows = deduplicate(table(spark, sf_dir, "documents"), new_index(spark))
+    index = new_index(spark)
+    rows = deduplicate(table(spark, sf_dir, "documents"), index)
+    # what is returned reads the classes, not the index
+    index.drop()
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 

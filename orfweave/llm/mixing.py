@@ -7,21 +7,22 @@ an exponential tilt of the document's size,
     odds(rate / MOST) = odds(1 / MOST) * exp(lambda_source * size),
 
 whose lambda is the solution of a convex dual in one unknown a source. Newton iterations find all of them at
-once: each is one aggregation over the strata, a table of (source, size class) with counts and words, and a
-bracket turns a step that leaves it into a bisection. Documents of a size class share the rate of its mean
-size; a class is exact below 128 words and 1/64 of an octave above, so a source has at most a few thousand
-strata, whatever its number of documents.
-
-Rates become whole copies. In a source, size classes are taken from the largest down; each gets the number
-of copies nearest to its expected words and what the larger classes left over, so the smallest class carries
-the last rounding error. Within a stratum every document gets the same whole part and the first ones by
+once: each is one aggregation over the strata, a table of (source, size) with counts, and a bracket turns a step
+that leaves it into a bisection. A dual that isn't solved after ITERATIONS is an error. Every document has the
+rate of its own size.
+
+Rates become whole copies. For that, sizes fall into classes, exact below 128 words and 1/64 of an octave wide
+above, so a source has at most a few thousand. In a source, classes are taken from the largest down; each gets the
+number of copies nearest to its documents' rates and what the larger classes left over, so the smallest class
+carries the last rounding error. Within a class every document gets the same whole part and the first ones by
 hash get one copy more; the rank by hash is counted in cells of about CELL rows, so that a stratum that
 holds a third of all rows is still ranked in small groups.
 
 Weights go to the sources in code point order, null last, in turn; targets stop at MOST times a source's
 size, and what that leaves is shared again among the others. Null texts have size 0; a document of size 0
 gets one copy and takes nothing. A total of zero gives targets of zero. Repeated rows are documents of their
-own. Reruns agree: no random numbers, and ties only between rows that are alike in id, source and size.
+own; mixed_documents() gives out what they take together. Reruns agree: no random numbers, and ties only between
+rows that are alike in id, source and size. Further columns may have any name.
 """
 
 from __future__ import annotations
@@ -29,12 +30,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, partitions, table, whole_text
+from .common import WORD, Scratch, fresh, partitions, table, whole_text
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
-ITERATIONS = 60
-TOLERANCE = 1e-9
+ITERATIONS = 80
+#: Relative gaps to the targets at which iterations end, and above which the dual counts as unsolved.
+TOLERANCE, UNSOLVED = 1e-9, 1e-6
 CELL = 512
 _SEED = 7_919
 
@@ -110,8 +112,11 @@ def solve(strata: DataFrame, targets: DataFrame, scratch: Scratch, most: int = M
         )
         before, state = state, scratch.write(moved, "dual")
         scratch.drop(before)
-        if (state.agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
-            break
+        gap = state.agg(F.max("gap")).first()[0] or 0.0
+        if gap <= tolerance:
+            return state
+    if gap > UNSOLVED:
+        raise RuntimeError(f"the dual is off its targets by {gap} after {iterations} iterations")
     return state
 
 
@@ -125,7 +130,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
 
 
 def _copies(sized: DataFrame, scratch: Scratch, weights: tuple[float, ...], most: int) -> DataFrame:
-    counts = sized.groupBy("source", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    counts = sized.groupBy("source", "class", "size").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     strata = scratch.write(counts, "strata")
     targets = source_targets(strata.groupBy("source").agg(F.sum("words").alias("source_size")), scratch, weights, most)
     dual = solve(strata, targets, scratch, most)
@@ -144,30 +149,38 @@ def _copies(sized: DataFrame, scratch: Scratch, weights: tuple[float, ...], most
     ranked = placed.withColumn("place", F.row_number().over(Window.partitionBy("source", "class", "cell").orderBy("hash", "id", "size")))
     ranked = ranked.join(share, F.col("source").eqNullSafe(F.col("of")) & (F.col("class") == F.col("of_class")) & (F.col("cell") == F.col("of_cell")))
     copies = F.col("base") + (F.col("place") <= F.col("more")).cast("int")
-    return ranked.select("id", "size", "source", "source_size", "target", "rate", copies.cast("int").alias("copies"))
+    kept = [c for c in sized.columns if c not in ("size", "class", "source")]
+    return ranked.select(*kept, "size", "source", "source_size", "target", _own_rate(F.col("size"), F.col("size"), most).alias("rate"), copies.cast("int").alias("copies"))
+
+
+def _own_rate(size: Column, words: Column, most: int) -> Column:
+    """Of documents of a size in a source with tilt, scale and bound; those without words have rate 1."""
+    tilt = F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("tilt") * size / F.col("scale")))
+    return F.when(words == 0, F.lit(1.0)).when(F.col("bound"), F.lit(float(most))).otherwise(_rate(tilt, most))
 
 
 def _rounded(strata: DataFrame, dual: DataFrame, most: int) -> DataFrame:
-    """Strata with their rate, base (copies of every document) and extra (how many documents get one more)."""
+    """Classes with their source's dual, base (copies of every document) and extra (how many documents get one more)."""
     state = dual.withColumnRenamed("source", "own")
-    mean = F.col("words") / F.col("n")
-    tilt = F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("tilt") * mean / F.col("scale")))
-    rate = F.when(F.col("words") == 0, F.lit(1.0)).when(F.col("bound"), F.lit(float(most))).otherwise(_rate(tilt, most))
-    rated = strata.join(state, F.col("source").eqNullSafe(F.col("own"))).withColumn("rate", rate)
+    rated = strata.join(state, F.col("source").eqNullSafe(F.col("own"))).withColumn("rate", _own_rate(F.col("size"), F.col("words"), most))
+    of_class = F.sum(F.col("n") * F.col("rate")).alias("wish"), F.sum(F.col("words") * F.col("rate")).alias("due")
+    first = [F.first(c).alias(c) for c in ("source_size", "target", "tilt", "scale", "bound")]
+    classes = rated.groupBy("source", "class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), *of_class, *first)
     # a source's size classes are bounded by the width of a count, not by its documents
-    one = F.struct((-F.col("class")).alias("down"), F.col("class"), F.col("n"), mean.alias("mean"), F.col("rate"))
-    listed = rated.groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.array_sort(F.collect_list(one)).alias("classes"))
-    start = F.struct(F.lit(0.0).alias("left"), F.array().cast("array<struct<class:int,n:bigint,rate:double,total:bigint>>").alias("out"))
+    one = F.struct((-F.col("class")).alias("down"), F.col("class"), F.col("n"), (F.col("words") / F.col("n")).alias("mean"), "wish", "due")
+    listed = classes.groupBy("source").agg(*[F.first(c).alias(c) for c in ("source_size", "target", "tilt", "scale", "bound")], F.array_sort(F.collect_list(one)).alias("classes"))
+    start = F.struct(F.lit(0.0).alias("left"), F.array().cast("array<struct<class:int,n:bigint,total:bigint>>").alias("out"))
 
     def take(state: Column, c: Column) -> Column:
-        wish = c["n"] * c["rate"] + F.when(c["mean"] > 0, state["left"] / c["mean"]).otherwise(0.0)
-        total = F.greatest(F.lit(0), F.least(c["n"] * most, F.round(wish).cast("long")))
-        left = state["left"] + (c["n"] * c["rate"] - total) * c["mean"]
-        return F.struct(left.alias("left"), F.concat(state["out"], F.array(F.struct(c["class"].alias("class"), c["n"].alias("n"), c["rate"].alias("rate"), total.alias("total")))).alias("out"))
+        wish = c["wish"] + F.when(c["mean"] > 0, (state["left"] + c["due"] - c["wish"] * c["mean"]) / c["mean"]).otherwise(0.0)
+        # sums that differ by their order alone must not fall on two sides of a half
+        total = F.greatest(F.lit(0), F.least(c["n"] * most, F.round(F.round(wish, 6)).cast("long")))
+        left = state["left"] + c["due"] - total * c["mean"]
+        return F.struct(left.alias("left"), F.concat(state["out"], F.array(F.struct(c["class"].alias("class"), c["n"].alias("n"), total.alias("total")))).alias("out"))
 
-    taken = listed.select("source", "source_size", "target", F.explode(F.aggregate("classes", start, take)["out"]).alias("c"))
+    taken = listed.select("source", "source_size", "target", "tilt", "scale", "bound", F.explode(F.aggregate("classes", start, take)["out"]).alias("c"))
     base = F.expr("c.total div c.n")
-    return taken.select("source", "source_size", "target", F.col("c.class").alias("class"), F.col("c.n").alias("n"), F.col("c.rate").alias("rate"), base.alias("base"), (F.col("c.total") - base * F.col("c.n")).alias("extra"))
+    return taken.select("source", "source_size", "target", "tilt", "scale", "bound", F.col("c.class").alias("class"), F.col("c.n").alias("n"), base.alias("base"), (F.col("c.total") - base * F.col("c.n")).alias("extra"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,13 +190,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """The documents, each as often as the mix takes it, with their own columns. Rows that repeat id, source and size
-    share the copies that were found for them: such a row is taken as often as the first of them."""
-    kinds = ("mix_id", "mix_source", "mix_size")
-    copies = mix(docs, weights, most, id_column, text_column, source_column)
-    copies = copies.groupBy(F.col(id_column).alias("to_id"), F.col("source").alias("to_source"), F.col("size").alias("to_size")).agg(F.max("copies").alias("mix_copies"))
-    marked = docs.withColumns({"mix_id": F.col(id_column), "mix_source": F.col(source_column), "mix_size": word_count(text_column)})
-    same = [F.col(k).eqNullSafe(F.col("to" + k[3:])) for k in kinds]
-    joined = marked.join(copies, same[0] & same[1] & same[2]).where("mix_copies > 0")
-    again = F.explode(F.array_repeat(F.lit(1), F.col("mix_copies")))
-    return joined.select(*docs.columns, again.alias("mix_again")).drop("mix_again")
+    """The documents, each as often as the mix takes it, with their own columns. Rows that repeat id, source and text are
+    given out as often as the mix takes them together, with the columns of one of them."""
+    scratch = Scratch(docs.sparkSession, "mix")
+    text_key = F.xxhash64(whole_text(text_column))
+    sized = docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), word_count(text_column).alias("size"), text_key.alias("key"))
+    sized = scratch.write(sized.withColumn("class", size_class(F.col("size"))), "sizes")
+    copies = _copies(sized, scratch, weights, most).groupBy("id", "source", "key").agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("copies"))
+    copies = scratch.write(copies.where("copies > 0"), "copies")
+    own, to_id, to_source, to_key, rows, times, again = fresh(docs, "own_key", "to_id", "to_source", "to_key", "key_rows", "copies", "again")
+    copies = copies.select(F.col("id").alias(to_id), F.col("source").alias(to_source), F.col("key").alias(to_key), F.col("rows").alias(rows), F.col("copies").cast("int").alias(times))
+    marked = docs.withColumn(own, text_key)
+    same = F.col(id_column).eqNullSafe(F.col(to_id)) & F.col(source_column).eqNullSafe(F.col(to_source)) & (F.col(own) == F.col(to_key))
+    once = marked.join(copies.where(F.col(rows) == 1), same)
+    repeated = marked.join(copies.where(F.col(rows) > 1), same).dropDuplicates([id_column, source_column, own])
+    return once.unionByName(repeated).withColumn(again, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -353,15 +353,15 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = SH
     own = scratch.write(rows.mapInArrow(prints, f"id {kind}, key bigint, node bigint, fp bigint, n bigint, parities array<bigint>, prefix array<bigint>"), "prints")
     # any row of a node has its set
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "fp", "n")).alias("first")
-    nodes = scratch.write(own.groupBy("node").agg(first).select("node", "first.none", "first.id", "first.key", "first.fp", "first.n"), "nodes")
-    prefixes = scratch.write(own.groupBy("node").agg(F.min("n").alias("n"), F.min("parities").alias("parities"), F.min("prefix").alias("prefix")).select("node", "n", "parities", F.posexplode("prefix").alias("place", "shingle")), "prefixes")
+    nodes = scratch.write(own.groupBy("node").agg(first, F.min("parities").alias("parities")).select("node", "first.none", "first.id", "first.key", "first.fp", "first.n", "parities"), "nodes")
+    prefixes = scratch.write(own.groupBy("node").agg(F.min("n").alias("n"), F.min("prefix").alias("prefix")).select("node", "n", F.posexplode("prefix").alias("place", "shingle")), "prefixes")
     shared = prefixes.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("shingle")
     met = scratch.write(prefixes.join(shared, "shingle", "left_semi"), "met")
     scratch.drop(prefixes)
 
     links = _similar(rows, nodes, _covering_pairs(nodes, scratch), scratch, similarity, width)
     labels = components(links, scratch)
-    met = _ranked(met, scratch)
+    met = _ranked(met, nodes, scratch)
     for turn in range(LEADING):
         rank = F.xxhash64("node", "shingle", F.lit(turn)).cast("double") if turn else F.col("central")
         found = _similar(rows, nodes, _leading_pairs(met, labels, rank, scratch, similarity), scratch, similarity, width)
@@ -405,12 +405,12 @@ def _able(similarity: float) -> Column:
     return sized & placed & (_apart(F.col("parities"), F.col("other")) <= (1 - similarity) / (1 + similarity) * (n + m) + _SLACK)
 
 
-def _ranked(met: DataFrame, scratch: Scratch) -> DataFrame:
-    """With central: how many nodes have a node's shingles, on average. In a group of near copies that is highest for what
+def _ranked(met: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """With parities and central: how many nodes have a node's shingles, on average. In a group of near copies that is highest for what
     was copied, which is nearer to the copies than they are to one another."""
     spread = met.groupBy("shingle").agg(F.count(F.lit(1)).alias("spread"))
     central = met.select("shingle", "node").join(spread, "shingle").groupBy("node").agg(F.avg("spread").alias("central"))
-    ranked = scratch.write(met.join(central, "node"), "ranked")
+    ranked = scratch.write(met.join(central.join(nodes.select("node", "parities"), "node"), "node"), "ranked")
     scratch.drop(met)
     return ranked
 

@@ -109,6 +109,14 @@ def test_mixing(spark):
     key = lambda rows: sorted((r.doc_id, r.copies) for r in rows)
     assert key(got) == key(mixing.mix(docs.repartition(5)).collect())
     assert mixing.mixed_documents(docs).count() == sum(r.copies for r in got)
+    # every document has the rate of its own size
+    for s in sizes:
+        rates = {}
+        for r in got:
+            if r.source == s and r.size:
+                assert rates.setdefault(r.size, r.rate) == r.rate
+        assert all(0 <= x <= 3 for x in rates.values())
+        assert s == "tiny" or abs(sum(r.rate * r.size for r in got if r.source == s) - want[s]) < 1e-5 * want[s]
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
@@ -145,3 +153,63 @@ def test_exact_dedup_merges(spark, monkeypatch):
     found = [plan for name, plan in plans if name in ("new", "old")]
     assert len(found) == 4 and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in found)
     assert all(p.count("Exchange hashpartitioning") <= 1 for p in found)
+
+
+def test_mixed_documents_with_repeats(spark):
+    """Rows that repeat id, source and text come out as often as planned; clashing names and null ids do no harm."""
+    rows = [(7, "w " * 9, "a", "x")] * 50 + [(k, "w " * (k % 40 + 1), "ab"[k % 2], "x") for k in range(98)] + [(None, "n " * 5, "a", "y"), (None, "m " * 5, "a", "y"), (None, None, None, "z")]
+    docs = frame(spark, rows).withColumnRenamed("id", "copies").selectExpr("*", "1 AS to_id", "2 AS own_key", "3 AS again", "4 AS key_rows")
+    plan, got = Counter(), Counter()
+    for r in mixing.mix(docs).collect():
+        plan[r.doc_id, r.size] += r.copies
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    for r in out.collect():
+        assert (r.copies in "xyz", r.to_id, r.own_key, r.again, r.key_rows) == (True, 1, 2, 3, 4)
+        got[r.doc_id, len((r.text or "").split())] += 1
+    assert got == Counter({k: n for k, n in plan.items() if n})
+
+
+def test_mixing_at_every_bound(spark):
+    """A single source and sources whose targets are all at three times their sizes."""
+    rows = [(k, "w " * (k + 1), "only", None) for k in range(20)]
+    assert sum(r.copies * r.size for r in mixing.mix(frame(spark, rows)).collect()) == sum(range(1, 21))
+    assert {r.copies for r in mixing.mix(frame(spark, [(1, None, "a", None), (2, "", "b", None)])).collect()} == {1}
+
+
+def test_exact_dedup_again(spark):
+    """A batch that is run again, as after a lost job, gives the same answer; drop() takes the files away."""
+    docs = frame(spark, [(k, t, None, None) for k, t in enumerate(TEXTS)] + [(2, TEXTS[2], None, None)])
+    index = exact_dedup.new_index(spark)
+    answers = []
+    for _ in range(2):
+        rows = exact_dedup.deduplicate(docs, index, "first").collect()
+        answers.append(sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in rows))
+    assert answers[0] == answers[1] and sum(a[3] for a in answers[0]) == index.read().count()
+    later = exact_dedup.kept_documents(docs.union(frame(spark, [(77, "brand new", None, None)])), index, "second").collect()
+    assert [r.doc_id for r in later] == [77]
+    # of two batches with one text the smaller name has it
+    index.append(index.read().limit(1).selectExpr("digest", "CAST(500 AS BIGINT) AS keep_id", "'early' AS batch"))
+    third = exact_dedup.deduplicate(docs, index, "third")
+    assert third.count() == len(answers[0]) and third.where("keep_id = 500").count() >= 1
+    index.drop()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(index.path)
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_kept_documents_with_clashing_names(spark):
+    rows = [(1, "a b", None, "x"), (1, "a  b", None, "y"), (None, "a b", None, "z"), (None, "c", None, "u"), (None, "c", None, "v"), (1, "d", None, "w")]
+    docs = frame(spark, rows).selectExpr("*", "1 AS own_digest", "2 AS stay_digest", "3 AS stay_id", "4 AS Digest")
+    got = exact_dedup.kept_documents(docs, exact_dedup.new_index(spark))
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text.replace("  ", " "), r.stay_digest) for r in got.collect()) == [(0, "c", 2), (1, "a b", 2), (1, "d", 2)]
+
+
+def test_sharding_odd_rows(spark):
+    """One text larger than a shard, repeated rows, clashing names, null ids."""
+    rows = [(5, "t" * 100_000, None, None)] + [(5, "same", None, None)] * 30 + [(None, None, None, None)] * 5
+    docs = frame(spark, rows).selectExpr("*", "1 AS size", "2 AS shard", "3 AS part", "4 AS crc")
+    got = sharding.shard_by_bytes(docs).collect()
+    assert len(got) == len(rows) and sum(r.size for r in got) == sum(len(t or "") + 1 for _, t, *_ in rows)
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
