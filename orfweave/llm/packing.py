@@ -6,10 +6,12 @@ sequence of the lowest cost so far that still has room, cost being a*length + b*
 As many sequences are opened as the window's tokens fill, so a remainder that finds no room whole is cut
 over the roomiest ones, and a window wastes less than one sequence.
 
-Windows are runs of rows of one input partition: there is no shuffle, memory is bounded by WINDOW remainders
-and one chunk of texts, and a repeated task gives the same sequences. Null texts are empty (the end id
-alone), each row is a document of its own even if rows repeat, an empty table gives no rows, and columns
-other than the id and the text aren't read.
+Windows are runs of rows of one input partition; partitions are first joined until they hold LEAST_BYTES of text on
+average, so that the sequence which a partition's last window may waste is a small share. There is no shuffle,
+memory is bounded by WINDOW remainders and one chunk of texts (a longer text alone: arrays of some 60 times its
+bytes), and a repeated task gives the same sequences. Null texts are empty (the end id alone), each row, whatever its
+id, is a document of its own even if rows repeat, an empty table gives no rows, and columns other than the id and the
+text aren't read, so they may have any name.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ END_ID = 0
 WINDOW = 4096
 #: Cost of a piece of n tokens: n for what is linear in it, n * n / QUADRATIC for attention within it.
 QUADRATIC = 6144.0
+#: Bytes of text that a partition has at least, on average: some 1000 sequences.
+LEAST_BYTES = 4 << 20
 #: Sequences are numbered from the partition's number times this.
 PER_PARTITION = 1 << 40
 
@@ -99,7 +103,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_c
         packer = _Packer(TaskContext.get().partitionId() * PER_PARTITION, capacity, window)
         encoder = kind = None
         for batch in batches:
-            encoder, kind = encoder or Encoder(shared.value), batch.schema.field(0).type
+            encoder, kind = encoder or Encoder.of(shared.value), batch.schema.field(0).type
             keys = batch.column(0)
             for part, texts in chunks(batch.column(1)):
                 counts, _, ids = encoder.encode(texts)
@@ -117,6 +121,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_c
 
     rows = docs.select(F.col(id_column).alias("id"), whole_text(text_column).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = rows.coalesce(max(1, total // LEAST_BYTES))
     out = rows.mapInArrow(run, f"id {kind}, start bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
     return out.select(F.col("id").alias(id_column), "start", (F.octet_length("ids") / 4).cast("long").alias("length"), "ids", "doc_tokens", "sequence_id", "offset")
 

@@ -33,7 +33,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id"
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
-            encoder = encoder or Encoder(shared.value)
+            encoder = encoder or Encoder.of(shared.value)
             found_tokens, found_whole = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for _, texts in chunks(batch.column(1)):
                 tokens, whole, _ = encoder.encode(texts, want_ids=False)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -34,6 +35,7 @@ class Vocabulary:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.path = path
         tokenizer = Tokenizer.from_file(path)
         added = tokenizer.get_added_tokens_decoder()
         self.special = {t.content: i for i, t in added.items()}
@@ -41,9 +43,20 @@ class Vocabulary:
             raise ValueError("added tokens that take in their surroundings aren't supported")
         self.classes = character_classes(tokenizer)
         byte_of = {c: b for b, c in byte_characters().items()}
+        self._require_order(path)
         self.ranks = {bytes(byte_of[c] for c in s): i for s, i in tokenizer.get_vocab(with_added_tokens=False).items() if s not in self.special}
         self.whole = self._prove(tokenizer)
 
+    @staticmethod
+    def _require_order(path: str) -> None:
+        """Merging by the lowest id is merging by the first rule only if later rules make higher ids."""
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        ids = np.array([model["vocab"][a + b] for a, b in pairs])
+        if (np.diff(ids) <= 0).any():
+            raise ValueError(f"the ids of {path} aren't in the order of its merges")
+
     def _prove(self, tokenizer) -> dict[str, int]:
         """Strings of the vocabulary that alone encode as their one token, with its id."""
         named = {}
@@ -67,14 +80,24 @@ def byte_characters() -> dict[int, str]:
 class Encoder:
     """Encodes batches of texts, special strings as their own tokens.
 
-    A piece is looked up by a 64-bit hash of its characters in a table with one entry a slot. Whole tokens hold
+    A piece is looked up by two 64-bit hashes of its characters in a table with one entry a slot. Whole tokens hold
     their slots for good; the rest are merged when first met and take the place of what had their slot, so the
-    table never grows. The hash multiplies random 64-bit values of the characters by powers of an odd number;
-    two pieces are taken for one another with a chance near 2**-60 a lookup. Pieces of over LONG characters are
-    not looked up but merged each time.
+    table never grows. Each hash multiplies random 64-bit values of the characters by powers of an odd number, with
+    values and powers of its own. Pieces of over LONG characters are not looked up but merged each time; below that
+    the powers cancel 26 low bits at worst, so two pieces are taken for one another with a chance of 2**-76 at most.
     """
 
     LONG = 64
+    _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+    #: one for each process, since workers live longer than tasks
+    _own: tuple[Vocabulary, Encoder] | None = None
+
+    @classmethod
+    def of(cls, vocabulary: Vocabulary) -> Encoder:
+        """The process's encoder of the vocabulary; what it keeps changes its speed only."""
+        if cls._own is None or cls._own[0].path != vocabulary.path:
+            cls._own = vocabulary, cls(vocabulary)
+        return cls._own[1]
 
     def __init__(self, vocabulary: Vocabulary):
         import tiktoken
@@ -83,47 +106,51 @@ class Encoder:
         self.classes = np.frombuffer(vocabulary.classes, np.uint8)
         self._special = re.compile("(" + "|".join(re.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True)) + ")") if vocabulary.special else None
         # pieces are encoded side by side, with a separator that is a token by itself
-        self._merge = tiktoken.Encoding("pieces", pat_str=r"[^\x00]+|\x00", mergeable_ranks=vocabulary.ranks, special_tokens={}).encode_ordinary
+        merger = tiktoken.Encoding("pieces", pat_str=r"[^\x00]+|\x00", mergeable_ranks=vocabulary.ranks, special_tokens={})
+        self._merge, self._merge_one = merger.encode_ordinary, merger._encode_single_piece
         self._separator = vocabulary.ranks[_SEPARATOR.encode()]
         random = np.random.default_rng(20_240_229)
-        self._values = random.integers(0, 1 << 64, 0x110000, np.uint64)
-        base = 0x9E3779B97F4A7C15
-        self._base, self._inverse = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
+        self._values = [random.integers(0, 1 << 64, 0x110000, np.uint64) for _ in self._BASES]
         self._powers(CHUNK_BYTES + 1)
-        self.keys = np.zeros(SLOTS, np.uint64)
+        self.keys, self.checks = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
         self.lengths = np.zeros(SLOTS, np.int16)
         self.ids = np.zeros((SLOTS, KEPT), np.uint16 if max(vocabulary.ranks.values()) < 1 << 16 else np.uint32)
         self.pinned = np.zeros(SLOTS, bool)
         whole = [(s, i) for s, i in vocabulary.whole.items() if len(s) <= self.LONG]
         hashes = self._hash(Pieces([s for s, _ in whole], self.classes))
-        self._put(hashes, np.ones(len(whole), np.int64), np.array([i for _, i in whole]))
-        self.pinned[self._slot(hashes)] = True
+        self._put(*hashes, np.ones(len(whole), np.int64), np.array([i for _, i in whole]))
+        self.pinned[self._slot(hashes[0])] = True
 
     def _powers(self, n: int) -> None:
-        up, down = np.full(n, self._base), np.full(n, self._inverse)
-        up[0] = down[0] = 1
-        self._up, self._down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-    def _hash(self, pieces: Pieces) -> np.ndarray:
+        self._up, self._down = [], []
+        for base in self._BASES:
+            up, down = np.full(n, np.uint64(base)), np.full(n, np.uint64(pow(base, -1, 1 << 64)))
+            up[0] = down[0] = 1
+            self._up.append(np.multiply.accumulate(up))
+            self._down.append(np.multiply.accumulate(down))
+
+    def _hash(self, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
         n = len(pieces.points)
-        if n > len(self._up):
+        if n > len(self._up[0]):
             self._powers(n)
-        running = np.zeros(n + 1, np.uint64)
-        np.cumsum(self._values[pieces.points] * self._up[:n], out=running[1:])
-        found = (running[pieces.ends] - running[pieces.starts]) * self._down[pieces.starts]
-        return found | np.uint64(1)  # 0 marks an empty slot
+        found = []
+        for values, up, down in zip(self._values, self._up, self._down):
+            running = np.zeros(n + 1, np.uint64)
+            np.cumsum(values[pieces.points] * up[:n], out=running[1:])
+            found.append((running[pieces.ends] - running[pieces.starts]) * down[pieces.starts])
+        return found[0] | np.uint64(1), found[1]  # 0 marks an empty slot
 
     @staticmethod
     def _slot(hashes: np.ndarray) -> np.ndarray:
         return ((hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
-    def _put(self, hashes: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+    def _put(self, hashes: np.ndarray, checks: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
         slots, starts = self._slot(hashes), np.cumsum(lengths) - lengths
         keep = np.flatnonzero((lengths <= KEPT) & ~self.pinned[slots])
-        # of pieces with the same slot the last one gets it, in all three arrays
+        # of pieces with the same slot the last one gets it, in all arrays
         keep = keep[len(keep) - 1 - np.unique(slots[keep][::-1], return_index=True)[1]]
         slots, starts, lengths = slots[keep], starts[keep], lengths[keep]
-        self.keys[slots], self.lengths[slots] = hashes[keep], lengths
+        self.keys[slots], self.checks[slots], self.lengths[slots] = hashes[keep], checks[keep], lengths
         columns = np.arange(KEPT)
         mask = columns < lengths[:, None]
         rows = np.zeros((len(keep), KEPT), self.ids.dtype)
@@ -139,28 +166,16 @@ class Encoder:
             if not strings:
                 return np.zeros(0, np.int64), ids
             return np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1, ids[ids != self._separator]
-        # a piece that holds the separator is put together from what stands between
+        # a piece that holds the separator is merged by itself
         lists = dict(zip(plain, np.split(ids, cuts))) if plain else {}
         out = []
         for k, s in enumerate(strings):
             if k in lists:
                 out.append(lists[k][lists[k] != self._separator])
             else:
-                out.append(np.array(self._slow(s), np.int64))
+                out.append(np.array(self._merge_one(s), np.int64))
         return np.array([len(x) for x in out]), np.concatenate(out)
 
-    def _slow(self, piece: str) -> list[int]:
-        """Byte-pair merging as it is defined, for the rare pieces that hold the separator."""
-        ranks = self.vocabulary.ranks
-        parts = [bytes([b]) for b in piece.encode()]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda k: (ranks.get(parts[k] + parts[k + 1], 1 << 60), k))
-            pair = parts[best] + parts[best + 1]
-            if pair not in ranks:
-                break
-            parts[best : best + 2] = [pair]
-        return [ranks[p] for p in parts]
-
     def encode(self, texts: list[str], want_ids: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         """For each text its tokens and how many of them needed no merging; all tokens in a row, if wanted."""
         owner, special = None, None
@@ -186,15 +201,15 @@ class Encoder:
         return count(tokens), count(whole), ids
 
     def _encode_pieces(self, pieces: Pieces, want_ids: bool) -> tuple[np.ndarray, np.ndarray | None]:
-        hashes = self._hash(pieces)
+        hashes, checks = self._hash(pieces)
         short = pieces.ends - pieces.starts <= self.LONG
         slots = self._slot(hashes)
-        hit = (self.keys[slots] == hashes) & short
+        hit = (self.keys[slots] == hashes) & (self.checks[slots] == checks) & short
         lengths = self.lengths[slots].astype(np.int64)
         rest = np.flatnonzero(~hit)
         # the short ones among the rest once each, every long one by itself
         near = rest[short[rest]]
-        _, first, back = np.unique(hashes[near], return_index=True, return_inverse=True)
+        first, back = _distinct(hashes[near], checks[near])
         chosen = np.concatenate([near[first], rest[~short[rest]]])
         found, found_ids = self._merged(pieces.strings(chosen))
         which = np.zeros(len(hashes), np.int64)
@@ -213,10 +228,20 @@ class Encoder:
                 step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
                 ids[np.repeat(starts[rest], many) + step] = found_ids[np.repeat(from_, many) + step]
         if len(first):
-            self._put(hashes[near[first]], found[: len(first)], found_ids)
+            self._put(hashes[near[first]], checks[near[first]], found[: len(first)], found_ids)
         return lengths, ids
 
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct pair (a, b), and for every place the number of its pair."""
+    order = np.lexsort((b, a))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back
+
+
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[slice, list[str]]]:
     """Consecutive texts of at most limit bytes together, a longer text alone; only these are made Python strings."""
     sizes = pc.binary_length(texts).to_pylist()

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -9,6 +10,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from pyspark.sql import functions as F
 
 from orfweave.llm import packing, token_counts
+from orfweave.llm import vocabulary as vocabulary_module
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ALPHABET = [*" \n\t 'sStrevmld1!éa-. x\0ß漢\x1c՘", "<|endoftext|>", " the", "ation"]
@@ -58,11 +60,51 @@ def test_packing(spark, tokenizer, texts):
             assert p.offset == at
             at += p.length
         assert at <= 1024
-    # less than a sequence lost in each of the three windows
-    assert len(by_sequence) * 1024 - sum(p.length for p in pieces) < 3 * 1024
+    # small partitions are packed together: less than a sequence is lost in all
+    assert len(by_sequence) * 1024 - sum(p.length for p in pieces) < 1024
     assert packing.pack(docs.limit(0), PATH).count() == 0
 
 
 def test_place_prefers_cheap_sequences():
     got = packing.place(np.array([600, 600, 300, 300]))
     assert sorted((k, j) for k, _, _, j, _ in got) == [(0, 0), (1, 1), (2, 0), (3, 1)]
+
+
+def test_binary_junk_is_linear(tokenizer):
+    """Pieces that hold the separator, alone and beside others, as fast as the rest."""
+    vocabulary = vocabulary_module.Vocabulary.read(PATH)
+    encoder = vocabulary_module.Encoder.of(vocabulary)
+    texts = ["\0" + "-" * 200_000, "\0\0\0" + "=-" * 1000 + "\0", "plain words", "\0", "a\0b", "\0" * 5000, "x" * 3000 + "\0"]
+    began = time.time()
+    counts, _, ids = encoder.encode(texts)
+    took = time.time() - began
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert took < 5
+    assert vocabulary_module.Encoder.of(vocabulary) is encoder
+
+
+def test_ids_out_of_merge_order(tmp_path):
+    import json
+
+    model = json.load(open(PATH, encoding="utf-8"))
+    model["model"]["merges"][10:12] = model["model"]["merges"][11:9:-1]
+    (tmp_path / "v.json").write_text(json.dumps(model))
+    with pytest.raises(ValueError, match="order"):
+        vocabulary_module.Vocabulary(str(tmp_path / "v.json"))
+
+
+def test_packing_odd_rows(spark, tokenizer):
+    """Repeated rows, null ids and clashing names; one very long text."""
+    rows = [(1, "same text", 5)] * 40 + [(None, "no id", 6)] * 3 + [(2, "word " * 50_000, 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, sequence_id int").selectExpr("*", "1 AS ids", "2 AS offset", "3 AS start")
+    pieces = packing.pack(docs, PATH).collect()
+    total = {t: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for _, t, _ in rows}
+    assert sum(p.length for p in pieces) == sum(total[t] for _, t, _ in rows)
+    assert sum(p.length for p in pieces if p.doc_id == 1) == 40 * total["same text"] and sum(p.length for p in pieces if p.doc_id is None) == 3 * total["no id"]
+    used = {}
+    for p in pieces:
+        used.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for parts in used.values():
+        ends = [0] + [a + n for a, n in sorted(parts)]
+        assert [a for a, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 1024
