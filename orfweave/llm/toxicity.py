@@ -9,8 +9,9 @@ weight) that every task gets by broadcast, bounded by 2**BITS.
 The model is fitted in one task on at most MAX_ROWS labelled rows, the first by a hash of the id (a documented
 bound); a lost executor repeats that task with the same rows in the same order and so with the same result. It
 then scores every whole text. Without labelled rows all scores are 0. Null texts are empty: their score is the
-intercept's. Of several labels of an id the highest holds; null labels and ids are left out of the fit. Each row
-gives one row; columns other than the id and the text are no inputs.
+intercept's. Of several labels of an id the highest holds, of several texts the one with the smallest hash; null
+labels and ids are left out of the fit. Each row gives one row; columns other than the id and the text are no inputs
+and pass through. A very long text is dealt with alone, in arrays of some 60 times its bytes.
 """
 
 from __future__ import annotations
@@ -45,6 +46,14 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 class Features:
     """Hashed features of many texts at once, found with array operations. The tables are the same in every process."""
 
+    _own: Features | None = None
+
+    @classmethod
+    def of(cls) -> Features:
+        """The process's own tables: workers live longer than tasks."""
+        cls._own = cls._own or cls()
+        return cls._own
+
     def __init__(self):
         # lower case, one character for one; the rest of the characters stand for themselves
         self.value = np.zeros(_CODE_POINTS, np.uint64)
@@ -126,19 +135,34 @@ def held_out(id_column: str | Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", max_rows: int = MAX_ROWS) -> list[tuple[int, float]]:
-    """The nonzero weights; coordinate -1 is the intercept. Learns from the rows that aren't held out."""
+class Model:
+    """The nonzero weights and the intercept; without an intercept all scores are 0."""
+
+    def __init__(self, coordinates: np.ndarray, weights: np.ndarray, bias: float | None):
+        self.coordinates, self.weights, self.bias = coordinates, weights, bias
+
+    def __len__(self) -> int:
+        return len(self.coordinates)
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Model) and self.bias == other.bias and np.array_equal(self.coordinates, other.coordinates) and np.array_equal(self.weights, other.weights)
+
+
+def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
+    """Learns from the rows that aren't held out."""
     known = labels.where(~held_out(id_column) & F.col(label_column).isNotNull())
     known = known.groupBy(F.col(id_column).alias("key")).agg(F.max(label_column).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("key"), "key").limit(max_rows)
     # chosen has max_rows rows at most
     rows = docs.select(F.col(id_column).alias("key"), whole_text(text_column).alias("text")).join(F.broadcast(chosen), "key")
-    rows = rows.select(F.xxhash64("key").alias("place"), "text", "label")
+    # an id has one row, however often it repeats: the task that learns has max_rows rows at most
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first")
+    rows = rows.groupBy("key", "label").agg(one).select(F.xxhash64("key").alias("place"), F.col("first.text").alias("text"), "label")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = None
         for batch in batches:
-            find = find or Features()
+            find = find or Features.of()
             for part, texts in chunks(batch.column(1)):
                 pairs = [np.concatenate(x) for x in zip(*find(texts))]
                 keys = np.unique(pairs[0].astype(np.uint64) << np.uint64(BITS) | pairs[1])
@@ -154,18 +178,22 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         rows.sort()
         weights, bias = fit([(np.frombuffer(f, "<u4"), y) for _, f, y in rows])
         kept = np.flatnonzero(weights)
+        # coordinate -1 is the intercept
         yield pa.RecordBatch.from_arrays([pa.array(np.append(kept, -1)), pa.array(np.append(weights[kept], bias))], ["coordinate", "weight"])
 
     found = rows.mapInArrow(features, "place bigint, found binary, label int")
     model = found.repartition(1).mapInArrow(learn, "coordinate bigint, weight double")
-    return [(r["coordinate"], r["weight"]) for r in model.collect()]
+    learnt = model.toPandas()
+    own = learnt["coordinate"] >= 0
+    bias = learnt["weight"][~own]
+    return Model(learnt["coordinate"][own].to_numpy(np.int32), learnt["weight"][own].to_numpy(np.float32), float(bias.iloc[0]) if len(bias) else None)
 
 
 #: The column that score_column() adds.
 SCORE = "orfweave_toxicity"
 
 
-def score_column(docs: DataFrame, model: list[tuple[int, float]], text_column: str = "text") -> DataFrame:
+def score_column(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
     """The documents with all their columns and a score from 0 to 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -179,14 +207,10 @@ def score_column(docs: DataFrame, model: list[tuple[int, float]], text_column: s
 
 
 class Scorer:
-    def __init__(self, model: list[tuple[int, float]]):
-        self.find = Features()
-        self.weights, self.bias = np.zeros(1 << BITS, np.float32), None
-        for k, w in model:
-            if k < 0:
-                self.bias = w
-            else:
-                self.weights[k] = w
+    def __init__(self, model: Model):
+        self.find = Features.of()
+        self.weights, self.bias = np.zeros(1 << BITS, np.float32), model.bias
+        self.weights[model.coordinates] = model.weights
         self.some = self.weights != 0
 
     def __call__(self, texts: list[str]) -> np.ndarray:

@@ -1,7 +1,9 @@
 """Toxicity and top-k search."""
 
+import itertools
 import math
 import random
+import re
 
 import numpy as np
 
@@ -35,9 +37,10 @@ def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None), (1, None), (None, ""), (2, "퟿" * 10)], "doc_id bigint, text string")
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     model = toxicity.train(docs, none)
-    assert model == [] and {r[toxicity.SCORE] for r in toxicity.score_column(docs, model).collect()} == {0.0}
-    assert toxicity.score_column(docs.limit(0), [(-1, 0.5)]).count() == 0
-    assert {round(r[toxicity.SCORE], 6) for r in toxicity.score_column(docs, [(-1, 0.5)]).collect()} == {round(1 / (1 + math.exp(-0.5)), 6)}
+    assert len(model) == 0 and model.bias is None and {r[toxicity.SCORE] for r in toxicity.score_column(docs, model).collect()} == {0.0}
+    constant = toxicity.Model(np.zeros(0, np.int32), np.zeros(0, np.float32), 0.5)
+    assert toxicity.score_column(docs.limit(0), constant).count() == 0
+    assert {round(r[toxicity.SCORE], 6) for r in toxicity.score_column(docs, constant).collect()} == {round(1 / (1 + math.exp(-0.5)), 6)}
 
 
 def test_topk(spark, monkeypatch):
@@ -67,3 +70,66 @@ def test_tree_covers():
     for centre, radius, rows in zip(tree.centre, tree.radius, tree.rows):
         assert np.sqrt(((points[rows] - centre) ** 2).sum(axis=1)).max() <= radius
     assert sorted(np.concatenate([r for r, c in zip(tree.rows, tree.children) if not c]).tolist()) == list(range(500))
+
+
+def coordinates(text):
+    parts = list(toxicity.Features.of()([text]))
+    return set().union(*(set(c.tolist()) for _, c in parts))
+
+
+def test_features_match_plain_tokeniser():
+    """A text's coordinates are those of its words, stems, pairs and skip pairs, each taken from the smallest text that
+    has it."""
+    text = "One, two three-four; ONE über eleven seventeen 42 one two"
+    words = re.findall(r"[^\W_]+", text.lower())
+    want = set()
+    for k, w in enumerate(words):
+        want |= coordinates(w)
+        assert len(coordinates(w)) == 1 + sum(len(w) > n for n in toxicity.STEMS)
+        for d in toxicity.DISTANCES:
+            if k + d < len(words):
+                between = ["zq"] * (d - 1)
+                alone = coordinates(w) | coordinates(words[k + d]) | coordinates("zq")
+                own = set()
+                for x, y in itertools.pairwise([w, *between, words[k + d]]):
+                    own |= coordinates(f"{x} {y}") if d > 1 else set()
+                if d == 3:
+                    own |= coordinates(f"{w} zq zq") | coordinates(f"zq zq {words[k + d]}")
+                want |= coordinates(" ".join([w, *between, words[k + d]])) - alone - own
+    assert coordinates(text) == want
+    assert coordinates("a b") != coordinates("b a") and coordinates("") == set()
+
+
+def test_fit_matches_dictionary_ftrl():
+    rng = np.random.default_rng(8)
+    rows = [(np.unique(rng.integers(0, 300, 20)).astype(np.uint32), int(rng.random() < 0.3)) for _ in range(400)]
+    rows = [(np.union1d(c, [500]).astype(np.uint32) if y and rng.random() < 0.9 else c, y) for c, y in rows]
+    got, got_bias = toxicity.fit(rows)
+    z, n = {}, {}
+    alpha, beta, l1, l2 = toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2
+
+    def weight(k, l1, l2):
+        a, b = z.get(k, 0.0), n.get(k, 0.0)
+        return 0.0 if abs(a) <= l1 else -(a - math.copysign(l1, a)) / ((beta + math.sqrt(b)) / alpha + l2)
+
+    for _ in range(toxicity.EPOCHS):
+        for c, y in rows:
+            keys = [(k, l1, l2) for k in c.tolist()] + [("bias", 0.0, 0.0)]
+            w = {k: weight(k, a, b) for k, a, b in keys}
+            g = (1 / (1 + math.exp(-sum(w.values()))) - y) * (toxicity.POSITIVE if y else 1.0)
+            for k in w:
+                sigma = (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / alpha
+                z[k], n[k] = z.get(k, 0.0) + g - sigma * w[k], n.get(k, 0.0) + g * g
+    want = np.zeros(len(got))
+    for k in z:
+        if k != "bias":
+            want[k] = weight(k, l1, l2)
+    assert np.abs(got - want).max() < 5e-3 and want[500] > 1 and abs(got_bias - weight("bias", 0.0, 0.0)) < 5e-3
+
+
+def test_training_takes_one_row_an_id(spark):
+    rows = [(k % 20, f"text {k % 20}" + " vile" * (k % 20 < 10)) for k in range(200)] + [(3, "another text")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k < 10)) for k in range(20)], "doc_id bigint, toxic int")
+    one = docs.dropDuplicates(["doc_id", "text"])
+    assert toxicity.train(docs, labels) == toxicity.train(one, labels)
