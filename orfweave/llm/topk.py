@@ -1,21 +1,25 @@
 """Operator 7, exact top-k search by inner product with dual cover trees.
 
-A bounded sample gives pivots, the top level of the search: every vector, query or not, belongs to the cell of
-its nearest pivot, and cells are cut into blocks of bounded size. A block's centre, radius and greatest norm
-bound the score that any query of a group can reach in it,
-
-    q.x <= qc.xc + |qc| rx + |xc| rq + rq rx.
-
-Each group of queries first searches the blocks in which its bound is highest, which gives every query a kth score so
-far. The blocks that can still beat a group's worst kth score are searched in the second step, the others are
-pruned. Within a task both sides are cover trees: every point of a node lies within its radius, children are
-centred further apart than half their parent's reach, and pairs of nodes are pruned by the same bound against
-the worst kth score of the node's queries. Scores are inner products of whole numbers in double precision, exact below
-2**53, so results are exact; ties go to the smaller id, and pairs that tie with the kth are not pruned.
-
-Rows without an id and vectors that are null or hold null or non-finite components take no part; shorter vectors count as filled
-up with zeros; rows that repeat an id are candidates each, and a query's own row is left out by its id; fewer candidates
-than k give fewer rows; an empty table gives none. Only the id and the vector are read.
+A bounded sample gives pivots, the top level of the search: every vector, query or not, belongs to the cell of its
+nearest pivot. A cell of over BLOCK vectors is cut into shells by the distance from its pivot, and a shell that still
+is too large into parts by hash. A shell's pivot c, radius r and greatest norm bound the score of a query q in it,
+
+    q.x <= min(q.c + |q| r, |q| max |x|).
+
+Each query first searches the shell of its highest bound, which gives it a kth score so far, and then all shells whose
+bound reaches that; the others are pruned. Within a task both sides are cover trees: every point of a node lies within
+its radius, children are centred further apart than half their parent's reach, and pairs of nodes are pruned by
+the same kind of bound against the worst kth score of the node's queries. Scores are inner products of whole numbers
+in double precision; where they could reach 2**53 the search is refused, so results are exact. Ties go to the smaller
+id, and pairs that tie with the kth are not pruned.
+
+Where neighbours are hardly nearer than anything else, as among random directions in 64 dimensions, no bound of this
+kind prunes and the search compares (nearly) all pairs in blocks; README has figures.
+
+Rows without an id and vectors that are null or hold null or non-finite components take no part; shorter vectors count as
+filled up with zeros; rows that repeat an id are candidates and queries each, and a query's own row, not its id, is left
+out; fewer candidates than k give fewer rows; an empty table gives none. Only the id and the vector are read, so
+further columns may have any name.
 """
 
 from __future__ import annotations
@@ -31,10 +35,11 @@ from .common import Scratch, table
 
 K = 10
 SCALE = 1024
-#: Pivots at most, vectors of a block, queries of a group, points of a leaf.
-PIVOTS, BLOCK, GROUP, LEAF = 128, 8192, 2048, 64
+#: Pivots at most, vectors of a block, queries of a slice, points of a leaf; a cell for so many vectors; shells of a cell.
+PIVOTS, BLOCK, SLICE, LEAF = 128, 8192, 2048, 64
+CELL, SHELLS = 2048, 16
 SAMPLE = 4096
-_ROW = "id bigint, query boolean, vector array<bigint>"
+_ROW = "row bigint, id bigint, query boolean, vector array<bigint>"
 
 
 class Tree:
@@ -83,18 +88,21 @@ class Tree:
 
 
 class Search:
-    """The best k so far of some queries; candidates of several trees may be added one after another."""
+    """The best k so far of some queries; candidates of several trees may be added one after another. rows tell a query
+    from the other rows of its id."""
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray, k: int, floor: np.ndarray | None = None):
-        self.tree, self.ids, self.k = Tree(points), ids, k
-        self.scores = np.full((len(ids), k), -np.inf)
-        self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
+    def __init__(self, rows: np.ndarray, points: np.ndarray, k: int, floor: np.ndarray | None = None):
+        self.tree, self.own, self.k = Tree(points), rows, k
+        self.scores = np.full((len(rows), k), -np.inf)
+        self.found = np.full((len(rows), k), np.iinfo(np.int64).max)
         #: scores that k candidates elsewhere have reached already
-        self.floor = np.full(len(ids), -np.inf) if floor is None else floor
+        self.floor = np.full(len(rows), -np.inf) if floor is None else floor
+        #: pairs whose scores were worked out
+        self.compared = 0
 
-    def add(self, ids: np.ndarray, points: np.ndarray) -> None:
+    def add(self, rows: np.ndarray, ids: np.ndarray, points: np.ndarray) -> None:
         other = Tree(points)
-        if not len(ids) or not len(self.ids):
+        if not len(ids) or not len(self.own):
             return
         stack = [(self._bound(0, other, 0), 0, 0)]
         while stack:
@@ -103,7 +111,7 @@ class Search:
                 continue
             split_q, split_x = self.tree.children[q], other.children[x]
             if not split_q and not split_x:
-                self._compare(self.tree.rows[q], other.rows[x], ids, points)
+                self._compare(self.tree.rows[q], other.rows[x], rows, ids, points)
                 continue
             # the wider node is split, or the one that can be
             if split_x and (not split_q or other.radius[x] >= self.tree.radius[q]):
@@ -122,15 +130,16 @@ class Search:
         rows = self.tree.rows[q]
         return float(np.maximum(self.scores[rows, -1], self.floor[rows]).min())
 
-    def _compare(self, queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, points: np.ndarray) -> None:
-        scores = self.tree.points[queries] @ points[rows].T
-        scores[self.ids[queries][:, None] == ids[rows][None, :]] = -np.inf
+    def _compare(self, queries: np.ndarray, places: np.ndarray, rows: np.ndarray, ids: np.ndarray, points: np.ndarray) -> None:
+        scores = self.tree.points[queries] @ points[places].T
+        self.compared += scores.size
+        scores[self.own[queries][:, None] == rows[places][None, :]] = -np.inf
         least = np.maximum(self.scores[queries, -1], self.floor[queries])
         for i in np.flatnonzero(scores.max(axis=1) >= least).tolist():
             q = queries[i]
             new = np.flatnonzero((scores[i] >= least[i]) & (scores[i] > -np.inf))
             all_scores = np.concatenate((self.scores[q], scores[i, new]))
-            all_ids = np.concatenate((self.found[q], ids[rows[new]]))
+            all_ids = np.concatenate((self.found[q], ids[places[new]]))
             order = np.lexsort((all_ids, -all_scores))[: self.k]
             self.scores[q], self.found[q] = all_scores[order], all_ids[order]
 
@@ -139,7 +148,7 @@ def _rows(vectors: DataFrame, id_column: str, vector_column: str, every: int) ->
     v = F.transform(F.col(vector_column), lambda x: x.cast("double"))
     finite = F.col(vector_column).isNotNull() & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     whole = F.transform(v, lambda x: F.floor(x * SCALE))
-    return vectors.where(finite & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(id_column) % every == 0, F.lit(False)).alias("query"), whole.alias("vector"))
+    return vectors.where(finite & F.col(id_column).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(id_column) % every == 0, F.lit(False)).alias("query"), whole.alias("vector"))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -155,33 +164,66 @@ def search(vectors: DataFrame, every: int = 100, k: int = K, id_column: str = "v
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
     rows = scratch.write(_rows(vectors, id_column, vector_column, every), "rows")
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width"), F.count_if("query").alias("queries")).first()
+    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width"), F.max(square).alias("square")).first()
+    if (size["square"] or 0.0) >= 1 << 53:
+        raise ValueError("scores could reach 2**53 and would not be exact")
     width = size["width"] or 0
     sample = rows.orderBy(F.xxhash64("id", "vector")).limit(min(SAMPLE, PIVOTS * 16)).select("vector").toPandas()
     points = np.array([[*v, *[0] * (width - len(v))] for v in sample["vector"]], float).reshape(len(sample), width)
-    count = int(np.clip(size["n"] // 2048, 1, PIVOTS))
-    pivots = points[_spread(points, count)] if len(points) else points
+    pivots = points[_spread(points, int(np.clip(size["n"] // CELL, 1, PIVOTS)))] if len(points) else points
     placed = scratch.write(_placed(rows, pivots, width), "placed")
-    # the blocks of a cell and the groups of its queries, by hash in numbers that follow the cell's size
-    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("query").alias("queries"))
-    cells = cells.select("cell", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil(F.col("queries") / GROUP).alias("groups"))
-    # as many cells as pivots
-    dealt = placed.join(F.broadcast(cells), "cell").withColumn("hash", F.xxhash64("id", "distance"))
-    blocks = dealt.select("id", "vector", "distance", "cell", F.pmod("hash", "blocks").cast("int").alias("part"))
-    asking = dealt.where("query").select("id", "vector", "distance", "cell", F.pmod("hash", "groups").cast("int").alias("part"))
-    reach = {r["cell"]: (r["x"], r["q"], r["blocks"]) for r in placed.groupBy("cell").agg(F.max("distance").alias("x"), F.max(F.when(F.col("query"), F.col("distance"))).alias("q")).join(cells, "cell").collect()}
-    bound = _bounds(pivots, reach)
-    first = {q: max(range(len(pivots)), key=lambda c: (bound[q][c], -c)) for q in bound}
-    near = _searched(spark, blocks, asking.withColumn("floor", F.lit(float("-inf"))), {q: [q] if reach[q][2] else [first[q]] for q in bound}, reach, width, k, scratch)
-    kth = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth"))
+    blocks, shells = _blocks(placed, scratch)
+    asking = placed.where("query").select("row", "vector", F.lit(float("-inf")).alias("floor"), F.array().cast("array<int>").alias("done"))
+    first = scratch.write(_asked(asking, shells, pivots, width, True), "first")
+    near = _searched(blocks, shells, first, width, k, scratch)
+    kth = near.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth"))
     floor = F.when(F.col("n") >= k, F.col("kth").cast("double")).otherwise(F.lit(float("-inf")))
-    asking = scratch.write(asking.join(kth.select(F.col("query_id").alias("id"), floor.alias("floor")), "id", "left").fillna(float("-inf"), ["floor"]), "asking")
-    worst = {r["cell"]: r["floor"] for r in asking.groupBy("cell").agg(F.min("floor").alias("floor")).collect()}
-    rest = {q: [c for c in range(len(pivots)) if c in reach and c != q and bound[q][c] >= worst[q]] for q in bound}
-    far = _searched(spark, blocks, asking, rest, reach, width, k, scratch)
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    asking = first.select("row", "vector", F.array("shell").alias("done")).join(kth.select("row", floor.alias("floor")), "row", "left").fillna(float("-inf"), ["floor"])
+    far = _searched(blocks, shells, _asked(asking, shells, pivots, width, False), width, k, scratch)
+    best = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
     ranked = near.union(far).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    queries = placed.where("query").select("row", F.col("id").alias("query_id"))
+    return ranked.join(queries, "row").select("query_id", "rank", "vec_id", "score")
+
+
+def _blocks(placed: DataFrame, scratch: Scratch) -> tuple[DataFrame, list]:
+    """The vectors with the number of their shell and part; and of each shell its number, cell, reach (greatest distance
+    from the pivot), norm (the greatest) and parts. There are PIVOTS * SHELLS shells at most."""
+    shares = F.array(*(F.lit((j + 1) / SHELLS) for j in range(SHELLS - 1)))
+    cuts = placed.groupBy("cell").agg(F.when(F.count(F.lit(1)) > BLOCK, F.percentile_approx("distance", shares)).otherwise(F.array().cast("array<double>")).alias("cuts"))
+    # PIVOTS rows at most
+    shelled = placed.join(F.broadcast(cuts), "cell").withColumn("shell", (F.col("cell") * SHELLS + F.size(F.filter("cuts", lambda c: c < F.col("distance")))).cast("int"))
+    shelled = scratch.write(shelled.select("row", "id", "vector", "cell", "shell", "distance", "norm"), "shells")
+    sums = shelled.groupBy("shell").agg(F.first("cell").alias("cell"), F.max("distance").alias("reach"), F.max("norm").alias("norm"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    return shelled, sums.orderBy("shell").collect()
+
+
+def _asked(asking: DataFrame, shells: list, pivots: np.ndarray, width: int, first: bool) -> DataFrame:
+    """row, vector, floor and shell: of each query the shell of its highest bound, or all but those done whose bound reaches
+    its floor."""
+    numbers = np.array([s["shell"] for s in shells], np.int32)
+    centres = pivots[[s["cell"] for s in shells]] if shells else pivots
+    reach, norms = (np.array([s[c] for s in shells]) for c in ("reach", "norm"))
+    shared = asking.sparkSession.sparkContext.broadcast((numbers, centres, reach, norms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, centres, reach, norms = shared.value
+        for batch in batches:
+            points = _matrix(batch.column(1), width)
+            own = np.sqrt((points**2).sum(axis=1))[:, None]
+            bound = np.minimum(points @ centres.T + own * reach, own * norms)
+            # rounding must not make a bound too low
+            bound += 1e-9 * np.abs(bound) + 1e-6
+            if first:
+                chosen = [numbers[[j]] for j in bound.argmax(axis=1)]
+            else:
+                reached = bound >= batch.column(2).to_numpy()[:, None]
+                chosen = [np.setdiff1d(numbers[r], done) for r, done in zip(reached, batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(chosen, pa.list_(pa.int32()))], ["row", "vector", "floor", "shells"])
+
+    found = asking.select("row", "vector", "floor", "done").mapInArrow(run, "row bigint, vector array<bigint>, floor double, shells array<int>")
+    return found.select("row", "vector", "floor", F.explode("shells").alias("shell"))
 
 
 def _spread(points: np.ndarray, count: int) -> list[int]:
@@ -196,58 +238,47 @@ def _spread(points: np.ndarray, count: int) -> list[int]:
 
 
 def _placed(rows: DataFrame, pivots: np.ndarray, width: int) -> DataFrame:
-    """With the nearest pivot's number and the distance to it. pivots: PIVOTS vectors at most."""
+    """With the nearest pivot's number, the distance to it and the norm. pivots: PIVOTS vectors at most."""
     shared = rows.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = shared.value
         for batch in batches:
-            points = _matrix(batch.column(2), width)
+            points = _matrix(batch.column(3), width)
             near = np.stack([((points - c) ** 2).sum(axis=1) for c in centres], axis=1)
             cell = near.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(np.sqrt(near[np.arange(len(cell)), cell]))], ["id", "query", "vector", "cell", "distance"])
-
-    return rows.mapInArrow(run, f"{_ROW}, cell int, distance double")
-
-
-def _bounds(pivots: np.ndarray, reach: dict) -> dict[int, dict[int, float]]:
-    """For each cell with queries the highest score that they can have in each cell."""
-    out = {}
-    for q, (_, rq, _) in reach.items():
-        if rq is None:
-            continue
-        out[q] = {}
-        for c, (rx, _, _) in reach.items():
-            value = pivots[q] @ pivots[c] + np.linalg.norm(pivots[q]) * rx + np.linalg.norm(pivots[c]) * rq + rq * rx
-            out[q][c] = float(value + 1e-9 * abs(value) + 1e-6)
-    return out
-
-
-def _searched(spark: SparkSession, blocks: DataFrame, asking: DataFrame, pairs: dict[int, list[int]], reach: dict, width: int, k: int, scratch: Scratch) -> DataFrame:
-    """The k best of each query within the cells that pairs name for its own cell. A task has one block and the queries of
-    one slice of those that ask it; queries go to the blocks, which are the larger side."""
-    listed = [(q, c, p) for q, cells in pairs.items() for c in cells for p in range(reach[c][2])]
-    keys = ["cell", "part", "slice"]
-    # PIVOTS squared times the blocks of a cell at most
-    wanted = spark.createDataFrame(listed, "cell int, to_cell int, to_part int") if listed else spark.createDataFrame([], "cell int, to_cell int, to_part int")
-    sent = asking.join(wanted, "cell").select("id", "vector", "floor", F.col("to_cell").alias("cell"), F.col("to_part").alias("part"), F.pmod(F.xxhash64("id"), F.lit(1 << 20)).alias("hash"))
-    slices = sent.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("slices"))
-    slices = scratch.write(slices, "slices")
-    sent = sent.join(slices, ["cell", "part"]).withColumn("slice", (F.col("hash") % F.col("slices")).cast("int"))
-    sent = scratch.write(sent.select("id", "vector", "floor", *keys), "sent")
-    data = blocks.join(slices, ["cell", "part"]).select("id", "vector", "cell", "part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+            distance, norm = np.sqrt(near[np.arange(len(cell)), cell]), np.sqrt((points**2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(distance), pa.array(norm)], ["row", "id", "query", "vector", "cell", "distance", "norm"])
+
+    return rows.mapInArrow(run, f"{_ROW}, cell int, distance double, norm double")
+
+
+def _searched(blocks: DataFrame, shells: list, asked: DataFrame, width: int, k: int, scratch: Scratch) -> DataFrame:
+    """row, vec_id and score: the k best of each query within the shells that it asks. A task has one part of a shell and one
+    slice of the queries that ask it; queries go to the blocks, which are the larger side."""
+    spark = blocks.sparkSession
+    # PIVOTS * SHELLS rows at most
+    parts = F.broadcast(spark.createDataFrame([(s["shell"], s["parts"]) for s in shells], "shell int, parts int"))
+    sent = scratch.write(asked, "asked")
+    slices = sent.groupBy("shell").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
+    slices = F.broadcast(scratch.write(slices, "slices"))
+    keys = ["shell", "part", "slice"]
+    left = sent.join(parts, "shell").join(slices, "shell").withColumn("slice", F.pmod(F.xxhash64("row"), F.col("slices")).cast("int"))
+    left = left.select("row", "vector", "floor", "shell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "slice")
+    right = blocks.join(parts, "shell").join(slices, "shell").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+    right = right.select("row", "id", "vector", "shell", "part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
+            return pa.table({"row": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         left, right = left.combine_chunks(), right.combine_chunks()
-        found = Search(left["id"].to_numpy(), _matrix(left["vector"].combine_chunks(), width), k, left["floor"].to_numpy())
-        found.add(right["id"].to_numpy(), _matrix(right["vector"].combine_chunks(), width))
+        found = Search(left["row"].to_numpy(), _matrix(left["vector"].combine_chunks(), width), k, left["floor"].to_numpy())
+        found.add(right["row"].to_numpy(), right["id"].to_numpy(), _matrix(right["vector"].combine_chunks(), width))
         q, place = np.nonzero(found.scores > -np.inf)
-        return pa.table({"query_id": found.ids[q], "vec_id": found.found[q, place], "score": found.scores[q, place].astype(np.int64)})
+        return pa.table({"row": found.own[q], "vec_id": found.found[q, place], "score": found.scores[q, place].astype(np.int64)})
 
-    both = sent.groupBy(*keys).cogroup(data.groupBy(*keys))
-    return scratch.write(both.applyInArrow(run, "query_id bigint, vec_id bigint, score bigint"), "found")
+    both = left.groupBy(*keys).cogroup(right.groupBy(*keys))
+    return scratch.write(both.applyInArrow(run, "row bigint, vec_id bigint, score bigint"), "found")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from orfweave.llm import topk, toxicity
 
@@ -55,8 +56,10 @@ def test_topk(spark, monkeypatch):
         if q % 100 == 0:
             scores = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in clean if i != q))[:10]
             want[q] = [(i, -s) for s, i in scores]
-    for block in (8192, 64):
+    # one cell; twenty cells and more, cut into shells and parts
+    for block, cell in ((8192, 2048), (16, 25)):
         monkeypatch.setattr(topk, "BLOCK", block)
+        monkeypatch.setattr(topk, "CELL", cell)
         got = {}
         for r in topk.search(df).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append((r.vec_id, r.score))
@@ -64,6 +67,41 @@ def test_topk(spark, monkeypatch):
     assert topk.search(df.limit(0)).count() == 0
 
 
+def test_topk_prunes_clusters(spark, monkeypatch):
+    """Vectors of separate clusters: most shells are never asked; the answers stay whole."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(25, 16)) * 10
+    points = np.repeat(centres, 40, axis=0) + rng.normal(size=(1000, 16)) * 0.05
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(points)], "vec_id bigint, embedding array<double>")
+    monkeypatch.setattr(topk, "CELL", 40)
+    asked, searched = [], topk._searched
+
+    def counted(blocks, shells, wanted, *more):
+        asked.append((wanted.count(), len(shells)))
+        return searched(blocks, shells, wanted, *more)
+
+    monkeypatch.setattr(topk, "_searched", counted)
+    got = {}
+    for r in topk.search(df, every=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    whole = np.floor(points * 1024)
+    for q in range(0, 1000, 20):
+        scores = whole @ whole[q]
+        order = sorted((-int(s), i) for i, s in enumerate(scores) if i != q)[:10]
+        assert got[q] == [(i, -s) for s, i in order]
+    assert asked[0][1] >= 20 and asked[1][0] < 0.3 * 50 * asked[1][1]
+
+
+def test_topk_repeated_query_ids_and_size(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0]), (2, [0.5, 0.25])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(df).collect())
+    one = 1 << 20
+    assert got == sorted([(0, 1, 1, one), (0, 2, 2, one // 2), (0, 3, 0, 0), (0, 1, 1, one), (0, 2, 2, one // 4), (0, 3, 0, 0)])
+    with pytest.raises(ValueError, match="exact"):
+        topk.search(spark.createDataFrame([(0, [1e5])], df.schema))
+
+
 def test_tree_covers():
     points = np.random.default_rng(4).normal(size=(500, 5))
     tree = topk.Tree(points, leaf=10)
