@@ -1,7 +1,10 @@
 """Secrets, licences, mixing, sharding and exact dedup against plain Python."""
 
 import hashlib
+import math
+import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -213,3 +216,89 @@ def test_sharding_odd_rows(spark):
     assert len(got) == len(rows) and sum(r.size for r in got) == sum(len(t or "") + 1 for _, t, *_ in rows)
     for s in {r.shard for r in got}:
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_license_texts_and_headers(spark):
+    """Whole licence texts, headers of several lines and wrapped statements; what they give to the files below them."""
+    from orfweave.llm.license_texts import TEMPLATES
+
+    mit, apache, bsd = TEMPLATES["MIT"][4], TEMPLATES["Apache-2.0"][2], TEMPLATES["BSD-3-Clause"][2]
+    wrap = lambda text, mark="": "\n".join(mark + line for line in textwrap.wrap(" ".join(text.split()), 70))
+    code = "\n\nimport os\n" + "value = compute(value)\n" * 60
+    files = [
+        ("a/LICENSE", "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + wrap(mit)),
+        ("a/x.py", "import os\n"),
+        ("b/COPYING.txt", "Copyright 2019 The Authors. All rights reserved.\n\n" + wrap(bsd)),
+        ("b/deep/er/y.c", "/* Copyright 2019\n   " + wrap(apache).replace("\n", "\n   ") + "\n*/" + code),
+        ("b/deep/z.go", "// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file." + code),
+        ("b/deep/q.sh", "#!/bin/sh\n#\n# Licensed under the Apache\n# License, Version 2.0." + code),
+        # a header that is a quarter of its file and more speaks for the directory
+        ("b/deep/w.py", "# Copyright 2020\n#\n" + wrap(apache, "# ") + code),
+        ("b/deep/none.py", code),
+        ("b/none.py", code),
+        ("c/long.txt", "word " * 60_000 + "\n" + "Released under the MIT License.\n" * 2 + "word " * 60_000),
+        ("c/other.txt", "words about a license and other conditions of use, distributed at large"),
+        ("d/LICENSE", "The MIT License\n"),
+        (None, "MIT License"),
+    ]
+    found = {}
+    frame_ = spark.createDataFrame([(k if p else None, p, t) for k, (p, t) in enumerate(files)], "doc_id bigint, path string, text string")
+    docs = frame_.selectExpr("*", "1 AS license", "2 AS dir", "3 AS file", "4 AS cosine", "5 AS id")
+    out = license_scan.scan(docs, id_column="doc_id")
+    assert out.columns == ["doc_id", "license", "cosine", "line", "span", "from_dir"]
+    for r in out.collect():
+        found[files[r.doc_id][0] if r.doc_id is not None else None] = (r.license, r.from_dir)
+    assert found == {
+        "a/LICENSE": ("MIT", None),
+        "a/x.py": ("MIT", "a"),
+        "b/COPYING.txt": ("BSD-3-Clause", None),
+        "b/deep/er/y.c": ("Apache-2.0", None),
+        "b/deep/z.go": ("BSD-3-Clause", None),
+        "b/deep/q.sh": ("Apache-2.0", None),
+        "b/deep/w.py": ("Apache-2.0", None),
+        "b/none.py": ("BSD-3-Clause", "b"),
+        "b/deep/none.py": ("Apache-2.0", "b/deep"),
+        "c/long.txt": ("MIT", None),
+        "c/other.txt": (None, None),
+        "d/LICENSE": ("MIT", None),
+        None: ("MIT", None),
+    }
+
+
+def test_license_ties_and_model(spark):
+    """Of equal cosines the first line, then the shortest run, then the first name; every template holds an anchor and none
+    can be matched without one."""
+    two = {"B": "alpha beta gamma", "A": "alpha beta gamma", "C": "other words here"}
+    files = spark.createDataFrame([(1, "x\nalpha beta gamma\nalpha beta gamma"), (1, "alpha\nbeta gamma"), (2, None), (None, "other words here")], "id bigint, text string")
+    got = [(r.id, r.license, r.line, r.span, r.cosine) for r in license_scan.scan(files.selectExpr("*", "CAST(NULL AS STRING) AS path"), two, id_column="id").collect()]
+    assert Counter(got) == Counter([(1, "A", 1, 1, 1.0), (1, "A", 0, 2, 1.0), (2, None, None, None, None), (None, "C", 0, 1, 1.0)])
+    model = license_scan.Model()
+    anchors = set(model.anchors(0.8))
+    for k in {t[0] for t in model.terms}:
+        assert sum(x * x for n, _, w, x in model.terms if n == k and w not in anchors) <= 0.64
+
+
+def test_license_scores_every_unit(spark):
+    """The words that units must hold drop no match: brute force over all units gives the same."""
+    rng = random.Random(3)
+    model = license_scan.Model()
+    lines = [line for texts in license_scan.TEMPLATES.values() for text in texts for line in text.split("\n")]
+    texts = ["\n".join(" ".join(w for w in rng.choice(lines).split() if rng.random() < 0.9) for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    got = {r.doc_id: (r.license, r.cosine) for r in license_scan.scan(frame(spark, [(k, t, None, None) for k, t in enumerate(texts)]).withColumnRenamed("source", "path"), id_column="doc_id").collect()}
+    weight = {}
+    for k, name, w, x in model.terms:
+        weight.setdefault((k, name), {})[w] = x
+    for d, text in enumerate(texts):
+        rows, best = text.split("\n"), (0.0, None)
+        for a in range(len(rows)):
+            for b in [*range(a + 1, min(len(rows), a + 3) + 1), *([len(rows)] if a == 0 else [])]:
+                c = Counter(w for w in re.split("[^a-z0-9]+", " ".join(rows[a:b]).lower()) if w)
+                own = {w: (1 + math.log(n)) * model.rarity.get(w, model.unknown) for w, n in c.items()}
+                norm = math.sqrt(sum(x * x for x in own.values())) or 1.0
+                for (k, name), terms in weight.items():
+                    cosine = sum(x * terms.get(w, 0.0) for w, x in own.items()) / norm
+                    best = max(best, (round(cosine, 6), name), key=lambda x: x[0])
+        if best[0] >= 0.8:
+            assert abs(got[d][1] - best[0]) < 2e-6
+        else:
+            assert got[d] == (None, None)
