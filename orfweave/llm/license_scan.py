@@ -11,8 +11,9 @@ one, ties: the smallest path, then the first name). A file that names no licence
 directory, its own included, that has one.
 
 Only units that can reach the threshold are scored: a unit that lacks words which make up over 1 - THRESHOLD**2 of a
-template's squared weights can't reach it, so each must hold one of a set of such words, chosen to be rare and long.
-This drops no match, and files without any of them aren't looked at further.
+template's squared weights can't reach it, so each must hold one of a set of such words. Any such set drops no match; the
+one that is taken has words that are rare among the first SAMPLE files, and files without any of them aren't looked at
+further.
 
 Null texts are empty, null paths lie in no directory and inherit nothing; each row gives one row, rows that repeat an id
 or a path are files each, an empty table gives none. Columns other than those named aren't read, so they may have any
@@ -35,6 +36,8 @@ THRESHOLD = 0.8
 SHARE = 0.25
 #: Lines of a run at most.
 RUN = 3
+#: Files by which the words that units must hold are chosen; what is found doesn't depend on them.
+SAMPLE = 512
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = "[^a-z0-9]+"
 _COMMENT = r"""^[ \t\r]*($|#|//|/\*|\*|--|;|%|<!--|"{3}|'{3})"""
@@ -61,16 +64,18 @@ class Model:
             norm = math.sqrt(sum(x * x for x in raw.values()))
             self.terms += [(k, name, w, x / norm) for w, x in raw.items()]
 
-    def anchors(self, threshold: float) -> list[str]:
-        """Words of which each unit that reaches the threshold holds at least one."""
+    def anchors(self, threshold: float, often: dict[str, int] | None = None) -> list[str]:
+        """Words of which each unit that reaches the threshold holds at least one; often says in how many files of a sample
+        they are."""
+        often = often or {}
         out: set[str] = set()
         own: dict[int, list[tuple[str, float]]] = {}
         for k, _, w, x in self.terms:
             own.setdefault(k, []).append((w, x))
-        # short texts have no choice, so they come first; then words that serve already, then long ones
+        # short texts have no choice, so they come first; rare words, then those that serve already, then long ones
         for words in sorted(own.values(), key=lambda words: (len(words), words)):
             total = 0.0
-            for w, x in sorted(words, key=lambda i: (i[0] not in out, -len(i[0]), i[0])):
+            for w, x in sorted(words, key=lambda i: (often.get(i[0], 0), i[0] not in out, -len(i[0]), i[0])):
                 if total > 1 - threshold**2 + 1e-9:
                     break
                 out.add(w)
@@ -84,8 +89,11 @@ def scan(files: DataFrame, templates: dict[str, str | tuple[str, ...]] = TEMPLAT
     spark = files.sparkSession
     scratch = Scratch(spark, "license")
     model = Model(templates)
-    anchors = model.anchors(threshold)
     path, text = F.col(path_column), whole_text(text_column)
+    seen = files.limit(SAMPLE).select(F.explode(F.array_distinct(F.split(F.translate(text, _UPPER, _LOWER), _BREAK))).alias("word"))
+    rarity = F.broadcast(spark.createDataFrame(list(model.rarity.items()), "word string, rarity double"))
+    # as many rows as the templates have words
+    anchors = model.anchors(threshold, {r["word"]: r["count"] for r in seen.join(rarity, "word").groupBy("word").count().collect()})
     directory = F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).when(path.isNotNull(), F.lit(""))
     # wider than the words themselves, and quick: most files end here
     held = F.lower(text)

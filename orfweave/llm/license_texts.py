@@ -69,8 +69,8 @@ TEMPLATES = {
     ),
     "MIT": (
         "Released under the MIT License.",
-        "The MIT License (MIT)",
-        "MIT License",
+        "Licensed under the MIT License.",
+        "Distributed under the MIT License.",
         "SPDX-License-Identifier: MIT",
         """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
         documentation files (the "Software"), to deal in the Software without restriction, including without limitation the

@@ -238,8 +238,8 @@ def test_license_texts_and_headers(spark):
         ("b/none.py", code),
         ("c/long.txt", "word " * 60_000 + "\n" + "Released under the MIT License.\n" * 2 + "word " * 60_000),
         ("c/other.txt", "words about a license and other conditions of use, distributed at large"),
-        ("d/LICENSE", "The MIT License\n"),
-        (None, "MIT License"),
+        ("d/LICENSE", "Distributed under the MIT license\n"),
+        (None, "Released under the MIT License"),
     ]
     found = {}
     frame_ = spark.createDataFrame([(k if p else None, p, t) for k, (p, t) in enumerate(files)], "doc_id bigint, path string, text string")
