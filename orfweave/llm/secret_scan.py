@@ -12,6 +12,7 @@ gives one row, an empty table gives none, and columns other than the path and th
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -44,25 +45,35 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
-RULE_VERSION = "1"
+
+
+def rule_version(rules: tuple[Rule, ...]) -> str:
+    """A name that changes with the rules, so that edited rules scan all blobs again."""
+    return hashlib.sha256(repr([(r.kind, r.pattern, r.group, r.least) for r in rules]).encode()).hexdigest()[:16]
+
+
 SPANS = "array<struct<kind:string,start:int,end:int>>"
-LEDGER_SCHEMA = f"blob string, rule_version string, spans {SPANS}"
+LEDGER_SCHEMA = f"blob string, spans {SPANS}"
 
 
 class Ledger:
-    """What was scanned: a folder of Parquet files, one row for each blob and rule version."""
+    """What was scanned: a folder of Parquet files in a folder for each rule version, a row for each blob; rows that two
+    runs at the same time have both written count once."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def read(self, rule_version: str) -> DataFrame:
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+    def _folder(self, version: str) -> str:
+        return f"{self.path}/rules={version}"
+
+    def read(self, version: str) -> DataFrame:
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._folder(version))
         if not target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
             return self.spark.createDataFrame([], LEDGER_SCHEMA)
-        return self.spark.read.schema(LEDGER_SCHEMA).parquet(self.path).where(F.col("rule_version") == rule_version)
+        return self.spark.read.schema(LEDGER_SCHEMA).parquet(self._folder(version)).dropDuplicates(["blob"])
 
-    def append(self, rows: DataFrame) -> None:
-        rows.select("blob", "rule_version", "spans").write.mode("append").parquet(self.path)
+    def append(self, rows: DataFrame, version: str) -> None:
+        rows.select("blob", "spans").write.mode("append").parquet(self._folder(version))
 
 
 def _matches(rule: Rule, number: int) -> Column:
@@ -93,17 +104,17 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return spans.select("blob", F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).cast(SPANS).alias("spans"))
 
 
-def scan(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def scan(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, version: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per version: the id, blob and spans. Scans what the ledger lacks and appends it there."""
-    scratch = Scratch(versions.sparkSession, "secrets")
+    scratch, version = Scratch(versions.sparkSession, "secrets"), version or rule_version(rules)
     text = whole_text(text_column)
     addressed = versions.select(F.col(id_column).alias("id"), text.alias("text"), F.sha2(text, 256).alias("blob"))
     # copies fall together before the shuffle
     blobs = addressed.select("blob", "text").dropDuplicates(["blob"])
-    unseen = blobs.join(ledger.read(rule_version).select("blob"), "blob", "left_anti")
-    ledger.append(scan_blobs(unseen, rules).withColumn("rule_version", F.lit(rule_version)))
+    unseen = blobs.join(ledger.read(version).select("blob"), "blob", "left_anti")
+    ledger.append(scan_blobs(unseen, rules), version)
     paths = scratch.write(addressed.select("id", "blob"), "paths")
-    found = paths.join(ledger.read(rule_version).select("blob", "spans"), "blob")
+    found = paths.join(ledger.read(version), "blob")
     return found.select(F.col("id").alias(id_column), "blob", "spans")
 
 

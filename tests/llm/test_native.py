@@ -30,12 +30,17 @@ def test_secrets(spark):
     docs = frame(spark)
     got = {r.doc_id: r.s for r in secret_scan.scan(docs, ledger).withColumn("s", secret_scan.listed("spans")).collect()}
     assert got == {k: brute_spans(t) for k, t in enumerate(TEXTS)}
-    before = ledger.read("1").count()
+    own = secret_scan.rule_version(secret_scan.RULES)
+    before = ledger.read(own).count()
     assert before == len({t or "" for t in TEXTS})
     # nothing is scanned again; a new rule version scans all
-    assert secret_scan.scan(docs, ledger).count() == len(TEXTS) and ledger.read("1").count() == before
-    secret_scan.scan(docs, ledger, rule_version="2")
+    assert secret_scan.scan(docs, ledger).count() == len(TEXTS) and ledger.read(own).count() == before
+    secret_scan.scan(docs, ledger, version="2")
     assert ledger.read("2").count() == before
+    # rows that two runs have both written count once; edited rules have another version
+    ledger.append(ledger.read("2"), "2")
+    assert secret_scan.scan(docs, ledger, version="2").count() == len(TEXTS)
+    assert secret_scan.rule_version(secret_scan.RULES[:2]) != own
     empty = secret_scan.Ledger(spark, Scratch(spark, "test").path("ledger"))
     assert secret_scan.scan(docs.limit(0), empty).count() == 0
 
