@@ -25,7 +25,11 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.kept_documents(docs, exact_dedup.new_index(spark)).select(*COLUMNS)
+    index = exact_dedup.new_index(spark)
+    kept = exact_dedup.kept_documents(docs, index).select(*COLUMNS)
+    # what is kept reads the classes, not the index
+    index.drop()
+    return kept
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
