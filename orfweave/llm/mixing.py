@@ -6,10 +6,10 @@ an exponential tilt of the document's size,
 
     odds(rate / MOST) = odds(1 / MOST) * exp(lambda_source * size),
 
-whose lambda is the solution of a convex dual in one unknown a source. Newton iterations find all of them at
-once: each is one aggregation over the strata, a table of (source, size) with counts, and a bracket turns a step
-that leaves it into a bisection. A dual that isn't solved after ITERATIONS is an error. Every document has the
-rate of its own size.
+whose lambda is the solution of a convex dual in one unknown a source. Documents are first summed up to strata, a
+table of (source, size) with counts; Newton iterations over a source's strata, sources side by side in tasks of their
+own, find its lambda, and a bracket turns a step that leaves it into a bisection. A dual that isn't solved after
+ITERATIONS is an error. Every document has the rate of its own size.
 
 Rates become whole copies. For that, sizes fall into classes, exact below 128 words and 1/64 of an octave wide
 above, so a source has at most a few thousand. In a source, classes are taken from the largest down; each gets the
@@ -27,6 +27,8 @@ rows that are alike in id, source and size. Further columns may have any name.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -85,39 +87,43 @@ def _rate(tilt: Column, most: int) -> Column:
     return most / (1 + (most - 1) * F.exp(-tilt))
 
 
-def solve(strata: DataFrame, targets: DataFrame, scratch: Scratch, most: int = MOST, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
-    """The dual: source, source_size and target to those and tilt (of the relative size, size / scale) and bound (true
-    where every rate is at the upper bound)."""
-    spark = strata.sparkSession
-    scale = (F.sum("words") / F.greatest(F.sum("n"), F.lit(1))).alias("scale")
-    scales = strata.groupBy("source").agg(scale)
+def solve(strata: DataFrame, targets: DataFrame, most: int = MOST, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
+    """The dual: source, source_size and target to those and scale (the mean size), tilt (of sizes relative to it) and bound
+    (true where every rate is at the upper bound). Sources are solved side by side, each from its sizes and their counts;
+    these are as many as the source has different sizes, which the longest text bounds and not the number of texts."""
     bound = F.col("target") >= F.col("source_size") * most * (1 - 1e-12)
-    state = targets.join(scales.withColumnRenamed("source", "scaled"), F.col("source").eqNullSafe(F.col("scaled"))).select("source", "source_size", "target", F.greatest("scale", F.lit(1e-9)).alias("scale"), bound.alias("bound"), F.lit(0.0).alias("tilt"), F.lit(-1e6).alias("low"), F.lit(1e6).alias("high"), F.lit(1e300).alias("gap"))
-    state = scratch.write(state, "dual")
+    state = targets.select(F.col("source").alias("own"), "source_size", "target", bound.alias("bound"))
+    rows = strata.join(state, F.col("source").eqNullSafe(F.col("own"))).select("source", "size", "n", "words", "source_size", "target", "bound")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("size")
+        first = pdf.iloc[0]
+        scale = max(1e-9, float(pdf["words"].sum()) / max(1, int(pdf["n"].sum())))
+        tilt = 0.0
+        if not first["bound"] and first["source_size"] > 0:
+            tilt = _newton(pdf["words"].to_numpy(float), pdf["size"].to_numpy(float) / scale, float(first["target"]), most, iterations, tolerance)
+        return pd.DataFrame({"source": [first["source"]], "source_size": [first["source_size"]], "target": [first["target"]], "scale": [scale], "tilt": [tilt], "bound": [first["bound"]]})
+
+    kind = strata.schema["source"].dataType.simpleString()
+    return rows.groupBy("source").applyInPandas(one, f"source {kind}, source_size bigint, target double, scale double, tilt double, bound boolean")
+
+
+def _newton(words: np.ndarray, x: np.ndarray, target: float, most: int, iterations: int, tolerance: float) -> float:
+    """The tilt at which words times rates reach the target; a bracket turns a step that leaves it into a bisection."""
+    tilt, low, high = 0.0, -1e6, 1e6
+    gap = 0.0
     for _ in range(iterations):
-        x = F.col("words") / F.greatest(F.col("n"), F.lit(1)) / F.col("scale")
-        rate = _rate(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("tilt") * x)), most)
-        slope = rate * (1 - rate / most) * x
-        open_ = state.where("NOT bound").withColumnRenamed("source", "own")
-        sums = strata.where("words > 0").join(open_, F.col("source").eqNullSafe(F.col("own"))).groupBy("own").agg(F.sum(F.col("words") * rate).alias("words_now"), F.sum(F.col("words") * slope).alias("slope"))
-        sums = sums.withColumnRenamed("own", "summed")
-        over = F.col("words_now") - F.col("target")
-        low, high = F.when(over < 0, F.col("tilt")).otherwise(F.col("low")), F.when(over > 0, F.col("tilt")).otherwise(F.col("high"))
-        step = F.col("tilt") - over / F.greatest(F.col("slope"), F.lit(1e-300))
-        moved = state.join(sums, F.col("source").eqNullSafe(F.col("summed")), "left").select(
-            "source", "source_size", "target", "scale", "bound",
-            F.when(F.col("summed").isNull() & F.col("words_now").isNull(), F.col("tilt")).when(over == 0, F.col("tilt")).when((step > low) & (step < high), step).otherwise((low + high) / 2).alias("tilt"),
-            F.coalesce(low, "low").alias("low"), F.coalesce(high, "high").alias("high"),
-            F.coalesce(F.abs(over) / F.greatest(F.col("target"), F.lit(1.0)), F.lit(0.0)).alias("gap"),
-        )
-        before, state = state, scratch.write(moved, "dual")
-        scratch.drop(before)
-        gap = state.agg(F.max("gap")).first()[0] or 0.0
+        rate = most / (1 + (most - 1) * np.exp(-np.clip(tilt * x, -700, 700)))
+        over = float(words @ rate) - target
+        gap = abs(over) / max(target, 1.0)
         if gap <= tolerance:
-            return state
+            return tilt
+        low, high = (tilt, high) if over < 0 else (low, tilt)
+        step = tilt - over / max(float(words @ (rate * (1 - rate / most) * x)), 1e-300)
+        tilt = step if low < step < high else (low + high) / 2
     if gap > UNSOLVED:
-        raise RuntimeError(f"the dual is off its targets by {gap} after {iterations} iterations")
-    return state
+        raise RuntimeError(f"the dual is off its target by {gap} after {iterations} iterations")
+    return tilt
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
@@ -133,7 +139,7 @@ def _copies(sized: DataFrame, scratch: Scratch, weights: tuple[float, ...], most
     counts = sized.groupBy("source", "class", "size").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     strata = scratch.write(counts, "strata")
     targets = source_targets(strata.groupBy("source").agg(F.sum("words").alias("source_size")), scratch, weights, most)
-    dual = solve(strata, targets, scratch, most)
+    dual = scratch.write(solve(strata, targets, most), "dual")
     plan = scratch.write(_rounded(strata, dual, most), "plan")
     # cells of a stratum: by hash, in numbers that follow its size, each with its share of the stratum's extra copies
     plan = plan.withColumn("cells", F.ceil(F.col("n") / CELL).cast("int")).withColumnRenamed("source", "of").withColumnRenamed("class", "of_class")

@@ -243,7 +243,7 @@ COMMON = 50_000
 LEADING = 2
 LEADERS = 8
 NEAREST = 4
-PARITY_WORDS = 8
+PARITY_WORDS = 4
 _SLACK = 1e-9
 
 
@@ -353,15 +353,12 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = SH
     own = scratch.write(rows.mapInArrow(prints, f"id {kind}, key bigint, node bigint, fp bigint, n bigint, parities array<bigint>, prefix array<bigint>"), "prints")
     # any row of a node has its set
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "fp", "n")).alias("first")
-    nodes = scratch.write(own.groupBy("node").agg(first, F.min("parities").alias("parities")).select("node", "first.none", "first.id", "first.key", "first.fp", "first.n", "parities"), "nodes")
-    prefixes = scratch.write(own.groupBy("node").agg(F.min("n").alias("n"), F.min("prefix").alias("prefix")).select("node", "n", F.posexplode("prefix").alias("place", "shingle")), "prefixes")
-    shared = prefixes.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("shingle")
-    met = scratch.write(prefixes.join(shared, "shingle", "left_semi"), "met")
-    scratch.drop(prefixes)
+    nodes = own.groupBy("node").agg(first, F.min("parities").alias("parities"), F.min("prefix").alias("prefix"))
+    nodes = scratch.write(nodes.select("node", "first.none", "first.id", "first.key", "first.fp", "first.n", "parities", "prefix"), "nodes")
+    met = _met(nodes, scratch)
 
     links = _similar(rows, nodes, _covering_pairs(nodes, scratch), scratch, similarity, width)
     labels = components(links, scratch)
-    met = _ranked(met, nodes, scratch)
     for turn in range(LEADING):
         rank = F.xxhash64("node", "shingle", F.lit(turn)).cast("double") if turn else F.col("central")
         found = _similar(rows, nodes, _leading_pairs(met, labels, rank, scratch, similarity), scratch, similarity, width)
@@ -369,6 +366,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = SH
         labels = components(links, scratch)
     found = _similar(rows, nodes, _other_pairs(met, labels, scratch, similarity), scratch, similarity, width)
     labels = components(links.union(found), scratch)
+    scratch.drop(met)
 
     named = scratch.write(nodes.join(labels.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select("node", "none", "id", "key", F.coalesce("label", "node").alias("label")), "named")
     least = named.groupBy("label").agg(F.min(F.struct("none", "id", "key")).alias("first"))
@@ -405,51 +403,50 @@ def _able(similarity: float) -> Column:
     return sized & placed & (_apart(F.col("parities"), F.col("other")) <= (1 - similarity) / (1 + similarity) * (n + m) + _SLACK)
 
 
-def _ranked(met: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """With parities and central: how many nodes have a node's shingles, on average. In a group of near copies that is highest for what
-    was copied, which is nearer to the copies than they are to one another."""
-    spread = met.groupBy("shingle").agg(F.count(F.lit(1)).alias("spread"))
-    central = met.select("shingle", "node").join(spread, "shingle").groupBy("node").agg(F.avg("spread").alias("central"))
-    ranked = scratch.write(met.join(central.join(nodes.select("node", "parities"), "node"), "node"), "ranked")
-    scratch.drop(met)
-    return ranked
+def _met(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of each node that shares a shingle of its prefix with another: node, n, parities, places (shingle and place of those),
+    and central: how many nodes have them, on average. In a group of near copies that is highest for what was copied,
+    which is nearer to the copies than they are to one another."""
+    prefixes = nodes.select("node", F.posexplode("prefix").alias("place", "shingle"))
+    shared = prefixes.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("spread"))
+    met = prefixes.join(shared.where("low <> high").select("shingle", "spread"), "shingle")
+    # a node's list is no longer than its prefix
+    met = met.groupBy("node").agg(F.collect_list(F.struct("shingle", "place")).alias("places"), F.avg("spread").alias("central"))
+    return scratch.write(met.join(nodes.select("node", "n", "parities"), "node"), "met")
 
 
 _SIDE = ("label", "node", "n", "place", "parities")
 _OTHER = ("label_b", "b", "m", "spot", "other")
 
 
-def _mixed(met: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows of shingles whose nodes aren't all in one component, with label."""
-    own = met.join(labels.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").withColumn("label", F.coalesce("label", "node")).drop("own")
-    mixed = own.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle")
-    return scratch.write(own.join(mixed, "shingle", "left_semi"), "mixed")
+def _labelled(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """A row for each shingle of a node, with the node's label."""
+    own = met.join(labels.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left")
+    return own.select(F.coalesce("label", "node").alias("label"), "node", "n", "parities", "central", F.inline("places"))
 
 
 def _leading_pairs(met: DataFrame, labels: DataFrame, rank: Column, scratch: Scratch, similarity: float) -> DataFrame:
     """Each node with some of other components: of the leaders of its shingles the NEAREST ones by their parities. A
     shingle's nodes are dealt into LEADERS by hash, and the one of the highest rank leads each."""
-    mixed = _mixed(met, labels, scratch)
+    rows = _labelled(met, labels)
     dealt = F.pmod(F.xxhash64("shingle", "node", F.lit(SEED)), F.lit(LEADERS))
-    lead = mixed.groupBy("shingle", dealt.alias("dealt")).agg(F.max(F.struct(rank.alias("rank"), *_SIDE)).alias("first"))
+    lead = rows.groupBy("shingle", dealt.alias("dealt")).agg(F.max(F.struct(rank.alias("rank"), *_SIDE)).alias("first"))
     lead = lead.select("shingle", *(F.col(f"first.{c}").alias(name) for c, name in zip(_SIDE, _OTHER)))
-    both = mixed.join(lead, "shingle").where((F.col("label") != F.col("label_b")) & _able(similarity))
+    both = rows.join(lead, "shingle").where((F.col("label") != F.col("label_b")) & _able(similarity))
     # a node has at most LEADERS times its prefix's length of them
     one = F.struct(_apart(F.col("parities"), F.col("other")).alias("apart"), "b")
     nearest = both.groupBy("node").agg(F.slice(F.array_sort(F.collect_set(one)), 1, NEAREST).alias("nearest"))
     pairs = nearest.select(F.col("node").alias("a"), F.explode("nearest.b").alias("b"))
-    pairs = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    scratch.drop(mixed)
-    return pairs
+    return scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
 
 def _other_pairs(met: DataFrame, labels: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
     """All pairs of different components that share a shingle and may be similar. Of a shingle, rows outside its first
     component meet all others, so its own rows, which may be many, aren't compared with each other."""
-    mixed = _mixed(met, labels, scratch)
-    sizes = mixed.groupBy("shingle", "label").count().groupBy("shingle").agg(F.max(F.struct("count", "label")).alias("most"))
-    sides = scratch.write(mixed.join(sizes.select("shingle", F.col("most.label").alias("main")), "shingle"), "sides")
-    scratch.drop(mixed)
+    rows = _labelled(met, labels).drop("central")
+    # the component with the most rows of a shingle that has several
+    sizes = rows.groupBy("shingle", "label").count().groupBy("shingle").agg(F.max(F.struct("count", "label")).alias("most"), F.count(F.lit(1)).alias("several"))
+    sides = scratch.write(rows.join(sizes.where("several > 1").select("shingle", F.col("most.label").alias("main")), "shingle"), "sides")
     outside = sides.where("label <> main").select("shingle", *(F.col(c).alias(name) for c, name in zip(_SIDE, _OTHER)))
     apart = (F.col("label") != F.col("label_b")) & ((F.col("label") == F.col("main")) | (F.col("node") < F.col("b")))
     both = sides.join(outside, "shingle").where(apart & _able(similarity))
