@@ -28,9 +28,10 @@ rows that are alike in id, source and size. Further columns may have any name.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import WORD, Scratch, fresh, partitions, table, whole_text
 
@@ -95,17 +96,20 @@ def solve(strata: DataFrame, targets: DataFrame, most: int = MOST, iterations: i
     state = targets.select(F.col("source").alias("own"), "source_size", "target", bound.alias("bound"))
     rows = strata.join(state, F.col("source").eqNullSafe(F.col("own"))).select("source", "size", "n", "words", "source_size", "target", "bound")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("size")
-        first = pdf.iloc[0]
-        scale = max(1e-9, float(pdf["words"].sum()) / max(1, int(pdf["n"].sum())))
+    def one(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("size")
+        first = {c: rows[c][0].as_py() for c in ("source", "source_size", "target", "bound")}
+        words, size = rows["words"].to_numpy().astype(float), rows["size"].to_numpy().astype(float)
+        scale = max(1e-9, float(words.sum()) / max(1, int(rows["n"].to_numpy().sum())))
         tilt = 0.0
         if not first["bound"] and first["source_size"] > 0:
-            tilt = _newton(pdf["words"].to_numpy(float), pdf["size"].to_numpy(float) / scale, float(first["target"]), most, iterations, tolerance)
-        return pd.DataFrame({"source": [first["source"]], "source_size": [first["source_size"]], "target": [first["target"]], "scale": [scale], "tilt": [tilt], "bound": [first["bound"]]})
+            tilt = _newton(words, size / scale, first["target"], most, iterations, tolerance)
+        found = first | {"scale": scale, "tilt": tilt}
+        return pa.table({f.name: pa.array([found[f.name]], f.type) for f in out})
 
-    kind = strata.schema["source"].dataType.simpleString()
-    return rows.groupBy("source").applyInPandas(one, f"source {kind}, source_size bigint, target double, scale double, tilt double, bound boolean")
+    kind = rows.schema["source"].dataType
+    out = pa.schema([("source", to_arrow_type(kind)), ("source_size", pa.int64()), ("target", pa.float64()), ("scale", pa.float64()), ("tilt", pa.float64()), ("bound", pa.bool_())])
+    return rows.groupBy("source").applyInArrow(one, f"source {kind.simpleString()}, source_size bigint, target double, scale double, tilt double, bound boolean")
 
 
 def _newton(words: np.ndarray, x: np.ndarray, target: float, most: int, iterations: int, tolerance: float) -> float:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole_text
+from .common import held, table, whole_text
 from .vocabulary import chunks
 
 BITS = 22
@@ -46,13 +46,10 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 class Features:
     """Hashed features of many texts at once, found with array operations. The tables are the same in every process."""
 
-    _own: Features | None = None
-
     @classmethod
     def of(cls) -> Features:
-        """The process's own tables: workers live longer than tasks."""
-        cls._own = cls._own or cls()
-        return cls._own
+        """The process's own tables."""
+        return held("features", cls)
 
     def __init__(self):
         # lower case, one character for one; the rest of the characters stand for themselves
@@ -172,11 +169,19 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(found, pa.binary()), batch.column(2)[part]], ["place", "found", "label"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(p.as_py(), f.as_py(), y.as_py()) for b in batches for p, f, y in zip(*b.columns)]
+        rows = []
+        for b in batches:
+            if b.num_rows:
+                # views of the batch's own memory; nothing is copied
+                found = b.column(1).cast(pa.binary())
+                edges = np.frombuffer(found.buffers()[1], np.int32)[found.offset :]
+                data = np.frombuffer(found.buffers()[2] or b"", np.uint8)
+                rows += [(p, bytes(data[x : x + 64]), data[x:y].view("<u4"), label) for p, x, y, label in zip(b.column(0).to_pylist(), edges, edges[1:], b.column(2).to_pylist())]
         if not rows:
             return
-        rows.sort()
-        weights, bias = fit([(np.frombuffer(f, "<u4"), y) for _, f, y in rows])
+        # rows of one place are told apart by what they hold
+        rows.sort(key=lambda r: (r[0], r[1], len(r[2]), r[3]))
+        weights, bias = fit([(f, y) for _, _, f, y in rows])
         kept = np.flatnonzero(weights)
         # coordinate -1 is the intercept
         yield pa.RecordBatch.from_arrays([pa.array(np.append(kept, -1)), pa.array(np.append(weights[kept], bias))], ["coordinate", "weight"])

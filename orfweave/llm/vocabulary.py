@@ -10,12 +10,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import held
 from .pretokenize import Pieces, character_classes
 
 #: Bytes of texts that are dealt with at once; several arrays of eight bytes for each of them are alive then.
 CHUNK_BYTES = 400_000
 #: Slots of a worker's table of pieces, and the most tokens of a piece that it keeps.
-SLOTS, KEPT = 1 << 21, 8
+SLOTS, KEPT = 1 << 20, 8
 _SEPARATOR = "\0"
 
 
@@ -89,15 +90,11 @@ class Encoder:
 
     LONG = 64
     _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
-    #: one for each process, since workers live longer than tasks
-    _own: tuple[Vocabulary, Encoder] | None = None
 
     @classmethod
     def of(cls, vocabulary: Vocabulary) -> Encoder:
-        """The process's encoder of the vocabulary; what it keeps changes its speed only."""
-        if cls._own is None or cls._own[0].path != vocabulary.path:
-            cls._own = vocabulary, cls(vocabulary)
-        return cls._own[1]
+        """The process's encoder of the vocabulary; what it remembers changes its speed only."""
+        return held(f"encoder {vocabulary.path}", lambda: cls(vocabulary))
 
     def __init__(self, vocabulary: Vocabulary):
         import tiktoken
