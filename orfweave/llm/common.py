@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,5 +48,20 @@ def held(name: str, make: Callable[[], object]) -> object:
     and serve several operators, so tables of one name only are kept at a time."""
     if name not in _HELD:
         _HELD.clear()
+        release()
         _HELD[name] = make()
     return _HELD[name]
+
+
+def release() -> None:
+    """Gives memory that this process no longer uses back to the machine, where allocators would keep it for a next task that
+    may be one of another operator."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

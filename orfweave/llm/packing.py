@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole_text
+from .common import release, table, whole_text
 from .vocabulary import Encoder, Vocabulary, chunks
 
 CAPACITY = 1024
@@ -118,6 +118,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_c
         packer.flush()
         if packer.rows:
             yield _batch(packer, kind)
+        release()
 
     rows = docs.select(F.col(id_column).alias("id"), whole_text(text_column).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

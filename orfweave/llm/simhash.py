@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, partitions, table, whole_text
+from .common import Scratch, fresh, partitions, release, table, whole_text
 from .components import components
 from .shingles import sets as shingle_sets
 from .vocabulary import chunks
@@ -301,6 +301,7 @@ def _common_shingles(rows: DataFrame, width: int) -> np.ndarray:
             for _, texts in chunks(batch.column(0)):
                 found = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(texts, width)])
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["shingle"])
+        release()
 
     sample = rows.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 20)) < share).select("text")
     often = sample.mapInArrow(shingles, "shingle bigint").groupBy("shingle").count().where("count > 2")
@@ -347,6 +348,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = SH
                     "prefix": pa.array([order.prefix(s, similarity).view(np.int64) for s in sets], pa.list_(pa.int64())),
                 }
                 yield pa.RecordBatch.from_arrays(list(found.values()), list(found))
+        release()
 
     kind = rows.schema["id"].dataType.simpleString()
     rows = rows.select("id", F.xxhash64("text").alias("key"), "text")
@@ -470,6 +472,7 @@ def _similar(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, scratch: Scrat
             for part, own in chunks(batch.column(1)):
                 found = [s.view(np.int64) for s in shingle_sets(own, width)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(found, pa.list_(pa.int64()))], ["node", "hashes"])
+        release()
 
     whole = scratch.write(texts.mapInArrow(sets, "node bigint, hashes array<bigint>").dropDuplicates(["node"]), "sets")
     left, right = (whole.select(F.col("node").alias(k), F.col("hashes").alias(f"set_{k}")) for k in "ab")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole_text
+from .common import release, table, whole_text
 from .vocabulary import Encoder, Vocabulary, chunks
 
 TOKEN_LIMIT = 512
@@ -40,6 +40,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id"
                 found_tokens.append(tokens)
                 found_whole.append(whole)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found_tokens)), pa.array(np.concatenate(found_whole))], ["id", "n_tokens", "n_whole"])
+        release()
 
     rows = docs.select(F.col(id_column).alias("id"), whole_text(text_column).alias("text"))
     # the byte length comes from the counter's own reading of the text, so that the text is read once

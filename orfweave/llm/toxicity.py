@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held, table, whole_text
+from .common import held, release, table, whole_text
 from .vocabulary import chunks
 
 BITS = 22
-MAX_ROWS = 16_384
+MAX_ROWS = 8_192
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.1
 #: What a row of label 1 weighs beside one of label 0.
@@ -98,8 +98,9 @@ class Features:
         return (hashes >> np.uint64(64 - BITS)).astype(np.uint32)
 
 
-def fit(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """FTRL-proximal over rows of (coordinates, label): the weights and the intercept. The intercept has no penalty."""
+def fit(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
+    """FTRL-proximal over rows of (coordinates, label): the coordinates with a weight, their weights and the intercept. The
+    intercept has no penalty."""
     z, squares = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
     bias_z = bias_squares = bias = 0.0
     for _ in range(epochs):
@@ -116,7 +117,8 @@ def fit(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.nd
             bias_z += gradient - (np.sqrt(bias_squares + gradient * gradient) - np.sqrt(bias_squares)) / ALPHA * bias
             bias_squares += gradient * gradient
             bias = -bias_z / ((BETA + np.sqrt(bias_squares)) / ALPHA)
-    return _weights(z, squares), float(bias)
+    kept = np.flatnonzero((z > L1) | (z < -L1))
+    return kept, _weights(z[kept], squares[kept]), float(bias)
 
 
 def _weights(z: np.ndarray, squares: np.ndarray) -> np.ndarray:
@@ -167,6 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
                 coordinates = (keys & np.uint64((1 << BITS) - 1)).astype("<u4")
                 found = [x.tobytes() for x in np.split(coordinates, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(found, pa.binary()), batch.column(2)[part]], ["place", "found", "label"])
+        release()
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -181,10 +184,11 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
             return
         # rows of one place are told apart by what they hold
         rows.sort(key=lambda r: (r[0], r[1], len(r[2]), r[3]))
-        weights, bias = fit([(f, y) for _, _, f, y in rows])
-        kept = np.flatnonzero(weights)
+        kept, weights, bias = fit([(f, y) for _, _, f, y in rows])
         # coordinate -1 is the intercept
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(kept, -1)), pa.array(np.append(weights[kept], bias))], ["coordinate", "weight"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(kept, -1)), pa.array(np.append(weights, bias))], ["coordinate", "weight"])
+        rows.clear()
+        release()
 
     found = rows.mapInArrow(features, "place bigint, found binary, label int")
     model = found.repartition(1).mapInArrow(learn, "coordinate bigint, weight double")
@@ -207,6 +211,8 @@ def score_column(docs: DataFrame, model: Model, text_column: str = "text") -> Da
         scorer = Scorer(shared.value)
         for batch in batches:
             yield pa.array(np.concatenate([np.zeros(0), *(scorer(texts) for _, texts in chunks(batch))]))
+        del scorer
+        release()
 
     return docs.withColumn(SCORE, score(whole_text(text_column)))
 

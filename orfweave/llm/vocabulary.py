@@ -14,9 +14,9 @@ from .common import held
 from .pretokenize import Pieces, character_classes
 
 #: Bytes of texts that are dealt with at once; several arrays of eight bytes for each of them are alive then.
-CHUNK_BYTES = 400_000
+CHUNK_BYTES = 150_000
 #: Slots of a worker's table of pieces, and the most tokens of a piece that it keeps.
-SLOTS, KEPT = 1 << 20, 8
+SLOTS, KEPT = 1 << 19, 8
 _SEPARATOR = "\0"
 
 

@@ -142,7 +142,9 @@ def test_fit_matches_dictionary_ftrl():
     rng = np.random.default_rng(8)
     rows = [(np.unique(rng.integers(0, 300, 20)).astype(np.uint32), int(rng.random() < 0.3)) for _ in range(400)]
     rows = [(np.union1d(c, [500]).astype(np.uint32) if y and rng.random() < 0.9 else c, y) for c, y in rows]
-    got, got_bias = toxicity.fit(rows)
+    kept, weights, got_bias = toxicity.fit(rows)
+    got = np.zeros(1 << toxicity.BITS)
+    got[kept] = weights
     z, n = {}, {}
     alpha, beta, l1, l2 = toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2
 
