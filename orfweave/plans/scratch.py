@@ -63,7 +63,18 @@ class Scratch:
         out._orfweave_path = path
         return out
 
+    def write_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """Writes a table in buckets by key, as many as shuffles have partitions: joins by the key don't move it again."""
+        n, path = int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.path(name)
+        own = f"orfweave_{uuid.uuid4().hex}"
+        df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(own)
+        out = self.spark.table(own)
+        out._orfweave_path, out._orfweave_table = path, own
+        return out
+
     def drop(self, what: DataFrame) -> None:
-        """Deletes a table that write() returned."""
+        """Deletes a table that write() or write_bucketed() returned."""
+        if table := getattr(what, "_orfweave_table", None):
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         if path := getattr(what, "_orfweave_path", None):
             delete(path, _FOLDERS[self.root])
