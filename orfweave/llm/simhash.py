@@ -240,10 +240,10 @@ SAMPLE = 16_384
 COMMON = 50_000
 #: Rounds in which each node is compared with some leaders, before all pairs that are left are; leaders of a shingle;
 #: how many of them a node is compared with.
-LEADING = 2
+LEADING = 3
 LEADERS = 8
 NEAREST = 4
-PARITY_WORDS = 4
+PARITY_WORDS = 8
 _SLACK = 1e-9
 
 
@@ -358,16 +358,19 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = SH
     nodes = own.groupBy("node").agg(first, F.min("parities").alias("parities"), F.min("prefix").alias("prefix"))
     nodes = scratch.write(nodes.select("node", "first.none", "first.id", "first.key", "first.fp", "first.n", "parities", "prefix"), "nodes")
     met = _met(nodes, scratch)
+    covering = _covering_pairs(nodes, scratch)
+    sets = _sets(rows, nodes, met, covering, scratch, width)
 
-    links = _similar(rows, nodes, _covering_pairs(nodes, scratch), scratch, similarity, width)
+    links = _similar(sets, nodes, covering, scratch, similarity)
     labels = components(links, scratch)
     for turn in range(LEADING):
         rank = F.xxhash64("node", "shingle", F.lit(turn)).cast("double") if turn else F.col("central")
-        found = _similar(rows, nodes, _leading_pairs(met, labels, rank, scratch, similarity), scratch, similarity, width)
+        found = _similar(sets, nodes, _leading_pairs(met, labels, rank, scratch, similarity), scratch, similarity)
         links = links.union(found)
         labels = components(links, scratch)
-    found = _similar(rows, nodes, _other_pairs(met, labels, scratch, similarity), scratch, similarity, width)
+    found = _similar(sets, nodes, _other_pairs(met, labels, scratch, similarity), scratch, similarity)
     labels = components(links.union(found), scratch)
+    scratch.drop(sets)
     scratch.drop(met)
 
     named = scratch.write(nodes.join(labels.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select("node", "none", "id", "key", F.coalesce("label", "node").alias("label")), "named")
@@ -457,24 +460,31 @@ def _other_pairs(met: DataFrame, labels: DataFrame, scratch: Scratch, similarity
     return pairs
 
 
-def _similar(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, scratch: Scratch, similarity: float, width: int) -> DataFrame:
-    """The pairs of nodes whose sets are similar enough, from the whole sets."""
-    sizes = nodes.select("node", "n")
-    pairs = pairs.join(sizes.withColumnsRenamed({"node": "a", "n": "n_a"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "n_b"}), "b")
-    pairs = scratch.write(pairs.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - _SLACK), "sized")
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    needed = scratch.write(nodes.join(needed, "node", "left_semi").select("node", F.col("id").alias("own"), F.col("key").alias("own_key")), "needed")
+def _sets(rows: DataFrame, nodes: DataFrame, met: DataFrame, pairs: DataFrame, scratch: Scratch, width: int) -> DataFrame:
+    """node and hashes of the nodes that may be compared, in buckets by node: the texts are moved once."""
+    wanted = met.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    wanted = nodes.join(wanted, "node", "left_semi").select("node", F.col("id").alias("own"), F.col("key").alias("own_key"))
     # rows that repeat both give the same text
-    texts = rows.join(needed, F.col("id").eqNullSafe(F.col("own")) & (F.col("key") == F.col("own_key"))).select("node", "text")
+    texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("own")) & (F.col("key") == F.col("own_key"))).select("node", "text")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, own in chunks(batch.column(1)):
                 found = [s.view(np.int64) for s in shingle_sets(own, width)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(found, pa.list_(pa.int64()))], ["node", "hashes"])
         release()
 
-    whole = scratch.write(texts.mapInArrow(sets, "node bigint, hashes array<bigint>").dropDuplicates(["node"]), "sets")
+    return scratch.write_bucketed(texts.mapInArrow(run, "node bigint, hashes array<bigint>"), "sets", "node")
+
+
+def _similar(sets: DataFrame, nodes: DataFrame, pairs: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
+    """The pairs of nodes whose sets are similar enough, from the whole sets."""
+    sizes = nodes.select("node", "n")
+    pairs = pairs.join(sizes.withColumnsRenamed({"node": "a", "n": "n_a"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "n_b"}), "b")
+    pairs = scratch.write(pairs.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - _SLACK), "sized")
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    # each node once: a leader's many pairs are a skewed join with this small table, not with the buckets
+    whole = scratch.write(sets.join(needed, "node", "left_semi").dropDuplicates(["node"]), "needed")
     left, right = (whole.select(F.col("node").alias(k), F.col("hashes").alias(f"set_{k}")) for k in "ab")
     both = pairs.join(left, "a").join(right, "b")
     both = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).alias("shared"))
