@@ -244,6 +244,8 @@ LEADING = 3
 LEADERS = 8
 NEAREST = 4
 PARITY_WORDS = 8
+#: Rows of up to 24 bytes that are broadcast at most.
+FEW = 1 << 18
 _SLACK = 1e-9
 
 
@@ -355,22 +357,20 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = SH
     own = scratch.write(rows.mapInArrow(prints, f"id {kind}, key bigint, node bigint, fp bigint, n bigint, parities array<bigint>, prefix array<bigint>"), "prints")
     # any row of a node has its set
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "fp", "n")).alias("first")
-    nodes = own.groupBy("node").agg(first, F.min("parities").alias("parities"), F.min("prefix").alias("prefix"))
-    nodes = scratch.write(nodes.select("node", "first.none", "first.id", "first.key", "first.fp", "first.n", "parities", "prefix"), "nodes")
-    met = _met(nodes, scratch)
+    nodes = own.groupBy("node").agg(first, F.min("parities").alias("parities"))
+    nodes = scratch.write(nodes.select("node", "first.none", "first.id", "first.key", "first.fp", "first.n", "parities"), "nodes")
+    met = _met(own, nodes, scratch)
     covering = _covering_pairs(nodes, scratch)
-    sets = _sets(rows, nodes, met, covering, scratch, width)
 
-    links = _similar(sets, nodes, covering, scratch, similarity)
+    links = _similar(rows, nodes, covering, scratch, similarity, width)
     labels = components(links, scratch)
     for turn in range(LEADING):
         rank = F.xxhash64("node", "shingle", F.lit(turn)).cast("double") if turn else F.col("central")
-        found = _similar(sets, nodes, _leading_pairs(met, labels, rank, scratch, similarity), scratch, similarity)
+        found = _similar(rows, nodes, _leading_pairs(met, labels, rank, scratch, similarity), scratch, similarity, width)
         links = links.union(found)
         labels = components(links, scratch)
-    found = _similar(sets, nodes, _other_pairs(met, labels, scratch, similarity), scratch, similarity)
+    found = _similar(rows, nodes, _other_pairs(met, labels, scratch, similarity), scratch, similarity, width)
     labels = components(links.union(found), scratch)
-    scratch.drop(sets)
     scratch.drop(met)
 
     named = scratch.write(nodes.join(labels.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select("node", "none", "id", "key", F.coalesce("label", "node").alias("label")), "named")
@@ -408,11 +408,11 @@ def _able(similarity: float) -> Column:
     return sized & placed & (_apart(F.col("parities"), F.col("other")) <= (1 - similarity) / (1 + similarity) * (n + m) + _SLACK)
 
 
-def _met(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+def _met(own: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """Of each node that shares a shingle of its prefix with another: node, n, parities, places (shingle and place of those),
     and central: how many nodes have them, on average. In a group of near copies that is highest for what was copied,
     which is nearer to the copies than they are to one another."""
-    prefixes = nodes.select("node", F.posexplode("prefix").alias("place", "shingle"))
+    prefixes = own.groupBy("node").agg(F.min("prefix").alias("prefix")).select("node", F.posexplode("prefix").alias("place", "shingle"))
     shared = prefixes.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("spread"))
     met = prefixes.join(shared.where("low <> high").select("shingle", "spread"), "shingle")
     # a node's list is no longer than its prefix
@@ -426,7 +426,7 @@ _OTHER = ("label_b", "b", "m", "spot", "other")
 
 def _labelled(met: DataFrame, labels: DataFrame) -> DataFrame:
     """A row for each shingle of a node, with the node's label."""
-    own = met.join(labels.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left")
+    own = met.join(_few(labels).withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left")
     return own.select(F.coalesce("label", "node").alias("label"), "node", "n", "parities", "central", F.inline("places"))
 
 
@@ -460,31 +460,29 @@ def _other_pairs(met: DataFrame, labels: DataFrame, scratch: Scratch, similarity
     return pairs
 
 
-def _sets(rows: DataFrame, nodes: DataFrame, met: DataFrame, pairs: DataFrame, scratch: Scratch, width: int) -> DataFrame:
-    """node and hashes of the nodes that may be compared, in buckets by node: the texts are moved once."""
-    wanted = met.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    wanted = nodes.join(wanted, "node", "left_semi").select("node", F.col("id").alias("own"), F.col("key").alias("own_key"))
+def _few(df: DataFrame) -> DataFrame:
+    """A written table of narrow rows, broadcast if it has FEW at most, so that what it is joined with needn't move."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
+def _similar(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, scratch: Scratch, similarity: float, width: int) -> DataFrame:
+    """The pairs of nodes whose sets are similar enough, from the whole sets."""
+    sizes = nodes.select("node", "n")
+    pairs = pairs.join(sizes.withColumnsRenamed({"node": "a", "n": "n_a"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "n_b"}), "b")
+    pairs = scratch.write(pairs.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - _SLACK), "sized")
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    needed = scratch.write(nodes.join(needed, "node", "left_semi").select("node", F.col("id").alias("own"), F.col("key").alias("own_key")), "needed")
     # rows that repeat both give the same text
-    texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("own")) & (F.col("key") == F.col("own_key"))).select("node", "text")
+    texts = rows.join(_few(needed), F.col("id").eqNullSafe(F.col("own")) & (F.col("key") == F.col("own_key"))).select("node", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, own in chunks(batch.column(1)):
                 found = [s.view(np.int64) for s in shingle_sets(own, width)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(found, pa.list_(pa.int64()))], ["node", "hashes"])
         release()
 
-    return scratch.write_bucketed(texts.mapInArrow(run, "node bigint, hashes array<bigint>"), "sets", "node")
-
-
-def _similar(sets: DataFrame, nodes: DataFrame, pairs: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
-    """The pairs of nodes whose sets are similar enough, from the whole sets."""
-    sizes = nodes.select("node", "n")
-    pairs = pairs.join(sizes.withColumnsRenamed({"node": "a", "n": "n_a"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "n_b"}), "b")
-    pairs = scratch.write(pairs.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - _SLACK), "sized")
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    # each node once: a leader's many pairs are a skewed join with this small table, not with the buckets
-    whole = scratch.write(sets.join(needed, "node", "left_semi").dropDuplicates(["node"]), "needed")
+    whole = scratch.write(texts.mapInArrow(sets, "node bigint, hashes array<bigint>").dropDuplicates(["node"]), "sets")
     left, right = (whole.select(F.col("node").alias(k), F.col("hashes").alias(f"set_{k}")) for k in "ab")
     both = pairs.join(left, "a").join(right, "b")
     both = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).alias("shared"))
