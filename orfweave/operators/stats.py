@@ -84,6 +84,17 @@ def tukey(rows: DataFrame, group: str, value: str) -> DataFrame:
     return pairs.select("a", "b", (F.col("m2") - F.col("m1")).alias("difference"), (F.abs(F.col("m2") - F.col("m1")) / error).alias("q"))
 
 
+def neighbours(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """group, order, before, value and after: each value with those beside it in its group, null at the ends."""
+    along = Window.partitionBy(group).orderBy(order)
+    return rows.select(group, order, F.lag(value).over(along).alias("before"), value, F.lead(value).over(along).alias("after"))
+
+
+def histogram(rows: DataFrame, group: str, value: str, width: float) -> DataFrame:
+    """group, bucket (its lower end) and n."""
+    return rows.where(F.col(value).isNotNull()).groupBy(group, (F.floor(F.col(value) / width) * width).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
     """n rows without replacement."""
     return rows.orderBy(F.rand(seed)).limit(n)

@@ -242,6 +242,57 @@ def graph_del_node(spark, sf_dir):
     return g.del_node(g.nodes.where("node % 5 = 0")).edges
 
 
+@_query(f"SELECT count(DISTINCT node) AS v, (SELECT count(*) FROM ({_EDGES})) AS e FROM (SELECT src AS node FROM ({_EDGES}) UNION ALL SELECT dst FROM ({_EDGES}))")
+def graph_sizes(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return g.nodes.agg(F.count(F.lit(1)).alias("v")).join(g.edges.agg(F.count(F.lit(1)).alias("e")))
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    """Edges of which the graph has some: every customer with the remainder of twice the key."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("src"), (F.col("c_custkey") * 2 % 97 + 1_000_000_000).alias("dst"))
+
+
+_ASKED = "SELECT c_custkey AS src, c_custkey * 2 % 97 + 1000000000 AS dst FROM customer"
+
+
+@_query(f"SELECT a.src, a.dst, coalesce(e.weight, 0.0) AS weight FROM ({_ASKED}) a LEFT JOIN ({_EDGES}) e USING (src, dst)")
+def graph_weights(spark, sf_dir):
+    return _graph(spark, sf_dir).weights(_asked(spark, sf_dir))
+
+
+@_query(f"SELECT src, dst FROM ({_ASKED}) SEMI JOIN ({_EDGES}) USING (src, dst)")
+def graph_has_edge(spark, sf_dir):
+    return _graph(spark, sf_dir).has_edge(_asked(spark, sf_dir))
+
+
+@_query(f"SELECT c_custkey AS node FROM customer WHERE c_custkey IN (SELECT src FROM ({_EDGES}))")
+def graph_has_node(spark, sf_dir):
+    return _graph(spark, sf_dir).has_node(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node")))
+
+
+@_query(f"SELECT src AS node FROM ({_EDGES}) WHERE dst = 1000000005")
+def graph_adjacent(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return Graph.of(g.edges, directed=False).adjacent(1_000_000_005)
+
+
+@_query(f"SELECT src, dst, weight FROM ({_EDGES}) WHERE dst = 1000000005")
+def graph_in_edges(spark, sf_dir):
+    return _graph(spark, sf_dir).in_edges(1_000_000_005)
+
+
+@_query(f"SELECT node, count(*) AS degree FROM (SELECT src AS node FROM ({_EDGES}) UNION ALL SELECT dst FROM ({_EDGES})) GROUP BY node")
+def graph_undirected_degree(spark, sf_dir):
+    return Graph.of(_graph(spark, sf_dir).edges, directed=False).degree()
+
+
+@_query(f"SELECT src, dst, weight FROM ({_EDGES})")
+def graph_union(spark, sf_dir):
+    edges = _graph(spark, sf_dir).edges
+    return Graph.of(edges.where("src % 2 = 0")).union(Graph.of(edges.where("src % 2 = 1"))).edges
+
+
 @_query("SELECT true AS same, false AS other")
 def graph_equal(spark, sf_dir):
     g = _graph(spark, sf_dir)
@@ -336,6 +387,32 @@ def callers_explode(spark, sf_dir):
     return rows.groupBy("caller", "num_callers").agg(F.count(F.lit(1)).alias("n"))
 
 
+@_query("SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_discount > 0 GROUP BY l_returnflag")
+def nonzero_counts(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").where("l_discount > 0").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT caller, count(*) AS n FROM (SELECT unnest(string_split(o_orderpriority, '-')) AS caller, len(string_split(o_orderpriority, '-')) AS num_callers FROM orders) WHERE num_callers = 1 GROUP BY caller")
+def single_callers(spark, sf_dir):
+    rows = readers.explode_callers(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("callers")))
+    return rows.where("num_callers = 1").groupBy("caller").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT DISTINCT o_orderpriority AS caller FROM orders")
+def distinct_callers(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("caller")).distinct()
+
+
+@_query("SELECT user_id, event_id, lag(value) OVER w AS before, value, lead(value) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def sliding_neighbours(spark, sf_dir):
+    return stats.neighbours(table(spark, sf_dir, "events"), "user_id", "event_id", "value")
+
+
+@_query("SELECT event_type, CAST(floor(value / 10) * 10 AS BIGINT) AS bucket, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL")
+def value_histogram(spark, sf_dir):
+    return stats.histogram(table(spark, sf_dir, "events"), "event_type", "value", 10)
+
+
 _ANOVA = """SELECT g - 1 AS df_between, n - g AS df_within, round(b, 4) AS ss_between, round(w, 4) AS ss_within, round((b / (g - 1)) / (w / (n - g)), 6) AS f, round(b / (b + w), 6) AS eta, round(b / w, 6) AS f2 FROM (
   SELECT count(DISTINCT grp) AS g, count(*) AS n, sum((mean - grand) ** 2) AS b, sum((x - mean) ** 2) AS w FROM (SELECT grp, x, avg(x) OVER (PARTITION BY grp) AS mean, avg(x) OVER () AS grand FROM ({})))"""
 

@@ -10,14 +10,16 @@ LETTERS, NUCLEOTIDES = "etaoinshrdlcumwfgypbvkjxqz", "acgtacgtacgtacgtacgtacgtac
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """contig_id (the header's first word), description, seq (lower case), length. Text before the first header is
-    dropped; of records with one name the last stays."""
-    # each piece after a > that begins a line is a record; the piece before the first one has no header
-    records = spark.read.option("lineSep", "\n>").text(path).select("value", F.monotonically_increasing_id().alias("place"))
+    """contig_id (the header's first word), description, seq (lower case), length, place (which orders them). Text before a
+    file's first header is dropped; of records with one name the last stays."""
+    # each piece after a > that begins a line is a record; the piece before a file's first one has no header
+    pieces = spark.read.option("lineSep", "\n>").text(path)
+    pieces = pieces.select("value", F.monotonically_increasing_id().alias("place"), F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") == 0).alias("opens"))
+    # a task may hold many files: what comes first is told for each file
+    first = pieces.where("opens").groupBy("file").agg(F.min_by("value", "place").startswith(">").alias("headed"), F.min("place").alias("place"))
+    records = pieces.join(first.where("NOT headed").select("place"), "place", "left_anti")
     value = F.when(F.startswith("value", F.lit(">")), F.substr("value", F.lit(2))).otherwise(F.col("value"))
-    headless = F.input_file_block_start() == 0
-    records = records.select(value.alias("value"), "place", (headless & ~F.startswith("value", F.lit(">")) & (F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) == 0)).alias("headless")).where("NOT headless")
-    return records_to_contigs(records.select("value", "place"))
+    return records_to_contigs(records.select(value.alias("value"), "place"))
 
 
 def records_to_contigs(records: DataFrame, *keys: str) -> DataFrame:
@@ -27,7 +29,7 @@ def records_to_contigs(records: DataFrame, *keys: str) -> DataFrame:
     rows = rows.where(F.col("head")[0] != "")
     last = Window.partitionBy(*keys, "contig_id").orderBy(F.col("place").desc())
     rows = rows.select(*keys, F.col("head")[0].alias("contig_id"), F.coalesce(F.get("head", F.lit(1)), F.lit("")).alias("description"), "seq", F.length("seq").alias("length"), "place")
-    return rows.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n", "place")
+    return rows.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
 
 
 def contigs_from_text(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
