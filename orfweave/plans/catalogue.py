@@ -392,9 +392,11 @@ def nonzero_counts(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").where("l_discount > 0").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query("SELECT caller, count(*) AS n FROM (SELECT unnest(string_split(o_orderpriority, '-')) AS caller, len(string_split(o_orderpriority, '-')) AS num_callers FROM orders) WHERE num_callers = 1 GROUP BY caller")
+@_query("SELECT lang AS caller, count(*) AS n FROM documents WHERE doc_id % 3 = 0 AND lang IS NOT NULL GROUP BY lang")
 def single_callers(spark, sf_dir):
-    rows = readers.explode_callers(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("callers")))
+    """Of documents a third have one caller, the language, and the others the source as well."""
+    callers = F.when(F.col("doc_id") % 3 == 0, F.col("lang")).otherwise(F.concat_ws("-", "lang", F.coalesce("source", F.lit("none"))))
+    rows = readers.explode_callers(table(spark, sf_dir, "documents").where("lang IS NOT NULL").select(callers.alias("callers")))
     return rows.where("num_callers = 1").groupBy("caller").agg(F.count(F.lit(1)).alias("n"))
 
 
