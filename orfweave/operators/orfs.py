@@ -161,7 +161,3 @@ def score_orfs(orfs: DataFrame, weights: DataFrame, training: DataFrame, params:
     rows = rows.withColumn("ln_hold", F.log1p(-F.col("pstop")) * exponent)
     rows = rows.withColumn("ln_score", F.log(start.otherwise(1.0)) + F.log("weight_rbs") - F.col("ln_hold"))
     return rows.drop("pos_max", "pos_min").withColumn("score", -F.exp("ln_score"))
-
-
-def score_text(score: Column) -> Column:
-    return F.format_string("%E", score)

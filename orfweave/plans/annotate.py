@@ -143,10 +143,11 @@ class Annotation:
 
     @property
     def calls(self) -> DataFrame:
-        """contig_id, gene, strand, left, right (inclusive, whole codons), score (0 where the pair is no edge)."""
+        """contig_id, gene, strand, left, right (inclusive, whole codons), score (0 where the pair is no edge), ln_score (of an
+        ORF's score's size)."""
         kind = self.contigs.schema["contig_id"].dataType.simpleString()
         pairs = solve(self.edges, kind)
         own = self.scored.select("contig_id", "frame", F.least("start", "stop").alias("left"), F.greatest("start", "stop").alias("right"), "score", "ln_score")
         found = pairs.join(own, ["contig_id", "frame", "left", "right"], "left")
         score = F.coalesce("score", F.when(F.col("gene") == "tRNA", graph.TRNA_WEIGHT).otherwise(0.0))
-        return found.select("contig_id", "number", "gene", F.when(F.col("frame") < 0, -1).otherwise(1).alias("strand"), "left", (F.col("right") + 2).alias("right"), score.alias("score"))
+        return found.select("contig_id", "number", "gene", F.when(F.col("frame") < 0, -1).otherwise(1).alias("strand"), "left", (F.col("right") + 2).alias("right"), score.alias("score"), "ln_score")

@@ -1,26 +1,38 @@
 """Gene calls as text. Each writer gives contig_id, number and line(s); write() puts a contig's lines in order.
 
-calls: contig_id, gene, strand, left, right, score; contigs: contig_id, seq, length.
+calls: contig_id, gene, strand, left, right, score, and where scores may be infinite ln_score; contigs: contig_id, seq,
+length.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orfweave.functions.sequence import revcomp, translate_codons
 from orfweave.params import output_format
 
-SCORE = F.format_string
-
-
-def score_text(score: Column) -> Column:
-    return F.format_string("%E", score)
+def score_text(score: Column, ln_score: Column | None = None) -> Column:
+    """Six decimals and an exponent. A score that no double holds is written from the logarithm of its size."""
+    plain = F.format_string("%E", score)
+    if ln_score is None:
+        return plain
+    tens = ln_score / math.log(10)
+    mantissa = F.round(F.pow(F.lit(10.0), tens - F.floor(tens)), 6)
+    # 9.9999996 is 10 after rounding
+    over = mantissa >= 10
+    digits, power = F.when(over, mantissa / 10).otherwise(mantissa), F.floor(tens) + over.cast("int")
+    large = F.concat(F.lit("-"), F.format_string("%.6f", digits), F.lit("E+"), power.cast("string"))
+    return F.when(F.abs(score) == float("inf"), large).otherwise(plain)
 
 
 def _numbered(calls: DataFrame) -> DataFrame:
+    """With place in the contig and score_text."""
     order = Window.partitionBy("contig_id").orderBy("left", "right", "strand")
-    return calls.withColumn("place", F.row_number().over(order))
+    ln_score = F.col("ln_score") if "ln_score" in calls.columns else None
+    return calls.withColumns({"place": F.row_number().over(order), "score_text": score_text(F.col("score"), ln_score)})
 
 
 def _with_sequence(calls: DataFrame, contigs: DataFrame) -> DataFrame:
@@ -33,7 +45,7 @@ def tabular(calls: DataFrame) -> DataFrame:
     """START STOP FRAME CONTIG SCORE of coding genes; the stop comes first backward."""
     back = F.col("strand") < 0
     start, stop = F.when(back, F.col("right")).otherwise(F.col("left")), F.when(back, F.col("left")).otherwise(F.col("right"))
-    line = F.concat_ws("\t", start, stop, F.when(back, "-").otherwise("+"), F.col("contig_id"), score_text(F.col("score")))
+    line = F.concat_ws("\t", start, stop, F.when(back, "-").otherwise("+"), F.col("contig_id"), F.col("score_text"))
     body = _numbered(calls).where("gene = 'CDS'").select("contig_id", "place", line.alias("line"))
     names = calls.select("contig_id").distinct()
     head = names.select("contig_id", F.explode(F.array(F.struct(F.lit(-1).alias("place"), F.concat(F.lit("#id:\t"), F.col("contig_id")).alias("line")), F.struct(F.lit(0).alias("place"), F.lit("#START\tSTOP\tFRAME\tCONTIG\tSCORE").alias("line")))).alias("h"))
@@ -47,7 +59,7 @@ def _location() -> Column:
 
 def genbank(calls: DataFrame, contigs: DataFrame) -> DataFrame:
     """A flat file with the genome: features with their scores, and the sequence in blocks of ten, sixty a line."""
-    note = F.concat(F.lit(" " * 21 + "/note=score:"), score_text(F.col("score")))
+    note = F.concat(F.lit(" " * 21 + "/note=score:"), F.col("score_text"))
     feature = F.concat(F.lit("     "), F.rpad("gene", 16, " "), _location(), F.lit("\n"), note)
     body = _numbered(calls).select("contig_id", "place", feature.alias("line"))
     locus = F.concat(F.lit("LOCUS       "), F.rpad(F.col("contig_id").cast("string"), 16, " "), F.lpad(F.col("length").cast("string"), 8, " "), F.lit(" bp \nFEATURES             Location/Qualifiers"))
@@ -62,15 +74,15 @@ def genbank(calls: DataFrame, contigs: DataFrame) -> DataFrame:
 def gff3(calls: DataFrame, version: str = "3") -> DataFrame:
     """Nine columns a feature; the attributes carry an id and the score."""
     rows = _numbered(calls)
-    attributes = F.concat(F.lit("ID="), F.col("contig_id"), F.lit("_"), F.col("gene"), F.lit("_"), F.col("place"), F.lit(";note=score:"), score_text(F.col("score")))
+    attributes = F.concat(F.lit("ID="), F.col("contig_id"), F.lit("_"), F.col("gene"), F.lit("_"), F.col("place"), F.lit(";note=score:"), F.col("score_text"))
     if version != "3":
         attributes = F.concat(F.lit('gene_id "'), F.col("contig_id"), F.lit("_"), F.col("place"), F.lit('"'))
-    line = F.concat_ws("\t", F.col("contig_id"), F.lit("orfweave"), F.col("gene"), F.col("left"), F.col("right"), score_text(F.col("score")), F.when(F.col("strand") < 0, "-").otherwise("+"), F.lit("0"), attributes)
+    line = F.concat_ws("\t", F.col("contig_id"), F.lit("orfweave"), F.col("gene"), F.col("left"), F.col("right"), F.col("score_text"), F.when(F.col("strand") < 0, "-").otherwise("+"), F.lit("0"), attributes)
     return rows.select("contig_id", "place", line.alias("line"))
 
 
 def _header() -> Column:
-    return F.concat(F.lit(">"), F.col("contig_id"), F.lit("_CDS_["), _location(), F.lit("] [note=score:"), score_text(F.col("score")), F.lit("]"))
+    return F.concat(F.lit(">"), F.col("contig_id"), F.lit("_CDS_["), _location(), F.lit("] [note=score:"), F.col("score_text"), F.lit("]"))
 
 
 def fna(calls: DataFrame, contigs: DataFrame) -> DataFrame:
@@ -109,7 +121,7 @@ def partial_tabular(calls: DataFrame, orfs: DataFrame, contigs: DataFrame) -> Da
     open_right = F.when(ahead, ~last.isin(stops)).otherwise(~revcomp(last).isin(starts))
     left = F.when(open_left, F.lit("<1")).otherwise(F.col("left").cast("string"))
     right = F.when(open_right, F.concat(F.lit(">"), F.col("length"))).otherwise(F.col("right").cast("string"))
-    line = F.concat_ws("\t", F.when(ahead, left).otherwise(right), F.when(ahead, right).otherwise(left), F.when(ahead, "+").otherwise("-"), F.col("contig_id"), score_text(F.col("score")))
+    line = F.concat_ws("\t", F.when(ahead, left).otherwise(right), F.when(ahead, right).otherwise(left), F.when(ahead, "+").otherwise("-"), F.col("contig_id"), F.col("score_text"))
     named = rows.select("contig_id", "place", line.alias("line"))
     none = contigs.select("contig_id").join(rows.select("contig_id").distinct(), "contig_id", "left_anti")
     return named.unionByName(none.select("contig_id", F.lit(0).alias("place"), F.concat(F.lit("#id:\t"), F.col("contig_id"), F.lit(" NO ORFS FOUND")).alias("line")))

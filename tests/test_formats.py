@@ -1,5 +1,6 @@
 """Writers' text on hand-made calls, FASTA files in one task, and the command line."""
 
+import math
 import random
 
 import pytest
@@ -30,6 +31,12 @@ def test_tabular(calls):
     assert lines(formats.tabular(calls)) == ["#id:\tone", "#START\tSTOP\tFRAME\tCONTIG\tSCORE", "3\t11\t+\tone\t-1.250000E+01", "28\t20\t-\tone\t-2.500000E-01"]
 
 
+def test_scores_beyond_doubles(spark):
+    rows = [("c", "CDS", 1, 1, 90, float("-inf"), 1000.0), ("c", "CDS", 1, 100, 190, -2.0, 0.7), ("c", "CDS", 1, 200, 290, float("-inf"), math.log(10) * 1000 - 1e-9)]
+    calls = spark.createDataFrame(rows, "contig_id string, gene string, strand int, left int, right int, score double, ln_score double")
+    assert [line.split("\t")[4] for line in lines(formats.tabular(calls))[2:]] == ["-1.970071E+434", "-2.000000E+00", "-1.000000E+1000"]
+
+
 def test_gff(calls):
     assert lines(formats.gff3(calls))[0] == "one\torfweave\tCDS\t3\t11\t-1.250000E+01\t+\t0\tID=one_CDS_1;note=score:-1.250000E+01"
     assert lines(formats.gff3(calls, "2"))[1] == 'one\torfweave\tCDS\t20\t28\t-2.500000E-01\t-\t0\tgene_id "one_2"'
