@@ -40,6 +40,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Python workers of this session get rows of whole texts in batches of so many at most: both sides hold a batch at
+    once, and texts may be long. A setting that is smaller already stays."""
+    if int(spark.conf.get(_BATCH)) > rows:
+        spark.conf.set(_BATCH, str(rows))
+
+
 _HELD: dict[str, object] = {}
 
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, table, whole_text
+from .common import release, small_batches, table, whole_text
 from .vocabulary import Encoder, Vocabulary, chunks
 
 CAPACITY = 1024
@@ -97,6 +97,7 @@ class _Packer:
 def pack(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, window: int = WINDOW) -> DataFrame:
     """Per piece: the id, start (its document's tokens before it), length, ids (binary, little-endian unsigned 32-bit),
     doc_tokens (with the end id), sequence_id and offset there."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, partitions, release, table, whole_text
+from .common import Scratch, fresh, partitions, release, small_batches, table, whole_text
 from .components import components
 from .shingles import sets as shingle_sets
 from .vocabulary import chunks
@@ -329,6 +329,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = SH
     long text is one array of its shingles, 8 bytes a word.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "near")
     rows = docs.select(F.col(id_column).alias("id"), whole_text(text_column).alias("text"))
     common = _common_shingles(rows, width)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, table, whole_text
+from .common import release, small_batches, table, whole_text
 from .vocabulary import Encoder, Vocabulary, chunks
 
 TOKEN_LIMIT = 512
@@ -28,6 +28,7 @@ TOKEN_LIMIT = 512
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", limit: int = TOKEN_LIMIT) -> DataFrame:
     """Per row: the id, n_bytes (UTF-8), n_tokens, over_limit (more than limit tokens) and n_whole, the tokens that
     needed no merging."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(tokenizer_path))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held, release, table, whole_text
+from .common import held, release, small_batches, table, whole_text
 from .vocabulary import chunks
 
 BITS = 22
@@ -149,6 +149,7 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
     """Learns from the rows that aren't held out."""
+    small_batches(docs.sparkSession)
     known = labels.where(~held_out(id_column) & F.col(label_column).isNotNull())
     known = known.groupBy(F.col(id_column).alias("key")).agg(F.max(label_column).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("key"), "key").limit(max_rows)
