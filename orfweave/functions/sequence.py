@@ -117,12 +117,13 @@ def rbs_score_sql(window: str) -> str:
 
 def max_index(a: Column, b: Column, c: Column) -> Column:
     """Of the largest, from 1; ties go to the later one."""
-    return F.when(a > b, F.when(a > c, 1).otherwise(3)).otherwise(F.when(b > c, 2).otherwise(3))
+    most = F.greatest(a, b, c)
+    return F.when(c == most, 3).when(b == most, 2).otherwise(1)
 
 
 def min_index(a: Column, b: Column, c: Column) -> Column:
     """Of the smallest, from 1; ties go to the earlier one."""
-    return F.when(a > b, F.when(b > c, 3).otherwise(2)).otherwise(F.when(a > c, 3).otherwise(1))
+    return F.array_position(F.array(a, b, c), F.least(a, b, c)).cast("int")
 
 
 def stop_chance(a: Column, t: Column, g: Column) -> Column:

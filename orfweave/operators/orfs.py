@@ -2,7 +2,7 @@
 
 Starts are paired with stops by windows over the events of a frame (an as-of join without a join): forward with
 the next stop, backward with the one before. What a score needs of the bases between is the difference of
-running counts that the events carry along, so no sequence is cut out and no ORF is exploded.
+running counts that the events carry along (see sites), so no sequence is cut out and no ORF is exploded.
 """
 
 from __future__ import annotations
@@ -10,12 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orfweave.functions.sequence import RBS_WINDOW, revcomp, stop_chance
-from orfweave.operators import profile
+from orfweave.functions.sequence import revcomp, stop_chance
+from orfweave.operators import profile, sites as pieces
 from orfweave.params import DEFAULT, Params
 
-BASES = "atgc"
-_KINDS = [(i, j) for i in (1, 2, 3) for j in (1, 2, 3)]
+_KINDS = pieces.PAIRS
 
 
 def codon_class(codon: Column, params: Params = DEFAULT) -> Column:
@@ -31,76 +30,51 @@ def codons(contigs: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return profile.positions(contigs).where("pos <= length - 2").select("contig_id", "length", "pos", "frame", codon.alias("codon"), codon_class(codon, params).alias("class"))
 
 
-def _sites(contigs: DataFrame, params: Params) -> DataFrame:
-    """All positions with their motif scores and running counts: a, t, g, c before the codon (b_) and up to its end
-    (u_), and of (richest, poorest) window pairs in the frame as the forward strand reads them, before this codon
-    (f_), and as the backward one does, with it (r_)."""
-    rows = profile.scan(contigs.where(F.col("length") >= profile.SHORTEST))
-    along = Window.partitionBy("contig_id").orderBy("pos")
-    base, codon = F.col("base"), F.col("codon")
-    ahead = F.when(F.col("pos") >= RBS_WINDOW, F.col("score_f")).otherwise(0)
-    # the window behind a start on the other strand begins after its codon
-    behind = F.coalesce(F.lead("score_r", 3).over(along), F.lit(0))
-    kind = F.when(F.col("pos") <= F.col("length") - 2, codon_class(codon, params))
-    rows = rows.withColumns({"class": kind, "rbs_f": ahead, "rbs_r": behind, "gc": F.when(profile.normalise(base).isin("g", "c"), 1).otherwise(0)})
-    half = params.gc_window // 3 // 2
-    phase = Window.partitionBy("contig_id", "frame").orderBy("pos")
-    rows = rows.withColumn("g1", F.sum("gc").over(phase.rowsBetween(-(half - 1), half)))
-    counted = {f"u_{b}": F.sum((F.col("base") == b).cast("long")).over(along.rowsBetween(Window.unboundedPreceding, 2)) for b in BASES}
-    before = {f"b_{b}": F.coalesce(F.sum((F.col("base") == b).cast("long")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for b in BASES}
-    rows = rows.withColumns({"g2": F.lead("g1", 1).over(along), "g3": F.lead("g1", 2).over(along), **counted, **before})
-    g = [F.col(f"g{k}") for k in (1, 2, 3)]
-    kinds = {}
-    for strand, values in (("f", g), ("r", g[::-1])):
-        kinds[f"max_{strand}"], kinds[f"min_{strand}"] = profile.max_index(*values), profile.min_index(*values)
-    rows = rows.withColumns(kinds)
-    of = lambda s, i, j: ((F.col(f"max_{s}") == i) & (F.col(f"min_{s}") == j)).cast("int")
-    start = Window.unboundedPreceding
-    running = {f"f_{i}{j}": F.coalesce(F.sum(of("f", i, j)).over(phase.rowsBetween(start, -1)), F.lit(0)) for i, j in _KINDS}
-    running |= {f"r_{i}{j}": F.sum(of("r", i, j)).over(phase.rowsBetween(start, 0)) for i, j in _KINDS}
-    return rows.withColumns(running)
-
-
-def site_counts(contigs: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """All positions with their running counts (those of windows mean something where a whole codon begins); keep it (cache or table) where it is used more than once."""
-    return _sites(contigs, params)
-
-
-def _counts(strand: str) -> Column:
-    return F.array(*(F.col(f"{strand}_{i}{j}").cast("long") for i, j in _KINDS))
-
-
 def _minus(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x - y)
 
 
+def _pairs(counts: Column, at: int) -> Column:
+    return F.slice(counts, at + 1, len(_KINDS))
+
+
+def events(sites: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """contig_id, length, frame, pos, codon, class, rbs_f, rbs_r and n (see sites), counted from the contig's beginning."""
+    # one exchange of pieces serves the sums over pieces and all windows of a frame
+    rows = pieces.before(sites.select("contig_id", "length", "first", "frame", "totals", "events").repartition("contig_id", "frame"))
+    rows = rows.select("contig_id", "length", "frame", "before", F.inline("events"))
+    return rows.select("contig_id", "length", "frame", "pos", "codon", codon_class(F.col("codon"), params).alias("class"), "rbs_f", "rbs_r", F.zip_with("n", "before", lambda x, y: x + y).alias("n"))
+
+
 def enumerate_orfs(sites: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """contig_id, strand, frame (negative backward), start, stop (leftmost base of either codon), length with the stop
     codon, start_codon, rbs_score, pstop and n (how many codons have each pair of windows, the stop codon's excluded)."""
-    events = sites.where("pos <= length - 2 AND (class IS NOT NULL OR pos <= 3 OR pos >= length - 4)")
     frame = Window.partitionBy("contig_id", "frame").orderBy("pos")
-    forward = F.struct(F.col("pos").alias("pos"), *(F.col(f"u_{b}") for b in BASES), _counts("f").alias("n"))
-    backward = F.struct(F.col("pos").alias("pos"), *(F.col(f"b_{b}") for b in BASES), _counts("r").alias("n"))
+    here = F.struct("pos", "n")
     # a fragment's start may lie on a stop codon: the range takes that very stop
     onward = frame.rangeBetween(0, Window.unboundedFollowing)
     back = frame.rangeBetween(Window.unboundedPreceding, 0)
     whole = frame.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    paired = events.withColumns({
-        "next": F.first(F.when(F.col("class") == "fe", forward), ignorenulls=True).over(onward),
-        "final": F.last(forward).over(whole),
-        "previous": F.last(F.when(F.col("class") == "re", backward), ignorenulls=True).over(back),
-        "initial": F.first(backward).over(whole),
+    paired = events(sites, params).withColumns({
+        "next": F.first(F.when(F.col("class") == "fe", here), ignorenulls=True).over(onward),
+        "final": F.last(here).over(whole),
+        "previous": F.last(F.when(F.col("class") == "re", here), ignorenulls=True).over(back),
+        "initial": F.first(here).over(whole),
         "last_pos": F.max("pos").over(whole),
     })
-    ahead = paired.where("class = 'fs' OR pos <= 3").select("contig_id", F.lit(1).alias("strand"), "frame", F.col("pos").alias("start"), F.coalesce("next", "final").alias("end"), F.col("codon").alias("start_codon"), F.col("rbs_f").alias("rbs_score"), *(F.col(f"b_{b}").alias(f"own_{b}") for b in BASES), _counts("f").alias("own"))
+    ahead = paired.where("class = 'fs' OR pos <= 3").select("contig_id", F.lit(1).alias("strand"), "frame", F.col("pos").alias("start"), F.coalesce("next", "final").alias("end"), F.col("codon").alias("start_codon"), F.col("rbs_f").alias("rbs_score"), "n")
     # a backward ORF that meets no stop codon begins with the frame
     fragment = (F.col("pos") == F.col("last_pos")) & ~revcomp(F.col("codon")).isin(list(params.starts))
-    behind = paired.where((F.col("class") == "rs") | fragment).select("contig_id", F.lit(-1).alias("strand"), (-F.col("frame")).alias("frame"), F.col("pos").alias("start"), F.coalesce("previous", "initial").alias("end"), revcomp(F.col("codon")).alias("start_codon"), F.col("rbs_r").alias("rbs_score"), *(F.col(f"u_{b}").alias(f"own_{b}") for b in BASES), _counts("r").alias("own"))
+    behind = paired.where((F.col("class") == "rs") | fragment).select("contig_id", F.lit(-1).alias("strand"), (-F.col("frame")).alias("frame"), F.col("pos").alias("start"), F.coalesce("previous", "initial").alias("end"), revcomp(F.col("codon")).alias("start_codon"), F.col("rbs_r").alias("rbs_score"), "n")
     length = F.abs(F.col("end.pos") - F.col("start")) + 3
-    kept = ("contig_id", "strand", "frame", "start", F.col("end.pos").alias("stop"), "start_codon", "rbs_score")
-    ahead = ahead.select(*kept, length.alias("length"), _minus(F.col("end.n"), F.col("own")).alias("n"), *((F.col(f"end.u_{b}") - F.col(f"own_{b}")).alias(f"n_{b}") for b in BASES))
-    # codons [start, stop) going down: those above the stop
-    behind = behind.select(*kept, length.alias("length"), _minus(F.col("own"), F.col("end.n")).alias("n"), *((F.col(f"own_{b}") - F.col(f"end.b_{b}")).alias(f"n_{b}") for b in BASES))
+    kept = ("contig_id", "strand", "frame", "start", F.col("end.pos").alias("stop"), "start_codon", "rbs_score", length.alias("length"))
+    # bases from the left codon's first to the right codon's last; codons [start, stop), going up or down
+    ended, begun = pieces.ENDED, pieces.BEGUN
+    bases = lambda right, left: (F.get(right, F.lit(ended + k)) - F.get(left, F.lit(begun + k)) for k in range(len(pieces.BASES)))
+    named = lambda counts: (x.alias(f"n_{b}") for b, x in zip(pieces.BASES, counts))
+    end, own = F.col("end.n"), F.col("n")
+    ahead = ahead.select(*kept, *named(bases(end, own)), _minus(_pairs(end, pieces.FORWARD), _pairs(own, pieces.FORWARD)).alias("n"))
+    behind = behind.select(*kept, *named(bases(own, end)), _minus(_pairs(own, pieces.BACKWARD), _pairs(end, pieces.BACKWARD)).alias("n"))
     both = ahead.unionByName(behind).where(F.col("length") >= params.min_length)
     # a backward ORF reads the other strand: t for a, c for g
     rate = lambda f, r: F.when(F.col("strand") > 0, F.col(f"n_{f}")).otherwise(F.col(f"n_{r}")) / F.col("length")
@@ -108,6 +82,21 @@ def enumerate_orfs(sites: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return both.select("contig_id", "strand", "frame", "start", "stop", "length", "start_codon", "rbs_score", pstop.alias("pstop"), "n")
 
 
+def counts_at(places: DataFrame, sites: DataFrame) -> DataFrame:
+    """places (contig_id, strand, pos and more) with n: pairs of windows in pos's frame, before it forward, with it backward."""
+    rows = pieces.before(sites.select("contig_id", "first", "frame", "totals", "pairs_f", "pairs_r"))
+    one = lambda strand, letter, at: F.struct(F.lit(strand).alias("strand"), F.col(f"pairs_{letter}").alias("pairs"), _pairs(F.col("before"), at).alias("before"))
+    rows = rows.select("contig_id", "first", "frame", F.inline(F.array(one(1, "f", pieces.FORWARD), one(-1, "r", pieces.BACKWARD))))
+    first = F.expr(f"(pos - 1) div {pieces.PIECE} * {pieces.PIECE}").cast("int")
+    asked = places.withColumns({"frame": (F.col("pos") - 1) % 3 + 1, "first": first})
+    found = asked.join(rows, ["contig_id", "strand", "first", "frame"])
+    codons = F.expr("(pos - 1 - first) div 3").cast("int") + F.when(F.col("strand") > 0, 0).otherwise(1)
+    part = F.left("pairs", codons)
+    met = lambda k: F.length(part) - F.length(F.replace(part, F.lit(str(k + 1)), F.lit("")))
+    n = F.array(*(F.get("before", F.lit(k)) + met(k) for k in range(len(_KINDS))))
+    return found.select(*places.columns, n.alias("n"))
+
+
 def longest(orfs: DataFrame) -> DataFrame:
     """The ORF with the farthest start of each stop."""
     order = Window.partitionBy("contig_id", "strand", "stop").orderBy(F.col("length").desc())
@@ -138,9 +127,7 @@ def gc_training(orfs: DataFrame, sites: DataFrame, contigs: DataFrame) -> DataFr
     backward = F.array(F.struct((F.col("start") - skipped).alias("pos"), F.lit(1).alias("sign")), F.struct((F.col("stop") + 36).alias("pos"), F.lit(-1).alias("sign")))
     some = F.abs(F.col("stop") - F.col("start")) - skipped > 36
     ends = chosen.where(some).select("contig_id", "strand", F.inline(F.when(F.col("strand") > 0, forward).otherwise(backward)))
-    found = ends.join(sites.select("contig_id", "pos", _counts("f").alias("f"), _counts("r").alias("r")), ["contig_id", "pos"])
-    n = F.when(F.col("strand") > 0, F.col("f")).otherwise(F.col("r"))
-    sums = found.groupBy("contig_id").agg(*(F.sum(F.col("sign") * n[k]).alias(f"c{i}{j}") for k, (i, j) in enumerate(_KINDS)))
+    sums = counts_at(ends, sites).groupBy("contig_id").agg(*(F.sum(F.col("sign") * F.col("n")[k]).alias(f"c{i}{j}") for k, (i, j) in enumerate(_KINDS)))
     full = contigs.select("contig_id").join(sums, "contig_id", "left")
     total = lambda cols: sum((F.coalesce(F.col(c), F.lit(0)) for c in cols), F.lit(1.0))
     rich = [F.lit(1.0), *(total([f"c{i}{j}" for j in (1, 2, 3)]) for i in (1, 2, 3))]

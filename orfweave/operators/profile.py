@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orfweave.functions.sequence import CODES, COMPLEMENTS, MOTIF, OFFSETS, RBS_BINS, RBS_WINDOW, max_index, min_index, motif_scores, normalise, rbs_score, stop_chance
+from orfweave.functions.sequence import RBS_BINS, RBS_WINDOW, max_index, min_index, normalise, rbs_score, stop_chance
 from orfweave.params import DEFAULT, Params
 
 CHUNK = 1000
-#: Bases before and after a chunk that windows around its positions reach.
+#: Bases before and after a chunk that codons around its positions reach.
 BEFORE, AFTER = 20, 23
 #: Shorter contigs have no genes.
 SHORTEST = 6
 
 
-def chunks(contigs: DataFrame) -> DataFrame:
+def chunks(contigs: DataFrame, size: int = CHUNK, reach_before: int = BEFORE, reach_after: int = AFTER) -> DataFrame:
     """contig_id, length, first (position before the chunk), before (how many bases of context come first), context,
-    chunk_length. A contig is cut once; no row carries all of it along."""
+    chunk_length. A contig is cut once; no row carries all of it along. Both reaches must be within size."""
+    if max(reach_before, reach_after) > size:
+        raise ValueError(f"a chunk of {size} bases is shorter than what windows reach")
     # contigs are dealt out before they become rows a base: windows by contig then need no exchange
     n = int(contigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = contigs.repartition(n, "contig_id").select("contig_id", "length", F.regexp_extract_all("seq", F.lit(f".{{1,{CHUNK}}}"), F.lit(0)).alias("parts"))
-    part = F.transform("parts", lambda c, k: F.struct((k * CHUNK).alias("first"), F.when(k > 0, F.right(F.get("parts", k - 1), F.lit(BEFORE))).otherwise("").alias("head"), c.alias("chunk"), F.coalesce(F.left(F.get("parts", k + 1), F.lit(AFTER)), F.lit("")).alias("tail")))
+    cut = contigs.repartition(n, "contig_id").select("contig_id", "length", F.regexp_extract_all("seq", F.lit(f".{{1,{size}}}"), F.lit(0)).alias("parts"))
+    part = F.transform("parts", lambda c, k: F.struct((k * size).alias("first"), F.when(k > 0, F.right(F.get("parts", k - 1), F.lit(reach_before))).otherwise("").alias("head"), c.alias("chunk"), F.coalesce(F.left(F.get("parts", k + 1), F.lit(reach_after)), F.lit("")).alias("tail")))
     rows = cut.select("contig_id", "length", F.inline(part))
     return rows.select("contig_id", "length", "first", F.length("head").alias("before"), F.concat("head", "chunk", "tail").alias("context"), F.length("chunk").alias("chunk_length"))
 
@@ -49,34 +51,10 @@ def base_frequencies(contigs: DataFrame) -> DataFrame:
     return counted.withColumn("pstop", stop_chance(rate(F.col("n_a")), rate(F.col("n_t")), rate(F.col("n_g"))))
 
 
-def scan(contigs: DataFrame) -> DataFrame:
-    """positions() and each base with score_f, of the window that ends at the position (from RBS_WINDOW on), and score_r,
-    of the window on the other strand that begins there. The contigs' exchange serves all that orders positions."""
-    words = contigs.sparkSession.createDataFrame(motif_scores(), "word string, " + ", ".join(f"{g} int" for g in OFFSETS))
-    rows = positions(contigs)
-    at = F.col("at")
-    # down from the position, and up on the other strand; letters beyond the contig are n
-    down = F.rpad(F.reverse(F.substring(F.col("context"), F.greatest(F.lit(1), at - (MOTIF - 1)), F.least(at, F.lit(MOTIF)))), MOTIF, "n")
-    up = F.rpad(F.translate(window(0, MOTIF), CODES, COMPLEMENTS), MOTIF, "n")
-    plain = lambda c: F.translate(c, "ryswkmbvdh", "nnnnnnnnnn")
-    base, codon = window(0, 1), window(0, 3)
-    rows = rows.select("contig_id", "length", "pos", "frame", base.alias("base"), codon.alias("codon"), plain(down).alias("down"), plain(up).alias("up"))
-    for side, key in (("f", "down"), ("r", "up")):
-        # a few hundred words
-        named = words.select(F.col("word").alias(key), *(F.col(g).alias(f"{side}{g}") for g in OFFSETS))
-        rows = rows.join(F.broadcast(named), key, "left").drop(key)
-    along = Window.partitionBy("contig_id").orderBy("pos")
-    best = lambda side, frame: F.greatest(F.lit(0), *(F.coalesce(F.max(f"{side}{g}").over(along.rowsBetween(*frame(*reach))), F.lit(0)) for g, reach in OFFSETS.items()))
-    rows = rows.withColumns({"score_f": best("f", lambda low, high: (-high, -low)), "score_r": best("r", lambda low, high: (low, high))})
-    return rows.drop(*(f"{s}{g}" for s in "fr" for g in OFFSETS))
-
-
-def rbs_background(contigs: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
+def rbs_background(contigs: DataFrame, scanned: DataFrame) -> DataFrame:
     """contig_id, score, background: the share of each motif score among all windows of both strands, each of the
-    RBS_BINS counted once more than it was met. scanned: scan(contigs), if it is at hand."""
-    scanned = scan(contigs) if scanned is None else scanned
-    scores = F.array(F.when(F.col("pos") >= RBS_WINDOW, F.col("score_f")), F.col("score_r"))
-    counts = scanned.select("contig_id", F.explode(scores).alias("score")).where("score IS NOT NULL").groupBy("contig_id", "score").agg(F.count(F.lit(1)).alias("n"))
+    RBS_BINS counted once more than it was met. scanned: sites.scan(contigs)."""
+    counts = scanned.select("contig_id", F.posexplode("scores").alias("score", "n")).where("n > 0").groupBy("contig_id", "score").agg(F.sum("n").alias("n"))
     # windows that the contig's end cuts short: fewer than RBS_WINDOW a contig
     tails = contigs.select("contig_id", F.right("seq", F.lit(RBS_WINDOW - 1)).alias("tail"))
     tails = tails.select("contig_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("tail")), lambda n: F.right("tail", n))).alias("w"))

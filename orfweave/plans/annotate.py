@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orfweave.operators import graph, orfs, profile
+from orfweave.operators import graph, orfs, profile, sites
 from orfweave.params import DEFAULT, Params
 from orfweave.plans.scratch import Scratch
 
@@ -115,7 +115,7 @@ class Annotation:
 
     @property
     def sites(self) -> DataFrame:
-        return self._once("sites", lambda: orfs.site_counts(self.contigs, self.params))
+        return self._once("sites", lambda: sites.scan(self.contigs, self.params))
 
     @property
     def orfs(self) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orfweave.functions import sequence
-from orfweave.operators import graph, orfs, profile, stats
+from orfweave.operators import graph, orfs, profile, sites, stats
 from orfweave.operators.graph_api import Graph
 from orfweave.plans.annotate import Annotation
 from orfweave.plans.oracle import revcomp, with_ctes
@@ -98,7 +98,8 @@ def gc_max_min_idx(spark, sf_dir):
 
 @_query("SELECT contig_id, score, round(background, 9) AS background FROM background")
 def rbs_background(spark, sf_dir):
-    return _rounded(profile.rbs_background(contigs(spark, sf_dir)), "background", digits=9)
+    rows = contigs(spark, sf_dir)
+    return _rounded(profile.rbs_background(rows, sites.scan(rows)), "background", digits=9)
 
 
 @_query("SELECT contig_id, score, round(training, 9) AS training, round(weight_rbs, 6) AS weight_rbs FROM weights")
