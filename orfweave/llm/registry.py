@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, mixing, packing, secret_scan, sharding, simhash, token_counts, topk, toxicity
+from . import exact_dedup, license_scan, mixing, packing, schema_rewrite, secret_scan, sharding, simhash, token_counts, topk, toxicity
 
 _QUERIES = {
     "op1_token_counts": token_counts,
@@ -15,6 +15,7 @@ _QUERIES = {
     "op8_simhash": simhash,
     "op9_packing": packing,
     "op10_toxicity": toxicity,
+    "op11_schema_rewrite": schema_rewrite,
 }
 
 
