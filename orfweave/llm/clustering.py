@@ -143,7 +143,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     parts = [
-        f"kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, e -> CAST(floor({SCALE} * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) = {SIZE} AND len(list_filter(embedding, e -> e IS NULL OR NOT isfinite(e))) = 0)",
+        f"kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor({SCALE} * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) = {SIZE} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)",
         f"parts AS MATERIALIZED (SELECT vec_id, unnest(range({SIZE})) AS d, unnest(x) AS v FROM kept)",
         f"c0 AS MATERIALIZED (SELECT k, d, v FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS k FROM kept) USING (vec_id) WHERE k < {CENTROIDS})",
     ]
