@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clustering, exact_dedup, license_scan, mixing, packing, schema_rewrite, secret_scan, sharding, simhash, token_counts, topk, toxicity
+from . import clustering, exact_dedup, language_model, license_scan, mixing, packing, schema_rewrite, secret_scan, sharding, simhash, token_counts, topk, toxicity
 
 _QUERIES = {
     "op1_token_counts": token_counts,
@@ -16,6 +16,7 @@ _QUERIES = {
     "op9_packing": packing,
     "op10_toxicity": toxicity,
     "op11_schema_rewrite": schema_rewrite,
+    "op12_language_model": language_model,
     "op13_clustering": clustering,
 }
 
