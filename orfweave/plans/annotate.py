@@ -2,99 +2,40 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-from decimal import Decimal, localcontext
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orfweave.operators import graph, orfs, profile, sites
 from orfweave.params import DEFAULT, Params
+from orfweave.plans import paths
 from orfweave.plans.scratch import Scratch
 
-#: Weights are multiplied by this and cut to whole numbers before paths are summed up.
-PRECISION = 1000
-SOURCE = ("source", "source", 0, 0)
-
-
-def whole_cost(cost: float, ln_score: float | None) -> int:
-    """Costs as whole numbers of any size. An ORF's comes from its logarithm, where a double would be infinite."""
-    if ln_score is not None and ln_score == ln_score and ln_score > 600:
-        with localcontext() as context:
-            context.prec = 60
-            return -int(Decimal(ln_score).exp() * PRECISION)
-    return int(Decimal(cost) * PRECISION)
-
-
-def cheapest_path(edges: list[tuple], source, target) -> list:
-    """Nodes of the cheapest path, [] if there's none. Weights may be negative; a cycle that gets ever cheaper is an error.
-    Exact: weights are whole numbers. Ties keep the predecessor with the lowest position.
-
-    Rounds go over the nodes along the contig, so all edges that lead on are settled in one round; each edge that
-    leads back costs one more. Only nodes that changed are looked at again.
-    """
-    out = defaultdict(list)
-    names = {source, target}
-    for a, b, w in edges:
-        out[a].append((b, w))
-        names.update((a, b))
-    order = sorted(names, key=lambda n: (n[3], n != source, n))
-    cost, before, open_ = {source: 0}, {}, {source}
-    for _ in range(len(names) + 1):
-        if not open_:
-            break
-        for a in order:
-            if a not in open_:
-                continue
-            open_.discard(a)
-            here = cost[a]
-            for b, w in out[a]:
-                new = here + w
-                if b not in cost or new < cost[b]:
-                    cost[b], before[b] = new, a
-                    open_.add(b)
-                elif new == cost[b] and b != source and a[3] < before[b][3]:
-                    before[b] = a
-    else:
-        raise ValueError("the graph has a negative cycle")
-    if target not in cost:
-        return []
-    path, seen = [target], set()
-    while path[-1] != source:
-        if path[-1] in seen:
-            raise ValueError("the graph has a cycle without cost")
-        seen.add(path[-1])
-        path.append(before[path[-1]])
-    return path[::-1]
-
-
 _CALLS = "contig_id {kind}, number int, gene string, frame int, left int, right int"
 
 
 def solve(edges: DataFrame, kind: str = "bigint") -> DataFrame:
     """The cheapest path of every contig as disjoint pairs of nodes: contig_id, number, gene, frame, left, right. A contig
-    is one group: the path is the one step that isn't relational. Contigs without a path have no rows."""
+    is one group; see paths for long ones. Contigs without a path have no rows."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = list(zip(pdf["s_gene"], pdf["s_type"], pdf["s_frame"], pdf["s_position"]))
-        b = list(zip(pdf["t_gene"], pdf["t_type"], pdf["t_frame"], pdf["t_position"]))
-        costs = [whole_cost(c, x) for c, x in zip(pdf["cost"], pdf["ln_score"])]
-        target = next((n for n in b if n[0] == "target"), None)
-        path = cheapest_path(list(zip(a, b, costs)), SOURCE, target)[1:] if target else []
-        pairs = list(zip(path[::2], path[1::2]))
-        return pd.DataFrame([(pdf["contig_id"].iloc[0], k, x[0], x[2], x[3], y[3]) for k, (x, y) in enumerate(pairs)], columns=["contig_id", "number", "gene", "frame", "left", "right"])
-
-    flat = edges.select("contig_id", *(F.col(f"{side}.{f}").alias(f"{side[0]}_{f}") for side in ("source", "target") for f in ("gene", "type", "frame", "position")), "cost", "ln_score")
+        costs = [paths.whole_cost(c, x) for c, x in zip(pdf["cost"], pdf["ln_score"])]
+        target = next((t for t in pdf["t"] if t.endswith(" target")), None)
+        path = paths.cheapest_path(list(zip(pdf["s"], pdf["t"], costs)), paths.SOURCE, target)[1:] if target else []
+        pairs = [(*a.split(" "), *b.split(" ")) for a, b in zip(path[::2], path[1::2])]
+        return pd.DataFrame([(pdf["contig_id"].iloc[0], k, p[3], int(p[1]), int(p[0]), int(p[4])) for k, p in enumerate(pairs)], columns=["contig_id", "number", "gene", "frame", "left", "right"])
+
+    flat = edges.select("contig_id", paths.node_key(F.col("source")).alias("s"), paths.node_key(F.col("target")).alias("t"), "cost", "ln_score")
     return flat.groupBy("contig_id").applyInPandas(one, _CALLS.format(kind=kind))
 
 
 class Annotation:
     """The tables of a run over contigs (contig_id, seq in lower case, length), each worked out once when first asked for.
-    trnas (contig_id, start, stop), where given, are masked."""
+    trnas (contig_id, start, stop), where given, are masked. Paths of contigs of over block bases are found in blocks."""
 
-    def __init__(self, contigs: DataFrame, trnas: DataFrame | None = None, params: Params = DEFAULT):
+    def __init__(self, contigs: DataFrame, trnas: DataFrame | None = None, params: Params = DEFAULT, block: int = paths.BLOCK):
         self.contigs, self.trnas, self.params = contigs.where(F.col("length") >= profile.SHORTEST), trnas, params
+        self.block = block
         self._scratch = Scratch(contigs.sparkSession, "annotation")
         self._made: dict[str, DataFrame] = {}
 
@@ -146,7 +87,10 @@ class Annotation:
         """contig_id, gene, strand, left, right (inclusive, whole codons), score (0 where the pair is no edge), ln_score (of an
         ORF's score's size)."""
         kind = self.contigs.schema["contig_id"].dataType.simpleString()
-        pairs = solve(self.edges, kind)
+        long = self.contigs.where(F.col("length") > self.block).select("contig_id")
+        pairs = solve(self.edges.join(long, "contig_id", "left_anti"), kind)
+        if not long.isEmpty():
+            pairs = pairs.unionByName(paths.solve_blocks(self.edges.join(long, "contig_id", "left_semi"), kind, self.block))
         own = self.scored.select("contig_id", "frame", F.least("start", "stop").alias("left"), F.greatest("start", "stop").alias("right"), "score", "ln_score")
         found = pairs.join(own, ["contig_id", "frame", "left", "right"], "left")
         score = F.coalesce("score", F.when(F.col("gene") == "tRNA", graph.TRNA_WEIGHT).otherwise(0.0))
