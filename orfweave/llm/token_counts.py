@@ -26,8 +26,8 @@ TOKEN_LIMIT = 512
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", limit: int = TOKEN_LIMIT) -> DataFrame:
-    """Per row: the id, n_bytes (UTF-8), n_tokens, over_limit (more than limit tokens) and n_whole, the tokens that
-    needed no merging."""
+    """Per row: the id, n_bytes (UTF-8), n_tokens, over_limit (more than limit tokens) and n_whole, the pieces that
+    are one token: all of these are proved whole and need no merging."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(tokenizer_path))
 

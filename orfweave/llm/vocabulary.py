@@ -81,10 +81,11 @@ def byte_characters() -> dict[int, str]:
 class Encoder:
     """Encodes batches of texts, special strings as their own tokens.
 
-    A piece is looked up by two 64-bit hashes of its characters in a table with one entry a slot. Whole tokens hold
-    their slots for good; the rest are merged when first met and take the place of what had their slot, so the
-    table never grows. Each hash multiplies random 64-bit values of the characters by powers of an odd number, with
-    values and powers of its own. Pieces of over LONG characters are not looked up but merged each time; below that
+    A piece is looked up by two 64-bit hashes of its characters in a table with one entry a slot. Every piece has two slots
+    that it may lie in. Whole tokens hold one of theirs for good, all of them: where two want one slot, one moves to its
+    other slot, and on with what lies there. The rest are merged when first met and take the place of what had their
+    slot, so the table never grows. Whole tokens of over LONG characters are known by their characters. Each hash multiplies random 64-bit values of the characters by powers of an odd number, with
+    values and powers of its own. Other pieces of over LONG characters are merged each time; below that
     the powers cancel 26 low bits at worst, so two pieces are taken for one another with a chance of 2**-76 at most.
     """
 
@@ -113,10 +114,13 @@ class Encoder:
         self.lengths = np.zeros(SLOTS, np.int16)
         self.ids = np.zeros((SLOTS, KEPT), np.uint16 if max(vocabulary.ranks.values()) < 1 << 16 else np.uint32)
         self.pinned = np.zeros(SLOTS, bool)
+        self.long = {s: i for s, i in vocabulary.whole.items() if len(s) > self.LONG}
         whole = [(s, i) for s, i in vocabulary.whole.items() if len(s) <= self.LONG]
-        hashes = self._hash(Pieces([s for s, _ in whole], self.classes))
-        self._put(*hashes, np.ones(len(whole), np.int64), np.array([i for _, i in whole]))
-        self.pinned[self._slot(hashes[0])] = True
+        hashes, checks = self._hash(Pieces([s for s, _ in whole], self.classes))
+        slots = self._home(hashes)
+        self.keys[slots], self.checks[slots], self.lengths[slots] = hashes, checks, 1
+        self.ids[slots, 0] = [i for _, i in whole]
+        self.pinned[slots] = True
 
     def _powers(self, n: int) -> None:
         self._up, self._down = [], []
@@ -138,11 +142,42 @@ class Encoder:
         return found[0] | np.uint64(1), found[1]  # 0 marks an empty slot
 
     @staticmethod
-    def _slot(hashes: np.ndarray) -> np.ndarray:
-        return ((hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+    def _slot(hashes: np.ndarray, second: bool = False) -> np.ndarray:
+        factor = np.uint64(0xA24BAED4963EE407 if second else 0xD6E8FEB86659FD93)
+        return ((hashes * factor) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+    def _home(self, hashes: np.ndarray) -> np.ndarray:
+        """A slot of its own for each piece, one of its two."""
+        both = np.stack([self._slot(hashes), self._slot(hashes, True)], 1)
+        out = both[:, 0].copy()
+        first = np.zeros(len(out), bool)
+        first[np.unique(out, return_index=True)[1]] = True
+        lies = dict(zip(out[first].tolist(), np.flatnonzero(first).tolist()))
+        for k in np.flatnonzero(~first).tolist():
+            slot = int(both[k, 1])
+            for _ in range(1000):
+                k, lies[slot] = lies.get(slot), k
+                out[lies[slot]] = slot
+                if k is None:
+                    break
+                slot = int(both[k].sum() - slot)
+            else:
+                raise RuntimeError("the table is too small for the vocabulary")
+        return out
+
+    def _find(self, hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slots, and whether the piece lies there."""
+        slots = self._slot(hashes)
+        hit = (self.keys[slots] == hashes) & (self.checks[slots] == checks)
+        rest = np.flatnonzero(~hit)
+        other = self._slot(hashes[rest], True)
+        slots[rest] = other
+        hit[rest] = (self.keys[other] == hashes[rest]) & (self.checks[other] == checks[rest])
+        return slots, hit
 
     def _put(self, hashes: np.ndarray, checks: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
         slots, starts = self._slot(hashes), np.cumsum(lengths) - lengths
+        slots = np.where(self.pinned[slots], self._slot(hashes, True), slots)
         keep = np.flatnonzero((lengths <= KEPT) & ~self.pinned[slots])
         # of pieces with the same slot the last one gets it, in all arrays
         keep = keep[len(keep) - 1 - np.unique(slots[keep][::-1], return_index=True)[1]]
@@ -156,7 +191,7 @@ class Encoder:
 
     def _merged(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token counts and all tokens of pieces, found by merging."""
-        plain = [k for k, s in enumerate(strings) if _SEPARATOR not in s]
+        plain = [k for k, s in enumerate(strings) if _SEPARATOR not in s and s not in self.long]
         ids = np.array(self._merge(_SEPARATOR.join([strings[k] for k in plain])), np.int64)
         cuts = np.flatnonzero(ids == self._separator)
         if len(plain) == len(strings):
@@ -170,7 +205,7 @@ class Encoder:
             if k in lists:
                 out.append(lists[k][lists[k] != self._separator])
             else:
-                out.append(np.array(self._merge_one(s), np.int64))
+                out.append(np.array([self.long[s]] if s in self.long else self._merge_one(s), np.int64))
         return np.array([len(x) for x in out]), np.concatenate(out)
 
     def encode(self, texts: list[str], want_ids: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
@@ -200,8 +235,8 @@ class Encoder:
     def _encode_pieces(self, pieces: Pieces, want_ids: bool) -> tuple[np.ndarray, np.ndarray | None]:
         hashes, checks = self._hash(pieces)
         short = pieces.ends - pieces.starts <= self.LONG
-        slots = self._slot(hashes)
-        hit = (self.keys[slots] == hashes) & (self.checks[slots] == checks) & short
+        slots, hit = self._find(hashes, checks)
+        hit &= short
         lengths = self.lengths[slots].astype(np.int64)
         rest = np.flatnonzero(~hit)
         # the short ones among the rest once each, every long one by itself

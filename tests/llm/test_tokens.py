@@ -108,3 +108,22 @@ def test_packing_odd_rows(spark, tokenizer):
     for parts in used.values():
         ends = [0] + [a + n for a, n in sorted(parts)]
         assert [a for a, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 1024
+
+
+def test_whole_tokens_need_no_merging(monkeypatch):
+    """Each proved token has a home that other pieces don't take, and pieces whose slot is a token's are kept all the same."""
+    vocabulary = vocabulary_module.Vocabulary.read(PATH)
+    encoder = vocabulary_module.Encoder(vocabulary)
+    merged = []
+    plain, one = encoder._merge, encoder._merge_one
+    monkeypatch.setattr(encoder, "_merge", lambda s: merged.append(s) or plain(s))
+    monkeypatch.setattr(encoder, "_merge_one", lambda s: merged.append(s) or one(s))
+    strange = [f" qzx{k}" for k in range(3000)]
+    encoder.encode(strange)
+    merged.clear()
+    counts, whole, ids = encoder.encode(list(vocabulary.whole))
+    assert ids.tolist() == list(vocabulary.whole.values()) and (counts == 1).all() and (whole == 1).all()
+    assert not any(merged)
+    encoder.encode(strange)
+    again = sum(len(m.split("\0")) for m in merged if m)
+    assert again < 30
