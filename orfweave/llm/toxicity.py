@@ -27,7 +27,7 @@ from .common import held, release, small_batches, table, whole_text
 from .vocabulary import chunks
 
 BITS = 22
-MAX_ROWS = 8_192
+MAX_ROWS = 16_384
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.1
 #: What a row of label 1 weighs beside one of label 0.
