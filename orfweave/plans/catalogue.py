@@ -333,34 +333,42 @@ def med_entropy(spark, sf_dir):
     return whole.where(F.size(F.filter("parts", lambda x: x["amino"] != "*")) > 0).select(*keys, F.round(entropy, 6).alias("entropy"))
 
 
-@_query()
+@_query('SELECT contig_id, number, gene, strand, "left", "right", round(ln_score, 6) AS ln_score FROM called')
 def genes_path(spark, sf_dir):
-    return annotation(spark, sf_dir).calls
+    """ln_score is of the score's size: the score itself is -exp(ln_score)."""
+    return _rounded(annotation(spark, sf_dir).calls.drop("score"), "ln_score")
 
 
-@_query()
+@_query("""SELECT contig_id, place, CASE WHEN strand < 0 THEN "right" || chr(9) || "left" || chr(9) || '-' ELSE "left" || chr(9) || "right" || chr(9) || '+' END || chr(9) || contig_id || chr(9) || score_text AS line FROM called
+  UNION ALL SELECT DISTINCT contig_id, -1, '#id:' || chr(9) || contig_id FROM called UNION ALL SELECT DISTINCT contig_id, 0, concat_ws(chr(9), '#START', 'STOP', 'FRAME', 'CONTIG', 'SCORE') FROM called""")
 def genes_tabular(spark, sf_dir):
     return formats.tabular(annotation(spark, sf_dir).calls)
 
 
-@_query()
+@_query("""SELECT contig_id, 0 AS place, 'LOCUS       ' || rpad(CAST(contig_id AS VARCHAR), 16, ' ') || lpad(CAST(length AS VARCHAR), 8, ' ') || ' bp ' || chr(10) || 'FEATURES             Location/Qualifiers' AS line FROM contigs
+  UNION ALL SELECT contig_id, place, '     ' || rpad(gene, 16, ' ') || location || chr(10) || repeat(' ', 21) || '/note=score:' || score_text FROM cut
+  UNION ALL SELECT contig_id, 1073741824, 'ORIGIN' || chr(10) || array_to_string(list_transform(range((length + 59) // 60), lambda i: lpad(CAST(i * 60 + 1 AS VARCHAR), 9, ' ') || ' ' || rtrim(regexp_replace(substring(seq, i * 60 + 1, 60), '(.{10})', '\\1 ', 'g'))), chr(10)) || chr(10) || '//' FROM contigs""")
 def genes_genbank(spark, sf_dir):
     a = annotation(spark, sf_dir)
     return formats.genbank(a.calls, a.contigs)
 
 
-@_query()
+@_query("""SELECT contig_id, place, concat_ws(chr(9), contig_id, 'orfweave', gene, "left", "right", score_text, CASE WHEN strand < 0 THEN '-' ELSE '+' END, '0', 'ID=' || contig_id || '_' || gene || '_' || place || ';note=score:' || score_text) AS line FROM called""")
 def genes_gff3(spark, sf_dir):
     return formats.gff3(annotation(spark, sf_dir).calls)
 
 
-@_query()
+_HEADER = "'>' || contig_id || '_CDS_[' || location || '] [note=score:' || score_text || ']' || chr(10)"
+
+
+@_query(f"SELECT contig_id, place, {_HEADER} || dna AS line FROM cut WHERE gene = 'CDS'")
 def genes_fna(spark, sf_dir):
     a = annotation(spark, sf_dir)
     return formats.fna(a.calls, a.contigs)
 
 
-@_query()
+@_query(f"""SELECT contig_id, place, {_HEADER} || protein AS line FROM cut JOIN (SELECT contig_id, place, string_agg(amino, '' ORDER BY k) AS protein FROM (
+    SELECT contig_id, place, dna, unnest(range(length(dna) // 3)) AS k FROM cut) JOIN amino ON amino.codon = substring(dna, 3 * k + 1, 3) GROUP BY ALL) USING (contig_id, place) WHERE gene = 'CDS'""")
 def genes_faa(spark, sf_dir):
     a = annotation(spark, sf_dir)
     return formats.faa(a.calls, a.contigs)

@@ -15,6 +15,14 @@ _PAIR = "struct_pack(gene := {0}_gene, type := {0}_type, frame := {0}_frame, pos
 _GAP = "CASE WHEN len > 300 THEN pow(1 - p, 100) + len ELSE 1 / pow(1 - p, len / 3.0) + CASE WHEN direction = 'diff' THEN 1 / 0.05 ELSE 0 END END"
 _OVERLAP = "1 / pow(1 - p, len) + CASE WHEN direction = 'diff' THEN 1 / 0.05 ELSE 0 END"
 
+def _key(position: str, frame: str, type_: str, gene: str = "'CDS'") -> str:
+    """A node as text that sorts by position."""
+    return f"printf('%010d %d %s %s', CAST({position} AS BIGINT), CAST({frame} AS BIGINT), {type_}, {gene})"
+
+
+_SOURCE, _TARGET = _key("0", "0", "'source'", "'source'"), _key("contig_length + 1", "0", "'target'", "'target'")
+_ORF = [_key("start", "frame", "'start'"), _key("stop", "frame", "'stop'")]
+
 CTES = {
     "contigs": f"SELECT doc_id AS contig_id, seq, length(seq) AS length FROM (SELECT doc_id, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{NUCLEOTIDES}') AS seq FROM documents) WHERE length(seq) >= 6",
     "freq": "SELECT contig_id, length, n_at AS n_a, n_at AS n_t, length - n_at AS n_c, length - n_at AS n_g, (n_at / (2.0 * length)) * (n_at / (2.0 * length)) * (n_at / (2.0 * length)) + 2 * (n_at / (2.0 * length)) * ((length - n_at) / (2.0 * length)) * (n_at / (2.0 * length)) AS pstop FROM (SELECT contig_id, length, length - length(translate(seq, 'at', '')) AS n_at FROM contigs)",
@@ -60,17 +68,38 @@ CTES = {
       WHEN l_frame > 0 AND r_frame < 0 AND l_type = 'stop' AND r_type = 'stop' THEN 'gap_diff' WHEN l_frame < 0 AND r_frame > 0 AND l_type = 'start' AND r_type = 'start' AND r - l > 2 THEN 'gap_diff'
       WHEN l_frame < 0 AND r_frame > 0 AND l_type = 'stop' AND r_type = 'stop' AND r_other + 3 < l AND r < l_other THEN 'overlap_diff'
       WHEN l_frame > 0 AND r_frame < 0 AND l_type = 'start' AND r_type = 'start' AND r_other < l AND r < l_other THEN 'overlap_diff' END AS kind FROM pairs""",
-    "connections": f"""SELECT contig_id, kind, CASE WHEN kind LIKE 'gap%' THEN l ELSE r END AS source_position, CASE WHEN kind LIKE 'gap%' THEN l_frame ELSE r_frame END AS source_frame, CASE WHEN kind LIKE 'gap%' THEN r ELSE l END AS target_position, CASE WHEN kind LIKE 'gap%' THEN r_frame ELSE l_frame END AS target_frame, len AS length, CASE WHEN kind LIKE 'gap%' THEN {_GAP} ELSE {_OVERLAP} END AS cost
+    "connections": f"""SELECT contig_id, kind, CASE WHEN kind LIKE 'gap%' THEN l_type ELSE r_type END AS source_type, CASE WHEN kind LIKE 'gap%' THEN r_type ELSE l_type END AS target_type, CASE WHEN kind LIKE 'gap%' THEN l ELSE r END AS source_position, CASE WHEN kind LIKE 'gap%' THEN l_frame ELSE r_frame END AS source_frame, CASE WHEN kind LIKE 'gap%' THEN r ELSE l END AS target_position, CASE WHEN kind LIKE 'gap%' THEN r_frame ELSE l_frame END AS target_frame, len AS length, CASE WHEN kind LIKE 'gap%' THEN {_GAP} ELSE {_OVERLAP} END AS cost
       FROM (SELECT *, split_part(kind, '_', 2) AS direction, r - l + CASE WHEN kind LIKE 'gap%' THEN -3 ELSE 3 END AS len, CASE WHEN kind LIKE 'gap%' THEN pgap ELSE (l_p + r_p) / 2 END AS p FROM kinds WHERE kind IS NOT NULL)""",
-    "ends": f"""SELECT contig_id, kind, position, frame, type, len AS length, {_GAP} AS cost FROM (
-      SELECT contig_id, 'source' AS kind, position, frame, type, position AS len, pgap AS p, 'same' AS direction FROM nodes WHERE position <= 2000 AND (frame > 0) = (type = 'start')
-      UNION ALL SELECT contig_id, 'target', position, frame, type, contig_length - position, pgap, 'same' FROM nodes WHERE contig_length - position <= 2000 AND (frame > 0) = (type = 'stop'))""",
+    "ends": f"""SELECT contig_id, kind, position, frame, type, contig_length, len AS length, {_GAP} AS cost FROM (
+      SELECT contig_id, 'source' AS kind, position, frame, type, contig_length, position AS len, pgap AS p, 'same' AS direction FROM nodes WHERE position <= 2000 AND (frame > 0) = (type = 'start')
+      UNION ALL SELECT contig_id, 'target', position, frame, type, contig_length, contig_length - position, pgap, 'same' FROM nodes WHERE contig_length - position <= 2000 AND (frame > 0) = (type = 'stop'))""",
     "covered": "SELECT DISTINCT contig_id, unnest(range(least(start, stop), least(greatest(start, stop), f.length - 1))) AS n FROM longest JOIN freq f USING (contig_id)",
     "gaps": "SELECT contig_id, last, n AS base FROM (SELECT contig_id, n, coalesce(lag(n) OVER (PARTITION BY contig_id ORDER BY n), 0) AS last FROM covered) WHERE n - last > 500",
-    "long": f"""SELECT contig_id, 'long_gap_' || direction AS kind, l, l_frame, r, r_frame, len AS length, {_GAP} AS cost FROM (
-      SELECT DISTINCT a.contig_id, a.position AS l, a.frame AS l_frame, b.position AS r, b.frame AS r_frame, b.position - a.position - 3 AS len, a.pgap AS p, CASE WHEN a.frame * b.frame > 0 THEN 'same' ELSE 'diff' END AS direction
+    "long": f"""SELECT contig_id, 'long_gap_' || direction AS kind, l, l_frame, l_type, r, r_frame, r_type, len AS length, {_GAP} AS cost FROM (
+      SELECT DISTINCT a.contig_id, a.position AS l, a.frame AS l_frame, a.type AS l_type, b.position AS r, b.frame AS r_frame, b.type AS r_type, b.position - a.position - 3 AS len, a.pgap AS p, CASE WHEN a.frame * b.frame > 0 THEN 'same' ELSE 'diff' END AS direction
       FROM gaps g JOIN nodes a ON a.contig_id = g.contig_id AND a.position <= last + 1 AND a.position > last - 500 JOIN nodes b ON b.contig_id = g.contig_id AND b.position >= base - 1 AND b.position < base + 500
       WHERE (a.frame > 0) = (a.type = 'stop') AND ((a.frame * b.frame > 0) = (a.type <> b.type)))""",
+    # the cheapest path: costs as whole numbers of any size; reached holds the least cost of each node so far
+    "steps": f"""SELECT contig_id, s, t, CAST(trunc(cost * 1000) AS BIGNUM) AS w FROM (
+      SELECT contig_id, CASE WHEN strand > 0 THEN {_ORF[0]} ELSE {_ORF[1]} END AS s, CASE WHEN strand > 0 THEN {_ORF[1]} ELSE {_ORF[0]} END AS t, -exp(ln_score) AS cost FROM scored
+      UNION ALL SELECT contig_id, {_key("source_position", "source_frame", "source_type")}, {_key("target_position", "target_frame", "target_type")}, cost FROM connections
+      UNION ALL SELECT contig_id, {_key("l", "l_frame", "l_type")}, {_key("r", "r_frame", "r_type")}, cost FROM long
+      UNION ALL SELECT contig_id, CASE WHEN kind = 'source' THEN {_SOURCE} ELSE {_key("position", "frame", "type")} END, CASE WHEN kind = 'source' THEN {_key("position", "frame", "type")} ELSE {_TARGET} END, cost FROM ends)""",
+    "settled": """WITH RECURSIVE reached(contig_id, node, cost) USING KEY (contig_id, node) AS (
+      SELECT contig_id, '0000000000 0 source source', CAST(0 AS BIGNUM) FROM contigs
+      UNION SELECT n.contig_id, n.t, n.cost FROM (SELECT e.contig_id, e.t, min(b.cost + e.w) AS cost FROM reached b JOIN steps e ON e.contig_id = b.contig_id AND e.s = b.node GROUP BY ALL) n
+      LEFT JOIN recurring.reached r ON r.contig_id = n.contig_id AND r.node = n.t WHERE r.cost IS NULL OR n.cost < r.cost) SELECT * FROM reached""",
+    "befores": "SELECT e.contig_id, e.t, min(e.s) AS s FROM steps e JOIN settled a ON a.contig_id = e.contig_id AND a.node = e.s JOIN settled b ON b.contig_id = e.contig_id AND b.node = e.t WHERE a.cost + e.w = b.cost GROUP BY ALL",
+    "walked": """WITH RECURSIVE walk AS (SELECT contig_id, t AS node, s AS before, 0 AS k FROM befores WHERE t LIKE '% target target'
+      UNION ALL SELECT w.contig_id, b.t, b.s, k + 1 FROM walk w JOIN befores b ON b.contig_id = w.contig_id AND b.t = w.before)
+      SELECT contig_id, node, max(k) OVER (PARTITION BY contig_id) - k AS place FROM walk""",
+    "called": """SELECT contig_id, CAST(number AS INTEGER) AS number, gene, CASE WHEN p.frame < 0 THEN -1 ELSE 1 END AS strand, low AS "left", high + 2 AS "right", ln_score, printf('%E', coalesce(-exp(ln_score), 0.0)) AS score_text,
+        CAST(row_number() OVER (PARTITION BY contig_id ORDER BY low, high, p.frame < 0 DESC) AS INTEGER) AS place FROM (
+      SELECT contig_id, place // 2 AS number, split_part(a, ' ', 4) AS gene, CAST(split_part(a, ' ', 2) AS INTEGER) AS frame, CAST(split_part(a, ' ', 1) AS INTEGER) AS low, CAST(split_part(b, ' ', 1) AS INTEGER) AS high
+      FROM (SELECT contig_id, place, node AS a, lead(node) OVER (PARTITION BY contig_id ORDER BY place) AS b FROM walked) WHERE place % 2 = 0 AND b IS NOT NULL) p
+      LEFT JOIN (SELECT contig_id, frame, least(start, stop) AS low, greatest(start, stop) AS high, ln_score FROM scored) o USING (contig_id, frame, low, high)""",
+    "cut": f"""SELECT c.*, length, CASE WHEN strand < 0 THEN {revcomp('substring(seq, "left", "right" - "left" + 1)')} ELSE substring(seq, "left", "right" - "left" + 1) END AS dna,
+      CASE WHEN strand < 0 THEN 'complement(' || "left" || '..' || "right" || ')' ELSE "left" || '..' || "right" END AS location FROM called c JOIN contigs USING (contig_id)""",
     "amino": "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{a}')" for c, a in codon_table().items()) + ") AS t(codon, amino)",
     "residues": "SELECT contig_id, strand, start, stop, k, amino FROM (SELECT contig_id, strand, start, stop, dna, unnest(range(length // 3)) AS k FROM longest) JOIN amino ON amino.codon = substring(dna, 3 * k + 1, 3)",
 }
