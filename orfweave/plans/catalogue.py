@@ -423,28 +423,33 @@ def value_histogram(spark, sf_dir):
     return stats.histogram(table(spark, sf_dir, "events"), "event_type", "value", 10)
 
 
-_ANOVA = """SELECT g - 1 AS df_between, n - g AS df_within, round(b, 4) AS ss_between, round(w, 4) AS ss_within, round((b / (g - 1)) / (w / (n - g)), 6) AS f, round(b / (b + w), 6) AS eta, round(b / w, 6) AS f2 FROM (
-  SELECT count(DISTINCT grp) AS g, count(*) AS n, sum((mean - grand) ** 2) AS b, sum((x - mean) ** 2) AS w FROM (SELECT grp, x, avg(x) OVER (PARTITION BY grp) AS mean, avg(x) OVER () AS grand FROM ({})))"""
+#: The chance of a larger F, by Simpson's rule over the angle that takes the poles away from the beta density.
+_P = """(SELECT sum(CASE WHEN i = 0 OR i = 20000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * CASE WHEN i = 0 THEN 0 ELSE 2 * exp(lgamma(({d1} + {d2}) / 2.0) - lgamma({d1} / 2.0) - lgamma({d2} / 2.0)
+  + ({d2} - 1) * ln(sin(top * i / 20000)) + ({d1} - 1) * ln(cos(top * i / 20000))) END) * top / 60000 FROM range(20001) t(i), (SELECT asin(sqrt({d2} / ({d2} + {d1} * {f}))) AS top) GROUP BY top)"""
+_ANOVA = """SELECT df_between, df_within, round(b, 4) AS ss_between, round(w, 4) AS ss_within, round(f, 6) AS f, round(b / (b + w), 6) AS eta, round(b / w, 6) AS f2, round({p}, 6) AS p FROM (SELECT *, g - 1 AS df_between, n - g AS df_within, (b / (g - 1)) / (w / (n - g)) AS f FROM (
+  SELECT count(DISTINCT grp) AS g, count(*) AS n, sum((mean - grand) ** 2) AS b, sum((x - mean) ** 2) AS w FROM (SELECT grp, x, avg(x) OVER (PARTITION BY grp) AS mean, avg(x) OVER () AS grand FROM ({rows}))))"""
+_F_P = _P.format(d1="df_between", d2="df_within", f="f")
 
 
 def _anova_out(df: DataFrame) -> DataFrame:
-    return _rounded(_rounded(df, "ss_between", "ss_within", digits=4), "f", "eta", "f2")
+    return _rounded(_rounded(df, "ss_between", "ss_within", digits=4), "f", "eta", "f2", "p")
 
 
-@_query(_ANOVA.format("SELECT event_type AS grp, value AS x FROM events"))
+@_query(_ANOVA.format(p=_F_P, rows="SELECT event_type AS grp, value AS x FROM events"))
 def anova_f(spark, sf_dir):
     return _anova_out(stats.anova(table(spark, sf_dir, "events"), "event_type", "value"))
 
 
-@_query(_ANOVA.format("SELECT event_type AS grp, abs(value - median(value) OVER (PARTITION BY event_type)) AS x FROM events"))
+@_query(_ANOVA.format(p=_F_P, rows="SELECT event_type AS grp, abs(value - median(value) OVER (PARTITION BY event_type)) AS x FROM events"))
 def levene_f(spark, sf_dir):
     return _anova_out(stats.levene(table(spark, sf_dir, "events"), "event_type", "value"))
 
 
-@_query("SELECT regr_count(l_extendedprice, l_quantity) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, round(regr_r2(l_extendedprice, l_quantity) / (1 - regr_r2(l_extendedprice, l_quantity)), 5) AS f2 FROM lineitem")
+@_query(f"""SELECT n, round(slope, 4) AS slope, round(intercept, 2) AS intercept, round(r2, 6) AS r2, round(r2 / (1 - r2), 5) AS f2, round({_P.format(d1="1", d2="(n - 2)", f="f")}, 6) AS p FROM (SELECT *, r2 / ((1 - r2) / (n - 2)) AS f FROM (
+  SELECT regr_count(l_extendedprice, l_quantity) AS n, regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept, regr_r2(l_extendedprice, l_quantity) AS r2 FROM lineitem))""")
 def cohen_f2(spark, sf_dir):
     fit = stats.regression(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice")
-    return fit.select("n", F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"), F.round("r2", 6).alias("r2"), F.round("f2", 5).alias("f2"))
+    return fit.select("n", F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"), F.round("r2", 6).alias("r2"), F.round("f2", 5).alias("f2"), F.round("p", 6).alias("p"))
 
 
 @_query("""WITH m AS (SELECT event_type AS g, count(value) AS n, avg(value) AS mean, var_samp(value) AS v FROM events GROUP BY 1)
@@ -453,11 +458,25 @@ def cohen_d(spark, sf_dir):
     return stats.cohen_d(table(spark, sf_dir, "events"), "event_type", "value").select("a", "b", (F.round("d", 6) + 0.0).alias("d"))
 
 
-@_query("""WITH m AS (SELECT event_type AS g, count(value) AS n, avg(value) AS mean, var_samp(value) AS v FROM events GROUP BY 1), w AS (SELECT sum((n - 1) * v) / (sum(n) - count(*)) AS ms FROM m)
-  SELECT a.g AS a, b.g AS b, round(b.mean - a.mean, 6) AS difference, round(abs(b.mean - a.mean) / sqrt(ms / 2 * (1.0 / a.n + 1.0 / b.n)), 5) AS q FROM m a JOIN m b ON a.g < b.g, w""")
+def _phi(x: str) -> str:
+    """The share of the normal distribution up to x, as distributions.normal_share has it."""
+    t = f"(1 / (1 + 0.2316419 * abs({x})))"
+    upper = f"exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * {t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429))))"
+    return f"(CASE WHEN {x} > 0 THEN 1 - {upper} ELSE {upper} END)"
+
+
+def _range_tail(groups: str, df: str) -> str:
+    """The chance of a larger studentized range q, by sums over even steps."""
+    within = f"(SELECT {groups} * sum(exp(-z * z / 2) / sqrt(2 * pi()) * pow(greatest(0, {_phi('z')} - {_phi('(z - q * s)')}), {groups} - 1)) * 0.05 FROM (SELECT -8 + 0.05 * j AS z FROM range(321) u(j)))"
+    return f"(SELECT 1 - sum(exp(ln(2) + {df} / 2.0 * ln({df} / 2.0) - lgamma({df} / 2.0) + ({df} - 1) * ln(s) - {df} * s * s / 2) * step * {within}) FROM (SELECT greatest(0, 1 - 8 / sqrt(2.0 * {df})) + step * (i + 0.5) AS s, step FROM range(200) t(i), (SELECT (1 + 8 / sqrt(2.0 * {df}) - greatest(0, 1 - 8 / sqrt(2.0 * {df}))) / 200 AS step)))"
+
+
+@_query(f"""WITH m AS (SELECT event_type AS g, count(value) AS n, avg(value) AS mean, var_samp(value) AS v FROM events GROUP BY 1), w AS (SELECT sum((n - 1) * v) / (sum(n) - count(*)) AS ms, count(*) AS k, sum(n) - count(*) AS df FROM m)
+  SELECT a, b, round(d, 6) AS difference, round(q, 5) AS q, round({_range_tail('k', 'df')}, 5) AS p FROM (
+    SELECT a.g AS a, b.g AS b, k, df, b.mean - a.mean AS d, abs(b.mean - a.mean) / sqrt(ms / 2 * (1.0 / a.n + 1.0 / b.n)) AS q FROM m a JOIN m b ON a.g < b.g, w)""")
 def tukey_q(spark, sf_dir):
     t = stats.tukey(table(spark, sf_dir, "events"), "event_type", "value")
-    return t.select("a", "b", F.round("difference", 6).alias("difference"), F.round("q", 5).alias("q"))
+    return t.select("a", "b", F.round("difference", 6).alias("difference"), F.round("q", 5).alias("q"), F.round("p", 5).alias("p"))
 
 
 @_query("SELECT l_returnflag, count(*) AS n, round(100.0 * count_if(l_discount = 0) / count(*), 6) AS zero_percent FROM lineitem GROUP BY l_returnflag")
@@ -480,7 +499,34 @@ def log1p_lengths(spark, sf_dir):
     return annotation(spark, sf_dir).orfs.groupBy("contig_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.mean(F.log1p("length")), 6).alias("mean_log"))
 
 
-@_query("SELECT event_type, k AS repeat, CAST(least(200, m) AS INTEGER) AS n FROM (SELECT event_type, count(*) AS m FROM events GROUP BY event_type), range(1, 21) t(k)")
+def _drawn(repeats: int, n: int, by: str) -> str:
+    """Events with the number of each draw that they are in."""
+    values = ", ".join(f"({k}, {a}, {b})" for k, a, b in stats.draw_hashes(repeats))
+    number = f"CAST('0x' || substring(md5(CAST(event_id AS VARCHAR)), 1, 15) AS BIGINT) % {stats.PRIME}"
+    return f"(SELECT * FROM (SELECT e.*, k AS repeat, row_number() OVER (PARTITION BY k{by} ORDER BY ({number} * a + b) % {stats.PRIME}, event_id) AS place FROM events e, (VALUES {values}) t(k, a, b)) WHERE place <= {n})"
+
+
+@_query(f"SELECT event_type, CAST(repeat AS INTEGER) AS repeat, count(*) AS n, round(avg(value), 6) AS mean FROM {_drawn(20, 200, ', event_type')} GROUP BY ALL")
 def resample_groups(spark, sf_dir):
-    """How many rows each draw has; their means differ from seed to seed."""
-    return stats.resample(table(spark, sf_dir, "events"), "event_type", "value", 20, 200).select("event_type", F.col("repeat").cast("long").alias("repeat"), F.col("n").cast("int").alias("n"))
+    """200 events of each type, drawn 20 times."""
+    return _rounded(stats.resample(table(spark, sf_dir, "events"), "event_id", "event_type", "value", 20, 200), "mean")
+
+
+_TESTS = f"""WITH drawn AS MATERIALIZED (SELECT repeat, event_type AS grp, value AS v FROM {_drawn(10, 1000, '')} WHERE value IS NOT NULL),
+  names AS (SELECT DISTINCT grp FROM drawn), two AS (SELECT a.grp AS a, b.grp AS b FROM names a JOIN names b ON a.grp < b.grp),
+  sets AS MATERIALIZED (SELECT 'anova' AS test, NULL AS a, NULL AS b, repeat, grp, v AS x FROM drawn
+    UNION ALL SELECT 'levene', NULL, NULL, repeat, grp, abs(v - median(v) OVER (PARTITION BY repeat, grp)) FROM drawn
+    UNION ALL SELECT 'levene', a, b, repeat, grp, abs(v - median(v) OVER (PARTITION BY repeat, a, b, grp)) FROM drawn JOIN two ON grp IN (a, b)),
+  sums AS (SELECT test, a, b, repeat, count(DISTINCT grp) - 1 AS df_between, count(*) - count(DISTINCT grp) AS df_within, sum((mean - grand) ** 2) AS sb, sum((x - mean) ** 2) AS sw FROM (
+    SELECT *, avg(x) OVER (PARTITION BY test, a, b, repeat, grp) AS mean, avg(x) OVER (PARTITION BY test, a, b, repeat) AS grand FROM sets) GROUP BY ALL),
+  m AS (SELECT repeat, grp, count(*) AS n, avg(v) AS mean, var_samp(v) AS var FROM drawn GROUP BY ALL), w AS (SELECT repeat, sum((n - 1) * var) / (sum(n) - count(*)) AS ms, count(*) AS k, sum(n) - count(*) AS df FROM m GROUP BY repeat),
+  ps AS (SELECT test, a, b, {_F_P} AS p FROM (SELECT *, (sb / df_between) / (sw / df_within) AS f FROM sums)
+    UNION ALL SELECT 'tukey', a, b, {_range_tail('k', 'df')} FROM (SELECT x.grp AS a, y.grp AS b, k, df, abs(x.mean - y.mean) / sqrt(ms / 2 * (1.0 / x.n + 1.0 / y.n)) AS q FROM m x JOIN m y ON x.repeat = y.repeat AND x.grp < y.grp JOIN w ON w.repeat = x.repeat))
+  SELECT test, a, b, count(*) AS draws, count_if(p < 0.05) AS significant FROM ps GROUP BY ALL"""
+
+
+@_query(_TESTS)
+def resample_tests(spark, sf_dir):
+    """Tests of 1,000 events, drawn 10 times: in how many draws means or spreads differ, over all types and by pairs."""
+    drawn = stats.draws(table(spark, sf_dir, "events"), "event_id", 10, 1000)
+    return stats.significant(stats.draw_tests(drawn, "event_type", "value"))
