@@ -29,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("-s", "--start_codons", default="atg:0.85,gtg:0.10,ttg:0.05", help="start codons and their weights")
     out.add_argument("-e", "--stop_codons", default="tag,tga,taa", help="stop codons")
     out.add_argument("-l", "--minlen", type=int, default=90, help="bases of the shortest open reading frame")
+    out.add_argument("-t", "--trnas", help="a tool's finds of tRNAs, tab-separated or in brief; genes don't overlap them")
     out.add_argument("-d", "--dump", action="store_true", help="write the first sequence's graph instead")
     out.add_argument("-V", "--version", action="version", version=__version__)
     return out
@@ -43,7 +44,8 @@ def lines(spark: SparkSession, args: argparse.Namespace) -> Iterator[str]:
     params = Params(starts=start_weights(args.start_codons), stops=stop_codons(args.stop_codons), min_length=args.minlen)
     if args.dump:
         contigs = contigs.orderBy("place").limit(1)
-    run = Annotation(contigs.select("contig_id", "seq", "length"), params=params)
+    trnas = readers.trnas(spark, readers.require_file(spark, args.trnas)) if args.trnas else None
+    run = Annotation(contigs.select("contig_id", "seq", "length"), trnas, params)
     try:
         if args.dump:
             rows: DataFrame = formats.edge_dump(run.edges)
@@ -52,6 +54,8 @@ def lines(spark: SparkSession, args: argparse.Namespace) -> Iterator[str]:
             order = contigs.select(F.col("contig_id").alias("own"), F.col("place").alias("contig_place"))
             text = formats.text(run.calls, run.contigs, args.format)
             rows = text.join(order, F.col("contig_id") == F.col("own")).orderBy("contig_place", "place")
+        if args.format == "gff3" and not args.dump:
+            yield formats.GFF3
         for row in rows.select("line").toLocalIterator():
             yield row["line"]
     finally:

@@ -74,13 +74,25 @@ def trna_edges(trnas: DataFrame) -> DataFrame:
 
 
 def disjoint_trnas(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Those of the first scan, and those of the second that overlap none of the first."""
-    span = lambda df, a, b: df.select("*", F.least("start", "stop").alias(a), F.greatest("start", "stop").alias(b))
-    seen = span(first, "a", "b").select(F.col("contig_id").alias("own"), "a", "b")
-    new = span(second, "c", "d")
-    # both are half open
-    free = new.join(seen, (F.col("contig_id") == F.col("own")) & (F.col("a") < F.col("d")) & (F.col("b") > F.col("c")), "left_anti")
-    return first.select("contig_id", "start", "stop").unionByName(free.select("contig_id", "start", "stop"))
+    """Those of the first scan, and those of the second that overlap none of the first. Spans are half open.
+
+    Both scans' spans are put in order of their lower ends, and the farthest end of the first scan so far is carried along:
+    a span overlaps one that begins before it if that end lies beyond its begin. What begins within it is told by the next
+    begin of the first scan. So no span is joined with another, however many there are in a place.
+    """
+    span = lambda df, own: df.select("contig_id", "start", "stop", F.least("start", "stop").alias("a"), F.greatest("start", "stop").alias("b"), F.lit(own).alias("own"))
+    both = span(first, True).unionByName(span(second, False))
+    along = Window.partitionBy("contig_id").orderBy("a")
+    own_end, own_begin = F.max(F.when(F.col("own"), F.col("b"))), F.min(F.when(F.col("own"), F.col("a")))
+    rows = both.withColumns({
+        "reach": own_end.over(along.rangeBetween(Window.unboundedPreceding, 0)),
+        # an empty span lies within those only that begin before it
+        "earlier": own_end.over(along.rangeBetween(Window.unboundedPreceding, -1)),
+        "next": own_begin.over(along.rangeBetween(1, Window.unboundedFollowing)),
+    })
+    reach = F.when(F.col("a") < F.col("b"), F.col("reach")).otherwise(F.col("earlier"))
+    meets = F.coalesce(reach > F.col("a"), F.lit(False)) | F.coalesce(F.col("next") < F.col("b"), F.lit(False))
+    return rows.where(F.col("own") | ~meets).select("contig_id", "start", "stop")
 
 
 def _sides(nodes_: DataFrame) -> tuple[DataFrame, DataFrame]:

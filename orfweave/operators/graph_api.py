@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orfweave.sources import readers
+
 
 def inverted(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
@@ -127,12 +129,24 @@ class Graph:
         return F.when(F.col("weight") != 1, F.concat(F.lit(sep), F.col("weight").cast("string"))).otherwise("")
 
     def lines(self, name: str = "graph") -> DataFrame:
-        """Headers and edges; a weight of 1 isn't written. place orders the lines."""
+        """Headers, edges and nodes without edges; a weight of 1 isn't written. place orders the lines."""
         spark = self.edges.sparkSession
         head = spark.createDataFrame([(0, f"# NAME={name}"), (1, f"# DIRECTED={self.directed}")], "place int, line string")
         sizes = self.nodes.agg(F.count(F.lit(1)).alias("n")).select(F.lit(2).alias("place"), F.concat(F.lit("# V="), "n").alias("line")).union(self.edges.agg(F.count(F.lit(1)).alias("n")).select(F.lit(3), F.concat(F.lit("# E="), "n")))
         body = self.edges.select(F.lit(4).alias("place"), F.concat(F.concat_ws(" ", "src", "dst"), self._weight()).alias("line"))
-        return head.union(sizes).union(body)
+        ends = self.edges.select(F.explode(F.array("src", "dst")).alias("node"))
+        alone = self.nodes.join(ends, "node", "left_anti").select(F.lit(5).alias("place"), F.col("node").cast("string").alias("line"))
+        return head.union(sizes).union(body).union(alone)
+
+    def save(self, path: str, name: str = "graph") -> None:
+        """A text file that load() reads."""
+        self.lines(name).coalesce(1).sortWithinPartitions("place", "line").select("line").write.text(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Graph:
+        """Nodes are texts."""
+        edges, directed = readers.graph(spark, path)
+        return cls.of(edges, directed, readers.graph_nodes(spark, path))
 
     def lgl(self) -> DataFrame:
         if self.directed:
@@ -140,11 +154,13 @@ class Graph:
         return self.edges.select(F.concat(F.concat_ws(" ", "src", "dst"), self._weight()).alias("line"))
 
     def ncol(self) -> DataFrame:
-        """# node, then its neighbours that come after it; a node's lines are one row."""
+        """# node for each node, then its neighbours that come after it, if any; a node's lines are one row."""
         if self.directed:
             raise ValueError("the format has no directed graphs")
         near = F.sort_array(F.collect_list(F.concat(F.col("dst").cast("string"), self._weight())))
-        return self.edges.groupBy("src").agg(near.alias("near")).select(F.concat(F.lit("# "), F.col("src"), F.lit("\n"), F.array_join("near", "\n")).alias("line"))
+        found = self.edges.groupBy(F.col("src").alias("node")).agg(near.alias("near"))
+        rows = self.nodes.join(found, "node", "left")
+        return rows.select(F.array_join(F.concat(F.array(F.concat(F.lit("# "), F.col("node").cast("string"))), F.coalesce("near", F.array().cast("array<string>"))), "\n").alias("line"))
 
     def shown(self) -> DataFrame:
         near = F.sort_array(F.collect_list(F.concat(F.col("dst").cast("string"), F.lit("("), F.col("weight").cast("string"), F.lit(")"))))

@@ -97,6 +97,46 @@ def counts_at(places: DataFrame, sites: DataFrame) -> DataFrame:
     return found.select(*places.columns, n.alias("n"))
 
 
+def positional_stop_chance(orfs: DataFrame, contigs: DataFrame) -> DataFrame:
+    """orfs (contig_id, strand, start, stop and more) with pp_stop, the chance of a stop codon by the frequencies of bases at
+    each of the three places of the ORF's codons; null where a place has no base but ambiguous ones.
+
+    Pieces of contigs carry how many bases of each kind lie before them in each phase; an ORF is the difference of two
+    lookups, a piece's own bases being counted in its text.
+    """
+    kinds = "atg"
+    pieces_ = profile.chunks(contigs, pieces.PIECE, 0, 0).select("contig_id", "first", F.col("context").alias("chunk"))
+    phase = lambda j: F.regexp_replace(F.substr("chunk", F.lit(j + 1)), "(.).?.?", "$1")
+    cut = pieces_.select("contig_id", "first", *(phase(j).alias(f"phase{j}") for j in range(3)))
+    # of a phase: a, t, g, and all four
+    count = lambda text, base: F.length(text) - F.length(F.translate(text, base, ""))
+    names = [(j, base, f"n{j}{base}") for j in range(3) for base in (*kinds, "acgt")]
+    earlier = Window.partitionBy("contig_id").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    running = cut.select("*", *(F.coalesce(F.sum(count(F.col(f"phase{j}"), base)).over(earlier), F.lit(0)).alias(name) for j, base, name in names))
+    left, right = F.least("start", "stop"), F.greatest("start", "stop") + 2
+    keyed = orfs.withColumn("_orf", F.struct("contig_id", "strand", "start", "stop"))
+    ends = keyed.select("_orf", "contig_id", F.inline(F.array(F.struct((left - 1).alias("bases"), F.lit(-1).alias("sign")), F.struct(right.alias("bases"), F.lit(1).alias("sign"))))).where("bases > 0")
+    ends = ends.withColumn("first", F.expr(f"(bases - 1) div {pieces.PIECE} * {pieces.PIECE}").cast("int"))
+    own = lambda j: F.left(F.col(f"phase{j}"), F.expr(f"(bases - first - {j} + 2) div 3").cast("int"))
+    met = ends.join(running, ["contig_id", "first"])
+    sums = met.groupBy("_orf").agg(*(F.sum(F.col("sign") * (F.col(name) + count(own(j), base))).alias(name) for j, base, name in names))
+    ahead = F.col("_orf.strand") > 0
+    # the phase of a codon's first base as the strand reads it, and of those that follow
+    begin = F.when(ahead, F.col("_orf.start") - 1).otherwise(F.col("_orf.start") + 1)
+    at = lambda place: F.pmod(begin + F.when(ahead, place).otherwise(-place), F.lit(3))
+    back = {"a": "t", "t": "a"}
+
+    def rate(place: int, base: str) -> Column:
+        of = lambda b: F.element_at(F.array(*(F.col(f"n{j}{b}") for j in range(3))), (at(place) + 1).cast("int"))
+        # g on the other strand is what is left of all four
+        other = of(back[base]) if base in back else of("acgt") - of("a") - of("t") - of("g")
+        return F.try_divide(F.when(ahead, of(base)).otherwise(other), of("acgt"))
+
+    chance = rate(0, "t") * (rate(1, "a") * rate(2, "a") + rate(1, "g") * rate(2, "a") + rate(1, "a") * rate(2, "g"))
+    found = sums.select("_orf", chance.alias("pp_stop"))
+    return keyed.join(found, "_orf").drop("_orf")
+
+
 def longest(orfs: DataFrame) -> DataFrame:
     """The ORF with the farthest start of each stop."""
     order = Window.partitionBy("contig_id", "strand", "stop").orderBy(F.col("length").desc())

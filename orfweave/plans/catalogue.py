@@ -136,6 +136,17 @@ def orf_pstop(spark, sf_dir):
     return _rounded(annotation(spark, sf_dir).orfs.select("contig_id", "strand", "start", "stop", "pstop"), "pstop", digits=9)
 
 
+_PLACES = ", ".join(f"regexp_replace(dna, '(.)(.)(.)', '\\{k}', 'g') AS p{k}" for k in (1, 2, 3))
+_RATE = "((length(p{0}) - length(replace(p{0}, '{1}', ''))) / length(p{0}))"
+
+
+@_query(f"SELECT contig_id, strand, start, stop, round({_RATE.format(1, 't')} * ({_RATE.format(2, 'a')} * {_RATE.format(3, 'a')} + {_RATE.format(2, 'g')} * {_RATE.format(3, 'a')} + {_RATE.format(2, 'a')} * {_RATE.format(3, 'g')}), 9) AS pp_stop FROM (SELECT contig_id, strand, start, stop, {_PLACES} FROM orf)")
+def orf_positional_pstop(spark, sf_dir):
+    a = annotation(spark, sf_dir)
+    found = orfs.positional_stop_chance(a.orfs.select("contig_id", "strand", "start", "stop"), a.contigs)
+    return _rounded(found, "pp_stop", digits=9)
+
+
 @_query("SELECT contig_id, round(pos_max[2], 9) AS max1, round(pos_max[3], 9) AS max2, round(pos_max[4], 9) AS max3, round(pos_min[2], 9) AS min1, round(pos_min[3], 9) AS min2, round(pos_min[4], 9) AS min3 FROM training")
 def gc_training(spark, sf_dir):
     t = annotation(spark, sf_dir).training
@@ -210,6 +221,14 @@ def proximity_300(spark, sf_dir):
     return graph.proximity(orfs.longest(annotation(spark, sf_dir).orfs))
 
 
+@_query("""WITH spans AS (SELECT contig_id, strand, start, stop, least(start, stop) AS a, greatest(start, stop) AS b FROM longest)
+  SELECT contig_id, start, stop FROM spans WHERE strand > 0 UNION ALL SELECT contig_id, start, stop FROM spans s WHERE strand < 0 AND NOT EXISTS (SELECT 1 FROM spans t WHERE t.strand > 0 AND t.contig_id = s.contig_id AND t.a < s.b AND t.b > s.a)""")
+def disjoint_spans(spark, sf_dir):
+    """The longest ORFs of one strand stand for one scan's finds, those of the other for another's."""
+    rows = orfs.longest(annotation(spark, sf_dir).orfs).select("contig_id", "strand", "start", "stop")
+    return graph.disjoint_trnas(rows.where("strand > 0"), rows.where("strand < 0"))
+
+
 def _graph(spark, sf_dir) -> Graph:
     """Customers and nations stand for nodes, orders' customers and the month for edges: sums of prices."""
     o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("src"), (F.col("o_custkey") % 97 + 1_000_000_000).alias("dst")).agg(F.round(F.sum("o_totalprice"), 2).alias("weight"))

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from orfweave.functions.sequence import revcomp, translate_codons
 from orfweave.params import output_format
 
+#: The line that a file of that format begins with.
+GFF3 = "##gff-version 3"
+
+
 def score_text(score: Column, ln_score: Column | None = None) -> Column:
     """Six decimals and an exponent. A score that no double holds is written from the logarithm of its size."""
     plain = F.format_string("%E", score)
@@ -106,7 +110,10 @@ def text(calls: DataFrame, contigs: DataFrame, name: str = "tabular") -> DataFra
 
 def write(calls: DataFrame, contigs: DataFrame, path: str, name: str = "tabular") -> None:
     """Text files in the order of contigs; a contig's lines stay together."""
-    rows = text(calls, contigs, name)
+    rows = text(calls, contigs, name).select("contig_id", "place", "line")
+    if output_format(name) == "gff3":
+        # nulls come first
+        rows = rows.unionByName(rows.limit(1).select(F.lit(None).cast(rows.schema["contig_id"].dataType).alias("contig_id"), F.lit(0).alias("place"), F.lit(GFF3).alias("line")))
     rows.repartitionByRange("contig_id").sortWithinPartitions("contig_id", "place").select("line").write.text(path)
 
 

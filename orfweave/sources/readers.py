@@ -62,9 +62,16 @@ def counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def callers(spark: SparkSession, path: str) -> DataFrame:
-    """genome, stop, length, callers of tab-separated lines; lines with fewer than four fields are left out."""
+    """genome, stop, length, callers of tab-separated lines; lines with fewer than four fields, or whose places aren't
+    numbers, are left out."""
     parts = spark.read.text(path).select(F.split("value", "\t").alias("p")).where(F.size("p") >= 4)
-    return parts.select(F.col("p")[0].alias("genome"), F.col("p")[1].cast("long").alias("stop"), F.col("p")[2].cast("long").alias("length"), F.col("p")[3].alias("callers"))
+    rows = parts.select(F.col("p")[0].alias("genome"), _number(F.col("p")[1]).alias("stop"), _number(F.col("p")[2]).alias("length"), F.col("p")[3].alias("callers"))
+    return rows.where("stop IS NOT NULL AND length IS NOT NULL")
+
+
+def _number(text: Column, kind: str = "long") -> Column:
+    """Null where the text is no number of the kind."""
+    return F.trim(text).try_cast(kind)
 
 
 def explode_callers(rows: DataFrame) -> DataFrame:
@@ -81,10 +88,12 @@ def length_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def alignments(spark: SparkSession, path: str) -> DataFrame:
-    """read, orf, e_value of tab-separated alignments, with the order of lines in files; comment lines are left out."""
+    """read, orf, e_value of tab-separated alignments, with the order of lines in files; comment lines, and lines without a
+    number in the eleventh field, are left out."""
     rows = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line")).where(~F.startswith("value", F.lit("#")))
     p = F.split("value", "\t")
-    return rows.select("file", "line", p[0].alias("read"), p[1].alias("orf"), p[10].cast("double").alias("e_value"))
+    found = rows.select("file", "line", p[0].alias("read"), F.get(p, F.lit(1)).alias("orf"), _number(F.get(p, F.lit(10)), "double").alias("e_value"))
+    return found.where("e_value IS NOT NULL")
 
 
 def graph(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
@@ -93,19 +102,46 @@ def graph(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
     directed = lines.where(F.col("value").rlike(r"(?i)^#\s*DIRECTED=\s*(True|1)")).count() > 0
     p = F.split(F.trim("value"), r"\s+")
     rows = lines.where(~F.startswith("value", F.lit("#")) & (F.trim("value") != "")).select(p.alias("p"))
-    return rows.where(F.size("p") >= 2).select(F.col("p")[0].alias("src"), F.col("p")[1].alias("dst"), F.coalesce(F.get("p", F.lit(2)).cast("double"), F.lit(1.0)).alias("weight")), directed
+    return rows.where(F.size("p") >= 2).select(F.col("p")[0].alias("src"), F.col("p")[1].alias("dst"), F.coalesce(_number(F.get("p", F.lit(2)), "double"), F.lit(1.0)).alias("weight")), directed
+
+
+def graph_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """node: those of lines of one word, which have no edges."""
+    lines = spark.read.text(path).select(F.trim("value").alias("node"))
+    return lines.where(F.col("node").rlike(r"^[^#\s]\S*$"))
+
+
+def graph_head(spark: SparkSession, path: str) -> dict[str, str]:
+    """What an adjacency file's head says: NAME, DIRECTED, V and E."""
+    lines = spark.read.text(path).select(F.regexp_extract("value", r"^#\s*(NAME|DIRECTED|V|E)=\s*(.*)$", 1).alias("k"), F.regexp_extract("value", r"^#\s*(NAME|DIRECTED|V|E)=\s*(.*)$", 2).alias("v"))
+    return {r["k"]: r["v"].strip() for r in lines.where("k <> ''").limit(4).collect()}
 
 
 def aragorn(lines: DataFrame) -> DataFrame:
-    """tRNAs of the tool's brief output (contig_id, value): start, stop; start > stop on the other strand."""
+    """tRNAs of the tool's brief output (contig_id, value): start, stop; start > stop on the other strand. Lines without two
+    places are left out."""
     rows = lines.where(~F.startswith("value", F.lit(">")) & ~F.endswith("value", F.lit("found")))
-    place = F.split(F.trim("value"), r"\s+")[2]
-    a, b = (F.regexp_extract(place, r"\[(-?\d+),(-?\d+)\]", k).cast("int") for k in (1, 2))
+    place = F.get(F.split(F.trim("value"), r"\s+"), F.lit(2))
+    a, b = (_number(F.regexp_extract(place, r"\[(-?\d+),(-?\d+)\]", k), "int") for k in (1, 2))
     back = F.contains(place, F.lit("c"))
-    return rows.select("contig_id", F.when(back, b).otherwise(a).alias("start"), F.when(back, a).otherwise(b).alias("stop"))
+    found = rows.select("contig_id", F.when(back, b).otherwise(a).alias("start"), F.when(back, a).otherwise(b).alias("stop"))
+    return found.where("start IS NOT NULL AND stop IS NOT NULL")
 
 
 def trnascan(lines: DataFrame) -> DataFrame:
-    """tRNAs of the tool's tab-separated output (contig_id, value)."""
+    """tRNAs of the tool's tab-separated output (contig_id, value); lines without two places, as its heads, are left out."""
     p = F.split("value", "\t")
-    return lines.where(F.size(p) >= 4).select("contig_id", F.trim(p[2]).cast("int").alias("start"), F.trim(p[3]).cast("int").alias("stop"))
+    found = lines.select("contig_id", _number(F.get(p, F.lit(2)), "int").alias("start"), _number(F.get(p, F.lit(3)), "int").alias("stop"))
+    return found.where("start IS NOT NULL AND stop IS NOT NULL")
+
+
+def trnas(spark: SparkSession, path: str) -> DataFrame:
+    """contig_id, start, stop of a tool's output in a file: tab-separated lines that begin with the contig's name, or brief
+    output, in which a line with > and the name comes before a contig's own lines."""
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("place"))
+    tabbed = F.size(F.split("value", "\t")) >= 4
+    named = trnascan(lines.where(tabbed).select(F.trim(F.split_part("value", F.lit("\t"), F.lit(1))).alias("contig_id"), "value"))
+    # the name carries over the lines that follow: a file of finds, far smaller than the sequences
+    head = F.when(F.startswith("value", F.lit(">")), F.regexp_extract("value", r"^>\s*(\S+)", 1))
+    brief = lines.where(~tabbed).withColumn("contig_id", F.last(head, ignorenulls=True).over(Window.orderBy("place")))
+    return named.unionByName(aragorn(brief.where("contig_id IS NOT NULL").select("contig_id", "value")))
