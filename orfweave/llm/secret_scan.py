@@ -3,11 +3,13 @@
 Every version of every file is addressed by the SHA-256 of its content. The ledger says which blobs were
 scanned under which version of the rules and what was found; a run scans each blob that its rule version
 hasn't seen once, however many paths and versions share it, appends that to the ledger, and joins the
-findings back to all paths.
+findings back to all paths. Digests are compared first; texts are read again for unseen blobs only.
 
 Rules are regular expressions that Java and RE2 read alike. A match's place comes from the lengths of what
 stands between the matches, so no code outside the SQL functions is needed. Null texts are empty, each row
-gives one row, an empty table gives none, and columns other than the path and the text aren't read.
+gives one row, rows that repeat and null ids too, an empty table gives none, and columns other than the path and the
+text aren't read. A text is scanned whole in one task, whatever its length, and its matches are ordered there; matches
+of several rules that begin at one place come in the rules' order.
 """
 
 from __future__ import annotations
@@ -104,16 +106,30 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return spans.select("blob", F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).cast(SPANS).alias("spans"))
 
 
+#: Blobs whose digests are broadcast at most: some 20 MB.
+FEW = 1 << 17
+
+
+def _texts(addressed: DataFrame, unseen: DataFrame) -> DataFrame:
+    """blob and text of the unseen blobs, once each. None need no text; up to FEW of them find their texts where these are
+    read, so that known texts don't move; for more than that all texts meet them in one shuffle."""
+    few = unseen.limit(FEW + 1).count()
+    if not few:
+        return addressed.select("blob", "text").limit(0)
+    wanted = F.broadcast(unseen) if few <= FEW else unseen
+    # copies fall together before the shuffle
+    return addressed.select("blob", "text").join(wanted, "blob", "left_semi").dropDuplicates(["blob"])
+
+
 def scan(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, version: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per version: the id, blob and spans. Scans what the ledger lacks and appends it there."""
     scratch, version = Scratch(versions.sparkSession, "secrets"), version or rule_version(rules)
     text = whole_text(text_column)
+    # digests only are written and moved; a row's number tells which row of a blob is read again
     addressed = versions.select(F.col(id_column).alias("id"), text.alias("text"), F.sha2(text, 256).alias("blob"))
-    # copies fall together before the shuffle
-    blobs = addressed.select("blob", "text").dropDuplicates(["blob"])
-    unseen = blobs.join(ledger.read(version).select("blob"), "blob", "left_anti")
-    ledger.append(scan_blobs(unseen, rules), version)
     paths = scratch.write(addressed.select("id", "blob"), "paths")
+    unseen = scratch.write(paths.select("blob").join(ledger.read(version).select("blob"), "blob", "left_anti").distinct(), "unseen")
+    ledger.append(scan_blobs(_texts(addressed, unseen), rules), version)
     found = paths.join(ledger.read(version), "blob")
     return found.select(F.col("id").alias(id_column), "blob", "spans")
 

@@ -45,6 +45,30 @@ def test_secrets(spark):
     assert secret_scan.scan(docs.limit(0), empty).count() == 0
 
 
+def test_secrets_read_unseen_texts_only(spark, monkeypatch):
+    """A second run scans nothing and moves no text; an increment finds its texts without moving the others. Null and repeated
+    ids keep their rows."""
+    ledger = secret_scan.Ledger(spark, Scratch(spark, "test").path("ledger"))
+    rows = [(k, t, None, None) for k, t in enumerate(TEXTS)] + [(None, "token=abcdef", None, None), (None, None, None, None), (3, "token=abcdef", None, None), (3, "token=abcdef", None, None)]
+    plans, texts_of = [], secret_scan._texts
+
+    def spy(addressed, unseen):
+        found = texts_of(addressed, unseen)
+        plans.append((unseen.count(), found._jdf.queryExecution().optimizedPlan().toString()))
+        return found
+
+    monkeypatch.setattr(secret_scan, "_texts", spy)
+    docs = frame(spark, rows)
+    for _ in range(2):
+        got = sorted(((r.doc_id, r.s) for r in secret_scan.scan(docs, ledger).withColumn("s", secret_scan.listed("spans")).collect()), key=str)
+        assert got == sorted(((k, brute_spans(t)) for k, t, *_ in rows), key=str)
+    more = frame(spark, [*rows, (99, "secret = 'abcdef'", None, None)])
+    assert {r.doc_id: r.s for r in secret_scan.scan(more, ledger).withColumn("s", secret_scan.listed("spans")).collect()}[99] == "assign:0:16"
+    assert [n for n, _ in plans] == [len({t or "" for _, t, *_ in rows}), 0, 1]
+    assert "LocalRelation <empty>" in plans[1][1] or "Limit 0" in plans[1][1]
+    assert "LeftSemi" in plans[2][1] and "broadcast" in plans[2][1]
+
+
 def test_exact_dedup(spark):
     rows = [(k, t, None, None) for k, t in enumerate(TEXTS)] + [(3, "a b", None, None), (None, "a b", None, None), (None, "alone", None, None)]
     docs = frame(spark, rows)
