@@ -117,6 +117,11 @@ class Graph:
         same = lambda a, b: a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
         return same(self.nodes, other.nodes) and same(self.edges, other.edges)
 
+    def difference(self, other: Graph) -> DataFrame:
+        """side (left, right) and edges that only one of the graphs has, or has at another weight."""
+        one = lambda a, b, side: a.edges.exceptAll(b.edges).select(F.lit(side).alias("side"), "src", "dst", "weight")
+        return one(self, other, "left").unionByName(one(other, self, "right"))
+
     def union(self, other: Graph) -> Graph:
         if self.directed != other.directed:
             raise ValueError("a directed and an undirected graph can't be united")

@@ -41,12 +41,12 @@ def window(start: Column | int, length: int) -> Column:
 
 
 def base_frequencies(contigs: DataFrame) -> DataFrame:
-    """contig_id, length, and counts on both strands: n_a, n_t, n_c, n_g; pstop."""
+    """contig_id, length, and counts on both strands: n_a, n_t, n_c, n_g; pstop, null for empty contigs."""
     norm = normalise(F.col("seq"))
     count = lambda base: F.length(norm) - F.length(F.replace(norm, F.lit(base)))
     counted = contigs.select("contig_id", "length", *(count(b).alias(f"own_{b}") for b in "acgt"))
     at, cg = F.col("own_a") + F.col("own_t"), F.col("own_c") + F.col("own_g")
-    rate = lambda n: n / (2 * F.col("length"))
+    rate = lambda n: F.try_divide(n, 2 * F.col("length"))
     counted = counted.select("contig_id", "length", at.alias("n_a"), at.alias("n_t"), cg.alias("n_c"), cg.alias("n_g"))
     return counted.withColumn("pstop", stop_chance(rate(F.col("n_a")), rate(F.col("n_t")), rate(F.col("n_g"))))
 

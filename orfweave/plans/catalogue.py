@@ -17,7 +17,7 @@ from orfweave.sources import readers
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_RUNS: dict[tuple[str, str], Annotation] = {}
+_RUNS: dict[tuple[str, str], tuple[tuple, Annotation]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,12 +28,29 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.contigs_from_text(table(spark, sf_dir, "documents")).where(F.col("length") >= profile.SHORTEST)
 
 
+def every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contigs of every length, for what needs no gene."""
+    return readers.contigs_from_text(table(spark, sf_dir, "documents"))
+
+
+def _state(spark: SparkSession, path: str) -> tuple:
+    """The files of a table with their sizes and times."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found))
+
+
 def annotation(spark: SparkSession, sf_dir: str) -> Annotation:
-    """A session's run over a folder of tables: its codon and ORF tables are written once and shared by the queries."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _RUNS:
-        _RUNS[key] = Annotation(contigs(spark, sf_dir))
-    return _RUNS[key]
+    """A session's run over a folder of tables: its codon and ORF tables are written once and shared by the queries, until the
+    table changes."""
+    key, state = (spark.sparkContext.applicationId, sf_dir), _state(spark, f"{sf_dir}/documents.parquet")
+    known = _RUNS.get(key)
+    if known and known[0] != state:
+        known[1].release()
+        known = None
+    if not known:
+        known = _RUNS[key] = (state, Annotation(contigs(spark, sf_dir)))
+    return known[1]
 
 
 def _query(sql: str | None = None):
@@ -58,9 +75,9 @@ def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
-@_query(f"SELECT contig_id, md5({revcomp('seq')}) AS digest, length FROM contigs")
+@_query(f"SELECT contig_id, md5({revcomp('seq')}) AS digest, length FROM every")
 def seq_revcomp(spark, sf_dir):
-    return contigs(spark, sf_dir).select("contig_id", F.md5(sequence.revcomp(F.col("seq"))).alias("digest"), "length")
+    return every(spark, sf_dir).select("contig_id", F.md5(sequence.revcomp(F.col("seq"))).alias("digest"), "length")
 
 
 @_query("SELECT doc_id AS contig_id, md5(regexp_replace(translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'sbv', 'ggg'), '[^acgt]', 'a', 'g')) AS digest FROM documents")
@@ -71,29 +88,29 @@ def seq_normalise(spark, sf_dir):
 
 @_query("SELECT contig_id, frame, coalesce(class, 'none') AS class, count(*) AS n, CAST(sum(pos) AS BIGINT) AS places FROM codons GROUP BY ALL")
 def codon_classes(spark, sf_dir):
-    rows = orfs.codons(contigs(spark, sf_dir)).groupBy("contig_id", "frame", F.coalesce("class", F.lit("none")).alias("class"))
+    rows = orfs.codons(every(spark, sf_dir)).groupBy("contig_id", "frame", F.coalesce("class", F.lit("none")).alias("class"))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("places"))
 
 
-@_query("SELECT contig_id, codon, count(*) AS n FROM codons WHERE frame = 1 GROUP BY ALL")
+@_query("SELECT contig_id, frame, codon, count(*) AS n FROM codons GROUP BY ALL")
 def codon_frames(spark, sf_dir):
-    return orfs.codons(contigs(spark, sf_dir)).where("frame = 1").groupBy("contig_id", "codon").agg(F.count(F.lit(1)).alias("n"))
+    return orfs.codons(every(spark, sf_dir)).groupBy("contig_id", "frame", "codon").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query("SELECT contig_id, n_a, n_t, n_c, n_g, round(pstop, 9) AS pstop FROM freq")
 def base_freq(spark, sf_dir):
-    return _rounded(profile.base_frequencies(contigs(spark, sf_dir)).drop("length"), "pstop", digits=9)
+    return _rounded(profile.base_frequencies(every(spark, sf_dir)).drop("length"), "pstop", digits=9)
 
 
 @_query("SELECT contig_id, frame, count(*) AS n, CAST(sum(g1) AS BIGINT) AS s1, CAST(sum(pos * g2) AS BIGINT) AS s2, CAST(sum(pos * g3) AS BIGINT) AS s3 FROM gc GROUP BY ALL")
 def gc_triplets(spark, sf_dir):
     p = F.col("pos").cast("long")
-    return profile.gc_triplets(contigs(spark, sf_dir)).groupBy("contig_id", "frame").agg(F.count(F.lit(1)).alias("n"), F.sum("g1").alias("s1"), F.sum(p * F.col("g2")).alias("s2"), F.sum(p * F.col("g3")).alias("s3"))
+    return profile.gc_triplets(every(spark, sf_dir)).groupBy("contig_id", "frame").agg(F.count(F.lit(1)).alias("n"), F.sum("g1").alias("s1"), F.sum(p * F.col("g2")).alias("s2"), F.sum(p * F.col("g3")).alias("s3"))
 
 
 @_query("SELECT contig_id, max_f, min_f, max_r, min_r, count(*) AS n FROM gcidx GROUP BY ALL")
 def gc_max_min_idx(spark, sf_dir):
-    return profile.gc_indices(contigs(spark, sf_dir)).groupBy("contig_id", "max_f", "min_f", "max_r", "min_r").agg(F.count(F.lit(1)).alias("n"))
+    return profile.gc_indices(every(spark, sf_dir)).groupBy("contig_id", "max_f", "min_f", "max_r", "min_r").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query("SELECT contig_id, score, round(background, 9) AS background FROM background")
@@ -221,8 +238,7 @@ def proximity_300(spark, sf_dir):
     return graph.proximity(orfs.longest(annotation(spark, sf_dir).orfs))
 
 
-@_query("""WITH spans AS (SELECT contig_id, strand, start, stop, least(start, stop) AS a, greatest(start, stop) AS b FROM longest)
-  SELECT contig_id, start, stop FROM spans WHERE strand > 0 UNION ALL SELECT contig_id, start, stop FROM spans s WHERE strand < 0 AND NOT EXISTS (SELECT 1 FROM spans t WHERE t.strand > 0 AND t.contig_id = s.contig_id AND t.a < s.b AND t.b > s.a)""")
+@_query("""SELECT contig_id, start, stop FROM spans WHERE strand > 0 UNION ALL SELECT contig_id, start, stop FROM spans s WHERE strand < 0 AND NOT EXISTS (SELECT 1 FROM spans t WHERE t.strand > 0 AND t.contig_id = s.contig_id AND t.a < s.b AND t.b > s.a)""")
 def disjoint_spans(spark, sf_dir):
     """The longest ORFs of one strand stand for one scan's finds, those of the other for another's."""
     rows = orfs.longest(annotation(spark, sf_dir).orfs).select("contig_id", "strand", "start", "stop")
@@ -318,6 +334,14 @@ def graph_equal(spark, sf_dir):
     return spark.createDataFrame([(g.equals(g.transpose().transpose()), g.equals(g.transpose()))], "same boolean, other boolean")
 
 
+@_query(f"SELECT 'left' AS side, src, dst, round(weight, 2) AS weight FROM ({_EDGES}) WHERE src % 3 = 0 OR src % 5 = 0 UNION ALL SELECT 'right', src, dst, round(weight + 1, 2) FROM ({_EDGES}) WHERE src % 3 <> 0 AND src % 5 = 0")
+def graph_difference(spark, sf_dir):
+    """The graph and one that lacks some of its edges and has others at another weight."""
+    g = _graph(spark, sf_dir)
+    other = Graph.of(g.del_edges(g.edges.where("src % 3 = 0")).edges.withColumn("weight", F.when(F.col("src") % 5 == 0, F.col("weight") + 1).otherwise(F.col("weight"))))
+    return _rounded(g.difference(other), "weight", digits=2)
+
+
 @_query("SELECT contig_id, strand, start, stop, md5(string_agg(amino, '' ORDER BY k)) AS digest FROM residues GROUP BY ALL")
 def translate_faa(spark, sf_dir):
     return _coding(spark, sf_dir).select("contig_id", "strand", "start", "stop", F.md5(sequence.translate_codons(F.col("dna"))).alias("digest"))

@@ -24,11 +24,12 @@ _SOURCE, _TARGET = _key("0", "0", "'source'", "'source'"), _key("contig_length +
 _ORF = [_key("start", "frame", "'start'"), _key("stop", "frame", "'stop'")]
 
 CTES = {
-    "contigs": f"SELECT doc_id AS contig_id, seq, length(seq) AS length FROM (SELECT doc_id, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{NUCLEOTIDES}') AS seq FROM documents) WHERE length(seq) >= 6",
-    "freq": "SELECT contig_id, length, n_at AS n_a, n_at AS n_t, length - n_at AS n_c, length - n_at AS n_g, (n_at / (2.0 * length)) * (n_at / (2.0 * length)) * (n_at / (2.0 * length)) + 2 * (n_at / (2.0 * length)) * ((length - n_at) / (2.0 * length)) * (n_at / (2.0 * length)) AS pstop FROM (SELECT contig_id, length, length - length(translate(seq, 'at', '')) AS n_at FROM contigs)",
-    "bases": "SELECT contig_id, length, pos, (pos - 1) % 3 + 1 AS frame, substring(seq, pos, 1) AS base FROM (SELECT contig_id, length, seq, unnest(range(1, length + 1)) AS pos FROM contigs)",
+    "every": f"SELECT doc_id AS contig_id, seq, length(seq) AS length FROM (SELECT doc_id, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{NUCLEOTIDES}') AS seq FROM documents)",
+    "contigs": "SELECT * FROM every WHERE length >= 6",
+    "freq": "SELECT contig_id, length, n_at AS n_a, n_at AS n_t, length - n_at AS n_c, length - n_at AS n_g, pa * pa * pa + 2 * pa * pg * pa AS pstop FROM (SELECT *, CASE WHEN length > 0 THEN n_at / (2.0 * length) END AS pa, CASE WHEN length > 0 THEN (length - n_at) / (2.0 * length) END AS pg FROM (SELECT contig_id, length, length - length(translate(seq, 'at', '')) AS n_at FROM every))",
+    "bases": "SELECT contig_id, length, pos, (pos - 1) % 3 + 1 AS frame, substring(seq, pos, 1) AS base FROM (SELECT contig_id, length, seq, unnest(range(1, length + 1)) AS pos FROM every)",
     "codons": """SELECT *, CASE WHEN codon IN ('atg', 'gtg', 'ttg') THEN 'fs' WHEN codon IN ('cat', 'cac', 'caa') THEN 'rs' WHEN codon IN ('tag', 'tga', 'taa') THEN 'fe' WHEN codon IN ('cta', 'tca', 'tta') THEN 're' END AS class
-      FROM (SELECT contig_id, length, seq, pos, (pos - 1) % 3 + 1 AS frame, substring(seq, pos, 3) AS codon FROM (SELECT contig_id, length, seq, unnest(range(1, length - 1)) AS pos FROM contigs))""",
+      FROM (SELECT contig_id, length, seq, pos, (pos - 1) % 3 + 1 AS frame, substring(seq, pos, 3) AS codon FROM (SELECT contig_id, length, seq, unnest(range(1, length - 1)) AS pos FROM every))""",
     "paired": """SELECT *, min(pos) FILTER (class = 'fe') OVER (PARTITION BY contig_id, frame ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nxt,
       max(pos) FILTER (class = 're') OVER (PARTITION BY contig_id, frame ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prv FROM codons""",
     "orfs": f"""SELECT contig_id, strand, frame, start, stop, abs(stop - start) + 3 AS length, rbs,
@@ -79,6 +80,7 @@ CTES = {
       SELECT DISTINCT a.contig_id, a.position AS l, a.frame AS l_frame, a.type AS l_type, b.position AS r, b.frame AS r_frame, b.type AS r_type, b.position - a.position - 3 AS len, a.pgap AS p, CASE WHEN a.frame * b.frame > 0 THEN 'same' ELSE 'diff' END AS direction
       FROM gaps g JOIN nodes a ON a.contig_id = g.contig_id AND a.position <= last + 1 AND a.position > last - 500 JOIN nodes b ON b.contig_id = g.contig_id AND b.position >= base - 1 AND b.position < base + 500
       WHERE (a.frame > 0) = (a.type = 'stop') AND ((a.frame * b.frame > 0) = (a.type <> b.type)))""",
+    "spans": "SELECT contig_id, strand, start, stop, least(start, stop) AS a, greatest(start, stop) AS b FROM longest",
     # the cheapest path: costs as whole numbers of any size; reached holds the least cost of each node so far
     "steps": f"""SELECT contig_id, s, t, CAST(trunc(cost * 1000) AS BIGNUM) AS w FROM (
       SELECT contig_id, CASE WHEN strand > 0 THEN {_ORF[0]} ELSE {_ORF[1]} END AS s, CASE WHEN strand > 0 THEN {_ORF[1]} ELSE {_ORF[0]} END AS t, -exp(ln_score) AS cost FROM scored
