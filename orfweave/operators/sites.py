@@ -128,7 +128,18 @@ def scan(contigs: DataFrame, params: Params = DEFAULT) -> DataFrame:
     forward and backward in the frame), scores (how often each motif score was met in the frame, both strands),
     pairs_f and pairs_r (a digit for each codon: 1 and the pair's place in PAIRS) and events: codons that begin or end
     genes, and those at the contig's ends, with motif scores and counts. Keep it (a table) where it is used twice."""
+    whole = contigs.where(F.col("length") >= profile.SHORTEST)
+    return scan_pieces(profile.chunks(whole, PIECE, *reaches(params)), params)
+
+
+def reaches(params: Params = DEFAULT) -> tuple[int, int]:
+    """Bases before and after a piece that scan_pieces() needs."""
     reach = _Pieces(params)
+    return reach.left, reach.right
+
+
+def scan_pieces(pieces: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """scan() of pieces of PIECE bases that are cut already, with reaches() bases around them."""
     names = ["contig_id", "length", "first", "frame", "totals", "scores", "pairs_f", "pairs_r", "events"]
 
     def run(batches):
@@ -144,9 +155,7 @@ def scan(contigs: DataFrame, params: Params = DEFAULT) -> DataFrame:
                 frame = pa.array(np.tile(np.arange(1, 4, dtype=np.int32), some.num_rows))
                 yield pa.RecordBatch.from_arrays([*keys, frame, _lists(np.array(totals)), _lists(np.array(scores)), pa.array(ahead), pa.array(behind), _events(events)], names)
 
-    whole = contigs.where(F.col("length") >= profile.SHORTEST)
-    pieces = profile.chunks(whole, PIECE, reach.left, reach.right)
-    kind = contigs.schema["contig_id"].dataType.simpleString()
+    kind = pieces.schema["contig_id"].dataType.simpleString()
     return pieces.mapInArrow(run, _SCHEMA.format(kind=kind))
 
 

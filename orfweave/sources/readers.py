@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orfweave.plans.scratch import Scratch
+
 # The letters of a text and the nucleotides that stand for them in derived contigs.
 LETTERS, NUCLEOTIDES = "etaoinshrdlcumwfgypbvkjxqz", "acgtacgtacgtacgtacgtacgtac"
 
@@ -32,6 +34,54 @@ def records_to_contigs(records: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
 
 
+def fasta_pieces(spark: SparkSession, path: str, size: int, left: int, right: int) -> DataFrame:
+    """What profile.chunks gives, of FASTA files: contig_id, length, first, before, context and chunk_length, for pieces of
+    size bases with so many before and after them. No task sees a whole sequence.
+
+    Files are read by lines in byte ranges. A range tells how many bases come before its first header, which header is its
+    last, and how many bases follow that; summed up over a file's ranges these say which contig a range begins in, and
+    at which base. Each line then knows its place and gives its bases to the pieces that they lie in or near.
+    Text before a file's first header is dropped. Contigs of one name in several records are an error here.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"), F.regexp_replace("value", "\\s+$", "").alias("line"))
+    header = F.startswith("line", F.lit(">"))
+    bases = F.lower(F.regexp_replace("line", r"\s", ""))
+    lines = lines.select("file", "block", "k", F.when(header, F.split_part(F.regexp_replace("line", r"^>\s*|\s*$", ""), F.lit(" "), F.lit(1))).alias("name"), F.when(header, F.lit("")).otherwise(bases).alias("bases"))
+    rows = Scratch(spark, "fasta").write(lines, "lines")
+    # within a range: the header that a line follows, as its place in the range, and bases since then
+    along = Window.partitionBy("file", "block").orderBy("k")
+    rows = rows.withColumn("head", F.last(F.when(F.col("name").isNotNull(), F.struct("k", "name")), ignorenulls=True).over(along))
+    since = Window.partitionBy("file", "block", "head.k").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("since", F.coalesce(F.sum(F.length("bases")).over(since), F.lit(0)))
+    # a row a range
+    totals = rows.groupBy("file", "block").agg(F.max_by("head", "k").alias("head"), F.max_by(F.col("since") + F.length("bases"), "k").alias("after"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.withColumn("from", F.last(F.when(F.col("head").isNotNull(), F.struct("block", F.col("head.name").alias("name"))), ignorenulls=True).over(earlier))
+    # bases after the header that is carried on: of its own range and of the ranges without headers since then
+    group = Window.partitionBy("file", F.col("own_block")).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = carried.withColumn("own_block", F.when(F.col("head").isNotNull(), F.col("block")).otherwise(F.col("from.block")))
+    carried = carried.withColumn("in_group", F.coalesce(F.sum("after").over(group), F.lit(0)))
+    ends = carried.groupBy("file", "own_block").agg(F.sum("after").alias("group_bases"))
+    carried = carried.join(ends.select(F.col("file").alias("_f"), F.col("own_block").alias("_b"), "group_bases"), (F.col("file") == F.col("_f")) & (F.col("from.block") == F.col("_b")), "left")
+    # a range with a header ends the group before it: all of that group's bases come first
+    offset = F.when(F.col("head").isNotNull(), F.col("group_bases")).otherwise(F.col("in_group"))
+    starts = carried.select("file", "block", F.col("from.name").alias("begun"), F.coalesce(offset, F.lit(0)).alias("offset"))
+    placed = rows.join(starts, ["file", "block"]).select("file", F.coalesce("head.name", "begun").alias("contig_id"), F.when(F.col("head").isNull(), F.col("offset") + F.col("since")).otherwise(F.col("since")).alias("at"), "bases")
+    placed = placed.where((F.length("bases") > 0) & F.col("contig_id").isNotNull() & (F.col("contig_id") != ""))
+    lengths = placed.groupBy("contig_id").agg(F.max(F.col("at") + F.length("bases")).cast("int").alias("length"), F.count_if(F.col("at") == 0).alias("records"))
+    lengths = lengths.select("contig_id", F.when(F.assert_true(F.col("records") == 1, F.lit("a sequence's name comes twice")).isNull(), F.col("length")).alias("length"))
+    # pieces whose bases, or those around them, a line has some of
+    low, high = F.greatest(F.lit(0), F.floor((F.col("at") - right) / size)), F.floor((F.col("at") + F.length("bases") - 1 + left) / size)
+    near = placed.select("contig_id", "at", "bases", F.explode(F.sequence(low, high)).alias("piece"))
+    begin = F.greatest(F.lit(0), F.col("piece") * size - left)
+    part_from, part_to = F.greatest(F.col("at"), begin), F.least(F.col("at") + F.length("bases"), (F.col("piece") + 1) * size + right)
+    parts = near.select("contig_id", "piece", part_from.alias("from"), F.substring(F.col("bases"), (part_from - F.col("at") + 1).cast("int"), (part_to - part_from).cast("int")).alias("some")).where(part_to > part_from)
+    whole = parts.groupBy("contig_id", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("from", "some"))), lambda x: x["some"]), "").alias("context"))
+    first = (F.col("piece") * size).cast("int")
+    out = whole.join(lengths, "contig_id").where(F.col("piece") * size < F.col("length"))
+    return out.select("contig_id", "length", first.alias("first"), F.least(first, F.lit(left)).alias("before"), "context", F.least(F.lit(size), F.col("length") - first).cast("int").alias("chunk_length"))
+
+
 def contigs_from_text(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Contigs made of a text's letters, for tables that hold no sequences."""
     letters = F.lower(F.regexp_replace(F.col(text_column), "[^A-Za-z]", ""))
