@@ -349,9 +349,8 @@ def translate_faa(spark, sf_dir):
 
 def _coding(spark, sf_dir) -> DataFrame:
     a = annotation(spark, sf_dir)
-    rows = orfs.longest(a.orfs).select("contig_id", "strand", "start", "stop", "length").join(a.contigs.select("contig_id", "seq"), "contig_id")
-    own = F.substring(F.col("seq"), F.least("start", "stop"), F.col("length"))
-    return rows.select("contig_id", "strand", "start", "stop", F.when(F.col("strand") < 0, sequence.revcomp(own)).otherwise(own).alias("dna"))
+    spans = orfs.longest(a.orfs).select("contig_id", "strand", "start", "stop", F.least("start", "stop").alias("left"), (F.greatest("start", "stop") + 2).alias("right"))
+    return formats.cut(spans, a.contigs).select("contig_id", "strand", "start", "stop", "dna")
 
 
 @_query("SELECT contig_id, amino, count(*) AS n FROM residues GROUP BY ALL")
@@ -417,6 +416,26 @@ def genes_faa(spark, sf_dir):
     return formats.faa(a.calls, a.contigs)
 
 
+_OPEN = """SELECT *, CASE WHEN strand > 0 THEN no_start ELSE no_stop END AS open_left, CASE WHEN strand > 0 THEN no_stop ELSE no_start END AS open_right FROM (
+  SELECT c.*, seq, substring(dna, 1, 3) NOT IN ('atg', 'gtg', 'ttg') AS no_start, substring(dna, length(dna) - 2, 3) NOT IN ('tag', 'tga', 'taa') AS no_stop FROM cut c JOIN contigs USING (contig_id))"""
+_LEFT, _RIGHT = """CASE WHEN open_left THEN '<1' ELSE CAST("left" AS VARCHAR) END""", """CASE WHEN open_right THEN '>' || length ELSE CAST("right" AS VARCHAR) END"""
+
+
+@_query(f"""SELECT contig_id, place, CASE WHEN strand > 0 THEN a || chr(9) || b || chr(9) || '+' ELSE b || chr(9) || a || chr(9) || '-' END || chr(9) || contig_id || chr(9) || score_text AS line FROM (SELECT *, {_LEFT} AS a, {_RIGHT} AS b FROM ({_OPEN}))
+  UNION ALL SELECT contig_id, 0, '#id:' || chr(9) || contig_id || ' NO ORFS FOUND' FROM contigs WHERE contig_id NOT IN (SELECT contig_id FROM called)""")
+def genes_partial_tabular(spark, sf_dir):
+    a = annotation(spark, sf_dir)
+    return formats.partial_tabular(a.calls, a.contigs)
+
+
+@_query(f"""SELECT contig_id, place, '>' || contig_id || '.' || CASE WHEN strand > 0 THEN b ELSE a END || ' [START=' || CASE WHEN strand > 0 THEN a ELSE b END || '] [SCORE=' || score_text || ']' || chr(10) || CASE WHEN strand > 0 THEN head || dna || tail ELSE {revcomp('tail')} || dna || {revcomp('head')} END AS line FROM (
+  SELECT *, CASE WHEN open_left AND NOT open_right THEN '<1' ELSE CAST("left" AS VARCHAR) END AS a, CASE WHEN open_right AND NOT open_left THEN '>' || length WHEN open_left OR open_right THEN CAST("right" - 2 AS VARCHAR) ELSE CAST("right" AS VARCHAR) END AS b,
+    CASE WHEN open_left AND NOT open_right THEN substring(seq, 1, "left" - 1) ELSE '' END AS head, CASE WHEN open_right AND NOT open_left THEN substring(seq, "right" + 1) ELSE '' END AS tail FROM ({_OPEN}))""")
+def genes_partial_fasta(spark, sf_dir):
+    a = annotation(spark, sf_dir)
+    return formats.partial_fasta(a.calls, a.contigs)
+
+
 @_query("SELECT contig_id, count(*) AS n FROM (SELECT contig_id FROM orf UNION ALL SELECT contig_id FROM connections UNION ALL SELECT contig_id FROM ends UNION ALL SELECT contig_id FROM long) GROUP BY contig_id")
 def graph_edges(spark, sf_dir):
     return annotation(spark, sf_dir).edges.groupBy("contig_id").agg(F.count(F.lit(1)).alias("n"))

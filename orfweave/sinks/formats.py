@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orfweave.functions.sequence import revcomp, translate_codons
-from orfweave.params import output_format
+from orfweave.params import DEFAULT, Params, output_format
 
 #: The line that a file of that format begins with.
 GFF3 = "##gff-version 3"
@@ -39,10 +39,33 @@ def _numbered(calls: DataFrame) -> DataFrame:
     return calls.withColumns({"place": F.row_number().over(order), "score_text": score_text(F.col("score"), ln_score)})
 
 
+def cut(genes: DataFrame, contigs: DataFrame) -> DataFrame:
+    """genes (contig_id, strand, left, right and more) with length (the contig's), dna (as the strand reads it), and head and
+    tail, the contig's bases before and after a gene that is nearer to an end than a codon. A contig's genes are listed, and
+    cut out of its sequence in one row, so the sequence is carried once and not for each gene."""
+    own = [c for c in genes.columns if c != "contig_id"]
+    listed = genes.groupBy("contig_id").agg(F.collect_list(F.struct(*own)).alias("genes"))
+    seq = F.col("seq")
+
+    def one(g: Column) -> Column:
+        left, right = g["left"], g["right"]
+        bases = F.substring(seq, left, right - left + 1)
+        parts = [F.when(g["strand"] < 0, revcomp(bases)).otherwise(bases).alias("dna"), F.when(left <= 3, F.substring(seq, F.lit(1), left - 1)).otherwise("").alias("head"), F.when(right > F.length(seq) - 3, F.substring(seq, right + 1, F.lit(3))).otherwise("").alias("tail")]
+        return F.struct(*(g[c].alias(c) for c in own), *parts)
+
+    return listed.join(contigs.select("contig_id", "seq"), "contig_id").select("contig_id", F.length("seq").alias("length"), F.inline(F.transform("genes", one)))
+
+
 def _with_sequence(calls: DataFrame, contigs: DataFrame) -> DataFrame:
-    rows = calls.where("gene = 'CDS'").join(contigs.select("contig_id", "seq"), "contig_id")
-    own = F.substring(F.col("seq"), F.col("left"), F.col("right") - F.col("left") + 1)
-    return rows.withColumn("dna", F.when(F.col("strand") < 0, revcomp(own)).otherwise(own)).drop("seq")
+    return cut(calls.where("gene = 'CDS'"), contigs)
+
+
+def _open_ends(params: Params) -> tuple[Column, Column]:
+    """Whether a gene that is cut out lacks its codon on the left and on the right."""
+    no_start = ~F.left("dna", F.lit(3)).isin(list(params.starts))
+    no_stop = ~F.right("dna", F.lit(3)).isin(list(params.stops))
+    ahead = F.col("strand") > 0
+    return F.when(ahead, no_start).otherwise(no_stop), F.when(ahead, no_stop).otherwise(no_start)
 
 
 def tabular(calls: DataFrame) -> DataFrame:
@@ -68,11 +91,15 @@ def genbank(calls: DataFrame, contigs: DataFrame) -> DataFrame:
     body = _numbered(calls).select("contig_id", "place", feature.alias("line"))
     locus = F.concat(F.lit("LOCUS       "), F.rpad(F.col("contig_id").cast("string"), 16, " "), F.lpad(F.col("length").cast("string"), 8, " "), F.lit(" bp \nFEATURES             Location/Qualifiers"))
     head = contigs.select("contig_id", F.lit(0).alias("place"), locus.alias("line"))
+    return head.unionByName(body).unionByName(_origin(contigs))
+
+
+def _origin(contigs: DataFrame) -> DataFrame:
+    """The sequence in blocks of ten, six a line."""
     lines = F.regexp_extract_all("seq", F.lit(".{1,60}"), F.lit(0))
     blocks = F.transform(lines, lambda x, k: F.concat(F.lpad((k * 60 + 1).cast("string"), 9, " "), F.lit(" "), F.rtrim(F.regexp_replace(x, "(.{10})", "$1 "))))
     tail = F.concat(F.lit("ORIGIN\n"), F.array_join(blocks, "\n"), F.lit("\n//"))
-    foot = contigs.select("contig_id", F.lit(1 << 30).alias("place"), tail.alias("line"))
-    return head.unionByName(body).unionByName(foot)
+    return contigs.select("contig_id", F.lit(1 << 30).alias("place"), tail.alias("line"))
 
 
 def gff3(calls: DataFrame, version: str = "3") -> DataFrame:
@@ -117,15 +144,11 @@ def write(calls: DataFrame, contigs: DataFrame, path: str, name: str = "tabular"
     rows.repartitionByRange("contig_id").sortWithinPartitions("contig_id", "place").select("line").write.text(path)
 
 
-def partial_tabular(calls: DataFrame, orfs: DataFrame, contigs: DataFrame) -> DataFrame:
+def partial_tabular(calls: DataFrame, contigs: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """The older table: genes that lack an end are marked <1 and >length, contigs without genes named."""
-    rows = _numbered(calls).where("gene = 'CDS'").join(contigs.select("contig_id", "length", "seq"), "contig_id")
-    first = F.substring(F.col("seq"), F.col("left"), F.lit(3))
-    last = F.substring(F.col("seq"), F.col("right") - 2, F.lit(3))
-    starts, stops = ["atg", "gtg", "ttg"], ["tag", "tga", "taa"]
+    rows = _with_sequence(_numbered(calls), contigs)
+    open_left, open_right = _open_ends(params)
     ahead = F.col("strand") > 0
-    open_left = F.when(ahead, ~first.isin(starts)).otherwise(~revcomp(first).isin(stops))
-    open_right = F.when(ahead, ~last.isin(stops)).otherwise(~revcomp(last).isin(starts))
     left = F.when(open_left, F.lit("<1")).otherwise(F.col("left").cast("string"))
     right = F.when(open_right, F.concat(F.lit(">"), F.col("length"))).otherwise(F.col("right").cast("string"))
     line = F.concat_ws("\t", F.when(ahead, left).otherwise(right), F.when(ahead, right).otherwise(left), F.when(ahead, "+").otherwise("-"), F.col("contig_id"), F.col("score_text"))
@@ -134,6 +157,51 @@ def partial_tabular(calls: DataFrame, orfs: DataFrame, contigs: DataFrame) -> Da
     return named.unionByName(none.select("contig_id", F.lit(0).alias("place"), F.concat(F.lit("#id:\t"), F.col("contig_id"), F.lit(" NO ORFS FOUND")).alias("line")))
 
 
+def partial_fasta(calls: DataFrame, contigs: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """The older nucleotide sequences: a gene that lacks an end goes on to the contig's edge and is marked there, <1 or
+    >length. A gene that is whole is named by its last base; of a partial one, and of one without either codon, which
+    keeps its own bases, the last codon's first base counts."""
+    rows = _with_sequence(_numbered(calls), contigs)
+    open_left, open_right = _open_ends(params)
+    ahead, both = F.col("strand") > 0, open_left & open_right
+    to_left, to_right = open_left & ~both, open_right & ~both
+    left = F.when(to_left, F.lit("<1")).otherwise(F.col("left").cast("string"))
+    last = F.when(open_left | open_right, F.col("right") - 2).otherwise(F.col("right"))
+    right = F.when(to_right, F.concat(F.lit(">"), F.col("length"))).otherwise(last.cast("string"))
+    begin, end = F.when(ahead, left).otherwise(right), F.when(ahead, right).otherwise(left)
+    head, tail = F.when(to_left, F.col("head")).otherwise(""), F.when(to_right, F.col("tail")).otherwise("")
+    bases = F.when(ahead, F.concat(head, "dna", tail)).otherwise(F.concat(revcomp(tail), "dna", revcomp(head)))
+    line = F.concat(F.lit(">"), F.col("contig_id"), F.lit("."), end, F.lit(" [START="), begin, F.lit("] [SCORE="), F.col("score_text"), F.lit("]\n"), bases)
+    return rows.select("contig_id", "place", line.alias("line"))
+
+
+def _short(score_text: Column) -> Column:
+    """Two decimals, and an exponent without leading zeros."""
+    mantissa = F.format_string("%.2f", F.substring_index(score_text, "E", 1).cast("double"))
+    over = F.abs(mantissa.cast("double")) >= 10
+    power = F.substring_index(score_text, "E", -1).cast("int") + over.cast("int")
+    digits = F.when(over, F.format_string("%.2f", mantissa.cast("double") / 10)).otherwise(mantissa)
+    return F.concat(digits, F.lit("E"), F.when(power < 0, F.lit("-")).otherwise("+"), F.abs(power).cast("string"))
+
+
+def partial_genbank(calls: DataFrame, contigs: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """The older flat file: with a definition and the source as a feature; genes that lack an end are marked, and weights
+    have two decimals."""
+    numbered = _numbered(calls)
+    rows = _with_sequence(numbered, contigs)
+    open_left, open_right = _open_ends(params)
+    left = F.when(open_left, F.lit("<1")).otherwise(F.col("left").cast("string"))
+    right = F.when(open_right, F.concat(F.lit(">"), F.col("length"))).otherwise(F.col("right").cast("string"))
+    place = lambda a, b: F.when(F.col("strand") < 0, F.concat(F.lit("complement("), a, F.lit(".."), b, F.lit(")"))).otherwise(F.concat(a, F.lit(".."), b))
+    name = F.concat(F.lit("     "), F.rpad("gene", 16, " "))
+    genes = rows.select("contig_id", "place", F.concat(name, place(left, right), F.lit("\n" + " " * 21 + '/note="weight='), _short(F.col("score_text")), F.lit(';"')).alias("line"))
+    other = numbered.where("gene <> 'CDS'").select("contig_id", "place", F.concat(name, place(F.col("left").cast("string"), (F.col("right") - 2).cast("string"))).alias("line"))
+    bases = F.col("length").cast("string")
+    top = F.concat(F.lit("LOCUS       "), F.col("contig_id"), F.lpad(bases, 10, " "), F.lit(" bp    DNA             PHG\nDEFINITION  "), F.col("contig_id"), F.lit("\nFEATURES             Location/Qualifiers\n     source          1.."), bases)
+    head = contigs.select("contig_id", F.lit(0).alias("place"), top.alias("line"))
+    return head.unionByName(genes).unionByName(other).unionByName(_origin(contigs))
+
+
 def _named(n: Column) -> Column:
     return F.concat(F.lit("Node('"), n["gene"], F.lit("','"), n["type"], F.lit("',"), n["frame"], F.lit(","), n["position"], F.lit(")"))
 

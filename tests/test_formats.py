@@ -58,7 +58,7 @@ def test_genbank(calls, contigs):
 def test_partial_tabular(spark, calls, contigs):
     more = contigs.union(spark.createDataFrame([("two", "acgt", 4)], contigs.schema))
     got = {r.contig_id: [] for r in more.collect()}
-    for r in formats.partial_tabular(calls, None, more).orderBy("contig_id", "place").collect():
+    for r in formats.partial_tabular(calls, more).orderBy("contig_id", "place").collect():
         got[r.contig_id].append(r.line)
     # the second gene has neither a start nor a stop codon
     assert got == {"one": ["3\t11\t+\tone\t-1.250000E+01", ">73\t<1\t-\tone\t-2.500000E-01"], "two": ["#id:\ttwo NO ORFS FOUND"]}
@@ -95,3 +95,31 @@ def test_command(spark, tmp_path, capsys):
     assert command.main([str(tmp_path / "none.fa")]) == 0 and "no sequences" in capsys.readouterr().out
     with pytest.raises(FileNotFoundError):
         command.main([str(tmp_path / "missing.fa")])
+
+
+def test_partial_genes(spark):
+    """Genes at the edges of a contig, on both strands, as the older formats have them."""
+    seq = "cc" + "gccaaatag" + "atgaaataa" + "ttaaaacat" + "ttaaaagcc" + "aaaaaaaaa" + "a"
+    contigs = spark.createDataFrame([("one", seq, len(seq))], "contig_id string, seq string, length int")
+    rows = [(1, 3, 11), (1, 12, 20), (-1, 21, 29), (-1, 30, 38), (1, 39, 47)]
+    calls = spark.createDataFrame([("one", k, "CDS", s, a, b, -(1234.5 * 10.0**k)) for k, (s, a, b) in enumerate(rows)], "contig_id string, number int, gene string, strand int, left int, right int, score double")
+    trna = spark.createDataFrame([("one", 9, "tRNA", -1, 5, 12, -20.0)], calls.schema)
+    got = [r.line for r in formats.partial_fasta(calls.unionByName(trna), contigs).orderBy("place").collect()]
+    assert got == [
+        ">one.9 [START=<1] [SCORE=-1.234500E+03]\nccgccaaatag",
+        ">one.20 [START=12] [SCORE=-1.234500E+04]\natgaaataa",
+        ">one.21 [START=29] [SCORE=-1.234500E+05]\natgttttaa",
+        # no start codon on the other strand, but not near the edge: its own bases
+        ">one.30 [START=>48] [SCORE=-1.234500E+06]\nggcttttaa",
+        ">one.45 [START=39] [SCORE=-1.234500E+07]\naaaaaaaaa",
+    ]
+    got = "\n".join(r.line for r in formats.partial_genbank(calls.unionByName(trna), contigs).orderBy("place").collect()).split("\n")
+    assert got[:4] == ["LOCUS       one        48 bp    DNA             PHG", "DEFINITION  one", "FEATURES             Location/Qualifiers", "     source          1..48"]
+    assert got[4:6] == ["     CDS             <1..11", " " * 21 + '/note="weight=-1.23E+3;"']
+    assert "     tRNA            complement(5..10)" in got and "     CDS             complement(30..>48)" in got and "     CDS             complement(21..29)" in got
+    assert got[-1] == "//" and got[-2] == "        1 ccgccaaata gatgaaataa ttaaaacatt taaaagccaa aaaaaaaa"
+    # codons are the run's own
+    from orfweave.params import Params, start_weights
+
+    own = Params(starts=start_weights("gcc:1"), stops=("tag",))
+    assert formats.partial_tabular(calls, contigs, own).orderBy("place").first().line.startswith("3\t11\t+")
