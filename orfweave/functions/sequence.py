@@ -61,6 +61,14 @@ def normalise(seq: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(seq), "sbv", "ggg"), "[^acgt]", "a")
 
 
+def letters_to_bases(seq: Column) -> Column:
+    """One table over the alphabet in lower case: bases stay, strong codes become g, all other letters a; what is no letter
+    stays as it is."""
+    strong = "sbv"
+    other = "".join(c for c in "abcdefghijklmnopqrstuvwxyz" if c not in "acgt" + strong)
+    return F.translate(seq, strong + other, "g" * len(strong) + "a" * len(other))
+
+
 def codon_table() -> dict[str, str]:
     codons = (a + b + c for a in NUCLEOTIDES for b in NUCLEOTIDES for c in NUCLEOTIDES)
     return dict(zip(codons, AMINO_ACIDS))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orfweave.functions import sequence
-from orfweave.operators import graph, orfs, profile, stats
+from orfweave.operators import graph, graph_api, orfs, profile, stats
 from orfweave.operators.graph_api import Graph
 from orfweave.plans.annotate import Annotation
 from orfweave.plans.oracle import revcomp, with_ctes
@@ -128,6 +128,24 @@ def rbs_score(spark, sf_dir):
     return annotation(spark, sf_dir).orfs.select("contig_id", "strand", "frame", "start", "stop", "rbs_score")
 
 
+@_query("SELECT doc_id AS contig_id, md5(regexp_replace(translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'sbv', 'ggg'), '[^acgt]', 'a', 'g')) AS digest FROM documents")
+def seq_alphabet(spark, sf_dir):
+    letters = F.lower(F.regexp_replace("text", "[^A-Za-z]", ""))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("contig_id"), F.md5(sequence.letters_to_bases(letters)).alias("digest"))
+
+
+@_query("SELECT contig_id, strand, start, stop, CAST(row_number() OVER (PARTITION BY contig_id, strand, stop ORDER BY length DESC) AS INTEGER) AS from_longest, CAST(row_number() OVER (PARTITION BY contig_id, strand, stop ORDER BY length) AS INTEGER) AS from_shortest FROM orf")
+def orfs_by_length(spark, sf_dir):
+    rows = annotation(spark, sf_dir).orfs.select("contig_id", "strand", "start", "stop", "length")
+    down = orfs.by_length(rows).withColumnRenamed("place", "from_longest")
+    return orfs.by_length(down, ascending=True).withColumnRenamed("place", "from_shortest").drop("length")
+
+
+@_query("SELECT contig_id, 'Orf(' || concat_ws(',', start, stop, frame, printf('%.9f', weight_rbs), printf('%E', -exp(ln_score))) || ')' AS line FROM scored JOIN weights USING (contig_id) WHERE weights.score = rbs_score")
+def orf_texts(spark, sf_dir):
+    return formats.orf_texts(annotation(spark, sf_dir).scored)
+
+
 @_query("SELECT contig_id, frame, start, stop, length, start_codon FROM orf WHERE strand > 0")
 def orfs_forward(spark, sf_dir):
     return annotation(spark, sf_dir).orfs.where("strand > 0").select("contig_id", "frame", "start", "stop", "length", "start_codon")
@@ -283,6 +301,11 @@ def graph_sizes(spark, sf_dir):
     return g.nodes.agg(F.count(F.lit(1)).alias("v")).join(g.edges.agg(F.count(F.lit(1)).alias("e")))
 
 
+@_query(f"SELECT src, dst, weight FROM ({_EDGES}) ORDER BY weight, src, dst")
+def graph_ordered(spark, sf_dir):
+    return graph_api.ordered(_graph(spark, sf_dir).edges)
+
+
 def _asked(spark, sf_dir) -> DataFrame:
     """Edges of which the graph has some: every customer with the remainder of twice the key."""
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("src"), (F.col("c_custkey") * 2 % 97 + 1_000_000_000).alias("dst"))

@@ -56,7 +56,7 @@ CTES = {
     "training": "SELECT contig_id, [1.0 / x, x1 / x, x2 / x, x3 / x] AS pos_max, [1.0 / m, m1 / m, m2 / m, m3 / m] AS pos_min FROM (SELECT *, greatest(x1, x2, x3) AS x, greatest(m1, m2, m3) AS m FROM tcounts)",
     "held": """SELECT contig_id, strand, start, stop, sum(CASE WHEN strand > 0 THEN pos_max[max_f + 1] * pos_min[min_f + 1] ELSE pos_max[max_r + 1] * pos_min[min_r + 1] END) AS exponent
       FROM orf JOIN gcidx USING (contig_id) JOIN training USING (contig_id) WHERE (strand > 0 AND pos >= start AND pos < stop AND (pos - start) % 3 = 0) OR (strand < 0 AND pos <= start AND pos > stop AND (start - pos) % 3 = 0) GROUP BY ALL""",
-    "scored": "SELECT contig_id, strand, frame, start, stop, length, pstop, ln(1 - pstop) * exponent AS ln_hold, ln(CASE start_codon WHEN 'atg' THEN 1 WHEN 'gtg' THEN 0.10 / 0.85 WHEN 'ttg' THEN 0.05 / 0.85 ELSE 1 END) + ln(weight_rbs) - ln(1 - pstop) * exponent AS ln_score FROM orf JOIN held USING (contig_id, strand, start, stop) JOIN weights ON weights.contig_id = orf.contig_id AND weights.score = orf.rbs_score",
+    "scored": "SELECT contig_id, strand, frame, start, stop, length, pstop, rbs_score, ln(1 - pstop) * exponent AS ln_hold, ln(CASE start_codon WHEN 'atg' THEN 1 WHEN 'gtg' THEN 0.10 / 0.85 WHEN 'ttg' THEN 0.05 / 0.85 ELSE 1 END) + ln(weight_rbs) - ln(1 - pstop) * exponent AS ln_score FROM orf JOIN held USING (contig_id, strand, start, stop) JOIN weights ON weights.contig_id = orf.contig_id AND weights.score = orf.rbs_score",
     "longest": "SELECT * FROM orf QUALIFY row_number() OVER (PARTITION BY contig_id, strand, stop ORDER BY length DESC) = 1",
     "nodes": """SELECT n.*, f.length AS contig_length, f.pstop AS pgap, coalesce(n.own, f.pstop) AS p FROM (
         SELECT contig_id, 'CDS' AS gene, 'stop' AS type, frame, stop AS position, start AS other, pstop AS own FROM longest

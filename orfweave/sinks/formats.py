@@ -60,6 +60,12 @@ def _with_sequence(calls: DataFrame, contigs: DataFrame) -> DataFrame:
     return cut(calls.where("gene = 'CDS'"), contigs)
 
 
+def with_ends(genes: DataFrame, left: Column | None = None, right: Column | None = None) -> DataFrame:
+    """genes with left_text and right_text: their ends, overwritten by a text where that is neither null nor empty."""
+    of = lambda name, text: F.col(name).cast("string") if text is None else F.when(F.coalesce(text, F.lit("")) != "", text).otherwise(F.col(name).cast("string"))
+    return genes.withColumns({"left_text": of("left", left), "right_text": of("right", right)})
+
+
 def _open_ends(params: Params) -> tuple[Column, Column]:
     """Whether a gene that is cut out lacks its codon on the left and on the right."""
     no_start = ~F.left("dna", F.lit(3)).isin(list(params.starts))
@@ -146,11 +152,9 @@ def write(calls: DataFrame, contigs: DataFrame, path: str, name: str = "tabular"
 
 def partial_tabular(calls: DataFrame, contigs: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """The older table: genes that lack an end are marked <1 and >length, contigs without genes named."""
-    rows = _with_sequence(_numbered(calls), contigs)
     open_left, open_right = _open_ends(params)
-    ahead = F.col("strand") > 0
-    left = F.when(open_left, F.lit("<1")).otherwise(F.col("left").cast("string"))
-    right = F.when(open_right, F.concat(F.lit(">"), F.col("length"))).otherwise(F.col("right").cast("string"))
+    rows = with_ends(_with_sequence(_numbered(calls), contigs), F.when(open_left, "<1"), F.when(open_right, F.concat(F.lit(">"), F.col("length"))))
+    ahead, left, right = F.col("strand") > 0, F.col("left_text"), F.col("right_text")
     line = F.concat_ws("\t", F.when(ahead, left).otherwise(right), F.when(ahead, right).otherwise(left), F.when(ahead, "+").otherwise("-"), F.col("contig_id"), F.col("score_text"))
     named = rows.select("contig_id", "place", line.alias("line"))
     none = contigs.select("contig_id").join(rows.select("contig_id").distinct(), "contig_id", "left_anti")
@@ -188,10 +192,9 @@ def partial_genbank(calls: DataFrame, contigs: DataFrame, params: Params = DEFAU
     """The older flat file: with a definition and the source as a feature; genes that lack an end are marked, and weights
     have two decimals."""
     numbered = _numbered(calls)
-    rows = _with_sequence(numbered, contigs)
     open_left, open_right = _open_ends(params)
-    left = F.when(open_left, F.lit("<1")).otherwise(F.col("left").cast("string"))
-    right = F.when(open_right, F.concat(F.lit(">"), F.col("length"))).otherwise(F.col("right").cast("string"))
+    rows = with_ends(_with_sequence(numbered, contigs), F.when(open_left, "<1"), F.when(open_right, F.concat(F.lit(">"), F.col("length"))))
+    left, right = F.col("left_text"), F.col("right_text")
     place = lambda a, b: F.when(F.col("strand") < 0, F.concat(F.lit("complement("), a, F.lit(".."), b, F.lit(")"))).otherwise(F.concat(a, F.lit(".."), b))
     name = F.concat(F.lit("     "), F.rpad("gene", 16, " "))
     genes = rows.select("contig_id", "place", F.concat(name, place(left, right), F.lit("\n" + " " * 21 + '/note="weight='), _short(F.col("score_text")), F.lit(';"')).alias("line"))
@@ -206,6 +209,16 @@ def _named(n: Column) -> Column:
     return F.concat(F.lit("Node('"), n["gene"], F.lit("','"), n["type"], F.lit("',"), n["frame"], F.lit(","), n["position"], F.lit(")"))
 
 
+def orf_texts(scored: DataFrame) -> DataFrame:
+    """Each ORF's text form: start, stop, frame, weight of its motif and score."""
+    return scored.select("contig_id", F.concat(F.lit("Orf("), F.concat_ws(",", "start", "stop", "frame", F.format_string("%.9f", "weight_rbs"), score_text(F.col("score"), F.col("ln_score"))), F.lit(")")).alias("line"))
+
+
+def edge_texts(edges: DataFrame) -> DataFrame:
+    """Each edge's text form: its nodes' and its weight."""
+    return edges.select("contig_id", F.concat(F.lit("Edge("), F.concat_ws(", ", _named(F.col("source")), _named(F.col("target")), F.format_string("%E", "cost")), F.lit(")")).alias("line"))
+
+
 def edge_dump(edges: DataFrame) -> DataFrame:
     """source, target and the weight times a thousand, tab-separated."""
     return edges.select("contig_id", F.concat_ws("\t", _named(F.col("source")), _named(F.col("target")), (F.col("cost") * 1000).cast("string")).alias("line"))
