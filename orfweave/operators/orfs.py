@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orfweave.functions.sequence import revcomp, stop_chance
+from orfweave.functions.sequence import CODES, COMPLEMENTS, revcomp, stop_chance
 from orfweave.operators import profile, sites as pieces
 from orfweave.params import DEFAULT, Params
 
@@ -19,15 +19,21 @@ _KINDS = pieces.PAIRS
 
 def codon_class(codon: Column, params: Params = DEFAULT) -> Column:
     """fs, rs (starts), fe, re (stops) or null; forward starts go first, then backward ones, then stops."""
+    back = str.maketrans(CODES, COMPLEMENTS)
+    turned = lambda known: [c[::-1].translate(back) for c in known]
     starts, stops = list(params.starts), list(params.stops)
-    back = revcomp(codon)
-    return F.when(codon.isin(starts), "fs").when(back.isin(starts), "rs").when(codon.isin(stops), "fe").when(back.isin(stops), "re")
+    return F.when(codon.isin(starts), "fs").when(codon.isin(turned(starts)), "rs").when(codon.isin(stops), "fe").when(codon.isin(turned(stops)), "re")
 
 
 def codons(contigs: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """contig_id, length, pos, frame, codon, class for each position with a whole codon."""
-    codon = profile.window(0, 3)
-    return profile.positions(contigs).where("pos <= length - 2").select("contig_id", "length", "pos", "frame", codon.alias("codon"), codon_class(codon, params).alias("class"))
+    """contig_id, length, pos, frame, codon, class for each position with a whole codon. Pieces are cut into the codons of
+    each frame at once, so that no row a position carries its surroundings."""
+    cut = profile.chunks(contigs, pieces.PIECE, 0, 2)
+    # whole codons alone match, and those that begin in a piece end within the two bases after it
+    of_frame = lambda k: F.regexp_extract_all(F.substring("context", k, pieces.PIECE + 2), F.lit("..."), F.lit(0))
+    frames = F.array(*(F.struct(F.lit(k).alias("frame"), of_frame(k).alias("codons")) for k in (1, 2, 3)))
+    rows = cut.select("contig_id", "length", "first", F.inline(frames)).select("contig_id", "length", "first", "frame", F.posexplode("codons").alias("at", "codon"))
+    return rows.select("contig_id", "length", (F.col("first") + F.col("frame") + 3 * F.col("at")).alias("pos"), "frame", "codon", codon_class(F.col("codon"), params).alias("class"))
 
 
 def _minus(a: Column, b: Column) -> Column:

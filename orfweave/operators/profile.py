@@ -1,26 +1,22 @@
-"""What is measured of every contig before genes are looked for: base frequencies, motif background, GC windows."""
+"""What is measured of every contig before genes are looked for: base frequencies and motif background."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orfweave.functions.sequence import RBS_BINS, RBS_WINDOW, max_index, min_index, normalise, rbs_score, stop_chance
-from orfweave.params import DEFAULT, Params
+from orfweave.functions.sequence import RBS_BINS, RBS_WINDOW, normalise, rbs_score, stop_chance
 
-CHUNK = 1000
-#: Bases before and after a chunk that codons around its positions reach.
-BEFORE, AFTER = 20, 23
 #: Shorter contigs have no genes.
 SHORTEST = 6
 
 
-def chunks(contigs: DataFrame, size: int = CHUNK, reach_before: int = BEFORE, reach_after: int = AFTER) -> DataFrame:
+def chunks(contigs: DataFrame, size: int, reach_before: int, reach_after: int) -> DataFrame:
     """contig_id, length, first (position before the chunk), before (how many bases of context come first), context,
     chunk_length. A contig is cut once; no row carries all of it along. Both reaches must be within size."""
     if max(reach_before, reach_after) > size:
         raise ValueError(f"a chunk of {size} bases is shorter than what windows reach")
-    # contigs are dealt out before they become rows a base: windows by contig then need no exchange
+    # contigs are dealt out before they become pieces: what is grouped by contig then needs no exchange
     n = int(contigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = contigs.repartition(n, "contig_id").select("contig_id", "length", F.regexp_extract_all("seq", F.lit(f".{{1,{size}}}"), F.lit(0)).alias("parts"))
     part = F.transform("parts", lambda c, k: F.struct((k * size).alias("first"), F.when(k > 0, F.right(F.get("parts", k - 1), F.lit(reach_before))).otherwise("").alias("head"), c.alias("chunk"), F.coalesce(F.left(F.get("parts", k + 1), F.lit(reach_after)), F.lit("")).alias("tail")))
@@ -28,18 +24,6 @@ def chunks(contigs: DataFrame, size: int = CHUNK, reach_before: int = BEFORE, re
     return rows.select("contig_id", "length", "first", F.length("head").alias("before"), F.concat("head", "chunk", "tail").alias("context"), F.length("chunk").alias("chunk_length"))
 
 
-def positions(contigs: DataFrame) -> DataFrame:
-    """A row for each base: contig_id, length, pos (from 1), frame (1 to 3), at (its place in context), context."""
-    rows = chunks(contigs).select("*", F.explode(F.sequence(F.lit(1), F.col("chunk_length"))).alias("offset"))
-    pos = F.col("first") + F.col("offset")
-    return rows.select("contig_id", "length", pos.alias("pos"), ((pos - 1) % 3 + 1).alias("frame"), (F.col("before") + F.col("offset")).alias("at"), "context")
-
-
-def window(start: Column | int, length: int) -> Column:
-    """Bases from start, relative to the position, within the context."""
-    return F.substring(F.col("context"), F.col("at") + start, F.lit(length))
-
-
 def base_frequencies(contigs: DataFrame) -> DataFrame:
     """contig_id, length, and counts on both strands: n_a, n_t, n_c, n_g; pstop, null for empty contigs."""
     norm = normalise(F.col("seq"))
@@ -73,21 +57,3 @@ def shares(counts: DataFrame, contigs: DataFrame, name: str) -> DataFrame:
     total = counts.groupBy("contig_id").agg(F.map_from_entries(F.collect_list(F.struct("score", "n"))).alias("n"), F.sum("n").alias("total"))
     full = contigs.select("contig_id").join(total, "contig_id", "left").select("contig_id", "n", F.coalesce("total", F.lit(0)).alias("total"), bins)
     return full.select("contig_id", "score", ((F.coalesce(F.col("n")[F.col("score")], F.lit(0)) + 1.0) / (F.col("total") + float(RBS_BINS))).alias(name))
-
-
-def gc_triplets(contigs: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """contig_id, pos, frame, g1, g2, g3: GC in windows of the position's own phase and the next two; positions up to
-    length - 2. The contigs' exchange serves all windows."""
-    half = params.gc_window // 3 // 2
-    is_gc = F.when(normalise(window(0, 1)).isin("g", "c"), 1).otherwise(0)
-    phase = Window.partitionBy("contig_id", "frame").orderBy("pos").rowsBetween(-(half - 1), half)
-    bases = positions(contigs).select("contig_id", "length", "pos", "frame", is_gc.alias("gc"))
-    counted = bases.withColumn("g1", F.sum("gc").over(phase))
-    along = Window.partitionBy("contig_id").orderBy("pos")
-    return counted.withColumn("g2", F.lead("g1", 1).over(along)).withColumn("g3", F.lead("g1", 2).over(along)).where("pos <= length - 2").select("contig_id", "pos", "frame", "g1", "g2", "g3")
-
-
-def gc_indices(contigs: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """contig_id, pos, frame, and which window is richest and poorest as each strand reads them."""
-    g = [F.col(f"g{k}") for k in (1, 2, 3)]
-    return gc_triplets(contigs, params).select("contig_id", "pos", "frame", max_index(*g).alias("max_f"), min_index(*g).alias("min_f"), max_index(*g[::-1]).alias("max_r"), min_index(*g[::-1]).alias("min_r"))

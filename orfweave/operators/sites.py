@@ -68,23 +68,31 @@ class _Pieces:
                 np.maximum(best, found[at : at + n], out=best)
         return best
 
+    def lay(self, context: str, head: int, n: int) -> np.ndarray:
+        """A piece's letters, with zeros where its contig has no bases for what windows reach."""
+        text = np.frombuffer(context.encode("ascii", "replace"), np.uint8)
+        y = np.zeros(self.left + n + self.right, np.uint8)
+        y[self.left - head : self.left - head + len(text)] = text
+        return y
+
+    def windows(self, y: np.ndarray, n: int) -> np.ndarray:
+        """GC of n bases in the window of their own phase and the next two, from sums along it."""
+        wide = np.zeros(-(-len(y) // 3) * 3, np.int32)
+        wide[: len(y)] = self.gc[y]
+        along = wide.reshape(-1, 3).cumsum(0).ravel()
+        high, low = self.left + 3 * self.half, self.left - 3 * self.half
+        g = along[high : high + n + 2] - along[low : low + n + 2]
+        return np.stack([g[:n], g[1 : n + 1], g[2 : n + 2]])
+
     def measure(self, context: str, head: int, n: int, first: int, length: int):
         """For each frame: counts of bases and pairs of windows in the piece, motif scores, pairs as text, events."""
-        left = self.left
-        text = np.frombuffer(context.encode("ascii", "replace"), np.uint8)
-        y = np.zeros(left + n + self.right, np.uint8)
-        y[left - head : left - head + len(text)] = text
+        left, y = self.left, self.lay(context, head, n)
         # motifs; a window on the other strand that a start needs begins behind its codon
         forward = self._motif(self.letter[y], -1, left, n)
         backward = self._motif(self.other[y], 1, left, n + 3)
         pos = first + 1 + np.arange(n)
         ahead = np.where(pos >= RBS_WINDOW, forward, 0)
-        # windows of a phase, from sums along it
-        wide = np.zeros(-(-len(y) // 3) * 3, np.int32)
-        wide[: len(y)] = self.gc[y]
-        along = wide.reshape(-1, 3).cumsum(0).ravel()
-        g = along[left + 3 * self.half : left + 3 * self.half + n + 2] - along[left - 3 * self.half : left - 3 * self.half + n + 2]
-        g = np.stack([g[:n], g[1 : n + 1], g[2 : n + 2]])
+        g = self.windows(y, n)
         # ties: the later window is the richest, the earlier one the poorest
         pairs = [3 * (2 - w[::-1].argmax(0)) + w.argmin(0) for w in (g, g[::-1])]
         own = np.zeros((n + 3, 4), np.int32)
@@ -123,12 +131,13 @@ def _events(parts: list[tuple]) -> pa.Array:
 _SCHEMA = "contig_id {kind}, length int, first int, frame int, totals array<int>, scores array<int>, pairs_f string, pairs_r string, events array<struct<pos: int, codon: string, rbs_f: int, rbs_r: int, n: array<int>>>"
 
 
-def scan(contigs: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def scan(contigs: DataFrame, params: Params = DEFAULT, shortest: int = profile.SHORTEST) -> DataFrame:
     """contig_id, length, first (position before the piece), frame; totals (of the piece: a, t, g, c, then pairs of windows
     forward and backward in the frame), scores (how often each motif score was met in the frame, both strands),
     pairs_f and pairs_r (a digit for each codon: 1 and the pair's place in PAIRS) and events: codons that begin or end
-    genes, and those at the contig's ends, with motif scores and counts. Keep it (a table) where it is used twice."""
-    whole = contigs.where(F.col("length") >= profile.SHORTEST)
+    genes, and those at the contig's ends, with motif scores and counts. Keep it (a table) where it is used twice.
+    Contigs under shortest bases are left out."""
+    whole = contigs.where(F.col("length") >= shortest)
     return scan_pieces(profile.chunks(whole, PIECE, *reaches(params)), params)
 
 
@@ -159,6 +168,41 @@ def scan_pieces(pieces: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return pieces.mapInArrow(run, _SCHEMA.format(kind=kind))
 
 
+def gc_triplets(contigs: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """contig_id, pos, frame, g1, g2, g3: GC in windows of the position's own phase and the next two, as scan() counts them;
+    positions up to length - 2."""
+    names = ["contig_id", "length", "first", "g1", "g2", "g3"]
+
+    def run(batches):
+        tool = _Pieces(params)
+        for batch in batches:
+            for start in range(0, batch.num_rows, _BATCH):
+                some = batch.slice(start, _BATCH)
+                columns = [some.column(x).to_pylist() for x in ("context", "before", "chunk_length")]
+                g = [tool.windows(tool.lay(context, head, n), n) for context, head, n in zip(*columns)]
+                ends = pa.array(np.cumsum([0, *columns[2]]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([w[k] for w in g]).astype(np.int32))) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*(some.column(x) for x in names[:3]), *lists], names)
+
+    cut = profile.chunks(contigs, PIECE, *reaches(params))
+    kind = cut.schema["contig_id"].dataType.simpleString()
+    rows = cut.mapInArrow(run, f"contig_id {kind}, length int, first int, g1 array<int>, g2 array<int>, g3 array<int>")
+    rows = rows.select("contig_id", "length", "first", F.posexplode(F.arrays_zip("g1", "g2", "g3")).alias("at", "g"))
+    pos = F.col("first") + F.col("at") + 1
+    return rows.where(pos <= F.col("length") - 2).select("contig_id", pos.alias("pos"), ((pos - 1) % 3 + 1).alias("frame"), "g.*")
+
+
+def gc_indices(scanned: DataFrame) -> DataFrame:
+    """contig_id, pos, frame, and which window is richest and poorest as each strand reads them; from scan()."""
+    digits = [F.regexp_extract_all(x, F.lit("."), F.lit(0)) for x in ("pairs_f", "pairs_r")]
+    zipped = F.arrays_zip(*(d.alias(n) for d, n in zip(digits, "fr")))
+    rows = scanned.select("contig_id", "length", "first", "frame", F.posexplode(zipped).alias("at", "pair"))
+    pos = F.col("first") + F.col("frame") + 3 * F.col("at")
+    f, r = (F.col(f"pair.{x}").cast("int") - 1 for x in "fr")
+    places = {f"{m}_{s}": x for s, pair in (("f", f), ("r", r)) for m, x in (("max", F.floor(pair / 3).cast("int") + 1), ("min", pair % 3 + 1))}
+    return rows.where(pos <= F.col("length") - 2).select("contig_id", pos.alias("pos"), "frame", *(x.alias(n) for n, x in places.items()))
+
+
 def before(sites: DataFrame) -> DataFrame:
     """sites with before: what the frame's earlier pieces add to an event's counts. Rows a contig and frame stay together."""
     earlier = Window.partitionBy("contig_id", "frame").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)

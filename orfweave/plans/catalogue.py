@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orfweave.functions import sequence
-from orfweave.operators import graph, graph_api, orfs, profile, stats
+from orfweave.operators import graph, graph_api, orfs, profile, sites, stats
 from orfweave.operators.graph_api import Graph
 from orfweave.plans.annotate import Annotation
 from orfweave.plans.oracle import revcomp, with_ctes
@@ -105,12 +105,12 @@ def base_freq(spark, sf_dir):
 @_query("SELECT contig_id, frame, count(*) AS n, CAST(sum(g1) AS BIGINT) AS s1, CAST(sum(pos * g2) AS BIGINT) AS s2, CAST(sum(pos * g3) AS BIGINT) AS s3 FROM gc GROUP BY ALL")
 def gc_triplets(spark, sf_dir):
     p = F.col("pos").cast("long")
-    return profile.gc_triplets(every(spark, sf_dir)).groupBy("contig_id", "frame").agg(F.count(F.lit(1)).alias("n"), F.sum("g1").alias("s1"), F.sum(p * F.col("g2")).alias("s2"), F.sum(p * F.col("g3")).alias("s3"))
+    return sites.gc_triplets(every(spark, sf_dir)).groupBy("contig_id", "frame").agg(F.count(F.lit(1)).alias("n"), F.sum("g1").alias("s1"), F.sum(p * F.col("g2")).alias("s2"), F.sum(p * F.col("g3")).alias("s3"))
 
 
 @_query("SELECT contig_id, max_f, min_f, max_r, min_r, count(*) AS n FROM gcidx GROUP BY ALL")
 def gc_max_min_idx(spark, sf_dir):
-    return profile.gc_indices(every(spark, sf_dir)).groupBy("contig_id", "max_f", "min_f", "max_r", "min_r").agg(F.count(F.lit(1)).alias("n"))
+    return sites.gc_indices(sites.scan(every(spark, sf_dir), shortest=0)).groupBy("contig_id", "max_f", "min_f", "max_r", "min_r").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query("SELECT contig_id, score, round(background, 9) AS background FROM background")

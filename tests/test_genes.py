@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orfweave.functions import sequence
-from orfweave.operators import graph, orfs, profile
+from orfweave.operators import graph, orfs, profile, sites
 from orfweave.params import output_format, start_weights
 from orfweave.plans.annotate import Annotation
 from orfweave.plans.paths import cheapest_path, whole_cost
@@ -90,7 +90,7 @@ def test_background(run, contigs):
 
 
 def test_hold_is_product(run, contigs):
-    plots = {(r.contig_id, r.pos): r for r in profile.gc_indices(run.contigs).collect()}
+    plots = {(r.contig_id, r.pos): r for r in sites.gc_indices(sites.scan(run.contigs)).collect()}
     training = {r.contig_id: r for r in run.training.collect()}
     for r in run.scored.collect():
         codons = range(r.start, r.stop, 3 if r.strand > 0 else -3)

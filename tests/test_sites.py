@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from orfweave.functions.sequence import CODES, COMPLEMENTS
+from orfweave.functions.sequence import CODES, COMPLEMENTS, max_index, min_index
 from orfweave.operators import orfs, sites
 from orfweave.params import Params
 
@@ -76,3 +77,30 @@ def test_empty_and_too_short(spark):
     rows = spark.createDataFrame([("a", "", 0), ("b", "atgca", 5)], "contig_id string, seq string, length int")
     assert sites.scan(rows).count() == 0
     assert orfs.enumerate_orfs(sites.scan(rows)).count() == 0
+
+
+def test_windows_and_codons_at_every_base(spark, sequences):
+    """Rows a base come from the pieces that calls are made of: also contigs that are too short for genes."""
+    every = {**sequences, "five": "gcatg", "three": "atg", "one": "g", "none": ""}
+    contigs = spark.createDataFrame([(k, v, len(v)) for k, v in every.items()], "contig_id string, seq string, length int")
+    expected = {(name, p) for name, seq in every.items() for p in range(1, len(seq) - 1)}
+    triplets = sites.gc_triplets(contigs)
+    columns = [F.col(f"g{k}") for k in (1, 2, 3)]
+    indices = [max_index(*columns), min_index(*columns), max_index(*columns[::-1]), min_index(*columns[::-1])]
+    rows = triplets.select("*", *(x.alias(n) for x, n in zip(indices, ("max_f", "min_f", "max_r", "min_r")))).collect()
+    assert len(rows) == len(expected) and {(r.contig_id, r.pos) for r in rows} == expected
+    half = Params().gc_window // 3 // 2
+    for r in rows:
+        seq = every[r.contig_id]
+        gc = lambda p: sum(seq[q - 1] in "gcsbv" for q in range(p - 3 * (half - 1), p + 3 * half + 1, 3) if 1 <= q <= len(seq))
+        assert (r.frame, r.g1, r.g2, r.g3) == ((r.pos - 1) % 3 + 1, gc(r.pos), gc(r.pos + 1), gc(r.pos + 2))
+    key = lambda rows: sorted((r.contig_id, r.pos, r.frame, r.max_f, r.min_f, r.max_r, r.min_r) for r in rows)
+    assert key(rows) == key(sites.gc_indices(sites.scan(contigs, shortest=0)).collect())
+    found = orfs.codons(contigs).collect()
+    assert len(found) == len(expected) and {(r.contig_id, r.pos) for r in found} == expected
+    back, starts, stops = str.maketrans(CODES, COMPLEMENTS), Params().starts, Params().stops
+    for r in found:
+        codon = every[r.contig_id][r.pos - 1 : r.pos + 2]
+        other = codon[::-1].translate(back)
+        kind = "fs" if codon in starts else "rs" if other in starts else "fe" if codon in stops else "re" if other in stops else None
+        assert (r.codon, r.frame, r["class"]) == (codon, (r.pos - 1) % 3 + 1, kind)
