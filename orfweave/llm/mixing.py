@@ -7,9 +7,9 @@ an exponential tilt of the document's size,
     odds(rate / MOST) = odds(1 / MOST) * exp(lambda_source * size),
 
 whose lambda is the solution of a convex dual in one unknown a source. Documents are first summed up to strata, a
-table of (source, size) with counts; Newton iterations over a source's strata, sources side by side in tasks of their
-own, find its lambda, and a bracket turns a step that leaves it into a bisection. A dual that isn't solved after
-ITERATIONS is an error. Every document has the rate of its own size.
+table of (source, size) with counts; a Newton iteration is one aggregate over the strata of all sources that joins each
+with its source's lambda so far, and a bracket turns a step that leaves it into a bisection. A dual that isn't solved
+after ITERATIONS is an error. Every document has the rate of its own size, however long its text is.
 
 Rates become whole copies. For that, sizes fall into classes, exact below 128 words and 1/64 of an octave wide
 above, so a source has at most a few thousand. In a source, classes are taken from the largest down; each gets the
@@ -27,11 +27,8 @@ rows that are alike in id, source and size. Further columns may have any name.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import WORD, Scratch, fresh, partitions, table, whole_text
 
@@ -41,6 +38,8 @@ ITERATIONS = 80
 #: Relative gaps to the targets at which iterations end, and above which the dual counts as unsolved.
 TOLERANCE, UNSOLVED = 1e-9, 1e-6
 CELL = 512
+#: Where the bracket of a tilt begins and ends, for sizes relative to their mean.
+_FAR = 1e6
 _SEED = 7_919
 
 
@@ -88,46 +87,52 @@ def _rate(tilt: Column, most: int) -> Column:
     return most / (1 + (most - 1) * F.exp(-tilt))
 
 
-def solve(strata: DataFrame, targets: DataFrame, most: int = MOST, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
+def _clipped(tilt: Column) -> Column:
+    return F.greatest(F.lit(-700.0), F.least(F.lit(700.0), tilt))
+
+
+def solve(strata: DataFrame, targets: DataFrame, scratch: Scratch, most: int = MOST, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
     """The dual: source, source_size and target to those and scale (the mean size), tilt (of sizes relative to it) and bound
-    (true where every rate is at the upper bound). Sources are solved side by side, each from its sizes and their counts;
-    these are as many as the source has different sizes, which the longest text bounds and not the number of texts."""
+    (true where every rate is at the upper bound). A round is one aggregate over the strata of all sources that aren't solved
+    yet; the driver sees the largest gap."""
     bound = F.col("target") >= F.col("source_size") * most * (1 - 1e-12)
-    state = targets.select(F.col("source").alias("own"), "source_size", "target", bound.alias("bound"))
-    rows = strata.join(state, F.col("source").eqNullSafe(F.col("own"))).select("source", "size", "n", "words", "source_size", "target", "bound")
-
-    def one(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("size")
-        first = {c: rows[c][0].as_py() for c in ("source", "source_size", "target", "bound")}
-        words, size = rows["words"].to_numpy().astype(float), rows["size"].to_numpy().astype(float)
-        scale = max(1e-9, float(words.sum()) / max(1, int(rows["n"].to_numpy().sum())))
-        tilt = 0.0
-        if not first["bound"] and first["source_size"] > 0:
-            tilt = _newton(words, size / scale, first["target"], most, iterations, tolerance)
-        found = first | {"scale": scale, "tilt": tilt}
-        return pa.table({f.name: pa.array([found[f.name]], f.type) for f in out})
-
-    kind = rows.schema["source"].dataType
-    out = pa.schema([("source", to_arrow_type(kind)), ("source_size", pa.int64()), ("target", pa.float64()), ("scale", pa.float64()), ("tilt", pa.float64()), ("bound", pa.bool_())])
-    return rows.groupBy("source").applyInArrow(one, f"source {kind.simpleString()}, source_size bigint, target double, scale double, tilt double, bound boolean")
-
-
-def _newton(words: np.ndarray, x: np.ndarray, target: float, most: int, iterations: int, tolerance: float) -> float:
-    """The tilt at which words times rates reach the target; a bracket turns a step that leaves it into a bisection."""
-    tilt, low, high = 0.0, -1e6, 1e6
-    gap = 0.0
-    for _ in range(iterations):
-        rate = most / (1 + (most - 1) * np.exp(-np.clip(tilt * x, -700, 700)))
-        over = float(words @ rate) - target
-        gap = abs(over) / max(target, 1.0)
-        if gap <= tolerance:
-            return tilt
-        low, high = (tilt, high) if over < 0 else (low, tilt)
-        step = tilt - over / max(float(words @ (rate * (1 - rate / most) * x)), 1e-300)
-        tilt = step if low < step < high else (low + high) / 2
-    if gap > UNSOLVED:
-        raise RuntimeError(f"the dual is off its target by {gap} after {iterations} iterations")
-    return tilt
+    settled = bound | (F.col("source_size") == 0)
+    means = strata.groupBy("source").agg(F.greatest(F.lit(1e-9), F.sum("words") / F.greatest(F.lit(1), F.sum("n"))).alias("scale"))
+    state = targets.withColumnsRenamed({"source": "own"}).join(means, F.col("own").eqNullSafe(F.col("source")))
+    gap = F.when(settled, F.lit(0.0)).otherwise(F.lit(float("inf")))
+    state = state.select("source", "source_size", "target", "scale", bound.alias("bound"), F.lit(0.0).alias("tilt"), F.lit(-_FAR).alias("low"), F.lit(_FAR).alias("high"), gap.alias("gap"))
+    state = scratch.write(state, "dual")
+    for done in range(iterations + 1):
+        worst = state.agg(F.max("gap")).first()[0]
+        if worst is None or worst <= tolerance or done == iterations:
+            break
+        before, state = state, scratch.write(_newton(strata, state, most, tolerance), "dual")
+        scratch.drop(before)
+    if worst is not None and worst > UNSOLVED:
+        raise RuntimeError(f"the dual is off its target by {worst} after {iterations} iterations")
+    return state.drop("low", "high", "gap")
+
+
+def _newton(strata: DataFrame, state: DataFrame, most: int, tolerance: float) -> DataFrame:
+    """state after one Newton iteration of every source whose gap is above the tolerance. Gradient and curvature are sums over
+    strata, added up before they are moved, as decimals so that the order of adding doesn't count. A bracket turns a step
+    that leaves it into a bisection."""
+    todo = state.where(F.col("gap") > tolerance).withColumnRenamed("source", "own")
+    x = F.col("size") / F.col("scale")
+    rate = _rate(_clipped(F.col("tilt") * x), most)
+    met = strata.select("source", "size", "words").join(todo, F.col("source").eqNullSafe(F.col("own"))).withColumn("rate", rate)
+    total = lambda value: F.sum(value.cast("decimal(34,12)")).cast("double")
+    taken, slope = total(F.col("words") * F.col("rate")), total(F.col("words") * F.col("rate") * (1 - F.col("rate") / most) * x)
+    known = [c for c in state.columns if c not in ("source", "gap")]
+    sums = met.groupBy("source").agg(*(F.first(c).alias(c) for c in known), (taken - F.first("target")).alias("over"), slope.alias("slope"))
+    sums = sums.withColumn("gap", F.abs("over") / F.greatest(F.col("target"), F.lit(1.0)))
+    near = F.col("gap") <= tolerance
+    sums = sums.withColumns({"low": F.when(F.col("over") < 0, F.col("tilt")).otherwise(F.col("low")), "high": F.when(F.col("over") < 0, F.col("high")).otherwise(F.col("tilt"))})
+    step = F.col("tilt") - F.col("over") / F.greatest(F.col("slope"), F.lit(1e-300))
+    inside = (step > F.col("low")) & (step < F.col("high"))
+    moved = F.when(inside, step).otherwise((F.col("low") + F.col("high")) / 2)
+    stepped = sums.withColumn("tilt", F.when(near, F.col("tilt")).otherwise(moved)).select(*state.columns)
+    return state.where(F.col("gap") <= tolerance).unionByName(stepped)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
@@ -143,7 +148,7 @@ def _copies(sized: DataFrame, scratch: Scratch, weights: tuple[float, ...], most
     counts = sized.groupBy("source", "class", "size").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     strata = scratch.write(counts, "strata")
     targets = source_targets(strata.groupBy("source").agg(F.sum("words").alias("source_size")), scratch, weights, most)
-    dual = scratch.write(solve(strata, targets, most), "dual")
+    dual = solve(strata, targets, scratch, most)
     plan = scratch.write(_rounded(strata, dual, most), "plan")
     # cells of a stratum: by hash, in numbers that follow its size, each with its share of the stratum's extra copies
     plan = plan.withColumn("cells", F.ceil(F.col("n") / CELL).cast("int")).withColumnRenamed("source", "of").withColumnRenamed("class", "of_class")
@@ -165,7 +170,7 @@ def _copies(sized: DataFrame, scratch: Scratch, weights: tuple[float, ...], most
 
 def _own_rate(size: Column, words: Column, most: int) -> Column:
     """Of documents of a size in a source with tilt, scale and bound; those without words have rate 1."""
-    tilt = F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("tilt") * size / F.col("scale")))
+    tilt = _clipped(F.col("tilt") * size / F.col("scale"))
     return F.when(words == 0, F.lit(1.0)).when(F.col("bound"), F.lit(float(most))).otherwise(_rate(tilt, most))
 
 

@@ -331,3 +331,25 @@ def test_license_scores_every_unit(spark):
             assert abs(got[d][1] - best[0]) < 2e-6
         else:
             assert got[d] == (None, None)
+
+
+def test_mixing_solves_all_sources_at_once(spark):
+    """The dual by distributed rounds against bisection of each source alone, from far off and near the bounds."""
+    sizes = {"near": [(5, 40), (90, 3)], "far": [(1, 1000), (20_000, 1)], "even": [(7, 9)], None: [(3, 5), (4, 5), (300, 2)], "empty": [(0, 4)], "full": [(2, 6)]}
+    share = {"near": 2.999, "far": 0.001, "even": 1.0, None: 1.7, "empty": 0.0, "full": 3.0}
+    strata = spark.createDataFrame([(s, z, n, z * n) for s, rows in sizes.items() for z, n in rows], "source string, size long, n long, words long")
+    total = {s: sum(z * n for z, n in rows) for s, rows in sizes.items()}
+    targets = spark.createDataFrame([(s, total[s], share[s] * total[s]) for s in sizes], "source string, source_size long, target double")
+    found = {r.source: r for r in mixing.solve(strata, targets, mixing.Scratch(spark, "test")).collect()}
+    assert set(found) == set(sizes)
+    assert [s for s in sizes if found[s].bound] == ["empty", "full"] and found["even"].tilt == 0.0
+    for s in ("near", "far", "even", None):
+        scale = total[s] / sum(n for _, n in sizes[s])
+        assert abs(found[s].scale - scale) < 1e-12 * scale
+        taken = lambda tilt: sum(z * n * 3 / (1 + 2 * math.exp(-max(-700.0, min(700.0, tilt * z / scale)))) for z, n in sizes[s])
+        low, high = -1e6, 1e6
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if taken(mid) < share[s] * total[s] else (low, mid)
+        assert abs(taken(found[s].tilt) - share[s] * total[s]) <= 1e-8 * max(1.0, share[s] * total[s])
+        assert abs(found[s].tilt - low) <= 1e-5 * max(1.0, abs(low))
