@@ -104,3 +104,21 @@ def test_windows_and_codons_at_every_base(spark, sequences):
         other = codon[::-1].translate(back)
         kind = "fs" if codon in starts else "rs" if other in starts else "fe" if codon in stops else "re" if other in stops else None
         assert (r.codon, r.frame, r["class"]) == (codon, (r.pos - 1) % 3 + 1, kind)
+
+
+def test_orfs_over_long_frames(spark):
+    """An ORF through many pieces, and frames without any stop: the work and the shuffle follow the pieces, not pairs of events."""
+    n = sites.PIECE
+    seqs = {"open": "atgccc" * n, "stop": "atg" + "ccc" * (2 * n) + "tag" + "ccc" * 100, "back": "cta" + "ggg" * (2 * n) + "cat" + "ggg" * 7}
+    contigs = spark.createDataFrame([(k, v, len(v)) for k, v in seqs.items()], "contig_id string, seq string, length int")
+    scanned = sites.scan(contigs)
+    found = orfs.enumerate_orfs(scanned)
+    # a frame that ends at a partition's last row is gone through again for each of its rows
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower().replace(" ", "").replace("$", "")
+    rows = {(r.contig_id, r.strand, r.start, r.stop): r for r in found.where("frame IN (1, -1)").collect()}
+    assert rows["stop", 1, 1, 6 * n + 4].length == 6 * n + 6 and sum(rows["stop", 1, 1, 6 * n + 4].n) == 2 * n + 1
+    assert rows["back", -1, 6 * n + 4, 1].length == 6 * n + 6 and sum(rows["back", -1, 6 * n + 4, 1].n) == 2 * n + 1
+    # starts that meet no stop end with the frame's last codon
+    last = len(seqs["open"]) - 2
+    assert sum(k[0] == "open" and k[1] > 0 and k[3] == last for k in rows) >= n - 30
+    assert sorted(map(tuple, orfs.join_pieces(sites.scan_pairs(contigs)).collect())) == sorted(map(tuple, found.collect()))
