@@ -85,3 +85,15 @@ def test_positional_stop_chance(spark, monkeypatch):
         want = f(0, "t") * (f(1, "a") * f(2, "a") + f(1, "g") * f(2, "a") + f(1, "a") * f(2, "g"))
         assert r.pp_stop == pytest.approx(want, abs=1e-12)
     assert found.count() == len(rows)
+
+
+def test_positional_stop_chance_of_shared_places(spark):
+    """ORFs that share a stop share its lookup: texts of pieces aren't counted again for each ORF."""
+    seq = "atg" * 500 + "tag"
+    rows = [(1, 1, a, 1501) for a in range(1, 1400, 3)]
+    found = orfs.positional_stop_chance(spark.createDataFrame(rows, "contig_id int, strand int, start int, stop int"), spark.createDataFrame([(1, seq, len(seq))], "contig_id int, seq string, length int"))
+    assert "translate(" not in found._jdf.queryExecution().toString()
+    got = {r.start: r.pp_stop for r in found.collect()}
+    n = 501
+    # one t first, one a second (the stop's), a g third in all codons
+    assert len(got) == len(rows) and got[1] == pytest.approx(1 / n * (1 / n * 0 + 500 / n * 0 + 1 / n * 1))
