@@ -13,6 +13,7 @@ import re
 import numpy as np
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
+_BLOCK = 1 << 14
 _CODE_POINTS = 0x110000
 _CONTRACTION = re.compile(r"'(?:s|t|re|ve|m|ll|d)")
 
@@ -42,13 +43,15 @@ def character_classes(tokenizer) -> bytes:
     sample = {LETTER: "a", NUMBER: "1", OTHER: "!"}
     for kind, members in groups.items():
         classes[members] = kind
-        # the leading sample shows which class the first piece has
-        text = sample[kind] + "".join(map(chr, members))
-        pieces = split(text)
-        for i, (_, (start, end)) in enumerate(pieces):
-            cut = members[max(0, start - 1) : end - 1]
-            if i and not _same_class(split, sample[kind], chr(cut[0])):
-                doubtful.extend(cut)
+        # the pre-tokenizer needs hundreds of bytes for a character: a block of them at once
+        for first in range(0, len(members), _BLOCK):
+            block = members[first : first + _BLOCK]
+            # the leading sample shows which class the first piece has
+            pieces = split(sample[kind] + "".join(map(chr, block)))
+            for i, (_, (start, end)) in enumerate(pieces):
+                cut = block[max(0, start - 1) : end - 1]
+                if i and not _same_class(split, sample[kind], chr(cut[0])):
+                    doubtful.extend(cut)
     for c in doubtful:
         classes[c] = next((k for k, s in sample.items() if _same_class(split, s, chr(c))), SPACE)
     return classes.tobytes()

@@ -10,13 +10,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import held
+from .common import held, release
 from .pretokenize import Pieces, character_classes
 
 #: Bytes of texts that are dealt with at once; several arrays of eight bytes for each of them are alive then.
 CHUNK_BYTES = 150_000
 #: Slots of a worker's table of pieces, and the most tokens of a piece that it keeps.
 SLOTS, KEPT = 1 << 19, 8
+#: Tokens that are proved at once.
+PROVED = 1000
 _SEPARATOR = "\0"
 
 
@@ -45,16 +47,20 @@ class Vocabulary:
         self.classes = character_classes(tokenizer)
         byte_of = {c: b for b, c in byte_characters().items()}
         self._require_order(path)
+        # what was read of the file and of the proof is given back: a driver reads this late in a program
+        release()
         self.ranks = {bytes(byte_of[c] for c in s): i for s, i in tokenizer.get_vocab(with_added_tokens=False).items() if s not in self.special}
         self.whole = self._prove(tokenizer)
+        del tokenizer
+        release()
 
     @staticmethod
     def _require_order(path: str) -> None:
         """Merging by the lowest id is merging by the first rule only if later rules make higher ids."""
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        ids = np.array([model["vocab"][a + b] for a, b in pairs])
+        vocab, merges = model["vocab"], model["merges"]
+        ids = np.fromiter((vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in merges), np.int64, len(merges))
         if (np.diff(ids) <= 0).any():
             raise ValueError(f"the ids of {path} aren't in the order of its merges")
 
@@ -66,9 +72,12 @@ class Vocabulary:
                 named[token.decode()] = rank
             except UnicodeDecodeError:
                 continue
-        strings = list(named)
-        encoded = tokenizer.encode_batch(strings, add_special_tokens=False)
-        return {s: named[s] for s, e in zip(strings, encoded) if e.ids == [named[s]]}
+        strings, whole = list(named), {}
+        for k in range(0, len(strings), PROVED):
+            some = strings[k : k + PROVED]
+            encoded = tokenizer.encode_batch(some, add_special_tokens=False)
+            whole |= {s: named[s] for s, e in zip(some, encoded) if e.ids == [named[s]]}
+        return whole
 
 
 def byte_characters() -> dict[int, str]:

@@ -127,3 +127,15 @@ def test_whole_tokens_need_no_merging(monkeypatch):
     encoder.encode(strange)
     again = sum(len(m.split("\0")) for m in merged if m)
     assert again < 30
+
+
+def test_vocabulary_is_read_in_little_memory():
+    """A driver reads a vocabulary late in a program: the peak, in a process of its own."""
+    import os
+    import subprocess
+    import sys
+
+    code = "import resource, public_tokenizers, pyspark.sql; from orfweave.llm.vocabulary import Vocabulary; peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; before = peak(); Vocabulary.read(public_tokenizers.path('byte_bpe_50k.json')); print(peak() - before >> 10)"
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {**os.environ, "PYTHONPATH": os.pathsep.join([root, *filter(None, [os.environ.get("PYTHONPATH")])])}
+    assert int(subprocess.run([sys.executable, "-c", code], env=env, check=True, capture_output=True, text=True).stdout) < 200
