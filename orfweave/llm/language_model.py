@@ -40,6 +40,8 @@ from .vocabulary import chunks
 ORDER, BASE, BITS, HASHES, PRIOR = 2, 1.5, 10, 5, 400.0
 #: Words whose counts are broadcast at most; bytes of a band of the filter at most; slices at most.
 HOT, MAX_BYTES, SLICES = 1 << 17, 128 << 20, 1 << 16
+#: Bytes of the filter that the driver has at hand at once; a slice isn't cut.
+PART = 16 << 20
 #: Bytes of texts worked on at once, and tokens that a task sums up at once.
 CHUNK, FLUSH = 1 << 20, 1 << 22
 #: The hash that stands for an end.
@@ -181,7 +183,7 @@ def _fill(base: float, bits: int, hashes: int):
 class Filter:
     """A band of slices of the filter: what lies outside has level 0."""
 
-    def __init__(self, sizes: np.ndarray, first: int, bits: bytes, base: float, hashes: int):
+    def __init__(self, sizes: np.ndarray, first: int, bits: bytes | bytearray, base: float, hashes: int):
         """sizes: bits of all slices; first: the band's first slice; bits: the band's slices in a row."""
         self.sizes, self.hashes, self.most = sizes, hashes, len(levels(base))
         start = np.cumsum(sizes) - sizes
@@ -220,6 +222,22 @@ def _bands(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
     return [*out, (first, len(sizes))]
 
 
+class Shared:
+    """A band of the filter as tasks get it: broadcast parts, put together by the process that asks for it."""
+
+    def __init__(self, sizes, first: int, parts: list, base: float, hashes: int):
+        self.sizes, self.first, self.parts, self.base, self.hashes = sizes, first, parts, base, hashes
+
+    def filter(self) -> Filter:
+        sizes = self.sizes.value
+        bits = bytearray()
+        for part in self.parts:
+            bits += part.value
+            # the process has the part's bytes in the filter now
+            vars(part).pop("_value", None)
+        return Filter(sizes, self.first, bits, self.base, self.hashes)
+
+
 class Model:
     """What a corpus taught: a table of slices and the sums that all probabilities need."""
 
@@ -249,17 +267,25 @@ class Model:
             if total > most:
                 break
             least = r["step"]
-        rows = self.words.where(step >= least).collect() if least is not None else []
-        words = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
+        if least is None:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        rows = self.words.where(step >= least).toArrow()
+        words = rows.column("word").to_numpy().view(np.uint64)
         order = np.argsort(words)
-        return words[order], np.array([r["n"] for r in rows], np.int64)[order]
+        return words[order], rows.column("n").to_numpy()[order]
 
-    def band(self, k: int):
-        """A band of the filter, broadcast; at most the bytes that a band may have."""
+    def band(self, k: int) -> Shared:
+        """A band of the filter, broadcast in parts: the driver's program holds one part at a time."""
         first, last = self.bands[k]
-        rows = self.table.where((F.col("slice") >= first) & (F.col("slice") < last)).select("slice", "bits").collect()
-        bits = {r["slice"]: bytes(r["bits"]) for r in rows}
-        return self.spark.sparkContext.broadcast((self.sizes, first, b"".join(bits.get(n, bytes(8)) for n in range(first, last)), self.base, self.hashes))
+        context = self.spark.sparkContext
+        parts = [context.broadcast(self._bits(first + a, first + b)) for a, b in _bands(self.sizes[first:last], PART)]
+        return Shared(context.broadcast(self.sizes), first, parts, self.base, self.hashes)
+
+    def _bits(self, first: int, last: int) -> bytes:
+        """Slices in a row; those without n-grams have no row."""
+        rows = self.table.where((F.col("slice") >= first) & (F.col("slice") < last)).select("slice", "bits").toArrow()
+        bits = dict(zip(rows.column("slice").to_pylist(), rows.column("bits")))
+        return b"".join(bits[n].as_buffer() if n in bits else bytes(8) for n in range(first, last))
 
 
 def _levels_of(own: Texts, filter_: Filter, before: list[bytes | None]) -> np.ndarray:
@@ -278,8 +304,8 @@ def _levels_of(own: Texts, filter_: Filter, before: list[bytes | None]) -> np.nd
     return out
 
 
-def _look(shared, name: str) -> Filter:
-    return held(name, lambda: Filter(*shared.value))
+def _look(shared: Shared, name: str) -> Filter:
+    return held(name, shared.filter)
 
 
 _LEVELS = "row bigint, text string, levels binary"

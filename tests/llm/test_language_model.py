@@ -136,3 +136,15 @@ def test_filter_levels():
     got = found.levels(keys)
     assert (got >= want).all() and (got > want).mean() < 0.02
     assert (found.levels(rng.integers(0, 1 << 63, 5000, np.uint64) * np.uint64(2) + np.uint64(1)) > 0).mean() < 0.02
+
+
+def test_filter_in_parts(spark, monkeypatch):
+    """The driver holds a part of the filter at once; tasks put the same band together."""
+    rows = spark.createDataFrame([(" ".join(f"w{k * j % 97}" for j in range(40)),) for k in range(60)], "text string")
+    model = lm.Model(rows, 2, 1.5, 10, 5, 400.0, 1 << 27, 100)
+    whole = model.band(0)
+    monkeypatch.setattr(lm, "PART", 200)
+    parts = model.band(0)
+    assert len(whole.parts) == 1 and len(parts.parts) > 1
+    one, many = whole.filter(), parts.filter()
+    assert (one.bits == many.bits).all() and 8 * len(one.bits) == model.sizes.sum()
