@@ -33,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, held, partitions, release, table, whole_text
+from .common import Scratch, forget, held, partitions, release, small_batches, table, whole_text
 from .shingles import _mixed, _words
 from .vocabulary import chunks
 
 ORDER, BASE, BITS, HASHES, PRIOR = 2, 1.5, 10, 5, 400.0
-#: Words whose counts are broadcast at most; bytes of a band of the filter at most; slices at most.
-HOT, MAX_BYTES, SLICES = 1 << 17, 128 << 20, 1 << 16
+#: Words whose counts are broadcast at most; bytes of a band of the filter at most; slices at most, and for each partition.
+HOT, MAX_BYTES, SLICES, FINE = 1 << 17, 128 << 20, 1 << 16, 4
 #: Bytes of the filter that the driver has at hand at once; a slice isn't cut.
 PART = 16 << 20
 #: Bytes of texts worked on at once, and tokens that a task sums up at once.
@@ -82,9 +82,9 @@ class Texts:
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, and their sums."""
+    """Distinct keys, sorted, and their sums. Keys without counts are sorted where they are."""
     if counts is None:
-        keys = np.sort(keys)
+        keys.sort()
     else:
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
@@ -106,7 +106,11 @@ def _count(slices: int, order: int):
     def rows(keys: list[list[np.ndarray]]) -> pa.RecordBatch:
         parts = []
         for own in keys:
-            key, n = _summed(np.concatenate(own))
+            joined = np.concatenate(own)
+            # no key is kept twice while the others are summed up
+            own.clear()
+            key, n = _summed(joined)
+            del joined
             edges = np.searchsorted(_slice(key, slices), np.arange(slices + 1))
             parts += [(key.astype("<u8"), edges), (n.astype("<u4"), edges)]
         columns = [pa.array([x[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()) for x, edges in parts]
@@ -114,6 +118,8 @@ def _count(slices: int, order: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = lambda: [[], [np.zeros(0, np.uint64)]]
+        # an earlier model's filter may still be there
+        forget()
         held_, n = fresh(), 0
         for batch in batches:
             for _, texts in chunks(batch.column(0), CHUNK):
@@ -246,7 +252,8 @@ class Model:
         spark = rows.sparkSession
         self.spark, self.scratch = spark, Scratch(spark, "model")
         self.order, self.base, self.hashes, self.prior = order, base, hashes, prior
-        slices = min(SLICES, max(partitions(spark), rows.rdd.getNumPartitions()))
+        # several slices a task, one at a time: what a task has in memory is a slice
+        slices = min(SLICES, FINE * max(partitions(spark), rows.rdd.getNumPartitions()))
         counted = rows.mapInArrow(_count(slices, order), _COUNTS)
         self.table = self.scratch.write(counted.groupBy("slice").applyInArrow(_fill(base, bits, hashes), _SLICES), "slices")
         self.words = self.table.select(F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))))
@@ -397,6 +404,7 @@ def score(docs: DataFrame, learn: Column, id_column: str = "doc_id", text_column
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op12: all documents scored by what four fifths of them teach."""
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
     rows = score(docs, F.coalesce(~held_out, F.lit(True)))

@@ -148,3 +148,20 @@ def test_filter_in_parts(spark, monkeypatch):
     assert len(whole.parts) == 1 and len(parts.parts) > 1
     one, many = whole.filter(), parts.filter()
     assert (one.bits == many.bits).all() and 8 * len(one.bits) == model.sizes.sum()
+
+
+def test_memory_of_tasks(spark):
+    """Counting gives up an earlier model's filter, and a task's slices come one at a time, several a partition."""
+    import pyarrow as pa
+
+    from orfweave.llm import common
+
+    common.held("filter of another model", lambda: bytes(100))
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b", "b c c"])], ["text"])
+    (counted,) = lm._count(3, 2)(iter([batch]))
+    assert not common._HELD
+    # a, b, c and the end; bigrams with the ends before the first words
+    assert sum(len(x) for x in counted.column("words").to_pylist()) == 8 * 4
+    assert sum(np.frombuffer(b"".join(counted.column("gram_counts").to_pylist()), "<u4")) == 7
+    model = lm.Model(spark.createDataFrame([("a b",)] * 3, "text string"), lm.ORDER, lm.BASE, lm.BITS, lm.HASHES, lm.PRIOR, lm.MAX_BYTES, lm.HOT)
+    assert len(model.sizes) >= 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
