@@ -122,3 +122,30 @@ def test_orfs_over_long_frames(spark):
     last = len(seqs["open"]) - 2
     assert sum(k[0] == "open" and k[1] > 0 and k[3] == last for k in rows) >= n - 30
     assert sorted(map(tuple, orfs.join_pieces(sites.scan_pairs(contigs)).collect())) == sorted(map(tuple, found.collect()))
+
+
+def test_contigs_are_made_once(spark):
+    """Letters of any text become the nucleotides that expressions give; an annotation's sequences are a table."""
+    from orfweave.functions import sequence
+    from orfweave.operators import profile
+    from orfweave.plans.annotate import Annotation
+    from orfweave.sources import readers
+
+    texts = ["The Quick Brown Fox jumps OVER the lazy dog. Zz " * 9, "", None, "éaKB\U0001d400ſK-x9\n", "ggagga" * 9 + "aaGGAG", "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    letters = F.translate(F.lower(F.regexp_replace("text", "[^A-Za-z]", "")), readers.LETTERS, readers.NUCLEOTIDES)
+    want = {tuple(r) for r in docs.select("doc_id", letters, F.length(letters)).collect()}
+    found = readers.contigs_from_text(docs)
+    assert {tuple(r) for r in found.collect()} == want
+    run = Annotation(found)
+    assert all("-contigs" in f for f in run.contigs.inputFiles()) and run.contigs.count() == 2
+    run.release()
+    # base counts with ambiguity codes, and windows that the end cuts short, as expressions give them
+    odd = spark.createDataFrame([(1, "acgtnryswkmbvdh" * 3, 45), (2, "aggaggagatggaggta", 17), (3, "ggagga", 6)], "contig_id bigint, seq string, length int")
+    norm = sequence.normalise(F.col("seq"))
+    gc = odd.select("contig_id", F.length(F.regexp_replace(norm, "[at]", "")), F.length(F.regexp_replace(norm, "[cg]", "")))
+    assert {tuple(r) for r in gc.collect()} == {(r.contig_id, r.n_g, r.n_a) for r in profile.base_frequencies(odd).collect()}
+    tails = odd.select(F.right("seq", F.lit(20)).alias("tail"))
+    short = tails.select(F.pandas_udf(profile._short_scores, "array<int>")("tail").alias("found"), F.explode(F.sequence(F.lit(1), F.length("tail"))).alias("n"), "tail")
+    rows = short.select(F.col("found")[F.col("n") - 1].alias("a"), sequence.rbs_score(F.expr("right(tail, n)")).alias("b")).collect()
+    assert len(rows) == 43 and all(r.a == r.b for r in rows) and any(r.a for r in rows)
