@@ -82,3 +82,33 @@ def test_no_task_sees_a_contig(spark):
     assert rows.agg(F.max("level")).first()[0] == 6
     own = rows.where("level = 0").groupBy("block").count().agg(F.max("count")).first()[0]
     assert own < rows.count() / 20
+
+
+def test_costs_and_nodes_of_many(spark):
+    """Costs are those of one after another, next to whole thousandths as well; nodes' numbers sort as their texts do."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    some = [rng.choice([-1, 1]) * rng.random() * 10.0 ** rng.randint(-5, 30) for _ in range(3000)] + [k / 1000 for k in range(-2000, 2000)]
+    some += [float(np.nextafter(k / 1000, way)) for k in range(-500, 500) for way in (-9, 9)] + [float("-inf")]
+    logs = [float("nan")] * (len(some) - 1) + [800.25]
+    assert paths.whole_costs(np.array(some), np.array(logs)) == [paths.whole_cost(c, x) for c, x in zip(some, logs)]
+    nodes = [(p, f, t, g) for p in (0, 1, 9, 10, 123456) for f in (-4, -3, -2, -1, 0, 1, 2, 3, 4) for t in ("source", "start", "stop", "target") for g in ("CDS", "source", "tRNA", "target")]
+    rows = spark.createDataFrame(nodes, "position int, frame int, type string, gene string").select(F.struct("gene", "type", "frame", "position").alias("node"))
+    both = [tuple(r) for r in rows.select(paths.node_key(F.col("node")), paths.node_number(F.col("node"))).collect()]
+    assert [k for k, _ in sorted(both)] == [k for k, _ in sorted(both, key=lambda r: r[1])] and len({n for _, n in both}) == len(nodes)
+
+
+def test_contigs_across_batches():
+    """A task has a contig at a time: batches that cut one are put together, and a contig without a target has no path."""
+    import numpy as np
+    import pyarrow as pa
+
+    source, (a, b, end) = 65, ((p * 144 + (3 + 4) * 16 + k * 4) for p, k in ((5, 1), (50, 2), (90, 3)))
+    end = 90 * 144 + 4 * 16 + 3 * 4 + 3
+    edges = [(c, *e) for c in (1, 2, 7) for e in ((source, a, 1.0), (a, b, -2.0), (b, end, 1.0)) if (c, e[1]) != (2, end)]
+    for size in (1, 2, 3, 8):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in (*zip(*edges[k : k + size]), [float("nan")] * len(edges[k : k + size]))], ["contig_id", "s", "t", "cost", "ln_score"]) for k in range(0, len(edges), size)]
+        found = [r for some in paths.contig_batches(iter(batches)) for r in paths.calls_of(some).to_pylist()]
+        assert [tuple(r.values()) for r in found] == [(1, 0, "CDS", 3, 5, 50), (7, 0, "CDS", 3, 5, 50)]
