@@ -149,3 +149,19 @@ def test_contigs_are_made_once(spark):
     short = tails.select(F.pandas_udf(profile._short_scores, "array<int>")("tail").alias("found"), F.explode(F.sequence(F.lit(1), F.length("tail"))).alias("n"), "tail")
     rows = short.select(F.col("found")[F.col("n") - 1].alias("a"), sequence.rbs_score(F.expr("right(tail, n)")).alias("b")).collect()
     assert len(rows) == 43 and all(r.a == r.b for r in rows) and any(r.a for r in rows)
+
+
+def test_counters_side_by_side():
+    """Counters of a whole piece don't run into each other, and ties of windows go as expressions have them."""
+    import numpy as np
+
+    tool = sites._Pieces(Params())
+    for letter, at in (("a", 0), ("c", 3)):
+        (first, *_) = tool.measure(letter * (tool.left + sites.PIECE + tool.right), tool.left, sites.PIECE, 30000, 10**6)
+        totals = sites._unpacked(np.array([first[0]], np.int64), 1)[0].tolist()
+        assert totals[:4] == [sites.PIECE * (k == at) for k in range(4)]
+        # three equal windows: the last is the richest, the first the poorest
+        assert totals[4:] == [sites.PIECE // 3 * (k % 9 == 6) for k in range(18)]
+    abc = np.array([(a, b, c) for a in range(3) for b in range(3) for c in range(3)]).T
+    want = [[sites.PAIRS.index((3 - w[::-1].index(max(w)), 1 + w.index(min(w)))) for w in map(list, (x[::way] for x in abc.T))] for way in (1, -1)]
+    assert [p.tolist() for p in sites._places(*abc)] == want
