@@ -6,6 +6,7 @@ import random
 import pytest
 
 from orfweave.operators import graph
+from orfweave.plans.annotate import Annotation
 
 
 def kind_of(l, r):
@@ -63,3 +64,12 @@ def test_dense_starts(spark):
     found = graph.connections(nodes)
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 0
+
+
+def test_edges_counted_unwritten(spark):
+    """What only counts edges doesn't write them."""
+    dna = "".join(random.Random(8).choices("acgt", k=3000))
+    run = Annotation(spark.createDataFrame([(1, dna, len(dna))], "contig_id bigint, seq string, length int"))
+    n = run.passing_edges().count()
+    assert "edges" not in run._made and n > 0
+    assert run.edges.count() == n and run.passing_edges() is run.edges
