@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from orfweave.functions import sequence
-from orfweave.operators import orfs, sites
+from orfweave.operators import orfs, profile, sites
 from orfweave.sinks import formats
 
 
@@ -58,3 +58,13 @@ def test_proteins(spark):
         shares = [n / counts.total() for x, n in counts.items() if x != "*"]
         assert (r.entropy is None) == (not shares)
         assert not shares or abs(r.entropy + sum(p * math.log10(p) for p in shares)) < 1e-12
+
+
+def test_background_measures_motifs_alone(spark, monkeypatch):
+    """The background of motif scores doesn't ask for windows, pairs and events of all pieces."""
+    rng = random.Random(12)
+    made = ["".join(rng.choices("acgtn", (5, 2, 6, 2, 1), k=n)) for n in (6, 20, 21, 40, 2999, 3001, 9500)] + ["ggagga" * 1200]
+    contigs = spark.createDataFrame([(k, s, len(s)) for k, s in enumerate(made)], "contig_id bigint, seq string, length int")
+    want = sorted(map(tuple, profile.rbs_background(contigs, sites.scan(contigs)).collect()))
+    monkeypatch.setattr(sites, "scan", None)
+    assert sorted(map(tuple, profile.rbs_background(contigs).collect())) == want
