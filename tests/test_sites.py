@@ -165,3 +165,25 @@ def test_counters_side_by_side():
     abc = np.array([(a, b, c) for a in range(3) for b in range(3) for c in range(3)]).T
     want = [[sites.PAIRS.index((3 - w[::-1].index(max(w)), 1 + w.index(min(w)))) for w in map(list, (x[::way] for x in abc.T))] for way in (1, -1)]
     assert [p.tolist() for p in sites._places(*abc)] == want
+
+
+def test_pieces_are_measured_together(monkeypatch):
+    """Calls go along many pieces at once, and each gets what it gets alone, also with letters that are no bases."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    made = ["".join(rng.choices("acgtnry", (9, 5, 5, 9, 1, 1, 1), k=n)) for n in (1, 2, 5, 7, 2998, 2999, 3000, 3001, 7300)] + ["nnnnnn", "atgaaatag" * 40]
+    tool, rows = sites._Pieces(Params()), []
+    for k, s in enumerate(made):
+        for first in range(0, len(s), sites.PIECE):
+            head, part = s[max(0, first - tool.left) : first], s[first : first + sites.PIECE]
+            rows.append((k, len(s), first, len(head), head + part + s[first + sites.PIECE :][: tool.right], len(part)))
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32())
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["contig_id", "length", "first", "before", "context", "chunk_length"])
+    alone = [list(sites._scanner(Params())([batch.slice(k, 1)])) for k in range(len(rows))]
+    asked = []
+    motif = sites._Pieces._motif
+    monkeypatch.setattr(sites._Pieces, "_motif", lambda *a: asked.append(1) or motif(*a))
+    together = list(sites._scanner(Params())([batch]))
+    assert len(asked) == 2
+    assert [r for b in together for r in b.to_pylist()] == [r for one in alone for b in one for r in b.to_pylist()]
