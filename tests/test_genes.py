@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from orfweave.functions import sequence
 from orfweave.operators import graph, orfs, profile, sites
 from orfweave.params import output_format, start_weights
+from orfweave.plans import paths
 from orfweave.plans.annotate import Annotation
 from orfweave.plans.paths import cheapest_path, whole_cost
 from orfweave.sinks import formats
@@ -164,3 +165,24 @@ def test_published_scores(spark):
     assert calls[1686, 3227] == "-3.785434E+10" and calls[3224, 3484] == "-3.779878E+02"
     first = formats.faa(a.calls, a.contigs).orderBy("place").first().line.split("\n")
     assert first[0] == ">phiX174_CDS_[100..627] [note=score:-4.827981E+02]" and first[1].startswith("MFQTFISRHNSNFF") and first[1].endswith("*")
+
+
+def test_long_contigs_move_no_other_edges(spark, monkeypatch):
+    """Which contigs are solved by blocks is told by few ids: edges aren't sorted and exchanged to leave out or keep theirs. The
+    counts for GC come from one pass over a piece's digits."""
+    rng = random.Random(3)
+    rows = [(k, "".join(rng.choices("acgt", (5, 3, 3, 5), k=n)), n) for k, n in enumerate((500, 900, 2600))]
+    run = Annotation(spark.createDataFrame(rows, "contig_id bigint, seq string, length int"), block=1000)
+    blocks, none = [], spark.createDataFrame([], "contig_id bigint, number int, gene string, frame int, left int, right int")
+    monkeypatch.setattr(paths, "solve_blocks", lambda edges, *_: blocks.append(edges) or none)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = run.calls._jdf.queryExecution().executedPlan().toString() + blocks[0]._jdf.queryExecution().executedPlan().toString()
+        found = [line for line in plan.splitlines() if "LeftAnti" in line or "LeftSemi" in line]
+        assert found and all("Broadcast" in line for line in found)
+        ends = spark.createDataFrame([(0, 1, 100), (2, -1, 2000)], "contig_id bigint, strand int, pos int")
+        assert "MapInArrow" in orfs.counts_at(ends, run.pieces)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        run.release()
