@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -244,8 +245,9 @@ LEADING = 3
 LEADERS = 8
 NEAREST = 4
 PARITY_WORDS = 8
-#: Rows of up to 24 bytes that are broadcast at most.
+#: Rows of up to 40 bytes that are broadcast at once at most, and how many times so many one join takes.
 FEW = 1 << 18
+BANDS = 8
 _SLACK = 1e-9
 
 
@@ -255,11 +257,12 @@ def _node(hashes: np.ndarray) -> int:
     return int(np.array([xxh64_intdigest(hashes.tobytes(), SEED)], np.uint64).view(np.int64)[0])
 
 
-def _parities(hashes: np.ndarray) -> np.ndarray:
+def _parities(hashes: np.ndarray, most: int | None = PARITY_WORDS) -> np.ndarray:
     """A set's parities: bit h mod 64w is set if an odd number of shingles h fall on it, w words being a power of two that
-    gives two bits a shingle, PARITY_WORDS at most. The parities of two sets differ in no more bits than the sets in
+    gives two bits a shingle, most at most. The parities of two sets differ in no more bits than the sets in
     shingles, and those of w words folded in the middle by exclusive or are those of w / 2."""
-    words = min(PARITY_WORDS, 1 << max(0, (len(hashes) - 1) // 32).bit_length())
+    words = 1 << max(0, (len(hashes) - 1) // 32).bit_length()
+    words = words if most is None else min(most, words)
     odd = np.bincount((hashes & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -293,7 +296,7 @@ class _Order:
         return hashes[: n - math.ceil(similarity * n - _SLACK) + 1]
 
 
-def _common_shingles(rows: DataFrame, width: int) -> np.ndarray:
+def _common_shingles(rows: DataFrame, width: int, scratch: Scratch) -> np.ndarray:
     """Shingles of several texts of a sample of bounded size, the most frequent last."""
     total = max(1, rows.count())
     share = F.lit(min(1 << 20, math.ceil((1 << 20) * SAMPLE / total)))
@@ -307,7 +310,8 @@ def _common_shingles(rows: DataFrame, width: int) -> np.ndarray:
 
     sample = rows.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 20)) < share).select("text")
     often = sample.mapInArrow(shingles, "shingle bigint").groupBy("shingle").count().where("count > 2")
-    top = often.orderBy(F.desc("count"), "shingle").limit(COMMON).select("shingle").toPandas()["shingle"]
+    frequent = F.desc("count"), F.col("shingle")
+    top = scratch.write(often.orderBy(*frequent).limit(COMMON), "common").orderBy(*frequent).toPandas()["shingle"]
     return top.to_numpy(np.int64)[::-1].copy().view(np.uint64)
 
 
@@ -332,7 +336,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = SH
     small_batches(spark)
     scratch = Scratch(spark, "near")
     rows = docs.select(F.col(id_column).alias("id"), whole_text(text_column).alias("text"))
-    common = _common_shingles(rows, width)
+    common = _common_shingles(rows, width, scratch)
 
     shared_order = spark.sparkContext.broadcast(_Order(common))
 
@@ -348,6 +352,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = SH
                     "fp": pa.array([_majority(_set_bits(s), len(s)) if len(s) else 0 for s in sets], pa.int64()),
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "parities": pa.array([_parities(s) for s in sets], pa.list_(pa.int64())),
+                    "wide": pa.array([_parities(s, None) for s in sets], pa.list_(pa.int64())),
                     "prefix": pa.array([order.prefix(s, similarity).view(np.int64) for s in sets], pa.list_(pa.int64())),
                 }
                 yield pa.RecordBatch.from_arrays(list(found.values()), list(found))
@@ -355,7 +360,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = SH
 
     kind = rows.schema["id"].dataType.simpleString()
     rows = rows.select("id", F.xxhash64("text").alias("key"), "text")
-    own = scratch.write(rows.mapInArrow(prints, f"id {kind}, key bigint, node bigint, fp bigint, n bigint, parities array<bigint>, prefix array<bigint>"), "prints")
+    own = scratch.write(rows.mapInArrow(prints, f"id {kind}, key bigint, node bigint, fp bigint, n bigint, parities array<bigint>, wide array<bigint>, prefix array<bigint>"), "prints")
     # any row of a node has its set
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "fp", "n")).alias("first")
     nodes = own.groupBy("node").agg(first, F.min("parities").alias("parities"))
@@ -363,14 +368,14 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = SH
     met = _met(own, nodes, scratch)
     covering = _covering_pairs(nodes, scratch)
 
-    links = _similar(rows, nodes, covering, scratch, similarity, width)
+    links = _similar(rows, own, nodes, covering, scratch, similarity, width)
     labels = components(links, scratch)
     for turn in range(LEADING):
         rank = F.xxhash64("node", "shingle", F.lit(turn)).cast("double") if turn else F.col("central")
-        found = _similar(rows, nodes, _leading_pairs(met, labels, rank, scratch, similarity), scratch, similarity, width)
+        found = _similar(rows, own, nodes, _leading_pairs(met, labels, rank, scratch, similarity), scratch, similarity, width)
         links = links.union(found)
         labels = components(links, scratch)
-    found = _similar(rows, nodes, _other_pairs(met, labels, scratch, similarity), scratch, similarity, width)
+    found = _similar(rows, own, nodes, _other_pairs(met, labels, scratch, similarity), scratch, similarity, width)
     labels = components(links.union(found), scratch)
     scratch.drop(met)
 
@@ -406,16 +411,23 @@ def _able(similarity: float) -> Column:
     most = F.lit(1) + F.least(n - F.col("place") - 1, m - F.col("spot") - 1)
     sized = F.least(n, m) >= similarity * F.greatest(n, m) - _SLACK
     placed = most >= similarity / (1 + similarity) * (n + m) - _SLACK
-    return sized & placed & (_apart(F.col("parities"), F.col("other")) <= (1 - similarity) / (1 + similarity) * (n + m) + _SLACK)
+    return sized & placed & (_apart(F.col("parities"), F.col("other")) <= _most_apart(n, m, similarity))
+
+
+def _most_apart(n: Column, m: Column, similarity: float) -> Column:
+    """In how many shingles sets of n and m that are similar differ at most."""
+    return (1 - similarity) / (1 + similarity) * (n + m) + _SLACK
 
 
 def _met(own: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """Of each node that shares a shingle of its prefix with another: node, n, parities, places (shingle and place of those),
     and central: how many nodes have them, on average. In a group of near copies that is highest for what was copied,
     which is nearer to the copies than they are to one another."""
-    prefixes = own.groupBy("node").agg(F.min("prefix").alias("prefix")).select("node", F.posexplode("prefix").alias("place", "shingle"))
-    shared = prefixes.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("spread"))
-    met = prefixes.join(shared.where("low <> high").select("shingle", "spread"), "shingle")
+    # both uses take the nodes that are no null, so that prefixes are moved once
+    prefixes = own.where("node IS NOT NULL").groupBy("node").agg(F.min("prefix").alias("prefix")).select("node", F.posexplode("prefix").alias("place", "shingle"))
+    # a node has each of its shingles once
+    shared = prefixes.groupBy("shingle").agg(F.count(F.lit(1)).alias("spread")).where("spread > 1")
+    met = prefixes.join(shared, "shingle")
     # a node's list is no longer than its prefix
     met = met.groupBy("node").agg(F.collect_list(F.struct("shingle", "place")).alias("places"), F.avg("spread").alias("central"))
     return scratch.write(met.join(nodes.select("node", "n", "parities"), "node"), "met")
@@ -427,8 +439,11 @@ _OTHER = ("label_b", "b", "m", "spot", "other")
 
 def _labelled(met: DataFrame, labels: DataFrame) -> DataFrame:
     """A row for each shingle of a node, with the node's label."""
-    own = met.join(_few(labels).withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left")
-    return own.select(F.coalesce("label", "node").alias("label"), "node", "n", "parities", "central", F.inline("places"))
+    found = []
+    for k, band in enumerate(_bands(labels, "node")):
+        met = met.join(band.select(F.col("node").alias(f"own_{k}"), F.col("label").alias(f"label_{k}")), F.col("node") == F.col(f"own_{k}"), "left")
+        found.append(F.col(f"label_{k}"))
+    return met.select(F.coalesce(*found, "node").alias("label"), "node", "n", "parities", "central", F.inline("places"))
 
 
 def _leading_pairs(met: DataFrame, labels: DataFrame, rank: Column, scratch: Scratch, similarity: float) -> DataFrame:
@@ -436,8 +451,10 @@ def _leading_pairs(met: DataFrame, labels: DataFrame, rank: Column, scratch: Scr
     shingle's nodes are dealt into LEADERS by hash, and the one of the highest rank leads each."""
     rows = _labelled(met, labels)
     dealt = F.pmod(F.xxhash64("shingle", "node", F.lit(SEED)), F.lit(LEADERS))
-    lead = rows.groupBy("shingle", dealt.alias("dealt")).agg(F.max(F.struct(rank.alias("rank"), *_SIDE)).alias("first"))
-    lead = lead.select("shingle", *(F.col(f"first.{c}").alias(name) for c, name in zip(_SIDE, _OTHER)))
+    # side by side in a row, so that they lie where the join looks for them
+    firsts = [F.max(F.when(dealt == k, F.struct(rank.alias("rank"), *_SIDE))).alias(f"first_{k}") for k in range(LEADERS)]
+    lead = rows.groupBy("shingle").agg(*firsts).select("shingle", F.inline(F.array_compact(F.array(*(f"first_{k}" for k in range(LEADERS))))))
+    lead = lead.select("shingle", *(F.col(c).alias(name) for c, name in zip(_SIDE, _OTHER)))
     both = rows.join(lead, "shingle").where((F.col("label") != F.col("label_b")) & _able(similarity))
     # a node has at most LEADERS times its prefix's length of them
     one = F.struct(_apart(F.col("parities"), F.col("other")).alias("apart"), "b")
@@ -461,35 +478,58 @@ def _other_pairs(met: DataFrame, labels: DataFrame, scratch: Scratch, similarity
     return pairs
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """A written table of narrow rows, broadcast if it has FEW at most, so that what it is joined with needn't move."""
-    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+def _bands(df: DataFrame, *key: str, most: int = BANDS) -> list[DataFrame]:
+    """A written table of narrow rows in parts of about FEW, dealt by hash of key, each to be broadcast, so that what it is
+    joined with needn't move; more than most of them are one part, which isn't broadcast."""
+    n = max(1, -(-df.count() // FEW))
+    if n > most:
+        return [df]
+    dealt = F.pmod(F.xxhash64(F.lit(SEED), *key), F.lit(n))
+    return [F.broadcast(df if n == 1 else df.where(dealt == k)) for k in range(n)]
+
+
+def _turns(pairs: DataFrame) -> list[DataFrame]:
+    """Written pairs in parts whose ends are about FEW at most."""
+    n = max(1, -(-2 * pairs.count() // FEW))
+    return [pairs if n == 1 else pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(n)) == k) for k in range(n)]
 
 
-def _similar(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, scratch: Scratch, similarity: float, width: int) -> DataFrame:
-    """The pairs of nodes whose sets are similar enough, from the whole sets."""
+def _similar(rows: DataFrame, own: DataFrame, nodes: DataFrame, pairs: DataFrame, scratch: Scratch, similarity: float, width: int) -> DataFrame:
+    """The pairs of nodes whose sets are similar enough, from the whole sets. Pairs that the parities of two bits a shingle
+    rule out have no sets made. Texts aren't moved, and a set only to its pairs: some FEW nodes are asked for at once, in a
+    pass over the texts each."""
     sizes = nodes.select("node", "n")
     pairs = pairs.join(sizes.withColumnsRenamed({"node": "a", "n": "n_a"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "n_b"}), "b")
     pairs = scratch.write(pairs.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - _SLACK), "sized")
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    needed = scratch.write(nodes.join(needed, "node", "left_semi").select("node", F.col("id").alias("own"), F.col("key").alias("own_key")), "needed")
-    # rows that repeat both give the same text
-    texts = rows.join(_few(needed), F.col("id").eqNullSafe(F.col("own")) & (F.col("key") == F.col("own_key"))).select("node", "text")
+    close = []
+    for some in _turns(pairs):
+        needed = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wide = own.join(F.broadcast(needed), "node", "left_semi").select("node", "wide").dropDuplicates(["node"])
+        left, right = (wide.select(F.col("node").alias(k), F.col("wide").alias(f"wide_{k}")) for k in "ab")
+        near = some.join(left, "a").join(right, "b").where(_apart(F.col("wide_a"), F.col("wide_b")) <= _most_apart(F.col("n_a"), F.col("n_b"), similarity))
+        close.append(scratch.write(near.select("a", "b", "n_a", "n_b"), "close"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, own in chunks(batch.column(1)):
                 found = [s.view(np.int64) for s in shingle_sets(own, width)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(found, pa.list_(pa.int64()))], ["node", "hashes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(found, pa.list_(pa.int64()))], ["pairs", "hashes"])
         release()
 
-    whole = scratch.write(texts.mapInArrow(sets, "node bigint, hashes array<bigint>").dropDuplicates(["node"]), "sets")
-    left, right = (whole.select(F.col("node").alias(k), F.col("hashes").alias(f"set_{k}")) for k in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    both = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).alias("shared"))
-    links = scratch.write(both.where(F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")) >= similarity).select("a", "b"), "similar")
-    scratch.drop(whole)
-    return links
+    one = "STRUCT<a: BIGINT, b: BIGINT, n_a: BIGINT, n_b: BIGINT, first: BOOLEAN>"
+    links = []
+    for some in _turns(reduce(DataFrame.union, close)):
+        end = lambda node, first: F.struct(F.col(node).alias("node"), F.struct("a", "b", "n_a", "n_b", F.lit(first).alias("first")).alias("pair"))
+        ends = some.select(F.inline(F.array(end("a", True), end("b", False)))).groupBy("node").agg(F.collect_list("pair").alias("pairs"))
+        needed = ends.join(nodes.select("node", F.col("id").alias("own"), F.col("key").alias("own_key")), "node")
+        # rows that repeat both give the same text
+        texts = rows.join(F.broadcast(needed), F.col("id").eqNullSafe(F.col("own")) & (F.col("key") == F.col("own_key"))).select("pairs", "text")
+        whole = texts.mapInArrow(sets, f"pairs ARRAY<{one}>, hashes ARRAY<BIGINT>").select(F.explode("pairs").alias("pair"), "hashes")
+        whole = whole.select("pair.*", "hashes").repartition(partitions(rows.sparkSession), "a", "b")
+        both = whole.groupBy("a", "b", "n_a", "n_b").agg(*(F.first(F.when(F.col("first") == own_, F.col("hashes")), True).alias(name) for own_, name in ((True, "set_a"), (False, "set_b"))))
+        both = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).alias("shared"))
+        links.append(scratch.write(both.where(F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")) >= similarity).select("a", "b"), "similar"))
+    return reduce(DataFrame.union, links)
 
 
 def kept_documents(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -499,8 +539,10 @@ def kept_documents(docs: DataFrame, similarity: float = SIMILARITY, width: int =
     stands = F.col("id").eqNullSafe(F.col("group_id")) & (F.col("key") == F.col("group_key"))
     own, gone_id, gone_key = fresh(docs, "key", "gone_id", "gone_key")
     gone = groups.where(~stands).select(F.col("id").alias(gone_id), F.col("key").alias(gone_key)).distinct()
-    marked = docs.withColumn(own, F.xxhash64(whole_text(text_column)))
-    return marked.join(gone, F.col(id_column).eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_key)), "left_anti").drop(own)
+    kept = docs.withColumn(own, F.xxhash64(whole_text(text_column)))
+    for some in _bands(Scratch(docs.sparkSession, "gone").write(gone, "gone"), gone_id, gone_key):
+        kept = kept.join(some, F.col(id_column).eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_key)), "left_anti")
+    return kept.drop(own)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,3 +187,33 @@ def test_null_and_repeated_ids(spark):
     got = {(r.doc_id, r.text) for r in simhash.kept_documents(docs).collect()}
     assert rows[0] in got and rows[2] in got and rows[4] in got
     assert len(got) == 4 and len(got & set(rows[5:])) == 1
+
+
+def test_texts_are_not_moved(spark, monkeypatch):
+    """However many copies there are, texts stay where they are read: what goes and what is compared comes to them in bands."""
+    rng, texts = random.Random(8), []
+    for _ in range(30):
+        base = words(rng, 200)
+        texts += [" ".join(base), " ".join(base + ["x"]), " ".join(base[:185] + words(rng, 15)), " ".join(base[:140] + words(rng, 60))]
+    monkeypatch.setattr(simhash, "FEW", 16)
+    monkeypatch.setattr(simhash, "BANDS", 64, raising=False)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = simhash.kept_documents(docs)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in found.collect()) == brute_kept(texts)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert "Exchange hashpartitioning" not in plan
+
+
+def test_long_parities():
+    """With two bits a shingle, sets that differ in half their shingles are told apart at any length."""
+    rng = np.random.default_rng(9)
+    for n in (40, 1000, 20_000):
+        hashes = np.unique(rng.integers(0, 1 << 63, 3 * n // 2, np.uint64))
+        one, two = (simhash._parities(h, None).view(np.uint64) for h in (hashes[:n], hashes[-n:]))
+        apart = int(np.bitwise_count(one ^ two).sum())
+        assert len(one) == len(two) and 0.2 / 1.8 * 2 * n < apart <= n
